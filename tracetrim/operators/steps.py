@@ -15,4 +15,7 @@ def with_steps(df: DataFrame, text_col: str = "text", mode: str = "auto", out: s
 def explode_steps(df: DataFrame, key_cols, steps_col: str = "steps") -> DataFrame:
     """One row per step with its 0-based index (rows with no steps vanish)."""
     keys = [key_cols] if isinstance(key_cols, str) else list(key_cols)
-    return df.select(*keys, F.posexplode(steps_col).alias("step_idx", "step"))
+    # posexplode_outer + null filter: plain posexplode makes the optimizer push a
+    # size(steps) > 0 filter under the projection and segment every text twice.
+    out = df.select(*keys, F.posexplode_outer(steps_col).alias("step_idx", "step"))
+    return out.where(F.col("step_idx").isNotNull())

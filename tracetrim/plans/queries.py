@@ -60,8 +60,167 @@ def q_segment_auto(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_explode_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Auto-segmented conversation traces, one row per step with its index and step count."""
     tr = with_steps(views.v_traces(spark, sf_dir), "full_text", "auto")
-    return tr.select("trace_id", F.size("steps").alias("n_steps"), F.posexplode("steps").alias("step_idx", "step"))
+    out = tr.select("trace_id", F.size("steps").alias("n_steps"), F.posexplode_outer("steps").alias("step_idx", "step"))
+    return out.where(F.col("step_idx").isNotNull())
+
+
+# ---------------------------------------------------------------- auditing
+
+from tracetrim.functions import reply as R  # noqa: E402
+from tracetrim.functions.segment import segment  # noqa: E402
+from tracetrim.operators import audit as A  # noqa: E402
+from tracetrim.operators.rubric import with_rubric_decision  # noqa: E402
+from tracetrim.operators import rollout as RO  # noqa: E402
+from tracetrim.operators.transitions import add_provenance, example_id, example_key, extract_transitions  # noqa: E402
+
+NL = "\n"
+
+
+def _docs_with_reply(spark, sf_dir):
+    """Documents as auto-segmented traces with their recorded reply, in one projection."""
+    docs = read_table(spark, sf_dir, "documents")
+    return docs.select(
+        F.col("doc_id").alias("trace_id"),
+        segment("text", "auto").alias("steps"),
+        views.reply_case(F.col("doc_id")).alias("raw_response"),
+    )
+
+
+def _decision_cols(dec="decision", steps="steps"):
+    d = F.col(dec)
+    return [
+        F.size(steps).alias("n_steps"),
+        d["outcome"].alias("outcome"),
+        d["can_skip"].alias("can_skip"),
+        d["skip_start_idx"].alias("skip_start_idx"),
+        d["skip_end_idx"].alias("skip_end_idx"),
+        d["reason"].alias("reason"),
+    ]
+
+
+def _span_cols(dec="decision", steps="steps"):
+    d = F.col(dec)
+    sk = A.skipped_steps(d, F.col(steps))
+    return [F.size(sk).alias("n_skipped"), F.array_join(sk, NL).alias("skipped_text"), A.next_step(d, F.col(steps)).alias("next_step")]
+
+
+@register("extract_json_payload")
+def q_extract_json_payload(spark, sf_dir):
+    r = views.v_replies(spark, sf_dir)
+    return r.select("trace_id", R.payload_kind("raw_response").alias("payload_kind"), R.payload("raw_response").alias("payload"))
+
+
+@register("parse_decision")
+def q_parse_decision(spark, sf_dir):
+    r = R.with_parsed_reply(views.v_replies(spark, sf_dir), "raw_response", "p")
+    return r.select("trace_id", "p.parse_status", "p.can_skip", "p.skip_start_idx", "p.skip_end_idx", "p.reason")
+
+
+@register("parse_fallback")
+def q_parse_fallback(spark, sf_dir):
+    r = R.with_parsed_reply(views.v_replies(spark, sf_dir), "raw_response", "p")
+    return r.select("trace_id", R.fallback_can_skip("raw_response").alias("fallback_can_skip"),
+                    (F.col("p.parse_status") == "fallback").alias("uses_fallback"))
+
+
+@register("validate_span")
+def q_validate_span(spark, sf_dir):
+    t = R.with_parsed_reply(_docs_with_reply(spark, sf_dir), "raw_response", "p")
+    t = t.withColumn("decision", A.validate(F.col("p"), F.col("steps")))
+    return t.select("trace_id", *_decision_cols())
+
+
+@register("materialize_span")
+def q_materialize_span(spark, sf_dir):
+    t = R.with_parsed_reply(_docs_with_reply(spark, sf_dir), "raw_response", "p")
+    t = t.withColumn("decision", A.validate(F.col("p"), F.col("steps")))
+    return t.select("trace_id", *_decision_cols(), *_span_cols())
+
+
+@register("short_trace_guard")
+def q_short_trace_guard(spark, sf_dir):
+    t = A.with_reply_decision(_docs_with_reply(spark, sf_dir), "raw_response", "steps", "decision")
+    return t.select("trace_id", *_decision_cols())
+
+
+@register("recorded_audit")
+def q_recorded_audit(spark, sf_dir):
+    traces = views.v_doc_traces(spark, sf_dir).withColumn("steps", segment("full_text", "auto"))
+    t = A.recorded_audit(traces, views.v_replies(spark, sf_dir))
+    return t.select("trace_id", *_decision_cols(), *_span_cols())
+
+
+def _rubric_traces(spark, sf_dir, rules):
+    traces = views.v_doc_traces(spark, sf_dir).withColumn("steps", segment("full_text", "auto"))
+    return with_rubric_decision(traces, "steps", "question", None, rules)
+
+
+@register("rubric_audit")
+def q_rubric_audit(spark, sf_dir):
+    t = _rubric_traces(spark, sf_dir, ("repeat",))
+    return t.select("trace_id", *_decision_cols(), *_span_cols())
+
+
+@register("rubric_overlap")
+def q_rubric_overlap(spark, sf_dir):
+    t = _rubric_traces(spark, sf_dir, ("repeat", "overlap", "restate", "filler"))
+    return t.select("trace_id", *_decision_cols(), *_span_cols())
+
+
+# ---------------------------------------------------------------- transitions and rollouts (F1-F8)
+
+def _transition_out(df, key="trace_id"):
+    return df.select(
+        key, "id", "input_x", "target_y", "depth", F.array_join("skipped_steps", NL).alias("skipped_text"),
+        "skip_reason", "skip_start_idx", "skip_end_idx", "original_step_count")
+
+
+@register("extract_transition")
+def q_extract_transition(spark, sf_dir):
+    t = _rubric_traces(spark, sf_dir, ("repeat",)).withColumn("prefix", F.lit(""))
+    return _transition_out(extract_transitions(t, keep=("trace_id",)))
+
+
+@register("example_id")
+def q_example_id(spark, sf_dir):
+    t = views.v_traces(spark, sf_dir)
+    return t.select("trace_id", example_id(F.col("question"), F.lit(1)).alias("id"),
+                    example_key(F.col("question"), F.lit(1)).alias("example_key"))
+
+
+def doc_rollout(spark, sf_dir, max_depth=3, rules=("repeat",)):
+    traces = views.v_doc_traces(spark, sf_dir)
+    return RO.rollout(traces, key="trace_id", max_depth=max_depth, auditor=RO.rubric_auditor(rules))
+
+
+@register("rollout_replay")
+def q_rollout_replay(spark, sf_dir):
+    return _transition_out(RO.rollout_transitions(doc_rollout(spark, sf_dir)))
+
+
+@register("rollout_log")
+def q_rollout_log(spark, sf_dir):
+    lg = RO.rollout_log(doc_rollout(spark, sf_dir))
+    return lg.select("trace_id", "depth", "n_steps", "outcome", "can_skip", "skip_start_idx", "skip_end_idx",
+                     "usable", "next_step", F.length("prefix").alias("prefix_chars"))
+
+
+@register("rollout_summary")
+def q_rollout_summary(spark, sf_dir):
+    s = RO.rollout_summary(doc_rollout(spark, sf_dir))
+    return s.select("trace_id", "original_step_count", "final_step_count",
+                    F.round("compression_ratio", 6).alias("compression_ratio"),
+                    F.length("final_pruned_trace").alias("final_chars"), "depths_run", "n_transitions", "stopped_by")
+
+
+@register("provenance")
+def q_provenance(spark, sf_dir):
+    tr = RO.rollout_transitions(doc_rollout(spark, sf_dir))
+    qs = views.v_doc_traces(spark, sf_dir).select(
+        F.col("trace_id"), F.col("category"), F.col("source_dataset").alias("dataset"))
+    out = add_provenance(tr, qs, key="trace_id")
+    return out.select("trace_id", "id", "depth", "category", "source_dataset", "ground_truth")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["segment_auto"](spark, sf_dir)
+    return QUERIES["rollout_replay"](spark, sf_dir)

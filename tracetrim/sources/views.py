@@ -61,13 +61,14 @@ REPLY_CASES = [
 ]
 
 
+def reply_case(doc_id) -> F.Column:
+    cases = F.array(*[F.lit(s) for s in REPLY_CASES])
+    return F.element_at(cases, (doc_id % 12 + 1).cast("int"))
+
+
 def v_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    cases = F.array(*[F.lit(s) for s in REPLY_CASES])
-    return docs.select(
-        F.col("doc_id").alias("trace_id"),
-        F.element_at(cases, (F.col("doc_id") % 12 + 1).cast("int")).alias("raw_response"),
-    )
+    return docs.select(F.col("doc_id").alias("trace_id"), reply_case(F.col("doc_id")).alias("raw_response"))
 
 
 def v_completions(spark: SparkSession, sf_dir: str) -> DataFrame:
