@@ -115,3 +115,76 @@ FROM fin"""
 ORACLE["provenance"] = _RO + """SELECT r.trace_id, """ + OA.example_id("r.question", "r.depth") + """ AS id,
   CAST(r.depth AS INTEGER) AS depth, d.category, d.source_dataset, CAST(NULL AS VARCHAR) AS ground_truth
 FROM r3 r JOIN doc_steps d ON d.trace_id = r.trace_id WHERE r.can_skip"""
+
+
+# ---------------------------------------------------------------- sources, formatting, evaluation, reports
+
+from tracetrim.plans import oracle_more as OM  # noqa: E402
+from tracetrim.operators import format as FMT  # noqa: E402
+
+ORACLE.update(OM.ORACLE)
+
+_TR = _RO + ", tr AS (" + _transition_select("r3", steps="rem", prefix="prefix", depth="depth") + ")\n"
+_PT = _TR + ", pt AS (SELECT t.*, d.category, d.source_dataset FROM tr t JOIN doc_steps d ON d.trace_id = t.trace_id)\n"
+
+ORACLE["pt_roundtrip"] = _TR + """SELECT id, depth, input_x, target_y, skipped_text, skip_start_idx, 'train' AS split FROM tr"""
+
+ORACLE["build_pt_dataset"] = _PT + """SELECT id, input_x, target_y, depth, skipped_text, skip_reason,
+  'recorded' AS generator_model, 'rubric:repeat' AS decision_model, skip_start_idx, original_step_count,
+  category, source_dataset, 'train' AS split FROM pt"""
+
+ORACLE["sft_text"] = _TR + "SELECT trace_id, depth, input_x || chr(10) || chr(10) || '[Next Step]:' || chr(10) || target_y AS text FROM tr"
+
+ORACLE["continuation_prompt"] = _RO + f"""SELECT trace_id, CAST(depth AS INTEGER) AS depth,
+  CASE WHEN {S.strip('prefix')} <> '' THEN question || chr(10) || chr(10) || '[Previous Steps]:' || chr(10) || prefix
+       || chr(10) || chr(10) || '[Continue reasoning from here]:' ELSE question END AS prompt FROM r3"""
+
+
+def _audit_prompt_sql():
+    vals = {
+        "question": "question",
+        "prefix_section": "(CASE WHEN prefix <> '' THEN 'USEFUL PREFIX (already established):' || chr(10) || prefix || chr(10) ELSE '' END)",
+        "formatted_steps": "array_to_string(list_transform(range(len(rem)), lambda i: '[' || CAST(i AS VARCHAR) || '] ' || rem[i + 1]), chr(10))",
+    }
+    parts = [OA._q(v) if k == "lit" else vals[v] for k, v in FMT._template_parts(FMT.DEFAULT_AUDIT_TEMPLATE)]
+    return " || ".join(parts)
+
+
+ORACLE["audit_prompt"] = _RO + f"SELECT trace_id, CAST(depth AS INTEGER) AS depth, {_audit_prompt_sql()} AS prompt FROM r3"
+
+_RUB = V.with_views(V.V_DOC_TRACES, _DOC_STEPS, OA.rubric_layers("doc_steps", ("repeat",)))
+
+ORACLE["step_roles"] = _RUB + """SELECT trace_id, step_idx, CASE
+    WHEN can_skip AND skip_start_idx <= step_idx AND step_idx <= skip_end_idx THEN 'skipped'
+    WHEN can_skip AND step_idx = skip_end_idx + 1 THEN 'target'
+    WHEN can_skip AND step_idx < skip_start_idx THEN 'useful_prefix' ELSE 'untouched' END AS role
+FROM (SELECT trace_id, can_skip, skip_start_idx, skip_end_idx, CAST(unnest(range(len(steps))) AS INTEGER) AS step_idx FROM r3) x"""
+
+ORACLE["audit_summary"] = _RUB + f"""SELECT trace_id, source_dataset AS dataset, category, CAST(len(steps) AS INTEGER) AS steps, can_skip,
+  CASE WHEN can_skip THEN printf('[%d..%d]', skip_start_idx, skip_end_idx) ELSE 'None' END AS skipped_span,
+  {OM.clip('reason', 85)} AS reason FROM r3"""
+
+ORACLE["audit_rates"] = _RUB + """SELECT category, count(*) AS n_traces, round(avg(CAST(can_skip AS DOUBLE)), 6) AS skip_rate,
+  round(avg(CAST(len(steps) AS DOUBLE)), 6) AS mean_steps FROM r3 GROUP BY category"""
+
+ORACLE["schema_check"] = """SELECT * FROM (VALUES ('id', true, true), ('question', true, true), ('input_x', true, true),
+  ('target_y', true, true), ('depth', true, true), ('skipped_steps', true, true), ('skip_reason', true, true),
+  ('metadata', true, true)) t("column", present, type_ok)"""
+
+ORACLE["content_check"] = _PT + """SELECT count(*) AS n_rows, count_if(coalesce(input_x, '') = '') AS empty_input_x,
+  count_if(coalesce(target_y, '') = '') AS empty_target_y,
+  count_if(coalesce(input_x, '') <> '' AND coalesce(target_y, '') <> '') AS valid_rows FROM pt"""
+
+ORACLE["category_counts"] = _PT + "SELECT coalesce(category, 'Unknown') AS category, count(*) AS n FROM pt GROUP BY 1"
+
+ORACLE["depth_counts"] = _PT + "SELECT depth, count(*) AS n FROM pt GROUP BY depth"
+
+ORACLE["dataset_card"] = _PT + """SELECT sum(n) AS total, 'recorded' AS generator_model, 'rubric:repeat' AS decision_model,
+  string_agg('| Depth ' || CAST(depth AS VARCHAR) || ' | ' || CAST(n AS VARCHAR) || ' |', chr(10) ORDER BY depth) AS depth_table
+FROM (SELECT depth, count(*) AS n FROM pt GROUP BY depth) x"""
+
+ORACLE["rollout_report"] = "SELECT trace_id, original_step_count, final_step_count, compression_pct, n_transitions FROM (" + \
+    ORACLE["rollout_summary"].replace(
+        "SELECT trace_id, CAST(orig AS INTEGER) AS original_step_count",
+        "SELECT trace_id, round(greatest(0.0, 1.0 - len(final_steps) / greatest(orig, 1)) * 100, 6) AS compression_pct, "
+        "CAST(orig AS INTEGER) AS original_step_count") + ") z"

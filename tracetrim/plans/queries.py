@@ -224,3 +224,367 @@ def q_provenance(spark, sf_dir):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["rollout_replay"](spark, sf_dir)
+
+
+# ---------------------------------------------------------------- sources
+
+from tracetrim.sources import benchmarks as BM  # noqa: E402
+from tracetrim.sources import pt_io  # noqa: E402
+from tracetrim.operators import format as FM  # noqa: E402
+from tracetrim.operators import completions as CP  # noqa: E402
+from tracetrim.operators import evaluate as EV  # noqa: E402
+from tracetrim.operators import reports as RP  # noqa: E402
+from tracetrim.functions.answers import extract_answer  # noqa: E402
+
+# Benchmark names derived per document (hits with odd spacing/case, a path-like miss, the raw source).
+NAME_VARIANTS = ["gsm8k", " ARC_Challenge ", "SQuAD_v2", "openbookqa", "commonsense_qa", "Hotpot_QA", "svamp",
+                 "sciq", "arc_easy", "my/custom-set"]
+
+
+def _doc_names(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    variants = F.array(*[F.lit(v) for v in NAME_VARIANTS], F.col("source"))
+    return docs.select("doc_id", F.element_at(variants, (F.col("doc_id") % 11 + 1).cast("int")).alias("name"))
+
+
+@register("resolve_benchmark")
+def q_resolve_benchmark(spark, sf_dir):
+    r = BM.resolve_benchmarks(_doc_names(spark, sf_dir), "name")
+    return r.select("doc_id", "name", "alias_key", "registry_hit", "path", "config", "category")
+
+
+@register("load_questions")
+def q_load_questions(spark, sf_dir):
+    q = BM.load_questions(views.v_choice(spark, sf_dir), "arc_challenge", "item_id", "train")
+    return q.select("question_key", "id", "dataset", "category", "question", "ground_truth",
+                    F.col("metadata.config").alias("config"), F.col("metadata.split").alias("split"),
+                    F.col("metadata.index").alias("index"))
+
+
+@register("curated_fallback")
+def q_curated_fallback(spark, sf_dir):
+    names = BM.resolve_benchmarks(_doc_names(spark, sf_dir), "name").select("alias_key", "path").distinct()
+    c = BM.curated_for(names, 2)
+    return c.select("alias_key", "path", F.col("pos").cast("int").alias("pos"), "id", "category")
+
+
+def _svamp_like(spark, sf_dir):
+    part = read_table(spark, sf_dir, "part")
+    return part.select(
+        F.col("p_partkey").alias("item_id"),
+        F.concat(F.lit("There are "), F.col("p_size").cast("string"), F.lit(" "), F.col("p_name"), F.lit(" boxes.")).alias("Body"),
+        F.concat(F.lit("How many "), F.col("p_type"), F.lit(" items are there?")).alias("Question"),
+        F.col("p_size").cast("string").alias("Answer"))
+
+
+def _plain_qa(spark, sf_dir):
+    return views.v_traces(spark, sf_dir).select(F.col("trace_id").alias("item_id"), "question",
+                                                 F.col("full_text").alias("answer"))
+
+
+def spectrum_sources(spark, sf_dir):
+    return {
+        "gsm8k": _plain_qa(spark, sf_dir),
+        "arc_challenge": views.v_choice(spark, sf_dir),
+        "svamp": _svamp_like(spark, sf_dir),
+        "squad_v2": views.v_context(spark, sf_dir),
+    }
+
+
+@register("spectrum_topn")
+def q_spectrum_topn(spark, sf_dir):
+    return BM.spectrum(spectrum_sources(spark, sf_dir), "item_id", per_benchmark=2)
+
+
+def _user_turns(spark, sf_dir):
+    conv = read_table(spark, sf_dir, "conversations")
+    return conv.where(F.col("role") == "user").select((F.col("conv_id") * 1000 + F.col("turn")).alias("item_id"),
+                                                       F.col("text").alias("problem"))
+
+
+@register("normalize_questions")
+def q_normalize_questions(spark, sf_dir):
+    conv = read_table(spark, sf_dir, "conversations")
+    src = conv.where(F.col("role") == "user").select((F.col("conv_id") * 1000 + F.col("turn")).alias("item_id"),
+                                                      F.col("text").alias("question"))
+    q = BM.questions_from(src, key_col="item_id")
+    return q.select("question_key", "question", "ground_truth", "dataset")
+
+
+@register("pt_roundtrip")
+def q_pt_roundtrip(spark, sf_dir):
+    tr = RO.rollout_transitions(doc_rollout(spark, sf_dir))
+    path = pt_io.shared_path(spark, "pt_roundtrip")
+    pt_io.save_pt(pt_io.to_pt_rows(tr, "train"), path)
+    back = pt_io.load_pt(spark, path)
+    return back.select("id", "depth", "input_x", "target_y", F.array_join("skipped_steps", NL).alias("skipped_text"),
+                       F.col("metadata.skip_start_idx").alias("skip_start_idx"), "split")
+
+
+@register("eval_inputs")
+def q_eval_inputs(spark, sf_dir):
+    return BM.eval_inputs(_user_turns(spark, sf_dir), "item_id")
+
+
+# ---------------------------------------------------------------- formatting
+
+def _fmt_out(df, key="item_id"):
+    f = FM.format_rows(df)
+    return f.select(F.col(key).alias("item_id"), F.col("question_text").alias("question"),
+                    F.col("answer_text").alias("ground_truth"))
+
+
+@register("fmt_multiple_choice")
+def q_fmt_multiple_choice(spark, sf_dir):
+    return _fmt_out(views.v_choice(spark, sf_dir))
+
+
+@register("fmt_body_question")
+def q_fmt_body_question(spark, sf_dir):
+    return _fmt_out(_svamp_like(spark, sf_dir))
+
+
+@register("fmt_context")
+def q_fmt_context(spark, sf_dir):
+    return _fmt_out(views.v_context(spark, sf_dir))
+
+
+@register("fmt_plain")
+def q_fmt_plain(spark, sf_dir):
+    return _fmt_out(_plain_qa(spark, sf_dir))
+
+
+@register("fmt_dispatch")
+def q_fmt_dispatch(spark, sf_dir):
+    """Rows of three layouts in one table: per-row dispatch MC -> context -> plain."""
+    mc = views.v_choice(spark, sf_dir).select(
+        "item_id", "question", "choices", "answerKey", F.lit(None).cast("string").alias("context"),
+        F.lit(None).cast("string").alias("answer"))
+    ctx = views.v_context(spark, sf_dir).select(
+        (F.col("item_id") + 1_000_000_000).alias("item_id"), "question",
+        F.lit(None).cast("struct<label:array<string>,text:array<string>>").alias("choices"),
+        F.lit(None).cast("string").alias("answerKey"), "context", "answer")
+    plain = _plain_qa(spark, sf_dir).select(
+        (F.col("item_id") + 2_000_000_000).alias("item_id"), "question",
+        F.lit(None).cast("struct<label:array<string>,text:array<string>>").alias("choices"),
+        F.lit(None).cast("string").alias("answerKey"), F.lit(None).cast("string").alias("context"), "answer")
+    return _fmt_out(mc.unionByName(ctx).unionByName(plain))
+
+
+@register("continuation_prompt")
+def q_continuation_prompt(spark, sf_dir):
+    lg = RO.rollout_log(doc_rollout(spark, sf_dir))
+    return lg.select("trace_id", "depth", FM.continuation_prompt(F.col("question"), F.col("prefix")).alias("prompt"))
+
+
+@register("audit_prompt")
+def q_audit_prompt(spark, sf_dir):
+    lg = RO.rollout_log(doc_rollout(spark, sf_dir))
+    return lg.select("trace_id", "depth", FM.audit_prompt(F.col("question"), F.col("prefix"), F.col("steps")).alias("prompt"))
+
+
+@register("sft_text")
+def q_sft_text(spark, sf_dir):
+    tr = RO.rollout_transitions(doc_rollout(spark, sf_dir))
+    return tr.select("trace_id", "depth", FM.sft_text(F.col("input_x"), F.col("target_y")).alias("text"))
+
+
+# ---------------------------------------------------------------- traces from completions
+
+@register("build_trace")
+def q_build_trace(spark, sf_dir):
+    t = CP.build_traces(views.v_completions(spark, sf_dir))
+    return t.select("question_key", "depth", "token_count", "is_error", F.size("steps").alias("n_steps"),
+                    F.array_join("steps", NL).alias("steps_text"))
+
+
+@register("completion_errors")
+def q_completion_errors(spark, sf_dir):
+    t = CP.build_traces(views.v_completions(spark, sf_dir)).where(F.col("is_error"))
+    return t.select("question_key", "depth", "full_text", "token_count", F.size("steps").alias("n_steps"))
+
+
+def _first_questions(spark, sf_dir):
+    """One question per conversation: its first user turn."""
+    conv = read_table(spark, sf_dir, "conversations")
+    return (conv.where(F.col("role") == "user").groupBy(F.col("conv_id").alias("question_key"))
+            .agg(F.min_by("text", "turn").alias("question")))
+
+
+@register("batch_completion")
+def q_batch_completion(spark, sf_dir):
+    req = CP.completion_requests(_first_questions(spark, sf_dir))
+    return CP.batch_completion(req, CP.echo_completion, depth=1)
+
+
+# ---------------------------------------------------------------- recorded rollout, PT build, failures
+
+def recorded_rollout(spark, sf_dir, max_depth=3):
+    """Recorded completions per (question, depth) and recorded auditor replies per
+    (question, depth); each is gathered once per question, then joined on the key."""
+    completions = views.v_completions(spark, sf_dir)
+    comp = RO.gather_by_depth(completions, "question_key", max_depth, ["text", "usage_tokens", "error"], "_completions")
+    replies = views.v_rollout_replies(completions)
+    rep = RO.gather_by_depth(replies, "question_key", max_depth, ["raw_response"], "_replies")
+    qs = _first_questions(spark, sf_dir).join(comp, "question_key").join(rep, "question_key", "left")
+    return RO.rollout(qs, key="question_key", max_depth=max_depth, auditor=RO.recorded_auditor("_replies"),
+                      completions_col="_completions")
+
+
+@register("rollout_recorded")
+def q_rollout_recorded(spark, sf_dir):
+    tr = RO.rollout_transitions(recorded_rollout(spark, sf_dir), key="question_key")
+    return tr.select("question_key", "id", "input_x", "target_y", "depth",
+                     F.array_join("skipped_steps", NL).alias("skipped_text"), "skip_reason",
+                     "skip_start_idx", "skip_end_idx", "original_step_count")
+
+
+@register("failure_isolation")
+def q_failure_isolation(spark, sf_dir):
+    ro = recorded_rollout(spark, sf_dir)
+    s = RO.rollout_summary(ro, key="question_key")
+    errs = ro.select("question_key", F.exists("log", lambda x: x["is_error"]).alias("had_error"))
+    return s.join(errs, "question_key").select("question_key", "had_error", "depths_run", "n_transitions", "stopped_by")
+
+
+@register("build_pt_dataset")
+def q_build_pt_dataset(spark, sf_dir):
+    tr = RO.rollout_transitions(doc_rollout(spark, sf_dir))
+    qs = views.v_doc_traces(spark, sf_dir).select("trace_id", "category", F.col("source_dataset").alias("dataset"))
+    pt = pt_io.to_pt_rows(add_provenance(tr, qs, key="trace_id"), "train")
+    return pt.select("id", "input_x", "target_y", "depth", F.array_join("skipped_steps", NL).alias("skipped_text"),
+                     "skip_reason", "generator_model", "decision_model",
+                     F.col("metadata.skip_start_idx").alias("skip_start_idx"),
+                     F.col("metadata.original_step_count").alias("original_step_count"),
+                     F.col("metadata.category").alias("category"), F.col("metadata.source_dataset").alias("source_dataset"),
+                     "split")
+
+
+# ---------------------------------------------------------------- roles, evaluation, reports (G, H, I)
+
+@register("step_roles")
+def q_step_roles(spark, sf_dir):
+    t = _rubric_traces(spark, sf_dir, ("repeat",))
+    return RP.step_roles(t).select("trace_id", "step_idx", "role")
+
+
+def _doc_responses(spark, sf_dir):
+    r = views.v_responses(spark, sf_dir)
+    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("question_key"),
+                                                         F.col("source").alias("benchmark"))
+    # same table on both sides, joined on its key
+    return r.join(docs, "question_key")
+
+
+@register("extract_answer")
+def q_extract_answer(spark, sf_dir):
+    r = views.v_responses(spark, sf_dir)
+    return r.select("question_key", extract_answer(F.col("ground_truth")).alias("gold_extracted"),
+                    extract_answer(F.col("base_response")).alias("base_answer"),
+                    extract_answer(F.col("pruned_response")).alias("pruned_answer"))
+
+
+@register("answer_correct")
+def q_answer_correct(spark, sf_dir):
+    r = views.v_responses(spark, sf_dir)
+    return r.select("question_key", EV.gold_answer(F.col("ground_truth")).alias("gold"),
+                    EV.is_correct(F.col("base_response"), F.col("ground_truth")).alias("base_correct"),
+                    EV.is_correct(F.col("pruned_response"), F.col("ground_truth")).alias("pruned_correct"))
+
+
+@register("pair_savings")
+def q_pair_savings(spark, sf_dir):
+    s = EV.eval_samples(views.v_responses(spark, sf_dir))
+    return s.select("question_key", "base_tokens", "pruned_tokens", F.round("token_savings_pct", 6).alias("token_savings_pct"))
+
+
+def _summary(spark, sf_dir):
+    return EV.eval_summary(EV.eval_samples(_doc_responses(spark, sf_dir)))
+
+
+@register("eval_summary")
+def q_eval_summary(spark, sf_dir):
+    s = _summary(spark, sf_dir)
+    return s.select("benchmark", "num_samples", *[F.round(c, 6).alias(c) for c in (
+        "base_avg_tokens", "pruned_avg_tokens", "base_accuracy", "pruned_accuracy", "avg_token_reduction_pct",
+        "accuracy_delta")])
+
+
+@register("eval_card")
+def q_eval_card(spark, sf_dir):
+    s = _summary(spark, sf_dir)
+    return s.select("benchmark", "num_samples",
+                    F.round(F.col("base_accuracy") * 100, 6).alias("base_accuracy_pct"),
+                    F.round(F.col("pruned_accuracy") * 100, 6).alias("pruned_accuracy_pct"),
+                    F.round(F.col("accuracy_delta") * 100, 6).alias("accuracy_delta_pct"),
+                    F.when(F.col("base_accuracy").isNull(), F.lit("N/A")).otherwise(F.lit("pct")).alias("base_accuracy_kind"),
+                    F.round("avg_token_reduction_pct", 6).alias("token_reduction_pct"))
+
+
+@register("comparison_rows")
+def q_comparison_rows(spark, sf_dir):
+    r = views.v_responses(spark, sf_dir).withColumn(
+        "question", F.concat(F.lit("Summarise document "), F.col("question_key").cast("string")))
+    c = EV.comparison_rows(r)
+    return c.select("question_key", "title", "base_preview", "pruned_preview", "base_tokens", "pruned_tokens",
+                    F.round("token_savings_pct", 6).alias("token_savings_pct"))
+
+
+def _pt(spark, sf_dir):
+    tr = RO.rollout_transitions(doc_rollout(spark, sf_dir))
+    qs = views.v_doc_traces(spark, sf_dir).select("trace_id", "category", F.col("source_dataset").alias("dataset"))
+    return add_provenance(tr, qs, key="trace_id")
+
+
+@register("schema_check")
+def q_schema_check(spark, sf_dir):
+    return RP.schema_check(pt_io.to_pt_rows(_pt(spark, sf_dir)))
+
+
+@register("content_check")
+def q_content_check(spark, sf_dir):
+    return RP.content_check(_pt(spark, sf_dir))
+
+
+@register("category_counts")
+def q_category_counts(spark, sf_dir):
+    return RP.category_counts(_pt(spark, sf_dir))
+
+
+@register("depth_counts")
+def q_depth_counts(spark, sf_dir):
+    return RP.depth_counts(_pt(spark, sf_dir))
+
+
+@register("dataset_card")
+def q_dataset_card(spark, sf_dir):
+    return RP.dataset_card(_pt(spark, sf_dir), "recorded", "rubric:repeat")
+
+
+@register("audit_summary")
+def q_audit_summary(spark, sf_dir):
+    return RP.audit_summary(_rubric_traces(spark, sf_dir, ("repeat",)))
+
+
+@register("audit_rates")
+def q_audit_rates(spark, sf_dir):
+    r = RP.audit_rates(_rubric_traces(spark, sf_dir, ("repeat",)))
+    return r.select("category", "n_traces", F.round("skip_rate", 6).alias("skip_rate"), F.round("mean_steps", 6).alias("mean_steps"))
+
+
+@register("spectrum_preview")
+def q_spectrum_preview(spark, sf_dir):
+    return RP.spectrum_preview(BM.spectrum(spectrum_sources(spark, sf_dir), "item_id", per_benchmark=2))
+
+
+@register("spectrum_categories")
+def q_spectrum_categories(spark, sf_dir):
+    s = BM.spectrum(spectrum_sources(spark, sf_dir), "item_id", per_benchmark=2)
+    return s.agg(F.count(F.lit(1)).alias("n_questions"), F.count_distinct("category").alias("n_categories"))
+
+
+@register("rollout_report")
+def q_rollout_report(spark, sf_dir):
+    s = RO.rollout_summary(doc_rollout(spark, sf_dir))
+    return s.select("trace_id", "original_step_count", "final_step_count",
+                    F.round(F.col("compression_ratio") * 100, 6).alias("compression_pct"), "n_transitions")

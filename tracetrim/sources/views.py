@@ -150,3 +150,9 @@ def v_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(d % 6 == 0, F.lit(0)).otherwise(F.floor(F.col("n_chars") / 4.0).cast("int")).alias("base_usage"),
         F.when(d % 4 == 0, F.lit(0)).otherwise(F.floor(F.col("n_chars") / 9.0).cast("int")).alias("pruned_usage"),
     )
+
+
+def v_rollout_replies(completions: DataFrame) -> DataFrame:
+    """Recorded auditor replies for every recorded completion, keyed (question_key, depth)."""
+    return completions.select("question_key", "depth",
+                              reply_case(F.col("question_key") + F.col("depth")).alias("raw_response"))
