@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tracetrim.functions.text import WS_CLASS, col_, py_strip
+from tracetrim.functions.text import WS_CLASS, col_, let, py_strip
 
 # The step boundary patterns.
 #   sentence end: . ! or ? then whitespace then an ASCII capital, digit, quote,
@@ -57,15 +57,13 @@ def numbered(text) -> Column:
 
 def auto(text) -> Column:
     """Numbered markers if they give more than one piece, else blank-line paragraphs
-    if they give more than one, else sentences."""
-    cleaned = _cleaned(text)
-    num = _pieces(cleaned, NUMBERED_BOUNDARY)
-    para = _pieces(cleaned, PARAGRAPH_BOUNDARY)
-    return (
-        F.when(F.size(num) > 1, num)
-        .when(F.size(para) > 1, para)
-        .otherwise(_pieces(cleaned, SENTENCE_BOUNDARY))
-    )
+    if they give more than one, else sentences.  Each split runs at most once."""
+    def pick(cleaned):
+        def by_para(num):
+            return F.when(F.size(num) > 1, num).otherwise(let(_pieces(cleaned, PARAGRAPH_BOUNDARY), lambda para: F.when(
+                F.size(para) > 1, para).otherwise(_pieces(cleaned, SENTENCE_BOUNDARY))))
+        return let(_pieces(cleaned, NUMBERED_BOUNDARY), by_para)
+    return let(_cleaned(text), pick)
 
 
 def segment(text, mode: str = "auto") -> Column:

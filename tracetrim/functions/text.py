@@ -20,9 +20,29 @@ def col_(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+_WS_ONE = "(?U)" + WS_CLASS
+
+
+def let(expr: Column, fn) -> Column:
+    """Evaluate ``expr`` once and hand it to ``fn`` as a lambda variable.
+
+    Inside higher-order functions Spark evaluates children without common
+    sub-expression elimination, so an expression referenced twice runs twice; a
+    one-element ``transform`` binds it once.
+    """
+    return F.element_at(F.transform(F.array(expr), fn), 1)
+
+
 def py_strip(c) -> Column:
-    """``str.strip()`` for a string column (null stays null)."""
-    return F.regexp_replace(col_(c), _STRIP_RE, "")
+    """``str.strip()`` for a string column (null stays null).
+
+    The regex only runs when the first or last character is blank; most pieces need
+    no change and cost two one-character tests.
+    """
+    def strip(x):
+        edge = F.substring(x, 1, 1).rlike(_WS_ONE) | F.substring(x, -1, 1).rlike(_WS_ONE)
+        return F.when(edge, F.regexp_replace(x, _STRIP_RE, "")).otherwise(x)
+    return let(col_(c), strip)
 
 
 def is_blank(c) -> Column:
@@ -45,4 +65,6 @@ def clip_with_ellipsis(c, n: int) -> Column:
 def normalise_step(c) -> Column:
     """Lower-case, every non letter/digit run to one space, stripped.  Used for repeat tests."""
     lowered = F.lower(col_(c))
-    return py_strip(F.regexp_replace(lowered, "[^\\p{L}\\p{N}]+", " "))
+    # every whitespace character is a non letter/digit, so after the replacement only
+    # plain spaces can remain at the ends and ``trim`` equals str.strip here
+    return F.trim(F.regexp_replace(lowered, "[^\\p{L}\\p{N}]+", " "))

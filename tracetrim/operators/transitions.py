@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracetrim.functions.text import col_, py_strip
 from tracetrim.operators.audit import next_step, skipped_steps, usable
+from tracetrim.operators.frames import keep_where
 
 
 def full_prefix(prefix, steps, dec: Column) -> Column:
@@ -56,7 +57,7 @@ def extract_transitions(df: DataFrame, dec_col: str = "decision", question="ques
     """F1 over a table of (trace, decision): one row per usable decision."""
     dec = F.col(dec_col)
     d = depth if depth is not None else F.lit(1)
-    return df.where(usable(dec)).select(*keep, *transition_columns(question, prefix, steps, dec, d))
+    return keep_where(df, usable(dec)).select(*keep, *transition_columns(question, prefix, steps, dec, d))
 
 
 def add_provenance(transitions: DataFrame, questions: DataFrame, key: str = "question_key") -> DataFrame:

@@ -253,3 +253,8 @@ ORACLE["comparison_rows"] = V.with_views(V.V_RESPONSES) + f"""SELECT question_ke
   CAST({S.word_count('base_response')} AS INTEGER) AS base_tokens, CAST({S.word_count('pruned_response')} AS INTEGER) AS pruned_tokens,
   round((1.0 - {S.word_count('pruned_response')} / greatest({S.word_count('base_response')}, 1)) * 100.0, 6) AS token_savings_pct
 FROM v_responses"""
+
+ORACLE["stream_transitions"] = RECORDED + f"""SELECT question_key, {OA.example_id("question", "depth")} AS id,
+  {OA.input_x("question", "''", "steps", "skip_start_idx")} AS input_x, nxt AS target_y, depth,
+  array_to_string(steps[skip_start_idx + 1 : skip_end_idx + 1], chr(10)) AS skipped_text, reason AS skip_reason
+FROM d1 WHERE usable AND depth = 1"""

@@ -588,3 +588,29 @@ def q_rollout_report(spark, sf_dir):
     s = RO.rollout_summary(doc_rollout(spark, sf_dir))
     return s.select("trace_id", "original_step_count", "final_step_count",
                     F.round(F.col("compression_ratio") * 100, 6).alias("compression_pct"), "n_transitions")
+
+
+# ---------------------------------------------------------------- incremental build
+
+from tracetrim.streaming import incremental as INC  # noqa: E402
+
+
+def completion_records(spark, sf_dir):
+    """Depth-1 recorded completions joined to their question and recorded reply."""
+    comp = views.v_completions(spark, sf_dir).where(F.col("depth") == 1)
+    qs = _first_questions(spark, sf_dir)
+    rec = comp.join(qs, "question_key").select(
+        "question_key", "depth", "question", F.lit("").alias("prefix"), "text", "usage_tokens", "error",
+        views.reply_case(F.col("question_key") + F.col("depth")).alias("raw_response"))
+    return rec
+
+
+@register("stream_transitions")
+def q_stream_transitions(spark, sf_dir):
+    src = pt_io.shared_path(spark, "stream_src")
+    out = pt_io.shared_path(spark, "stream_out")
+    completion_records(spark, sf_dir).repartition(4).write.parquet(src)
+    INC.run_stream(spark, src, out, out + "_checkpoint")
+    res = spark.read.parquet(out)
+    return res.select("question_key", "id", "input_x", "target_y", "depth",
+                      F.array_join("skipped_steps", NL).alias("skipped_text"), "skip_reason")

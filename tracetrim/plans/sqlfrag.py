@@ -57,4 +57,4 @@ def word_count(x: str) -> str:
 
 
 def norm_step(x: str) -> str:
-    return strip(f"regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')")
+    return f"trim(regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tracetrim.functions.text import py_strip
 from tracetrim.operators.format import format_rows
+from tracetrim.operators.frames import keep_where
 
 GENERAL_CATEGORY = "General Reasoning"
 
@@ -143,7 +144,7 @@ def load_questions(source: DataFrame, alias: str, order_col: str, split: str = "
         positioned = top.withColumn("idx", (F.row_number().over(Window.orderBy(order_col)) - 1).cast("long"))
     else:
         positioned = dense_position(fmt, [order_col])
-    out = positioned.where(F.col("question_text") != "")
+    out = keep_where(positioned, F.col("question_text") != "")
     return out.select(
         F.col(order_col).alias("question_key"),
         F.concat(F.lit(f"{res['alias_key']}_{split}_"), F.col("idx").cast("string")).alias("id"),
