@@ -181,7 +181,7 @@ def rollout_transitions(ro: DataFrame, key: str = "trace_id", keep=()) -> DataFr
 
 def rollout_summary(ro: DataFrame, key: str = "trace_id") -> DataFrame:
     """original and final step counts, compression ratio, final text; no shuffle."""
-    orig = F.coalesce(F.element_at(F.col("log"), 1)["n_steps"], F.lit(0))
+    orig = F.coalesce(F.try_element_at(F.col("log"), F.lit(1))["n_steps"], F.lit(0))
     final = F.size("final_steps")
     ratio = F.greatest(F.lit(0.0), F.lit(1.0) - final / F.greatest(orig, F.lit(1)))
     return ro.select(
