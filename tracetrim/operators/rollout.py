@@ -57,11 +57,19 @@ def completion_trace(rec: Column, mode: str = "auto") -> dict:
 
 
 def gather_by_depth(df: DataFrame, key: str, max_depth: int, value_cols, out: str) -> DataFrame:
-    """One row per key with MAP<depth, STRUCT<value_cols>>; rows past max_depth are dropped first."""
+    """One row per key with MAP<depth, STRUCT<value_cols>>.
+
+    Rows past ``max_depth`` are dropped before any shuffle.  Duplicates of one
+    (key, depth) are first reduced to one record (the greatest struct, deterministic)
+    by an aggregation that combines map-side, so even a key holding a third of all rows
+    ships at most one record per depth from each task; the second aggregation then
+    sees at most ``max_depth`` rows per key.
+    """
     vals = F.struct(*value_cols) if len(value_cols) > 1 else F.col(value_cols[0])
-    return (df.where(F.col("depth").between(1, max_depth))
-            .groupBy(key)
-            .agg(F.map_from_entries(F.collect_list(F.struct(F.col("depth").cast("int"), vals))).alias(out)))
+    one = (df.where(F.col("depth").between(1, max_depth))
+             .groupBy(key, F.col("depth").cast("int").alias("depth"))
+             .agg(F.max(vals).alias("_v")))
+    return one.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("depth", "_v"))).alias(out))
 
 
 def rollout(traces: DataFrame, *, key: str = "trace_id", question: str = "question", max_depth: int = 3,

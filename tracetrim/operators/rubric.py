@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracetrim.functions.text import col_, normalise_step
+from tracetrim.functions.text import col_, let, normalise_step
 from tracetrim.operators.audit import decision, no_skip
 from tracetrim.functions.reply import SHORT_TRACE_REASON
 
@@ -51,9 +51,12 @@ def _tokens(norm: Column) -> Column:
 
 
 def _similar(a: Column, b: Column, pct: int) -> Column:
+    """Jaccard(a, b) >= pct% on distinct tokens.  The size test first: Jaccard can only
+    reach pct% when the smaller set is at least pct% of the larger one."""
+    sa, sb = F.size(a), F.size(b)
     inter = F.size(F.array_intersect(a, b))
-    union = F.size(a) + F.size(b) - inter
-    return (F.size(a) > 0) & (F.size(b) > 0) & (inter * 100 >= F.lit(pct) * union)
+    return ((sa > 0) & (sb > 0) & (F.least(sa, sb) * 100 >= F.lit(pct) * F.greatest(sa, sb))
+            & (inter * 100 >= F.lit(pct) * (sa + sb - inter)))
 
 
 def repeat_indices(steps, prior=None) -> Column:
@@ -62,33 +65,28 @@ def repeat_indices(steps, prior=None) -> Column:
     if prior is not None:
         prior_tagged = F.transform(col_(prior), lambda s: F.struct(normalise_step(s).alias("k"), F.lit(-1).alias("i")))
         norms = F.concat(prior_tagged, norms)
-    srt = F.array_sort(norms)
-    shifted = F.concat(F.array(F.struct(F.lit(None).cast("string").alias("k"), F.lit(-2).alias("i"))), srt)
-    hits = F.zip_with(srt, shifted, lambda cur, prev: F.when(
-        (cur["i"] >= 0) & (cur["k"] != F.lit("")) & (cur["k"] == prev["k"]), cur["i"]))
-    return F.filter(hits, lambda x: x.isNotNull())
+
+    def hits(srt):
+        shifted = F.concat(F.array(F.struct(F.lit(None).cast("string").alias("k"), F.lit(-2).alias("i"))), srt)
+        return F.filter(F.zip_with(srt, shifted, lambda cur, prev: F.when(
+            (cur["i"] >= 0) & (cur["k"] != F.lit("")) & (cur["k"] == prev["k"]), cur["i"])), lambda x: x.isNotNull())
+    return let(F.array_sort(norms), hits)
 
 
 def _pair_flags(steps, question, overlap_pct, restate_pct, use_overlap, use_restate) -> Column:
+    """Per step: 'overlap', 'restate' or null.  Pairwise with earlier steps (O(n^2) pairs,
+    most rejected by the size test), computed inside the row."""
     toks = F.transform(col_(steps), lambda s: _tokens(normalise_step(s)))
     qtok = _tokens(normalise_step(F.coalesce(col_(question), F.lit("")))) if question is not None else F.array().cast("array<string>")
-    init = F.struct(
-        F.array().cast("array<array<string>>").alias("seen"),
-        qtok.alias("q"),
-        F.array().cast("array<string>").alias("why"),
-    )
 
-    def step(acc, t):
-        ov = F.exists(acc["seen"], lambda p: _similar(p, t, overlap_pct)) if use_overlap else F.lit(False)
-        rs = _similar(acc["q"], t, restate_pct) if use_restate else F.lit(False)
-        why = F.when(ov, F.lit("overlap")).when(rs, F.lit("restate"))
-        return F.struct(
-            F.concat(acc["seen"], F.array(t)).alias("seen"),
-            acc["q"].alias("q"),
-            F.concat(acc["why"], F.array(why)).alias("why"),
-        )
-
-    return F.aggregate(toks, init, step)["why"]
+    def per_step(T, Q):
+        def one(t, i):
+            ov = F.exists(F.slice(T, 1, i), lambda p: _similar(p, t, overlap_pct)) if use_overlap else F.lit(False)
+            rs = _similar(Q, t, restate_pct) if use_restate else F.lit(False)
+            return F.when(ov, F.lit("overlap")).when(rs, F.lit("restate"))
+        return F.transform(T, one)
+
+    return let(toks, lambda T: let(qtok, lambda Q: per_step(T, Q)))
 
 
 def with_rubric_decision(df: DataFrame, steps_col: str = "steps", question_col: str | None = "question",
