@@ -57,19 +57,19 @@ def completion_trace(rec: Column, mode: str = "auto") -> dict:
 
 
 def gather_by_depth(df: DataFrame, key: str, max_depth: int, value_cols, out: str) -> DataFrame:
-    """One row per key with MAP<depth, STRUCT<value_cols>>.
+    """One row per key with MAP<depth, STRUCT<value_cols>> in a single aggregation.
 
-    Rows past ``max_depth`` are dropped before any shuffle.  Duplicates of one
-    (key, depth) are first reduced to one record (the greatest struct, deterministic)
-    by an aggregation that combines map-side, so even a key holding a third of all rows
-    ships at most one record per depth from each task; the second aggregation then
-    sees at most ``max_depth`` rows per key.
+    Rows past ``max_depth`` are dropped before the shuffle.  Each depth is its own
+    ``max(when(depth = d, record))`` column, which combines map-side: a key holding a
+    third of all rows still ships at most ``max_depth`` records per task, and
+    duplicates of one (key, depth) reduce to one deterministic record.
     """
     vals = F.struct(*value_cols) if len(value_cols) > 1 else F.col(value_cols[0])
-    one = (df.where(F.col("depth").between(1, max_depth))
-             .groupBy(key, F.col("depth").cast("int").alias("depth"))
-             .agg(F.max(vals).alias("_v")))
-    return one.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("depth", "_v"))).alias(out))
+    rows = df.where(F.col("depth").between(1, max_depth))
+    per_depth = [F.max(F.when(F.col("depth") == d, vals)).alias(f"_g{d}") for d in range(1, max_depth + 1)]
+    agg = rows.groupBy(key).agg(*per_depth)
+    entries = F.array(*[F.struct(F.lit(d).alias("depth"), F.col(f"_g{d}").alias("v")) for d in range(1, max_depth + 1)])
+    return agg.select(key, F.map_from_entries(F.filter(entries, lambda e: e["v"].isNotNull())).alias(out))
 
 
 def rollout(traces: DataFrame, *, key: str = "trace_id", question: str = "question", max_depth: int = 3,
