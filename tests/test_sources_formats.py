@@ -92,3 +92,26 @@ def test_pt_roundtrip_keeps_schema_when_empty(spark):
     pt_io.save_pt(pt_io.to_pt_rows(tr.limit(0)), empty)
     e = pt_io.load_pt(spark, empty)
     assert e.count() == 0 and "input_x" in e.columns
+
+
+def test_build_and_evaluate_entry_points(spark):
+    from tracetrim.operators.build import build_pt_dataset, evaluate_models
+    from tracetrim.sources import views
+    from tracetrim.plans import queries as Q
+    docs = views.v_doc_traces(spark, SMOKE).select(F.col("trace_id").alias("question_key"), "question", "full_text",
+                                                    "category", F.col("source_dataset").alias("dataset"))
+    pt = build_pt_dataset(docs, trace_col="full_text")
+    ref = Q.QUERIES["build_pt_dataset"](spark, SMOKE)
+    assert pt.count() == ref.count() > 0
+    assert pt.where(F.col("metadata.category").isNull()).count() == 0
+    comp = views.v_completions(spark, SMOKE)
+    qs = Q._first_questions(spark, SMOKE)
+    rec = build_pt_dataset(qs, completions=comp, replies=views.v_rollout_replies(comp))
+    assert rec.count() == Q.QUERIES["rollout_recorded"](spark, SMOKE).count()
+    base = comp.where("depth = 1")
+    pruned = comp.where("depth = 2")
+    samples, summary = evaluate_models(qs.withColumn("ground_truth", F.lit(None).cast("string")), base, pruned, "conv")
+    s = summary.first()
+    assert s.num_samples == samples.count() and s.base_accuracy is None
+    cur = BM.questions_from("/nonexistent/gsm8k.parquet", spark, max_samples=2).collect()
+    assert len(cur) == 2 and cur[0].category == "Arithmetic & Word Math"

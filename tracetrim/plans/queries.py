@@ -449,9 +449,10 @@ def q_failure_isolation(spark, sf_dir):
 
 @register("build_pt_dataset")
 def q_build_pt_dataset(spark, sf_dir):
-    tr = RO.rollout_transitions(doc_rollout(spark, sf_dir))
-    qs = views.v_doc_traces(spark, sf_dir).select("trace_id", "category", F.col("source_dataset").alias("dataset"))
-    pt = pt_io.to_pt_rows(add_provenance(tr, qs, key="trace_id"), "train")
+    from tracetrim.operators.build import build_pt_dataset
+    docs = views.v_doc_traces(spark, sf_dir).select(F.col("trace_id").alias("question_key"), "question", "full_text",
+                                                     "category", F.col("source_dataset").alias("dataset"))
+    pt = build_pt_dataset(docs, trace_col="full_text", max_depth=3, rules=("repeat",))
     return pt.select("id", "input_x", "target_y", "depth", F.array_join("skipped_steps", NL).alias("skipped_text"),
                      "skip_reason", "generator_model", "decision_model",
                      F.col("metadata.skip_start_idx").alias("skip_start_idx"),

@@ -194,9 +194,16 @@ def questions_from(obj, spark: SparkSession | None = None, key_col: str | None =
     * list of str  -> question, dataset "custom"
     * list of dict -> as given
     * DataFrame    -> formatted rows (B5), dataset "hf_dataset"
+    * str          -> a parquet path loaded with A2 (cap ``max_samples`` or 100), curated rows if unreadable
     Other types are an error.  Empty questions are dropped; ``max_samples`` caps the
     input (first rows by key).
     """
+    if isinstance(obj, str):
+        if spark is None:
+            raise ValueError("a SparkSession is needed to load questions from a path")
+        return load_or_curated(spark, obj, alias=obj.rstrip("/").split("/")[-1].split(".")[0],
+                               order_col=key_col or "item_id", num_samples=max_samples or 100).select(
+            "question_key", "question", "ground_truth", "dataset", "category")
     if isinstance(obj, DataFrame):
         fmt = format_rows(obj)
         key = F.col(key_col) if key_col else F.monotonically_increasing_id()
