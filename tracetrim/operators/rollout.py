@@ -100,13 +100,17 @@ def rollout(traces: DataFrame, *, key: str = "trace_id", question: str = "questi
         else:
             rec = F.try_element_at(F.col(completions_col), F.lit(d))
             t = completion_trace(rec, mode)
-            df = df.withColumn(f"_t{d}", F.when(rec.isNull(), F.lit(None)).otherwise(F.struct(
+            # rows that already stopped never look at later completions
+            df = df.withColumn(f"_t{d}", F.when(rec.isNull() | ~F.col("_active"), F.lit(None)).otherwise(F.struct(
                 t["steps"].alias("steps"), t["full_text"].alias("full_text"),
                 t["token_count"].alias("token_count"), t["is_error"].alias("is_error"))))
-        df = df.withColumn("_steps", F.col(f"_t{d}.steps"))
+        empty = F.array().cast("array<string>")
+        # stopped rows audit nothing: empty steps and no prior (their kept list is final)
+        df = (df.withColumn("_steps", F.when(F.col("_active"), F.col(f"_t{d}.steps")).otherwise(empty))
+                .withColumn("_prior", F.when(F.col("_active"), F.col("_kept")).otherwise(empty)))
         steps = F.col("_steps")
         missing = F.col(f"_t{d}").isNull()
-        ctx = {"steps": "_steps", "question": question, "kept": "_kept", "prefix": "_prefix", "depth": d}
+        ctx = {"steps": "_steps", "question": question, "kept": "_prior", "prefix": "_prefix", "depth": d}
         df = auditor(df, ctx, "_dec")
         dec = F.col("_dec")
         n = F.size(steps)
@@ -151,7 +155,7 @@ def rollout(traces: DataFrame, *, key: str = "trace_id", question: str = "questi
             F.when(F.col("_active") & missing, F.lit("missing_completion"))
              .when(live, F.col("_stopnow")).otherwise(F.col("_stop")).alias("_stop"),
             (live & F.col("_stopnow").isNull()).alias("_active"),
-        ).drop("_steps", "_dec", "_ok", "_nxt", "_live", "_keptnow", "_stopnow", f"_t{d}")
+        ).drop("_steps", "_prior", "_dec", "_ok", "_nxt", "_live", "_keptnow", "_stopnow", f"_t{d}")
 
     logs = F.filter(F.array(*[F.col(f"_log{d}") for d in range(1, max_depth + 1)]), lambda x: x.isNotNull())
     drop = [c for c in df.columns if c.startswith("_") and c not in ("_kept", "_stop")]
