@@ -470,11 +470,8 @@ def q_step_roles(spark, sf_dir):
 
 
 def _doc_responses(spark, sf_dir):
-    r = views.v_responses(spark, sf_dir)
-    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("question_key"),
-                                                         F.col("source").alias("benchmark"))
-    # same table on both sides, joined on its key
-    return r.join(docs, "question_key")
+    """Responses with the document source as the benchmark, from one scan."""
+    return views.v_responses(spark, sf_dir, extra=("source",)).withColumnRenamed("source", "benchmark")
 
 
 @register("extract_answer")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracetrim.functions.text import py_strip
+from tracetrim.session import cut_lineage
 from tracetrim.operators.format import format_rows
 from tracetrim.operators.frames import keep_where
 
@@ -114,12 +115,15 @@ def curated_for(names: DataFrame, n: int, alias_col: str = "alias_key", path_col
 def dense_position(df: DataFrame, order_cols, out: str = "idx") -> DataFrame:
     """0-based position in ``order_cols`` order without a single-partition window.
 
-    Global sort (range partitions) -> monotonically_increasing_id encodes (partition,
-    row in partition); per-partition counts (one row per partition, a proven small
-    bound) give offsets, broadcast back.  The sort output must be deterministic, so
-    ``order_cols`` should be unique.
+    Global sort (range partitions) -> ``monotonically_increasing_id`` encodes (partition,
+    row in partition).  The sorted rows and ids are written once with a reliable
+    checkpoint into the shared checkpoint folder, so the per-partition counts and the
+    rows they number come from the same materialisation (two independent sorts could
+    sample different range bounds).  The counts have one row per partition, a proven
+    small bound, and are broadcast back as offsets.  ``order_cols`` should be unique.
     """
     ordered = df.orderBy(*order_cols).withColumn("_mid", F.monotonically_increasing_id())
+    ordered = cut_lineage(ordered)
     ordered = ordered.withColumn("_part", F.shiftright("_mid", 33)).withColumn("_row", F.col("_mid").bitwiseAND((1 << 33) - 1))
     counts = ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -166,22 +170,23 @@ def spectrum(sources: dict, order_col: str, per_benchmark: int = 2, split: str =
     """
     parts = []
     for alias, df in sources.items():
-        fmt = format_rows(df).select(F.lit(alias).alias("benchmark"), F.col(order_col).alias("question_key"),
-                                     "question_text", "answer_text")
+        res = resolve_alias(alias)  # parameters, resolved on the driver without a job
+        fmt = format_rows(df).select(
+            F.lit(alias).alias("benchmark"), F.col(order_col).alias("question_key"), "question_text", "answer_text",
+            F.lit(res["alias_key"]).alias("alias_key"), F.lit(res["path"]).alias("dataset"),
+            F.lit(res["category"]).alias("category"))
         parts.append(fmt)
     allq = parts[0]
     for p in parts[1:]:
         allq = allq.unionByName(p)
     w = Window.partitionBy("benchmark").orderBy("question_key")
-    top = allq.withColumn("idx", F.row_number().over(w) - 1).where(F.col("idx") < per_benchmark)
-    names = top.select("benchmark").distinct()
-    res = resolve_benchmarks(names, "benchmark")
-    top = top.join(F.broadcast(res.select("benchmark", "alias_key", "path", "category", "config")), "benchmark")
-    top = top.where(F.col("question_text") != "")
+    # the filter must be on the rank itself for Spark to add the partial WindowGroupLimit
+    top = allq.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= per_benchmark)
+    top = top.withColumn("idx", F.col("_rn") - 1).where(F.col("question_text") != "")
     return top.select(
         "benchmark", "question_key",
         F.concat(F.col("alias_key"), F.lit(f"_{split}_"), F.col("idx").cast("string")).alias("id"),
-        F.col("path").alias("dataset"), "category",
+        "dataset", "category",
         F.col("question_text").alias("question"), F.col("answer_text").alias("ground_truth"),
         F.col("idx").cast("int").alias("index"),
     )

@@ -125,7 +125,9 @@ def v_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def v_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+def v_responses(spark: SparkSession, sf_dir: str, extra=()) -> DataFrame:
+    """Gold and two models' replies per document; ``extra`` document columns ride along
+    from the same scan (no self-join)."""
     docs = read_table(spark, sf_dir, "documents")
     d = F.col("doc_id")
     ans = (d * 7).cast("string")
@@ -149,6 +151,7 @@ def v_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         pruned.alias("pruned_response"),
         F.when(d % 6 == 0, F.lit(0)).otherwise(F.floor(F.col("n_chars") / 4.0).cast("int")).alias("base_usage"),
         F.when(d % 4 == 0, F.lit(0)).otherwise(F.floor(F.col("n_chars") / 9.0).cast("int")).alias("pruned_usage"),
+        *[F.col(c) for c in extra],
     )
 
 
