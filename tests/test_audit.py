@@ -86,3 +86,20 @@ def test_transition_prefix_rules(spark):
 def test_example_id(spark):
     r = spark.range(1).select(example_id(F.lit("  Hello there world"), F.lit(2)).alias("id")).first()
     assert r.id == "trans_Hello_ther_d2"
+
+
+def test_user_audit_callable(spark):
+    import pandas as pd
+
+    def judge(pdf):
+        # skip step 1 when the prompt lists at least three steps
+        raw = ['{"can_skip": true, "skip_start_idx": 1}' if "[2]" in p else '{"can_skip": false}' for p in pdf["prompt"]]
+        return pd.DataFrame({"trace_id": pdf["trace_id"], "raw_response": raw})
+
+    traces = spark.createDataFrame([
+        (1, "Q1", "", ["a", "b", "c"]), (2, "Q2", "", ["a", "b"]), (3, "Q3", "", ["only"])],
+        "trace_id long, question string, prefix string, steps array<string>")
+    out = {r.trace_id: r for r in A.user_audit(traces, judge, parallelism=2).select("trace_id", "decision.*").collect()}
+    assert out[1].outcome == "skip" and out[1].skip_start_idx == 1
+    assert out[2].outcome == "no_skip"
+    assert out[3].outcome == "short_trace"

@@ -96,18 +96,27 @@ def recorded_audit(traces: DataFrame, replies: DataFrame, keys=("trace_id",), st
     return with_reply_decision(j, raw_col, steps_col, out)
 
 
-def user_audit(traces: DataFrame, fn, out_schema: str) -> DataFrame:
+def user_audit(traces: DataFrame, fn, out_schema: str = "trace_id long, raw_response string",
+               template: str | None = None, parallelism: int | None = None) -> DataFrame:
     """E8 with a user callable: ``fn(pandas.DataFrame) -> pandas.DataFrame`` per Arrow batch.
 
-    The callable sees (trace_id, question, prefix, steps) batches inside the executors
-    (one client per task, no driver loop) and must return ``trace_id`` and
-    ``raw_response``; the reply then goes through the same parse/validate path.
-    Short traces are filtered out before the Python step (the guard never calls it).
+    The callable sees (trace_id, question, prefix, steps, prompt) batches inside the
+    executors (one client per task, no driver loop); ``prompt`` is the audit prompt built
+    with ``template`` (default template when None).  It must return ``trace_id`` and
+    ``raw_response``; the reply then goes through the same parse/validate path.  Short
+    traces are filtered out before the Python step (the guard never calls it), and
+    ``parallelism`` bounds the number of concurrent clients.
     """
+    from tracetrim.operators.format import audit_prompt
+
     def run(batches):
         for pdf in batches:
             yield fn(pdf)
 
-    needs = traces.where(F.size("steps") > 1).select("trace_id", "question", "prefix", "steps")
+    needs = traces.where(F.size("steps") > 1).select(
+        "trace_id", "question", "prefix", "steps",
+        audit_prompt(F.col("question"), F.col("prefix"), F.col("steps"), template).alias("prompt"))
+    if parallelism:
+        needs = needs.repartition(parallelism)
     replies = needs.mapInPandas(run, out_schema)
     return recorded_audit(traces, replies)

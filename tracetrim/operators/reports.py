@@ -32,6 +32,11 @@ def step_roles(df: DataFrame, key: str = "trace_id", steps: str = "steps", dec:
     return ex.select(key, "step_idx", "step", role.alias("role"))
 
 
+def role_counts(roles: DataFrame) -> DataFrame:
+    """G1 counts: steps per role (partial aggregation; four groups at most)."""
+    return roles.groupBy("role").agg(F.count(F.lit(1)).alias("n"))
+
+
 def schema_check(df: DataFrame) -> DataFrame:
     """(column, present, type_ok) for every required column (driver-side schema only)."""
     fields = {f.name: f.dataType for f in df.schema.fields}

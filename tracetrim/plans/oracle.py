@@ -188,3 +188,5 @@ ORACLE["rollout_report"] = "SELECT trace_id, original_step_count, final_step_cou
         "SELECT trace_id, CAST(orig AS INTEGER) AS original_step_count",
         "SELECT trace_id, round(greatest(0.0, 1.0 - len(final_steps) / greatest(orig, 1)) * 100, 6) AS compression_pct, "
         "CAST(orig AS INTEGER) AS original_step_count") + ") z"
+
+ORACLE["step_role_counts"] = "SELECT role, count(*) AS n FROM (" + ORACLE["step_roles"] + ") z GROUP BY role"

@@ -469,6 +469,11 @@ def q_step_roles(spark, sf_dir):
     return RP.step_roles(t).select("trace_id", "step_idx", "role")
 
 
+@register("step_role_counts")
+def q_step_role_counts(spark, sf_dir):
+    return RP.role_counts(RP.step_roles(_rubric_traces(spark, sf_dir, ("repeat",))))
+
+
 def _doc_responses(spark, sf_dir):
     """Responses with the document source as the benchmark, from one scan."""
     return views.v_responses(spark, sf_dir, extra=("source",)).withColumnRenamed("source", "benchmark")
