@@ -89,10 +89,13 @@ def recorded_audit(traces: DataFrame, replies: DataFrame, keys=("trace_id",), st
                    raw_col: str = "raw_response", out: str = "decision") -> DataFrame:
     """Left-join recorded auditor replies on the trace key, then decide.
 
-    Both sides are hash-partitioned on the key by the join; the key is unique per
-    (trace, depth) so no group can grow with the data.
+    Replies are first reduced to one per key (deterministic max); both sides are then
+    hash-partitioned on the key by the join.
     """
-    j = traces.join(replies.select(*keys, raw_col), list(keys), "left")
+    # one reply per key: duplicates reduce map-side (max is partial), so a key with many
+    # replies neither multiplies trace rows nor lands in one task
+    one = replies.groupBy(*keys).agg(F.max(raw_col).alias(raw_col))
+    j = traces.join(one, list(keys), "left")
     return with_reply_decision(j, raw_col, steps_col, out)
 
 
