@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tracetrim.functions.text import WS_CLASS, col_, let, py_strip
+from tracetrim.functions.text import WS_CLASS, col_, let, py_strip, strip_ref
 
 # The step boundary patterns.
 #   sentence end: . ! or ? then whitespace then an ASCII capital, digit, quote,
@@ -31,7 +31,7 @@ MODES = ("auto", "sentences", "lines", "paragraphs", "numbered")
 
 
 def _pieces(cleaned: Column, pattern: str) -> Column:
-    parts = F.transform(F.split(cleaned, pattern, -1), py_strip)
+    parts = F.transform(F.split(cleaned, pattern, -1), strip_ref)
     return F.filter(parts, lambda p: p != F.lit(""))
 
 

@@ -33,16 +33,20 @@ def let(expr: Column, fn) -> Column:
     return F.element_at(F.transform(F.array(expr), fn), 1)
 
 
-def py_strip(c) -> Column:
-    """``str.strip()`` for a string column (null stays null).
+def strip_ref(x: Column) -> Column:
+    """``str.strip()`` for a value that is cheap to reference twice (a column or lambda
+    variable).  The regex only runs when the first or last character is blank; most
+    pieces need no change and cost two one-character tests."""
+    edge = F.substring(x, 1, 1).rlike(_WS_ONE) | F.substring(x, -1, 1).rlike(_WS_ONE)
+    return F.when(edge, F.regexp_replace(x, _STRIP_RE, "")).otherwise(x)
 
-    The regex only runs when the first or last character is blank; most pieces need
-    no change and cost two one-character tests.
-    """
-    def strip(x):
-        edge = F.substring(x, 1, 1).rlike(_WS_ONE) | F.substring(x, -1, 1).rlike(_WS_ONE)
-        return F.when(edge, F.regexp_replace(x, _STRIP_RE, "")).otherwise(x)
-    return let(col_(c), strip)
+
+def py_strip(c) -> Column:
+    """``str.strip()`` for any string expression (null stays null); the expression is
+    evaluated once."""
+    if isinstance(c, str):
+        return strip_ref(F.col(c))
+    return let(c, strip_ref)
 
 
 def is_blank(c) -> Column:
