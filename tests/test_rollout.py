@@ -99,3 +99,29 @@ def test_recorded_rollout_stops_on_missing(spark):
     assert s[2].stopped_by == "missing_completion" and s[2].depths_run == 0
     assert s[1].depths_run == 2 and s[1].n_transitions == 2
     assert s[1].stopped_by in ("end_of_trace", "missing_completion")
+
+
+def test_hot_key_with_duplicates(spark):
+    """One question holds a third of all completion rows (duplicated records per depth)."""
+    rows = []
+    for k in range(60):
+        for d in (1, 2):
+            rows.append((k, d, f"Intro {k}. Same. Same. Next {k}. End.", None, None))
+    hot = [(999, d, "Alpha. Beta. Alpha. Gamma. Delta.", None, None) for d in (1, 2, 3, 4) for _ in range(20)]
+    comp = spark.createDataFrame(rows + hot, "question_key long, depth int, text string, usage_tokens int, error string")
+    g = RO.gather_by_depth(comp, "question_key", 3, ["text", "usage_tokens", "error"], "_c")
+    sizes = {r.question_key: r.n for r in g.select("question_key", F.size("_c").alias("n")).collect()}
+    assert sizes[999] == 3 and sizes[0] == 2
+    qs = spark.createDataFrame([(k, f"Q{k}") for k in list(range(60)) + [999]], "question_key long, question string")
+    ro = RO.rollout(qs.join(g, "question_key"), key="question_key", completions_col="_c")
+    s = {r.question_key: r for r in RO.rollout_summary(ro, "question_key").collect()}
+    assert s[999].n_transitions >= 1 and len(s) == 61
+
+
+def test_inspect_question(spark):
+    from tracetrim.operators.build import inspect_question
+    ro = Q.doc_rollout(spark, SMOKE)
+    key = RO.rollout_transitions(ro).select("trace_id").first().trace_id
+    log, roles, report = inspect_question(ro, key, key="trace_id")
+    assert log.count() >= 1 and report.count() == 1
+    assert roles.where("role = 'target'").count() == log.where("usable").count()

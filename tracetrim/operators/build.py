@@ -67,3 +67,26 @@ def evaluate_models(questions: DataFrame, base: DataFrame, pruned: DataFrame, be
     pairs = pair_responses(base, pruned).join(q.select("question_key", "question", "ground_truth"), "question_key")
     samples = eval_samples(pairs.withColumn("benchmark", F.lit(benchmark_name)))
     return samples, eval_summary(samples)
+
+
+def inspect_question(rollout_df: DataFrame, key_value, key: str = "question_key"):
+    """The single-question view: per-depth log, step roles per depth and the summary line.
+
+    A filter on the key of an existing rollout (pushed to the scan when the key is a
+    source column); returns three DataFrames, nothing is collected.
+    """
+    from tracetrim.operators.reports import rollout_report
+
+    one = rollout_df.where(F.col(key) == F.lit(key_value))
+    log = RO.rollout_log(one, key=key)
+    roles = log.select(
+        key, "depth", F.posexplode_outer("steps").alias("step_idx", "step"),
+        F.when(F.col("usable"), F.col("skip_start_idx")).alias("_s"),
+        F.when(F.col("usable"), F.col("skip_end_idx")).alias("_e"),
+    ).where(F.col("step_idx").isNotNull())
+    i, s_, e = F.col("step_idx"), F.col("_s"), F.col("_e")
+    roles = roles.select(key, "depth", "step_idx", "step", F.when(s_.isNull(), F.lit("untouched"))
+                         .when((s_ <= i) & (i <= e), F.lit("skipped")).when(i == e + 1, F.lit("target"))
+                         .when(i < s_, F.lit("useful_prefix")).otherwise(F.lit("untouched")).alias("role"))
+    report = rollout_report(RO.rollout_summary(one, key=key))
+    return log, roles, report

@@ -36,8 +36,11 @@ def get_session(master: str | None = None, app: str = "tracetrim", shuffle_parti
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, setting a local one only when none is configured."""
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - e.g. a remote session: the server owns the folder
+        sc = None
+    current = sc.getCheckpointDir() if sc is not None else None
     if current:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
@@ -45,8 +48,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
         # Local runs and tests only: a cluster always names a shared folder.
         conf_dir = tempfile.mkdtemp(prefix="tracetrim-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", conf_dir)
-    sc.setCheckpointDir(conf_dir)
-    return sc.getCheckpointDir() or conf_dir
+    if sc is not None:
+        sc.setCheckpointDir(conf_dir)
+        return sc.getCheckpointDir() or conf_dir
+    return conf_dir
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
