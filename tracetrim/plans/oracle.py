@@ -171,15 +171,15 @@ ORACLE["schema_check"] = """SELECT * FROM (VALUES ('id', true, true), ('question
   ('target_y', true, true), ('depth', true, true), ('skipped_steps', true, true), ('skip_reason', true, true),
   ('metadata', true, true)) t("column", present, type_ok)"""
 
-ORACLE["content_check"] = _PT + """SELECT count(*) AS n_rows, count_if(coalesce(input_x, '') = '') AS empty_input_x,
-  count_if(coalesce(target_y, '') = '') AS empty_target_y,
-  count_if(coalesce(input_x, '') <> '' AND coalesce(target_y, '') <> '') AS valid_rows FROM pt"""
+ORACLE["content_check"] = _PT + """SELECT count(*) AS n_rows, CAST(count_if(coalesce(input_x, '') = '') AS BIGINT) AS empty_input_x,
+  CAST(count_if(coalesce(target_y, '') = '') AS BIGINT) AS empty_target_y,
+  CAST(count_if(coalesce(input_x, '') <> '' AND coalesce(target_y, '') <> '') AS BIGINT) AS valid_rows FROM pt"""
 
 ORACLE["category_counts"] = _PT + "SELECT coalesce(category, 'Unknown') AS category, count(*) AS n FROM pt GROUP BY 1"
 
 ORACLE["depth_counts"] = _PT + "SELECT depth, count(*) AS n FROM pt GROUP BY depth"
 
-ORACLE["dataset_card"] = _PT + """SELECT sum(n) AS total, 'recorded' AS generator_model, 'rubric:repeat' AS decision_model,
+ORACLE["dataset_card"] = _PT + """SELECT CAST(sum(n) AS BIGINT) AS total, 'recorded' AS generator_model, 'rubric:repeat' AS decision_model,
   string_agg('| Depth ' || CAST(depth AS VARCHAR) || ' | ' || CAST(n AS VARCHAR) || ' |', chr(10) ORDER BY depth) AS depth_table
 FROM (SELECT depth, count(*) AS n FROM pt GROUP BY depth) x"""
 
