@@ -12,5 +12,27 @@ TABLES = (
 )
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+def balance(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Spread an input stored in fewer files than the cluster has task slots.
+
+    The per-row work here (segmentation, auditing, rollouts) is CPU-heavy, and a
+    table written as one file with one row group is read by one task.  When the input
+    has fewer files than ``min_partitions`` (default: the session's default
+    parallelism) the rows are redistributed round-robin; Spark sorts before a
+    round-robin exchange, so a retried task sees the same rows.  Large inputs (many
+    files, many row groups) are left as they are: no extra shuffle at scale.
+    """
+    spark = df.sparkSession
+    if min_partitions is None:
+        try:
+            min_partitions = spark.sparkContext.defaultParallelism
+        except Exception:  # noqa: BLE001 - remote sessions: keep the scan's own split
+            return df
+    if min_partitions <= 1 or len(df.inputFiles()) >= min_partitions:
+        return df
+    return df.repartition(min_partitions)
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return balance(df) if spread else df
