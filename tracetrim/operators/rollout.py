@@ -205,4 +205,5 @@ def rollout_summary(ro: DataFrame, key: str = "trace_id") -> DataFrame:
         F.size("log").alias("depths_run"),
         F.size(F.filter("log", lambda x: x["usable"])).alias("n_transitions"),
         "stopped_by",
+        F.exists("log", lambda x: F.coalesce(x["is_error"], F.lit(False))).alias("had_error"),
     )

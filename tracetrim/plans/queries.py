@@ -441,10 +441,8 @@ def q_rollout_recorded(spark, sf_dir):
 
 @register("failure_isolation")
 def q_failure_isolation(spark, sf_dir):
-    ro = recorded_rollout(spark, sf_dir)
-    s = RO.rollout_summary(ro, key="question_key")
-    errs = ro.select("question_key", F.exists("log", lambda x: x["is_error"]).alias("had_error"))
-    return s.join(errs, "question_key").select("question_key", "had_error", "depths_run", "n_transitions", "stopped_by")
+    s = RO.rollout_summary(recorded_rollout(spark, sf_dir), key="question_key")
+    return s.select("question_key", "had_error", "depths_run", "n_transitions", "stopped_by")
 
 
 @register("build_pt_dataset")
