@@ -48,3 +48,16 @@ def test_row_local_queries_do_not_shuffle_by_key(spark):
         for line in plan.split("\n"):
             if "Exchange" in line:
                 assert "RoundRobinPartitioning" in line, (name, line)
+
+
+def test_balance_spreads_only_small_inputs(spark, tmp_path):
+    from tracetrim.sources.tables import balance
+    one = str(tmp_path / "one")
+    spark.range(1000).coalesce(1).write.parquet(one)
+    df = spark.read.parquet(one)
+    assert balance(df, 4).rdd.getNumPartitions() == 4
+    many = str(tmp_path / "many")
+    spark.range(1000).repartition(6).write.parquet(many)
+    df6 = spark.read.parquet(many)
+    assert balance(df6, 4) is df6
+    assert sorted(r.id for r in balance(df, 4).collect()) == list(range(1000))
