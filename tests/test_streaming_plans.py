@@ -1,7 +1,5 @@
 import collections
 
-from pyspark.sql import functions as F
-
 from tests.conftest import SMOKE
 from tracetrim.plans import queries as Q
 from tracetrim.sources import pt_io

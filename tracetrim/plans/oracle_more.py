@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from tracetrim.functions import answers as AN
-from tracetrim.operators import format as FM
 from tracetrim.plans import oracle_audit as OA
 from tracetrim.plans import oracle_views as V
 from tracetrim.plans import sqlfrag as S
