@@ -125,3 +125,17 @@ def test_inspect_question(spark):
     log, roles, report = inspect_question(ro, key, key="trace_id")
     assert log.count() >= 1 and report.count() == 1
     assert roles.where("role = 'target'").count() == log.where("usable").count()
+
+
+def test_rank_and_next_within_match_windows_with_a_hot_group(spark):
+    from pyspark.sql import Window
+    from tracetrim.operators.ordering import next_within, rank_within
+    rows = [(7, t, f"v{t}") for t in range(300)] + [(g, t, f"g{g}t{t}") for g in range(100, 200) for t in (3, 1, 2)]
+    df = spark.createDataFrame(rows, "g long, t long, v string").repartition(5)
+    w = Window.partitionBy("g").orderBy("t")
+    ref = {(r.g, r.t): (r.rn, r.nv) for r in df.select("g", "t", F.row_number().over(w).alias("rn"),
+                                                       F.lead("v").over(w).alias("nv")).collect()}
+    rk = {(r.g, r.t): r.rank for r in rank_within(df, "g", "t").collect()}
+    nx = {(r.g, r.t): r.next_v for r in next_within(df, "g", "t", ["v"]).collect()}
+    assert rk == {k: v[0] for k, v in ref.items()}
+    assert nx == {k: v[1] for k, v in ref.items()}

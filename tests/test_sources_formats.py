@@ -63,7 +63,8 @@ def test_spectrum_and_positions(spark):
     cats = {r.category for r in spec}
     assert len(spec) >= 4 and {"Arithmetic & Word Math", "Scientific Reasoning"} <= cats
     df = spark.range(0, 5000, 3).withColumnRenamed("id", "k").repartition(7)
-    pos = BM.dense_position(df, ["k"]).collect()
+    from tracetrim.operators.ordering import dense_position
+    pos = dense_position(df, ["k"]).collect()
     assert sorted(r.idx for r in pos) == list(range(len(pos)))
     assert all(r.idx == r.k // 3 for r in pos)
 

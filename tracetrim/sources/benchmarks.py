@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracetrim.functions.text import py_strip
-from tracetrim.session import cut_lineage
+from tracetrim.operators.ordering import dense_position
 from tracetrim.operators.format import format_rows
 from tracetrim.operators.frames import keep_where
 
@@ -112,27 +112,6 @@ def curated_for(names: DataFrame, n: int, alias_col: str = "alias_key", path_col
     return out.where(F.col("id").isNotNull())
 
 
-def dense_position(df: DataFrame, order_cols, out: str = "idx") -> DataFrame:
-    """0-based position in ``order_cols`` order without a single-partition window.
-
-    Global sort (range partitions) -> ``monotonically_increasing_id`` encodes (partition,
-    row in partition).  The sorted rows and ids are written once with a reliable
-    checkpoint into the shared checkpoint folder, so the per-partition counts and the
-    rows they number come from the same materialisation (two independent sorts could
-    sample different range bounds).  The counts have one row per partition, a proven
-    small bound, and are broadcast back as offsets.  ``order_cols`` should be unique.
-    """
-    ordered = df.orderBy(*order_cols).withColumn("_mid", F.monotonically_increasing_id())
-    ordered = cut_lineage(ordered)
-    ordered = ordered.withColumn("_part", F.shiftright("_mid", 33)).withColumn("_row", F.col("_mid").bitwiseAND((1 << 33) - 1))
-    counts = ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).select("_part", "_off")
-    return (ordered.join(F.broadcast(offsets), "_part")
-                   .withColumn(out, (F.col("_off") + F.col("_row")).cast("long"))
-                   .drop("_mid", "_part", "_row", "_off"))
-
-
 def load_questions(source: DataFrame, alias: str, order_col: str, split: str = "train",
                    num_samples: int | None = None, config: str | None = None) -> DataFrame:
     """A2: format each row (B5), number rows in source order, keep the first ``num_samples``

@@ -9,23 +9,22 @@ grows with the tables they read.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tracetrim.operators.ordering import next_within, rank_within
 from tracetrim.sources.tables import read_table
 
 FENCE = "`" * 3
 
 
 def v_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(user turn, following assistant turn) pairs as question -> trace text."""
+    """(user turn, following assistant turn) pairs as question -> trace text.
+
+    The "next turn" is a join on global position + 1 (``next_within``), not a
+    per-conversation window, so one huge conversation is not sorted in one task.
+    """
     conv = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    z = conv.select(
-        "conv_id", "turn", "role", "text",
-        F.lead("role").over(w).alias("next_role"),
-        F.lead("text").over(w).alias("next_text"),
-    )
+    z = next_within(conv, "conv_id", "turn", ["role", "text"])
     return z.where((F.col("role") == "user") & (F.col("next_role") == "assistant")).select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("trace_id"),
         F.col("text").alias("question"),
@@ -72,12 +71,13 @@ def v_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def v_completions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assistant turns numbered per conversation (depth), with derived usage and errors.
+    The numbering is ``rank_within`` (global positions), not a per-conversation window."""
     conv = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    a = conv.where(F.col("role") == "assistant")
+    a = rank_within(conv.where(F.col("role") == "assistant"), "conv_id", "turn", "_rank")
     return a.select(
         F.col("conv_id").alias("question_key"),
-        F.row_number().over(w).cast("int").alias("depth"),
+        F.col("_rank").cast("int").alias("depth"),
         "text",
         F.when(F.col("conv_id") % 3 == 0, F.lit(None).cast("int"))
         .otherwise(F.floor(F.length("text") / 4.0).cast("int")).alias("usage_tokens"),
