@@ -73,7 +73,11 @@ def _truthy(field: Column) -> Column:
 
 
 def _text_of(field: Column) -> Column:
-    return F.when(F.schema_of_variant(field) == "STRING", F.try_variant_get(field, "$", "string")).otherwise(F.to_json(field))
+    """``str(value)`` of a JSON value: text as is, booleans as True/False, else its JSON form."""
+    t = F.schema_of_variant(field)
+    return (F.when(t == "STRING", F.try_variant_get(field, "$", "string"))
+            .when(t == "BOOLEAN", F.when(F.try_variant_get(field, "$", "boolean"), F.lit("True")).otherwise(F.lit("False")))
+            .otherwise(F.to_json(field)))
 
 
 def with_parsed_reply(df: DataFrame, raw_col: str, out: str = "parsed") -> DataFrame:

@@ -71,7 +71,9 @@ p2c AS (
          ELSE {_int_of('_j', '$.skip_start_idx')} END AS _start,
     json_type(_j, '$.skip_end_idx') AS _endt,
     json_type(_j, '$.reason') AS _rt,
-    CASE WHEN json_type(_j, '$.reason') = 'VARCHAR' THEN _j->>'$.reason' ELSE CAST(_j->'$.reason' AS VARCHAR) END AS _rtext
+    CASE WHEN json_type(_j, '$.reason') = 'VARCHAR' THEN _j->>'$.reason'
+         WHEN json_type(_j, '$.reason') = 'BOOLEAN' THEN CASE WHEN _j->>'$.reason' = 'true' THEN 'True' ELSE 'False' END
+         ELSE CAST(_j->'$.reason' AS VARCHAR) END AS _rtext
   FROM p2b),
 p2d AS (
   SELECT *, CASE WHEN _endt IS NULL THEN _start ELSE {_int_of('_j', '$.skip_end_idx')} END AS _end FROM p2c),
