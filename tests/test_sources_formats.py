@@ -116,3 +116,13 @@ def test_build_and_evaluate_entry_points(spark):
     assert s.num_samples == samples.count() and s.base_accuracy is None
     cur = BM.questions_from("/nonexistent/gsm8k.parquet", spark, max_samples=2).collect()
     assert len(cur) == 2 and cur[0].category == "Arithmetic & Word Math"
+
+
+def test_spectrum_from_paths_skips_and_falls_back(spark, tmp_path):
+    from tracetrim.sources import views
+    good = str(tmp_path / "arc")
+    views.v_choice(spark, SMOKE).write.parquet(good)
+    part = BM.spectrum_from_paths(spark, {"arc_challenge": good, "gsm8k": "/nonexistent/x"}, "item_id", 2).collect()
+    assert len(part) == 2 and {r.benchmark for r in part} == {"arc_challenge"}
+    allc = BM.spectrum_from_paths(spark, {"gsm8k": "/nonexistent/x"}, "item_id", 2).collect()
+    assert len(allc) == len(BM.CURATED_ROWS) and len({r.category for r in allc}) >= 4

@@ -171,6 +171,20 @@ def spectrum(sources: dict, order_col: str, per_benchmark: int = 2, split: str =
     )
 
 
+def spectrum_from_paths(spark: SparkSession, paths: dict | None, order_col: str, per_benchmark: int = 2,
+                        split: str = "train", fmt: str = "parquet") -> DataFrame:
+    """A4 over stored sources: ``paths`` maps alias -> path (default spectrum aliases
+    with paths equal to their names).  A source that cannot be opened is skipped; when
+    none can, the result is every curated row."""
+    paths = paths or {alias: alias for alias in DEFAULT_SPECTRUM}
+    sources = {alias: spark.read.format(fmt).load(path) for alias, path in paths.items() if readable(spark, path, fmt)}
+    if sources:
+        return spectrum(sources, order_col, per_benchmark, split)
+    return curated(spark).select(
+        F.split(F.col("id"), "_").getItem(0).alias("benchmark"), F.col("index").cast("long").alias("question_key"),
+        "id", "dataset", "category", "question", "ground_truth", F.col("index").cast("int").alias("index"))
+
+
 def questions_from(obj, spark: SparkSession | None = None, key_col: str | None = None,
                    max_samples: int | None = None) -> DataFrame:
     """A5: normalise the accepted inputs to one question table.
