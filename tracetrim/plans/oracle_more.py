@@ -256,3 +256,9 @@ ORACLE["stream_transitions"] = RECORDED + f"""SELECT question_key, {OA.example_i
   {OA.input_x("question", "''", "steps", "skip_start_idx")} AS input_x, nxt AS target_y, depth,
   array_to_string(steps[skip_start_idx + 1 : skip_end_idx + 1], chr(10)) AS skipped_text, reason AS skip_reason
 FROM d1 WHERE usable AND depth = 1"""
+
+# The deterministic stand-in generator echoes the first line of each prompt (the
+# question itself, since there is no prefix at depth 1).
+ORACLE["batch_completion"] = """SELECT conv_id AS question_key, CAST(1 AS INTEGER) AS depth,
+  split_part(arg_min(text, turn), chr(10), 1) AS text, CAST(NULL AS INTEGER) AS usage_tokens, CAST(NULL AS VARCHAR) AS error
+FROM conversations WHERE role = 'user' GROUP BY conv_id"""
