@@ -51,10 +51,15 @@ def eval_samples(df: DataFrame, base_tokens: str | None = "base_usage", pruned_t
 
 
 def pair_responses(base: DataFrame, pruned: DataFrame, key: str = "question_key") -> DataFrame:
-    """H3: one response per model per question, paired by an equi-join on the key."""
-    b = base.select(key, F.col("text").alias("base_response"), F.col("usage_tokens").alias("base_usage"))
-    p = pruned.select(key, F.col("text").alias("pruned_response"), F.col("usage_tokens").alias("pruned_usage"))
-    return b.join(p, key, "inner")
+    """H3: one response per model per question, paired by an equi-join on the key.
+
+    Each side is first reduced to one response per key (deterministic max, combined
+    map-side), so duplicated responses for one question neither multiply rows in the
+    join nor gather in one task."""
+    def one(df, text, usage):
+        r = df.groupBy(key).agg(F.max(F.struct(F.col("text").alias("t"), F.col("usage_tokens").alias("u"))).alias("_r"))
+        return r.select(key, F.col("_r.t").alias(text), F.col("_r.u").alias(usage))
+    return one(base, "base_response", "base_usage").join(one(pruned, "pruned_response", "pruned_usage"), key, "inner")
 
 
 def eval_summary(samples: DataFrame, benchmark: str = "benchmark") -> DataFrame:
