@@ -1,4 +1,4 @@
-"""Multi-depth pruning rollout (F4), per-depth log (F6), summary (F5) and the PT build.
+"""Multi-depth pruning rollout (F4), per-depth log (F6), summary (F5) and failure rows (F8).
 
 Per question: trace at the current prefix -> audit -> emit a transition -> keep the
 steps before the span plus the target -> extend the prefix -> next depth, until no
@@ -7,8 +7,9 @@ usable skip, the target was the last step, or ``max_depth``.
 The depth loop is unrolled into columns (``max_depth`` is a small parameter), so the
 whole rollout is row-local: one scan of the traces and no shuffle in replay mode.  In
 recorded mode the completions (and replies) are first gathered per question into a
-depth -> record map by one aggregation, bounded by ``max_depth`` rows per question
-(filtered before the shuffle), then joined once to the questions.
+depth -> record map by one aggregation that combines map-side (at most ``max_depth``
+records per question leave each task), then joined once to the questions.  The PT
+dataset build (F7) on top of this is ``tracetrim.operators.build``.
 
 Trace sources per depth:
 * replay    the continuation is the rest of the recorded trace after the kept target;
@@ -24,12 +25,10 @@ from pyspark.sql import functions as F
 from tracetrim.functions.segment import segment
 from tracetrim.functions.text import py_strip, word_count
 from tracetrim.operators.audit import next_step, skipped_steps, usable, with_reply_decision
+from tracetrim.operators.completions import ERROR_PREFIX
 from tracetrim.operators.rubric import with_rubric_decision
 from tracetrim.operators.transitions import example_id, input_x
 
-ERROR_PREFIX = "Error during generation: "
-
-
 def rubric_auditor(rules=("repeat",), overlap_pct: int = 80, restate_pct: int = 60):
     """Auditor = f(df, ctx, out) -> df with decision column ``out``."""
     def audit(df: DataFrame, ctx: dict, out: str) -> DataFrame:
