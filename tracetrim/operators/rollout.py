@@ -87,10 +87,8 @@ def rollout(traces: DataFrame, *, key: str = "trace_id", question: str = "questi
     if completions_col is None:
         first = F.col(steps_col) if steps_col else segment(text_col, mode)
         df = df.withColumn("_rem", first)
-    df = (df.withColumn("_kept", F.array().cast("array<string>"))
-            .withColumn("_prefix", F.lit(""))
-            .withColumn("_active", F.lit(True))
-            .withColumn("_stop", F.lit(None).cast("string")))
+    df = df.withColumns({"_kept": F.array().cast("array<string>"), "_prefix": F.lit(""), "_active": F.lit(True),
+                         "_stop": F.lit(None).cast("string")})
 
     for d in range(1, max_depth + 1):
         if completions_col is None:
@@ -105,17 +103,15 @@ def rollout(traces: DataFrame, *, key: str = "trace_id", question: str = "questi
                 t["token_count"].alias("token_count"), t["is_error"].alias("is_error"))))
         empty = F.array().cast("array<string>")
         # stopped rows audit nothing: empty steps and no prior (their kept list is final)
-        df = (df.withColumn("_steps", F.when(F.col("_active"), F.col(f"_t{d}.steps")).otherwise(empty))
-                .withColumn("_prior", F.when(F.col("_active"), F.col("_kept")).otherwise(empty)))
+        df = df.withColumns({"_steps": F.when(F.col("_active"), F.col(f"_t{d}.steps")).otherwise(empty),
+                             "_prior": F.when(F.col("_active"), F.col("_kept")).otherwise(empty)})
         steps = F.col("_steps")
         missing = F.col(f"_t{d}").isNull()
         ctx = {"steps": "_steps", "question": question, "kept": "_prior", "prefix": "_prefix", "depth": d}
         df = auditor(df, ctx, "_dec")
         dec = F.col("_dec")
         n = F.size(steps)
-        df = (df.withColumn("_ok", usable(dec))
-                .withColumn("_nxt", next_step(dec, steps))
-                .withColumn("_live", F.col("_active") & ~missing))
+        df = df.withColumns({"_ok": usable(dec), "_nxt": next_step(dec, steps), "_live": F.col("_active") & ~missing})
         ok, nxt, live = F.col("_ok"), F.col("_nxt"), F.col("_live")
         kept_pre = F.slice(steps, 1, F.greatest(dec["skip_start_idx"], F.lit(0)))
         df = df.withColumn("_keptnow", F.when(nxt != "", F.concat(kept_pre, F.array(nxt))).otherwise(kept_pre))
