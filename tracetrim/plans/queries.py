@@ -597,13 +597,16 @@ from tracetrim.streaming import incremental as INC  # noqa: E402
 
 
 def completion_records(spark, sf_dir):
-    """Depth-1 recorded completions joined to their question and recorded reply."""
-    comp = views.v_completions(spark, sf_dir).where(F.col("depth") == 1)
-    qs = _first_questions(spark, sf_dir)
-    rec = comp.join(qs, "question_key").select(
-        "question_key", "depth", "question", F.lit("").alias("prefix"), "text", "usage_tokens", "error",
+    """Every recorded completion that a rollout reaches, as the self-contained record a
+    generator service would emit: question, the prefix it was prompted with (from the
+    rollout's per-depth log), the completion and the auditor's reply."""
+    completions = views.v_completions(spark, sf_dir)
+    log = RO.rollout_log(recorded_rollout(spark, sf_dir), key="question_key").select(
+        "question_key", "depth", "question", "prefix")
+    rec = log.join(completions, ["question_key", "depth"])
+    return rec.select(
+        "question_key", "depth", "question", "prefix", "text", "usage_tokens", "error",
         views.reply_case(F.col("question_key") + F.col("depth")).alias("raw_response"))
-    return rec
 
 
 @register("stream_transitions")
