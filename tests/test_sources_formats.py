@@ -126,3 +126,12 @@ def test_spectrum_from_paths_skips_and_falls_back(spark, tmp_path):
     assert len(part) == 2 and {r.benchmark for r in part} == {"arc_challenge"}
     allc = BM.spectrum_from_paths(spark, {"gsm8k": "/nonexistent/x"}, "item_id", 2).collect()
     assert len(allc) == len(BM.CURATED_ROWS) and len({r.category for r in allc}) >= 4
+
+
+def test_context_answers_edges(spark):
+    df = spark.createDataFrame([
+        ("ctx", "q", ([],), "fallback"), ("ctx", "q", (None,), "fallback"), ("ctx", "q", None, "fallback"),
+        ("ctx", "q", (["x", "y"],), "fallback")],
+        "context string, question string, answers struct<text:array<string>>, answer string")
+    got = [r.answer_text for r in FM.format_rows(df).collect()]
+    assert got == ["", "", "fallback", "x"]

@@ -63,8 +63,10 @@ def context_question(df: DataFrame):
     ctx = F.when(F.length(ctx) > 300, cut).otherwise(ctx)
     q = F.concat(F.lit("Context: "), ctx, F.lit("\n\nQuestion: "), py_strip(_str(F.col("question"))))
     if _struct_has(df, "answers", ["text"]):
-        a = F.when(F.col("answers").isNotNull() & F.col("answers.text").isNotNull(),
-                   F.coalesce(_str(F.try_element_at(F.col("answers.text"), F.lit(1))), F.lit("")))
+        # answers present: its first text (str() of it), "" when the list is empty or missing
+        texts = F.col("answers.text")
+        a = F.when(F.col("answers").isNotNull(), F.when(F.coalesce(F.size(texts), F.lit(0)) > 0,
+                                                        _str(F.try_element_at(texts, F.lit(1)))).otherwise(F.lit("")))
         if _has(df, "answer"):
             a = a.otherwise(_str(F.col("answer")))
         else:
