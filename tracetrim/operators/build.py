@@ -34,11 +34,11 @@ def build_pt_dataset(questions: DataFrame, *, completions: DataFrame | None = No
     q = keep_where(q, F.coalesce(F.col("question"), F.lit("")) != "")
     auditor = RO.rubric_auditor(rules)
     if replies is not None:
-        rep = RO.gather_by_depth(replies, "question_key", max_depth, ["raw_response"], "_replies")
+        rep = RO.gather_replies(replies, "question_key", max_depth, "_replies")
         auditor = RO.recorded_auditor("_replies")
     base = q.select("question_key", "question", *([trace_col] if (completions is None and trace_col) else []))
     if completions is not None:
-        comp = RO.gather_by_depth(completions, "question_key", max_depth, ["text", "usage_tokens", "error"], "_completions")
+        comp = RO.gather_traces(completions, "question_key", max_depth, "_completions", mode)
         base = base.join(comp, "question_key")
     if replies is not None:
         base = base.join(rep, "question_key", "left")

@@ -21,10 +21,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracetrim.functions.segment import segment
 from tracetrim.functions.text import py_strip, word_count
-from tracetrim.operators.audit import next_step, skipped_steps, usable, with_reply_decision
+from tracetrim.functions.reply import MISSING_REPLY_REASON, with_parsed_reply
+from tracetrim.operators.audit import guard, next_step, no_skip, skipped_steps, usable, validate, with_reply_decision
 from tracetrim.operators.completions import ERROR_PREFIX
 from tracetrim.operators.rubric import with_rubric_decision
 from tracetrim.operators.transitions import example_id, input_x
@@ -38,11 +40,19 @@ def rubric_auditor(rules=("repeat",), overlap_pct: int = 80, restate_pct: int =
 
 
 def recorded_auditor(replies_col: str = "_replies", model: str = "recorded"):
-    """Replies gathered per question as MAP<INT depth, STRING raw_response>."""
+    """Replies gathered per question by depth: either already parsed (``gather_replies``:
+    MAP<INT, STRUCT<raw_null, parsed>>, only validation runs per depth) or raw text
+    (MAP<INT, STRING>, parsed per depth)."""
     def audit(df: DataFrame, ctx: dict, out: str) -> DataFrame:
-        raw = f"_{out}_raw"
-        df = df.withColumn(raw, F.try_element_at(F.col(replies_col), F.lit(ctx["depth"])))
-        return with_reply_decision(df, raw, ctx["steps"], out).drop(raw)
+        rec = f"_{out}_rec"
+        df = df.withColumn(rec, F.try_element_at(F.col(replies_col), F.lit(ctx["depth"])))
+        vt = df.schema[replies_col].dataType.valueType
+        if isinstance(vt, T.StructType) and "parsed" in vt.fieldNames():
+            steps = F.col(ctx["steps"])
+            r = F.col(rec)
+            d = F.when(r.isNull() | r["raw_null"], no_skip(MISSING_REPLY_REASON, "missing")).otherwise(validate(r["parsed"], steps))
+            return df.withColumn(out, guard(d, steps)).drop(rec)
+        return with_reply_decision(df, rec, ctx["steps"], out).drop(rec)
     audit.model = model
     return audit
 
@@ -71,6 +81,24 @@ def gather_by_depth(df: DataFrame, key: str, max_depth: int, value_cols, out: st
     return agg.select(key, F.map_from_entries(F.filter(entries, lambda e: e["v"].isNotNull())).alias(out))
 
 
+def gather_traces(completions: DataFrame, key: str, max_depth: int, out: str, mode: str = "auto") -> DataFrame:
+    """D1/D2 once per completion record (long form, one row per key x depth), then one
+    row per key with MAP<depth, STRUCT<full_text, token_count, is_error, steps>>."""
+    rows = completions.where(F.col("depth").between(1, max_depth))
+    t = completion_trace(F.struct("text", "usage_tokens", "error"), mode)
+    rows = rows.select(key, "depth", t["full_text"].alias("full_text"), t["token_count"].alias("token_count"),
+                       t["is_error"].alias("is_error"), t["steps"].alias("steps"))
+    return gather_by_depth(rows, key, max_depth, ["full_text", "token_count", "is_error", "steps"], out)
+
+
+def gather_replies(replies: DataFrame, key: str, max_depth: int, out: str, raw_col: str = "raw_response") -> DataFrame:
+    """E1-E3 once per reply record (long form), then one row per key with
+    MAP<depth, STRUCT<raw_null, parsed>>; only span validation is left per depth."""
+    rows = with_parsed_reply(replies.where(F.col("depth").between(1, max_depth)), raw_col, "parsed")
+    rows = rows.select(key, "depth", F.col(raw_col).isNull().alias("raw_null"), "parsed")
+    return gather_by_depth(rows, key, max_depth, ["raw_null", "parsed"], out)
+
+
 def rollout(traces: DataFrame, *, key: str = "trace_id", question: str = "question", max_depth: int = 3,
             auditor=None, mode: str = "auto", steps_col: str | None = None, text_col: str = "full_text",
             completions_col: str | None = None, generator_model: str = "recorded") -> DataFrame:
@@ -84,6 +112,10 @@ def rollout(traces: DataFrame, *, key: str = "trace_id", question: str = "questi
     auditor = auditor or rubric_auditor()
     q = F.col(question)
     df = traces
+    prebuilt = False
+    if completions_col is not None:
+        vt = df.schema[completions_col].dataType.valueType
+        prebuilt = isinstance(vt, T.StructType) and "steps" in vt.fieldNames()
     if completions_col is None:
         first = F.col(steps_col) if steps_col else segment(text_col, mode)
         df = df.withColumn("_rem", first)
@@ -96,7 +128,11 @@ def rollout(traces: DataFrame, *, key: str = "trace_id", question: str = "questi
                                                   F.lit(None).cast("int").alias("token_count"), F.lit(False).alias("is_error")))
         else:
             rec = F.try_element_at(F.col(completions_col), F.lit(d))
-            t = completion_trace(rec, mode)
+            if prebuilt:
+                t = {"steps": rec["steps"], "full_text": rec["full_text"], "token_count": rec["token_count"],
+                     "is_error": rec["is_error"]}
+            else:
+                t = completion_trace(rec, mode)
             # rows that already stopped never look at later completions
             df = df.withColumn(f"_t{d}", F.when(rec.isNull() | ~F.col("_active"), F.lit(None)).otherwise(F.struct(
                 t["steps"].alias("steps"), t["full_text"].alias("full_text"),

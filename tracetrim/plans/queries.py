@@ -423,9 +423,8 @@ def recorded_rollout(spark, sf_dir, max_depth=3):
     """Recorded completions per (question, depth) and recorded auditor replies per
     (question, depth); each is gathered once per question, then joined on the key."""
     completions = views.v_completions(spark, sf_dir)
-    comp = RO.gather_by_depth(completions, "question_key", max_depth, ["text", "usage_tokens", "error"], "_completions")
-    replies = views.v_rollout_replies(completions)
-    rep = RO.gather_by_depth(replies, "question_key", max_depth, ["raw_response"], "_replies")
+    comp = RO.gather_traces(completions, "question_key", max_depth, "_completions")
+    rep = RO.gather_replies(views.v_rollout_replies(completions), "question_key", max_depth, "_replies")
     qs = _first_questions(spark, sf_dir).join(comp, "question_key").join(rep, "question_key", "left")
     return RO.rollout(qs, key="question_key", max_depth=max_depth, auditor=RO.recorded_auditor("_replies"),
                       completions_col="_completions")
