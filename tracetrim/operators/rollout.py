@@ -150,9 +150,10 @@ def rollout(traces: DataFrame, *, key: str = "trace_id", question: str = "questi
         df = df.withColumns({"_ok": usable(dec), "_nxt": next_step(dec, steps), "_live": F.col("_active") & ~missing})
         ok, nxt, live = F.col("_ok"), F.col("_nxt"), F.col("_live")
         kept_pre = F.slice(steps, 1, F.greatest(dec["skip_start_idx"], F.lit(0)))
-        df = df.withColumn("_keptnow", F.when(nxt != "", F.concat(kept_pre, F.array(nxt))).otherwise(kept_pre))
-        kept_now = F.col("_keptnow")
-        df = df.withColumn(f"_log{d}", F.when(live, F.struct(
+        ends_here = (dec["skip_end_idx"] + 1) >= (n - 1)
+        stop_now = (F.when(~ok, F.lit("no_skip")).when(ends_here, F.lit("end_of_trace"))
+                    .when(F.lit(d) == max_depth, F.lit("max_depth")))
+        log = F.when(live, F.struct(
             F.lit(d).alias("depth"),
             n.alias("n_steps"),
             steps.alias("steps"),
@@ -169,15 +170,20 @@ def rollout(traces: DataFrame, *, key: str = "trace_id", question: str = "questi
             skipped_steps(dec, steps).alias("skipped_steps"),
             nxt.alias("next_step"),
             F.when(ok, input_x(q, F.col("_prefix"), steps, dec)).alias("input_x"),
-        )))
+        ))
+        # one projection for everything that only needs this depth's decision
+        df = df.withColumns({
+            "_keptnow": F.when(nxt != "", F.concat(kept_pre, F.array(nxt))).otherwise(kept_pre),
+            f"_log{d}": log,
+            "_stopnow": stop_now,
+        })
+        kept_now = F.col("_keptnow")
         ctx_text = py_strip(F.array_join(kept_now, " "))
         new_prefix = F.when(F.col("_prefix") != "", py_strip(F.concat(F.col("_prefix"), F.lit(" "), ctx_text))).otherwise(ctx_text)
-        ends_here = (dec["skip_end_idx"] + 1) >= (n - 1)
-        stop_now = (F.when(~ok, F.lit("no_skip")).when(ends_here, F.lit("end_of_trace"))
-                    .when(F.lit(d) == max_depth, F.lit("max_depth")))
-        df = df.withColumn("_stopnow", stop_now)
+        scratch = {"_steps", "_prior", "_dec", "_ok", "_nxt", "_live", "_keptnow", "_stopnow", f"_t{d}",
+                   "_kept", "_prefix", "_rem", "_stop", "_active"}
         df = df.select(
-            *[c for c in df.columns if c not in ("_kept", "_prefix", "_rem", "_stop", "_active")],
+            *[c for c in df.columns if c not in scratch],
             F.when(live & ok, F.concat(F.col("_kept"), kept_now))
              .when(live, F.concat(F.col("_kept"), steps)).otherwise(F.col("_kept")).alias("_kept"),
             F.when(live & ok, new_prefix).otherwise(F.col("_prefix")).alias("_prefix"),
@@ -186,7 +192,7 @@ def rollout(traces: DataFrame, *, key: str = "trace_id", question: str = "questi
             F.when(F.col("_active") & missing, F.lit("missing_completion"))
              .when(live, F.col("_stopnow")).otherwise(F.col("_stop")).alias("_stop"),
             (live & F.col("_stopnow").isNull()).alias("_active"),
-        ).drop("_steps", "_prior", "_dec", "_ok", "_nxt", "_live", "_keptnow", "_stopnow", f"_t{d}")
+        )
 
     logs = F.filter(F.array(*[F.col(f"_log{d}") for d in range(1, max_depth + 1)]), lambda x: x.isNotNull())
     drop = [c for c in df.columns if c.startswith("_") and c not in ("_kept", "_stop")]
