@@ -92,38 +92,39 @@ def with_parsed_reply(df: DataFrame, raw_col: str, out: str = "parsed") -> DataF
     r = F.coalesce(F.col(raw_col), F.lit(""))
     df = df.withColumn(t + "r", r)
     r = F.col(t + "r")
-    df = df.withColumn(t + "shape", r.rlike(FENCED_RE) | r.rlike(BRACE_RE))
-    df = df.withColumn(t + "v", F.try_parse_json(payload(r)))
+    df = df.withColumns({t + "shape": r.rlike(FENCED_RE) | r.rlike(BRACE_RE), t + "v": F.try_parse_json(payload(r))})
     v = F.col(t + "v")
-    vt = F.schema_of_variant(v)
-    df = df.withColumn(t + "vt", vt)
+    # everything that only needs the parsed variant, in one projection
+    df = df.withColumns({
+        t + "vt": F.schema_of_variant(v),
+        t + "skip_f": F.try_variant_get(v, "$.can_skip", "variant"),
+        t + "start_f": F.try_variant_get(v, "$.skip_start_idx", "variant"),
+        t + "end_f": F.try_variant_get(v, "$.skip_end_idx", "variant"),
+        t + "reason_f": F.try_variant_get(v, "$.reason", "variant"),
+        t + "start_i": F.try_variant_get(v, "$.skip_start_idx", "int"),
+        t + "end_i": F.try_variant_get(v, "$.skip_end_idx", "int"),
+    })
     vt = F.col(t + "vt")
     # With braces: unparsable -> fallback, non-object -> error.  Without braces the
     # reply can only be JSON if the whole text is one scalar or array (-> error).
     whole_value = r.rlike(JSON_SCALAR_RE) | (r.rlike(JSON_ARRAY_RE) & vt.startswith("ARRAY"))
     shape = F.col(t + "shape")
-    df = df.withColumn(t + "kind", F.when(shape & v.isNull(), F.lit("fallback"))
-                       .when(shape & ~vt.startswith("OBJECT"), F.lit("error"))
-                       .when(shape, F.lit("object"))
-                       .when(whole_value, F.lit("error")).otherwise(F.lit("fallback")))
-    df = df.select(
-        "*",
-        F.try_variant_get(v, "$.can_skip", "variant").alias(t + "skip_f"),
-        F.try_variant_get(v, "$.skip_start_idx", "variant").alias(t + "start_f"),
-        F.try_variant_get(v, "$.skip_end_idx", "variant").alias(t + "end_f"),
-        F.try_variant_get(v, "$.reason", "variant").alias(t + "reason_f"),
-        F.try_variant_get(v, "$.skip_start_idx", "int").alias(t + "start_i"),
-        F.try_variant_get(v, "$.skip_end_idx", "int").alias(t + "end_i"),
-    )
     start = F.when(F.col(t + "start_f").isNull(), F.lit(-1)).otherwise(F.col(t + "start_i"))
-    df = df.withColumn(t + "start", start)
+    df = df.withColumns({
+        t + "kind": F.when(shape & v.isNull(), F.lit("fallback"))
+                     .when(shape & ~vt.startswith("OBJECT"), F.lit("error"))
+                     .when(shape, F.lit("object"))
+                     .when(whole_value, F.lit("error")).otherwise(F.lit("fallback")),
+        t + "start": start,
+        t + "can": _truthy(F.col(t + "skip_f")),
+    })
     start = F.col(t + "start")
     end = F.when(F.col(t + "end_f").isNull(), start).otherwise(F.col(t + "end_i"))
     reason_f = F.col(t + "reason_f")
     no_skip_reason = F.when(reason_f.isNull(), F.lit(NO_SKIP_DEFAULT_REASON)).when(
         F.is_variant_null(reason_f), F.lit(None).cast("string")).otherwise(_text_of(reason_f))
     skip_reason = F.when(reason_f.isNull(), F.lit("")).when(F.is_variant_null(reason_f), F.lit("None")).otherwise(_text_of(reason_f))
-    df = df.withColumn(t + "can", _truthy(F.col(t + "skip_f"))).withColumn(t + "end", end)
+    df = df.withColumn(t + "end", end)
     can, end, kind = F.col(t + "can"), F.col(t + "end"), F.col(t + "kind")
     minus1 = F.lit(-1)
 

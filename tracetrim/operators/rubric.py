@@ -100,17 +100,18 @@ def with_rubric_decision(df: DataFrame, steps_col: str = "steps", question_col:
     t = f"_{out}_"
     s = F.col(steps_col)
     n = F.size(s)
-    parts = []
+    parts, per_rule = [], {}
     if "repeat" in rules:
-        df = df.withColumn(t + "rep", repeat_indices(s, F.col(prior_col) if prior_col else None))
+        per_rule[t + "rep"] = repeat_indices(s, F.col(prior_col) if prior_col else None)
         parts.append(F.col(t + "rep"))
     if "overlap" in rules or "restate" in rules:
         q = F.col(question_col) if question_col else None
-        df = df.withColumn(t + "why", _pair_flags(s, q, overlap_pct, restate_pct, "overlap" in rules, "restate" in rules))
+        per_rule[t + "why"] = _pair_flags(s, q, overlap_pct, restate_pct, "overlap" in rules, "restate" in rules)
         parts.append(F.filter(F.transform(F.col(t + "why"), lambda w, i: F.when(w.isNotNull(), i)), lambda x: x.isNotNull()))
     if "filler" in rules:
-        df = df.withColumn(t + "fill", F.transform(s, lambda x: F.lower(x).rlike(FILLER_RE)))
+        per_rule[t + "fill"] = F.transform(s, lambda x: F.lower(x).rlike(FILLER_RE))
         parts.append(F.filter(F.transform(F.col(t + "fill"), lambda b, i: F.when(b, i)), lambda x: x.isNotNull()))
+    df = df.withColumns(per_rule)  # the rules are independent: one projection
     flagged = parts[0] if len(parts) == 1 else F.concat(*parts)
     df = df.withColumn(t + "flag", F.array_sort(F.array_distinct(F.filter(flagged, lambda i: i < n - 1))))
     run = F.aggregate(
