@@ -56,3 +56,15 @@ def test_reports(spark):
     assert cats[0].category == "Unknown"
     rep = RP.rollout_report(RO.rollout_summary(Q.doc_rollout(spark, SMOKE))).first()
     assert rep.report.startswith("Original Steps:")
+
+
+def test_fuzz_answer_parity(spark):
+    import random
+    rnd = random.Random(7)
+    atoms = ["#### ", "####", "\\boxed{", "}", "the answer is ", "The Answer Is", "equals ", "final answer: ",
+             "Final Answer:", "1", "23", ",", ".", "-", "+", " ", "x", "\n", "4.5", ",000", "é"]
+    texts = ["".join(rnd.choice(atoms) for _ in range(rnd.randint(0, 12))) for _ in range(2000)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.a for r in df.select("i", extract_answer("t").alias("a")).collect()}
+    bad = [(t, got[i], pyref.answer(t)) for i, t in enumerate(texts) if got[i] != pyref.answer(t)]
+    assert not bad, bad[:5]

@@ -54,3 +54,21 @@ def test_strip_and_words(spark):
     for r in df.select("t", py_strip("t").alias("s"), word_count("t").alias("w")).collect():
         assert r.s == r.t.strip()
         assert r.w == len(r.t.split())
+
+
+def test_fuzz_parity_all_modes(spark):
+    """Random strings over the characters that matter to the boundaries, all modes."""
+    import random
+    rnd = random.Random(20261202)
+    atoms = [".", "!", "?", " ", "  ", "\n", "\n\n", "\t", "\r", "\r\n", " ", "\x1c", "\x0b", " ",
+             "A", "b", "Z", "é", "É", "1", "23", "Step", "Step ", ")", ":", "(", "[", "\"", "'", "x.", "1.", "2)"]
+    texts = ["".join(rnd.choice(atoms) for _ in range(rnd.randint(0, 25))) for _ in range(3000)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    modes = ["auto", "sentences", "lines", "paragraphs", "numbered"]
+    rows = df.select("i", *[segment("t", m).alias(m) for m in modes]).collect()
+    bad = []
+    for r in rows:
+        for m in modes:
+            if list(r[m]) != pyref.segment(texts[r.i], m):
+                bad.append((m, texts[r.i]))
+    assert not bad, bad[:5]
