@@ -113,3 +113,37 @@ def test_user_audit_callable(spark):
     assert out[1].outcome == "skip" and out[1].skip_start_idx == 1
     assert out[2].outcome == "no_skip"
     assert out[3].outcome == "short_trace"
+
+
+def _has_duplicate_keys(text):
+    import json
+
+    def hook(pairs):
+        if len({k for k, _ in pairs}) < len(pairs):
+            raise KeyError("dup")
+        return dict(pairs)
+    try:
+        json.loads(text, object_pairs_hook=hook)
+    except KeyError:
+        return True
+    except Exception:  # noqa: BLE001 - not JSON at all
+        return False
+    return False
+
+
+def test_fuzz_reply_parity(spark):
+    """Random JSON-ish replies; duplicate-key objects are the documented divergence and are left out."""
+    import random
+    rnd = random.Random(11)
+    atoms = ['{', '}', '"can_skip"', ': ', 'true', 'false', '"2"', '2.7', 'null', ', ', '"skip_start_idx"',
+             '"skip_end_idx"', '[1]', '```json', '```', 'text ', '\n', '"reason"', '"ok"', '0', '1', '-1', '"false"', '[]', ' ']
+    texts = []
+    while len(texts) < 3000:
+        t = "".join(rnd.choice(atoms) for _ in range(rnd.randint(0, 14)))
+        if not _has_duplicate_keys(t):
+            texts.append(t)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, raw string")
+    got = {r.i: (r.parse_status, r.can_skip, r.skip_start_idx, r.skip_end_idx)
+           for r in R.with_parsed_reply(df, "raw", "p").select("i", "p.*").collect()}
+    bad = [(t, got[i], pyref.parse(t)) for i, t in enumerate(texts) if got[i] != pyref.parse(t)]
+    assert not bad, bad[:5]

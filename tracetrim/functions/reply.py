@@ -53,6 +53,29 @@ def payload_kind(raw) -> Column:
     return F.when(r.rlike(FENCED_RE), F.lit("fenced")).when(r.rlike(BRACE_RE), F.lit("brace")).otherwise(F.lit("raw"))
 
 
+def _first_array_closes_at_end(r: Column) -> Column:
+    """True when the first top-level ``[...]`` of ``r`` (brackets inside strings ignored)
+    is followed by JSON whitespace only.  Spark's parser accepts trailing text after a
+    complete value (``[1][]`` parses as ``[1]``); Python's does not."""
+    init = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("s"), F.lit(False).alias("esc"),
+                    F.lit(0).alias("pos"), F.lit(-1).alias("end"))
+
+    def step(acc, c):
+        pos = acc["pos"] + 1
+        opened = F.when(c == "[", acc["depth"] + 1).when(c == "]", acc["depth"] - 1).otherwise(acc["depth"])
+        closes = (c == "]") & (acc["depth"] == 1)
+        in_str = acc["s"]
+        return (F.when(acc["end"] >= 0, acc)
+                .when(in_str & acc["esc"], F.struct(acc["depth"].alias("depth"), F.lit(True).alias("s"), F.lit(False).alias("esc"), pos.alias("pos"), acc["end"].alias("end")))
+                .when(in_str, F.struct(acc["depth"].alias("depth"), (c != '"').alias("s"), (c == "\\").alias("esc"), pos.alias("pos"), acc["end"].alias("end")))
+                .otherwise(F.struct(opened.alias("depth"), (c == '"').alias("s"), F.lit(False).alias("esc"), pos.alias("pos"),
+                                    F.when(closes, pos).otherwise(acc["end"]).alias("end"))))
+
+    end = F.aggregate(F.split(r, "", -1), init, step)["end"]
+    rest = F.substring(r, end + 1, 1 << 30)
+    return (end > 0) & (F.regexp_replace(rest, "[ \\t\\n\\r]", "") == "")
+
+
 def fallback_can_skip(raw) -> Column:
     """The keyword rule used when the payload is not JSON."""
     low = F.lower(F.coalesce(col_(raw), F.lit("")))
@@ -107,7 +130,7 @@ def with_parsed_reply(df: DataFrame, raw_col: str, out: str = "parsed") -> DataF
     vt = F.col(t + "vt")
     # With braces: unparsable -> fallback, non-object -> error.  Without braces the
     # reply can only be JSON if the whole text is one scalar or array (-> error).
-    whole_value = r.rlike(JSON_SCALAR_RE) | (r.rlike(JSON_ARRAY_RE) & vt.startswith("ARRAY"))
+    whole_value = r.rlike(JSON_SCALAR_RE) | (r.rlike(JSON_ARRAY_RE) & vt.startswith("ARRAY") & _first_array_closes_at_end(r))
     shape = F.col(t + "shape")
     start = F.when(F.col(t + "start_f").isNull(), F.lit(-1)).otherwise(F.col(t + "start_i"))
     df = df.withColumns({
