@@ -15,21 +15,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracetrim.session import cut_lineage
+from tracetrim.session import write_shared
 
 
 def dense_position(df: DataFrame, order_cols, out: str = "idx") -> DataFrame:
     """0-based position in ``order_cols`` order without a single-partition window.
 
     Global sort (range partitions) -> ``monotonically_increasing_id`` encodes (partition,
-    row in partition).  The sorted rows and ids are written once with a reliable
-    checkpoint into the shared checkpoint folder, so the per-partition counts and the
-    rows they number come from the same materialisation (two independent sorts could
+    row in partition).  The sorted rows and ids are written once as a table in the
+    shared checkpoint folder, so the per-partition counts and the rows they number come
+    from the same materialisation (two independent sorts could
     sample different range bounds).  The counts have one row per partition, a proven
     small bound, and are broadcast back as offsets.  ``order_cols`` should be unique.
     """
     ordered = df.orderBy(*order_cols).withColumn("_mid", F.monotonically_increasing_id())
-    ordered = cut_lineage(ordered)
+    ordered = write_shared(ordered, "positions")
     ordered = ordered.withColumn("_part", F.shiftright("_mid", 33)).withColumn("_row", F.col("_mid").bitwiseAND((1 << 33) - 1))
     counts = ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
