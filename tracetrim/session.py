@@ -6,9 +6,11 @@ from the session and only set one ourselves when it is unset (local runs, tests)
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,38 +38,80 @@ def get_session(master: str | None = None, app: str = "tracetrim", shuffle_parti
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, setting a local one only when none is configured."""
-    try:
-        sc = spark.sparkContext
-    except Exception:  # noqa: BLE001 - e.g. a remote session: the server owns the folder
-        sc = None
-    current = sc.getCheckpointDir() if sc is not None else None
+    """The shared folder named in ``spark.checkpoint.dir``.
+
+    Only where it is unset and the master is local (tests, bench) a folder of our own is
+    set; on a cluster an unset folder is an error, because a machine-local folder would
+    be lost with its executor.
+    """
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir()
     if current:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
-        # Local runs and tests only: a cluster always names a shared folder.
-        conf_dir = tempfile.mkdtemp(prefix="tracetrim-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-        try:
-            spark.conf.set("spark.checkpoint.dir", conf_dir)
-        except Exception:  # noqa: BLE001 - some builds refuse core configs at run time
-            pass
-    if sc is not None:
-        sc.setCheckpointDir(conf_dir)
-        return sc.getCheckpointDir() or conf_dir
-    return conf_dir
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        conf_dir = tempfile.mkdtemp(prefix="tracetrim-ckpt-")
+    sc.setCheckpointDir(conf_dir)
+    return sc.getCheckpointDir() or conf_dir
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared folder (survives executor loss)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+_WRITTEN: list[tuple[SparkSession, str]] = []
 
 
-def write_shared(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as a parquet table under the shared checkpoint folder and read it
-    back: lineage is cut and every later use sees the same rows (one job)."""
-    spark = df.sparkSession
+def remove_shared(spark: SparkSession, path: str) -> None:
+    """Delete a table that ``shared_table`` wrote, once nothing reads it any more."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def _remove_all() -> None:
+    for spark, path in _WRITTEN:
+        try:
+            remove_shared(spark, path)
+        except Exception:  # noqa: BLE001 - the session is gone already: nothing can be read or removed
+            return
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the shared checkpoint folder, removed when this process ends."""
     path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not _WRITTEN:
+        atexit.register(_remove_all)
+    _WRITTEN.append((spark, path))
+    return path
+
+
+def shared_table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Write ``df`` once as a parquet table under the shared checkpoint folder; the table
+    read back (lineage is cut, every later use sees the same rows) and its path."""
+    path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def write_shared(df: DataFrame, name: str) -> DataFrame:
+    """``shared_table`` for callers that keep the table to the end of the process."""
+    return shared_table(df, name)[0]
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application: their search path need not hold it."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="tracetrim-src-"), "tracetrim.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for folder, _, files in os.walk(root):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(target)
+    _SHIPPED.add(sc.applicationId)
+
+
+_SHIPPED: set[str] = set()

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracetrim.session import checkpoint_dir
+from tracetrim.session import shared_path  # noqa: F401 - part of this module's interface
 
 METADATA_TYPE = T.StructType([
     T.StructField("skip_start_idx", T.IntegerType()),
@@ -65,8 +63,3 @@ def load_pt(spark: SparkSession, path: str, split: str | None = None) -> DataFra
             return df
         split = "train" if "train" in splits else splits[0]
     return df.where(F.col("split") == split)
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the cluster's shared checkpoint folder."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
