@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracetrim.llm import bitpack, line_quality, mixing, packing
+from tracetrim.llm import bitpack, langid, line_quality, mixing, neardup, packing, suffix_lm
 from tracetrim.llm.common import read
 from tracetrim.session import shared_path
 
@@ -13,6 +13,16 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(read(spark, sf_dir, "documents"))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.train_and_identify(read(spark, sf_dir, "documents")).select(
+        "doc_id", "held_out", "lang_pred", "score", "margin", "rejected")
+
+
+def op5_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_lm.train_and_score(read(spark, sf_dir, "documents")).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
@@ -27,4 +37,9 @@ def op9_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.line_quality(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mix_sources, op6_packing, op8_bit_packed_ids, op9_line_quality)}
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+QUERIES = {f.__name__: f for f in (
+    op2_mix_sources, op4_language, op5_suffix_tree, op6_packing, op8_bit_packed_ids, op9_line_quality, op10_minhash)}
