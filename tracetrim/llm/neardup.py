@@ -237,7 +237,7 @@ def _residue(big: DataFrame, labels: DataFrame, far: int, percent: int, block: i
     out = T.StructType([T.StructField(s, T.StructType([T.StructField("id", T.LongType()), T.StructField("class", T.BinaryType()),
                                                        T.StructField("first", T.LongType())])) for s in "ab"])
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(table):
         n = table.column("n").to_numpy()
         comp = table.column("comp").to_numpy()
         own = table.column("own").to_numpy()

@@ -1,3 +1,40 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-ORACLE: dict[str, str] = {}
+_CHAT = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+  UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+e AS (SELECT *, replace(replace(role, '\', '\\'), chr(10), '\n') AS written,
+             regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') AS escaped FROM c)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(24 + length(regexp_replace(written, '<(\\*)\|', '<\\\1|', 'g')) + length(escaped))::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+#: Shares by weight, the excess over 3 times a source's size shared anew: sources by how soon they are full;
+#: a source is full exactly when its cap is at most its share of what those fuller before it leave.
+_MIX = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+                  md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS shuffle FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+r AS (SELECT *, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight FROM s),
+o AS (SELECT *, coalesce(sum(3 * source_size) OVER w, 0) AS full_before, sum(weight) OVER () - coalesce(sum(weight) OVER w, 0) AS weight_left,
+             sum(source_size) OVER () AS whole
+      FROM r WINDOW w AS (ORDER BY 3.0 * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT *, 3 * source_size <= weight * ((whole - full_before)::DOUBLE / weight_left::DOUBLE) AS is_full FROM o),
+l AS (SELECT (max(whole) - coalesce(sum(3 * source_size) FILTER (WHERE is_full), 0))::DOUBLE
+             / (sum(weight) FILTER (WHERE NOT is_full))::DOUBLE AS share FROM f),
+t AS (SELECT source, source_size, CASE WHEN is_full THEN (3 * source_size)::DOUBLE ELSE weight::DOUBLE * share END AS target FROM f, l),
+b AS (SELECT d.doc_id, d.size, t.source_size, t.target,
+             coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.shuffle, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+k AS (SELECT *, greatest(0, least(size, floor(target)::BIGINT - before)) AS a, greatest(0, least(size, floor(target)::BIGINT - source_size - before)) AS b2,
+             greatest(0, least(size, floor(target)::BIGINT - 2 * source_size - before)) AS c FROM b)
+SELECT doc_id, size, source_size, target, (a + b2 + c)::BIGINT AS taken, ((a > 0)::INT + (b2 > 0)::INT + (c > 0)::INT)::BIGINT AS n_copies FROM k
+"""
+
+ORACLE: dict[str, str] = {"op1_chat_format": _CHAT, "op2_mix_sources": _MIX}
