@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracetrim.llm import ann, bitpack, chat_format, langid, line_quality, mixing, neardup, packing, suffix_lm
+from tracetrim.llm import ann, bitpack, chat_format, langid, line_quality, mixing, neardup, packing, pii, suffix_lm
 from tracetrim.llm.common import read
 from tracetrim.session import shared_path
 
@@ -45,6 +45,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(read(spark, sf_dir, "documents"))
+
+
 def op8_bit_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "packed")
     bitpack.write_packed(read(spark, sf_dir, "documents"), path)
@@ -60,4 +64,5 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_chat_format, op2_mix_sources, op3_small_world, op4_language, op5_suffix_tree, op6_packing, op8_bit_packed_ids, op9_line_quality, op10_minhash)}
+    op1_chat_format, op2_mix_sources, op3_small_world, op4_language, op5_suffix_tree, op6_packing, op7_personal_data,
+    op8_bit_packed_ids, op9_line_quality, op10_minhash)}
