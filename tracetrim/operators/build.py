@@ -39,7 +39,7 @@ def build_pt_dataset(questions: DataFrame, *, completions: DataFrame | None = No
     base = q.select("question_key", "question", *([trace_col] if (completions is None and trace_col) else []))
     if completions is not None:
         comp = RO.gather_traces(completions, "question_key", max_depth, "_completions", mode)
-        base = base.join(comp, "question_key")
+        base = base.join(comp, "question_key", "left")
     if replies is not None:
         base = base.join(rep, "question_key", "left")
     if completions is None and trace_col is None:

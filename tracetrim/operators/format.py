@@ -25,10 +25,20 @@ def _str(c: Column) -> Column:
 
 def _first_truthy(df: DataFrame, names) -> Column:
     """``row.get(a) or row.get(b) or ... or ""`` over the columns that exist."""
-    present = [F.nullif(F.col(n).cast("string"), F.lit("")) for n in names if _has(df, n)]
+    present = [_truthy_text(df, n) for n in names if _has(df, n)]
     return F.coalesce(*present, F.lit("")) if present else F.lit("")
 
 
+def _truthy_text(df: DataFrame, name: str) -> Column:
+    """The value as text; null for what counts as absent: empty text, and a number 0 or false."""
+    c, kind = F.col(name), df.schema[name].dataType
+    if isinstance(kind, T.BooleanType):
+        return F.when(c, F.lit("True"))
+    if isinstance(kind, T.NumericType):
+        return F.when(c != 0, c.cast("string"))
+    return F.nullif(c.cast("string"), F.lit(""))
+
+
 def _struct_has(df: DataFrame, col: str, fields) -> bool:
     if not _has(df, col):
         return False

@@ -56,7 +56,7 @@ def plain_question(*cols) -> str:
 
 
 CHOICE_FMT = f"""fmt AS (SELECT item_id, {mc_question()} AS question, {first_truthy('answerKey')} AS ground_truth FROM v_choice)"""
-SVAMP = """svamp AS (SELECT p_partkey AS item_id, 'There are ' || CAST(p_size AS VARCHAR) || ' ' || p_name || ' boxes.' AS Body,
+SVAMP = """svamp AS (SELECT lpad(CAST(p_partkey AS VARCHAR), 19, '0') AS item_id, 'There are ' || CAST(p_size AS VARCHAR) || ' ' || p_name || ' boxes.' AS Body,
   'How many ' || p_type || ' items are there?' AS Question, CAST(p_size AS VARCHAR) AS Answer FROM part)"""
 PLAIN = "plain_qa AS (SELECT trace_id AS item_id, question, full_text AS answer FROM v_traces)"
 
@@ -70,9 +70,9 @@ ORACLE["fmt_context"] = V.with_views(V.V_CONTEXT) + \
 ORACLE["fmt_plain"] = V.with_views(V.V_TRACES, PLAIN) + \
     f"SELECT item_id, {plain_question('question')} AS question, {plain_question('answer')} AS ground_truth FROM plain_qa"
 ORACLE["fmt_dispatch"] = V.with_views(V.V_CHOICE, V.V_CONTEXT, V.V_TRACES, PLAIN, """u AS (
-  SELECT item_id, question, choices, answerKey, CAST(NULL AS VARCHAR) AS context, CAST(NULL AS VARCHAR) AS answer FROM v_choice
-  UNION ALL SELECT item_id + 1000000000, question, NULL, NULL, context, answer FROM v_context
-  UNION ALL SELECT item_id + 2000000000, question, NULL, NULL, NULL, answer FROM plain_qa)""") + f"""SELECT item_id,
+  SELECT 'choice' AS layout, item_id, question, choices, answerKey, CAST(NULL AS VARCHAR) AS context, CAST(NULL AS VARCHAR) AS answer FROM v_choice
+  UNION ALL SELECT 'context', item_id, question, NULL, NULL, context, answer FROM v_context
+  UNION ALL SELECT 'plain', item_id, question, NULL, NULL, NULL, answer FROM plain_qa)""") + f"""SELECT layout, item_id,
   CASE WHEN choices IS NOT NULL THEN {mc_question()} WHEN context IS NOT NULL THEN {context_question()}
        ELSE {plain_question('question')} END AS question,
   CASE WHEN choices IS NOT NULL THEN {first_truthy('answerKey', 'answer')} WHEN context IS NOT NULL THEN {sstr('answer')}
@@ -93,7 +93,7 @@ ORACLE["resolve_benchmark"] = V.with_views(REG, NAMES, RESOLVED) + \
 
 ORACLE["load_questions"] = V.with_views(V.V_CHOICE, CHOICE_FMT) + """SELECT item_id AS question_key,
   'arc_challenge_train_' || CAST(idx AS VARCHAR) AS id, 'allenai/ai2_arc' AS dataset, 'Scientific Reasoning' AS category,
-  question, ground_truth, 'ARC-Challenge' AS config, 'train' AS split, CAST(idx AS INTEGER) AS "index"
+  question, ground_truth, 'ARC-Challenge' AS config, 'train' AS split, CAST(idx AS BIGINT) AS "index"
 FROM (SELECT *, row_number() OVER (ORDER BY item_id) - 1 AS idx FROM fmt) WHERE question <> ''"""
 
 ORACLE["curated_fallback"] = V.with_views(REG, CURATED, NAMES, RESOLVED, """nm AS (SELECT DISTINCT alias_key, path FROM resolved),
@@ -114,7 +114,7 @@ SPECTRUM = V.with_views(V.V_TRACES, V.V_CHOICE, V.V_CONTEXT, SVAMP, PLAIN, REG,
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY benchmark ORDER BY question_key) - 1 AS idx FROM allq)
         WHERE idx < 2),
 spec AS (SELECT t.benchmark, t.question_key, reg.alias || '_train_' || CAST(t.idx AS VARCHAR) AS id, reg.path AS dataset,
-                reg.category, t.question_text AS question, t.answer_text AS ground_truth, CAST(t.idx AS INTEGER) AS "index"
+                reg.category, t.question_text AS question, t.answer_text AS ground_truth, CAST(t.idx AS BIGINT) AS "index"
          FROM top t JOIN reg ON reg.alias = t.benchmark WHERE t.question_text <> '')""")
 ORACLE["spectrum_topn"] = SPECTRUM + "SELECT * FROM spec"
 ORACLE["spectrum_preview"] = SPECTRUM + \
@@ -122,10 +122,10 @@ ORACLE["spectrum_preview"] = SPECTRUM + \
 ORACLE["spectrum_categories"] = SPECTRUM + \
     "SELECT count(*) AS n_questions, count(DISTINCT category) AS n_categories FROM spec"
 
-ORACLE["normalize_questions"] = f"""SELECT conv_id * 1000 + turn AS question_key, {plain_question('text')} AS question,
+ORACLE["normalize_questions"] = f"""SELECT lpad(CAST(conv_id AS VARCHAR), 19, '0') || '-' || lpad(CAST(turn AS VARCHAR), 19, '0') AS question_key, {plain_question('text')} AS question,
   '' AS ground_truth, 'hf_dataset' AS dataset FROM conversations WHERE role = 'user' AND {plain_question('text')} <> ''"""
 
-ORACLE["eval_inputs"] = """SELECT conv_id * 1000 + turn AS question_key, coalesce(text, 'None') AS question,
+ORACLE["eval_inputs"] = """SELECT lpad(CAST(conv_id AS VARCHAR), 19, '0') || '-' || lpad(CAST(turn AS VARCHAR), 19, '0') AS question_key, coalesce(text, 'None') AS question,
   CAST(NULL AS VARCHAR) AS ground_truth FROM conversations WHERE role = 'user'"""
 
 # ---------------------------------------------------------------- completions
@@ -176,10 +176,12 @@ ORACLE["failure_isolation"] = RECORDED + """, lastrow AS (
          count(*) OVER (PARTITION BY question_key) AS depths_run,
          sum(CASE WHEN usable THEN 1 ELSE 0 END) OVER (PARTITION BY question_key) AS n_tr
   FROM ran)
-SELECT question_key, had_error, CAST(depths_run AS INTEGER) AS depths_run, CAST(n_tr AS INTEGER) AS n_transitions,
-  CASE WHEN NOT usable THEN 'no_skip' WHEN skip_end_idx + 1 >= len(steps) - 1 THEN 'end_of_trace'
+SELECT f.question_key, coalesce(had_error, false) AS had_error, CAST(coalesce(depths_run, 0) AS INTEGER) AS depths_run,
+  CAST(coalesce(n_tr, 0) AS INTEGER) AS n_transitions,
+  CASE WHEN l.question_key IS NULL THEN 'missing_completion' WHEN NOT usable THEN 'no_skip'
+       WHEN skip_end_idx + 1 >= len(steps) - 1 THEN 'end_of_trace'
        WHEN depth = 3 THEN 'max_depth' ELSE 'missing_completion' END AS stopped_by
-FROM lastrow WHERE rk = 1"""
+FROM firstq f LEFT JOIN (SELECT * FROM lastrow WHERE rk = 1) l ON l.question_key = f.question_key"""
 
 # ---------------------------------------------------------------- evaluation
 GSM = r"####\s*([-0-9.,]+)"

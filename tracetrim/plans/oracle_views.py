@@ -1,7 +1,7 @@
 """DuckDB SQL for the derived views (same rows as ``tracetrim.sources.views``)."""
 
 V_TRACES = """v_traces AS (
-  SELECT conv_id * 1000 + turn AS trace_id, text AS question, next_text AS full_text
+  SELECT lpad(CAST(conv_id AS VARCHAR), 19, '0') || '-' || lpad(CAST(turn AS VARCHAR), 19, '0') AS trace_id, text AS question, next_text AS full_text
   FROM (SELECT conv_id, turn, role, text,
                lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role,
                lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS next_text
@@ -46,13 +46,13 @@ V_STRUCTURED = """v_structured AS (
   FROM part)"""
 
 V_CHOICE = """v_choice AS (
-  SELECT p_partkey AS item_id, p_name AS question,
+  SELECT lpad(CAST(p_partkey AS VARCHAR), 19, '0') AS item_id, p_name AS question,
          {'label': ['A', 'B', 'C'], 'text': [p_brand, p_type, CAST(p_size AS VARCHAR)]} AS choices,
          CASE p_partkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END AS answerKey
   FROM part)"""
 
 V_CONTEXT = """v_context AS (
-  SELECT doc_id AS item_id, text AS context, 'Which language is this?' AS question, lang AS answer
+  SELECT lpad(CAST(doc_id AS VARCHAR), 19, '0') AS item_id, text AS context, 'Which language is this?' AS question, lang AS answer
   FROM documents)"""
 
 V_RESPONSES = """v_responses AS (

@@ -271,7 +271,7 @@ def q_curated_fallback(spark, sf_dir):
 def _svamp_like(spark, sf_dir):
     part = read_table(spark, sf_dir, "part")
     return part.select(
-        F.col("p_partkey").alias("item_id"),
+        views.id_key("p_partkey").alias("item_id"),
         F.concat(F.lit("There are "), F.col("p_size").cast("string"), F.lit(" "), F.col("p_name"), F.lit(" boxes.")).alias("Body"),
         F.concat(F.lit("How many "), F.col("p_type"), F.lit(" items are there?")).alias("Question"),
         F.col("p_size").cast("string").alias("Answer"))
@@ -298,14 +298,14 @@ def q_spectrum_topn(spark, sf_dir):
 
 def _user_turns(spark, sf_dir):
     conv = read_table(spark, sf_dir, "conversations")
-    return conv.where(F.col("role") == "user").select((F.col("conv_id") * 1000 + F.col("turn")).alias("item_id"),
+    return conv.where(F.col("role") == "user").select(views.turn_key().alias("item_id"),
                                                        F.col("text").alias("problem"))
 
 
 @register("normalize_questions")
 def q_normalize_questions(spark, sf_dir):
     conv = read_table(spark, sf_dir, "conversations")
-    src = conv.where(F.col("role") == "user").select((F.col("conv_id") * 1000 + F.col("turn")).alias("item_id"),
+    src = conv.where(F.col("role") == "user").select(views.turn_key().alias("item_id"),
                                                       F.col("text").alias("question"))
     q = BM.questions_from(src, key_col="item_id")
     return q.select("question_key", "question", "ground_truth", "dataset")
@@ -357,18 +357,16 @@ def q_fmt_plain(spark, sf_dir):
 @register("fmt_dispatch")
 def q_fmt_dispatch(spark, sf_dir):
     """Rows of three layouts in one table: per-row dispatch MC -> context -> plain."""
+    none = F.lit(None).cast("string")
+    no_choices = F.lit(None).cast("struct<label:array<string>,text:array<string>>").alias("choices")
     mc = views.v_choice(spark, sf_dir).select(
-        "item_id", "question", "choices", "answerKey", F.lit(None).cast("string").alias("context"),
-        F.lit(None).cast("string").alias("answer"))
+        F.lit("choice").alias("layout"), "item_id", "question", "choices", "answerKey", none.alias("context"), none.alias("answer"))
     ctx = views.v_context(spark, sf_dir).select(
-        (F.col("item_id") + 1_000_000_000).alias("item_id"), "question",
-        F.lit(None).cast("struct<label:array<string>,text:array<string>>").alias("choices"),
-        F.lit(None).cast("string").alias("answerKey"), "context", "answer")
+        F.lit("context").alias("layout"), "item_id", "question", no_choices, none.alias("answerKey"), "context", "answer")
     plain = _plain_qa(spark, sf_dir).select(
-        (F.col("item_id") + 2_000_000_000).alias("item_id"), "question",
-        F.lit(None).cast("struct<label:array<string>,text:array<string>>").alias("choices"),
-        F.lit(None).cast("string").alias("answerKey"), F.lit(None).cast("string").alias("context"), "answer")
-    return _fmt_out(mc.unionByName(ctx).unionByName(plain))
+        F.lit("plain").alias("layout"), "item_id", "question", no_choices, none.alias("answerKey"), none.alias("context"), "answer")
+    f = FM.format_rows(mc.unionByName(ctx).unionByName(plain))
+    return f.select("layout", "item_id", F.col("question_text").alias("question"), F.col("answer_text").alias("ground_truth"))
 
 
 @register("continuation_prompt")
@@ -425,7 +423,7 @@ def recorded_rollout(spark, sf_dir, max_depth=3):
     completions = views.v_completions(spark, sf_dir)
     comp = RO.gather_traces(completions, "question_key", max_depth, "_completions")
     rep = RO.gather_replies(views.v_rollout_replies(completions), "question_key", max_depth, "_replies")
-    qs = _first_questions(spark, sf_dir).join(comp, "question_key").join(rep, "question_key", "left")
+    qs = _first_questions(spark, sf_dir).join(comp, "question_key", "left").join(rep, "question_key", "left")
     return RO.rollout(qs, key="question_key", max_depth=max_depth, auditor=RO.recorded_auditor("_replies"),
                       completions_col="_completions")
 
@@ -612,7 +610,7 @@ def completion_records(spark, sf_dir):
 def q_stream_transitions(spark, sf_dir):
     src = pt_io.shared_path(spark, "stream_src")
     out = pt_io.shared_path(spark, "stream_out")
-    completion_records(spark, sf_dir).repartition(4).write.parquet(src)
+    completion_records(spark, sf_dir).write.parquet(src)
     INC.run_stream(spark, src, out, out + "_checkpoint")
     res = spark.read.parquet(out)
     return res.select("question_key", "id", "input_x", "target_y", "depth",

@@ -92,7 +92,7 @@ def resolve_benchmarks(names: DataFrame, name_col: str = "name", config_col: str
     cfg = F.col(config_col) if config_col else F.lit(None).cast("string")
     return (j.withColumn("registry_hit", hit)
              .withColumn("path", F.when(hit, F.col("_path")).otherwise(F.col(name_col)))
-             .withColumn("config", F.when(hit, F.coalesce(cfg, F.col("_config"))).otherwise(cfg))
+             .withColumn("config", F.when(hit, F.coalesce(F.nullif(cfg, F.lit("")), F.col("_config"))).otherwise(cfg))
              .withColumn("category", F.when(hit, F.col("_category")).otherwise(F.lit(GENERAL_CATEGORY)))
              .drop("_alias", "_path", "_config", "_category"))
 
@@ -103,7 +103,7 @@ def curated_for(names: DataFrame, n: int, alias_col: str = "alias_key", path_col
     10-element literal array (no join)."""
     lit_rows = F.array(*[
         F.struct(F.lit(i).alias("pos"), F.lit(r[0]).alias("id"), F.lit(r[1]).alias("dataset"), F.lit(r[2]).alias("category"),
-                 F.lit(r[3]).alias("question"), F.lit(r[4]).alias("ground_truth"))
+                 F.lit(r[3]).alias("question"), F.lit(r[4]).alias("ground_truth"), F.lit(r[7]).alias("index"))
         for i, r in enumerate(CURATED_ROWS)])
     key, path = F.col(alias_col), F.col(path_col)
     matched = F.filter(lit_rows, lambda c: c["id"].contains(key) | (c["dataset"] == path))
@@ -136,7 +136,7 @@ def load_questions(source: DataFrame, alias: str, order_col: str, split: str = "
         F.col("question_text").alias("question"),
         F.col("answer_text").alias("ground_truth"),
         F.struct(F.lit(res["config"]).cast("string").alias("config"), F.lit(split).alias("split"),
-                 F.col("idx").cast("int").alias("index")).alias("metadata"),
+                 F.col("idx").alias("index")).alias("metadata"),
     )
 
 
@@ -167,22 +167,37 @@ def spectrum(sources: dict, order_col: str, per_benchmark: int = 2, split: str =
         F.concat(F.col("alias_key"), F.lit(f"_{split}_"), F.col("idx").cast("string")).alias("id"),
         "dataset", "category",
         F.col("question_text").alias("question"), F.col("answer_text").alias("ground_truth"),
-        F.col("idx").cast("int").alias("index"),
+        F.col("idx").cast("long").alias("index"),
     )
 
 
 def spectrum_from_paths(spark: SparkSession, paths: dict | None, order_col: str, per_benchmark: int = 2,
                         split: str = "train", fmt: str = "parquet") -> DataFrame:
     """A4 over stored sources: ``paths`` maps alias -> path (default spectrum aliases
-    with paths equal to their names).  A source that cannot be opened is skipped; when
-    none can, the result is every curated row."""
+    with paths equal to their names).  Each alias whose source cannot be opened gives its own
+    curated rows, ``per_benchmark`` at most; the others are read."""
     paths = paths or {alias: alias for alias in DEFAULT_SPECTRUM}
-    sources = {alias: spark.read.format(fmt).load(path) for alias, path in paths.items() if readable(spark, path, fmt)}
-    if sources:
-        return spectrum(sources, order_col, per_benchmark, split)
-    return curated(spark).select(
-        F.split(F.col("id"), "_").getItem(0).alias("benchmark"), F.col("index").cast("long").alias("question_key"),
-        "id", "dataset", "category", "question", "ground_truth", F.col("index").cast("int").alias("index"))
+    opened = {alias: path for alias, path in paths.items() if readable(spark, path, fmt)}
+    parts = []
+    if opened:
+        sources = {alias: spark.read.format(fmt).load(path) for alias, path in opened.items()}
+        parts.append(spectrum(sources, order_col, per_benchmark, split).withColumn("question_key", F.col("question_key").cast("string")))
+    closed = [alias for alias in paths if alias not in opened]
+    if closed:
+        parts.append(curated_spectrum(spark, closed, per_benchmark))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def curated_spectrum(spark: SparkSession, aliases: list[str], per_benchmark: int) -> DataFrame:
+    """A3 for each alias, in the spectrum's columns; the key is the row's place among the curated ones."""
+    found = [resolve_alias(a) for a in aliases]
+    names = spark.createDataFrame([(a, r["alias_key"], r["path"]) for a, r in zip(aliases, found)], "benchmark string, alias_key string, path string")
+    return curated_for(names, per_benchmark).select(
+        "benchmark", F.col("pos").cast("string").alias("question_key"), "id", "dataset", "category", "question", "ground_truth",
+        F.col("index").cast("long").alias("index"))
 
 
 def questions_from(obj, spark: SparkSession | None = None, key_col: str | None = None,
@@ -192,20 +207,23 @@ def questions_from(obj, spark: SparkSession | None = None, key_col: str | None =
     * list of str  -> question, dataset "custom"
     * list of dict -> as given
     * DataFrame    -> formatted rows (B5), dataset "hf_dataset"
-    * str          -> a parquet path loaded with A2 (cap ``max_samples`` or 100), curated rows if unreadable
-    Other types are an error.  Empty questions are dropped; ``max_samples`` caps the
-    input (first rows by key).
+    * str          -> a parquet path loaded with A2 (all its rows unless ``max_samples`` is given),
+                      curated rows if unreadable
+    Other types are an error, and so is a DataFrame without ``key_col``: a key made up from
+    partitions would let the same call keep other rows.  Null and empty questions are dropped;
+    ``max_samples`` caps the input (first rows by key).
     """
     if isinstance(obj, str):
         if spark is None:
             raise ValueError("a SparkSession is needed to load questions from a path")
         return load_or_curated(spark, obj, alias=obj.rstrip("/").split("/")[-1].split(".")[0],
-                               order_col=key_col or "item_id", num_samples=max_samples or 100).select(
+                               order_col=key_col or "item_id", num_samples=max_samples).select(
             "question_key", "question", "ground_truth", "dataset", "category")
     if isinstance(obj, DataFrame):
+        if not key_col:
+            raise ValueError("name the key column of the questions")
         fmt = format_rows(obj)
-        key = F.col(key_col) if key_col else F.monotonically_increasing_id()
-        df = fmt.select(key.alias("question_key"), F.col("question_text").alias("question"),
+        df = fmt.select(F.col(key_col).alias("question_key"), F.col("question_text").alias("question"),
                         F.col("answer_text").alias("ground_truth"), F.lit("hf_dataset").alias("dataset"),
                         F.lit(None).cast("string").alias("category"))
     elif isinstance(obj, (list, tuple)):
@@ -214,7 +232,8 @@ def questions_from(obj, spark: SparkSession | None = None, key_col: str | None =
         rows = []
         for i, item in enumerate(obj):
             if isinstance(item, dict):
-                rows.append((i, str(item.get("question", "")), item.get("ground_truth"), item.get("dataset"), item.get("category")))
+                q = item.get("question")
+                rows.append((i, None if q is None else str(q), item.get("ground_truth"), item.get("dataset"), item.get("category")))
             else:
                 rows.append((i, str(item), None, "custom", None))
         df = spark.createDataFrame(rows, "question_key long, question string, ground_truth string, dataset string, category string")
@@ -270,12 +289,12 @@ def readable(spark: SparkSession, path: str, fmt: str = "parquet") -> bool:
         return False
 
 
-def load_or_curated(spark: SparkSession, path: str, alias: str, order_col: str, num_samples: int,
+def load_or_curated(spark: SparkSession, path: str, alias: str, order_col: str, num_samples: int | None,
                     split: str = "train", fmt: str = "parquet") -> DataFrame:
     """A2 with the A3 fallback: curated rows when the source cannot be opened."""
     if readable(spark, path, fmt):
         return load_questions(spark.read.format(fmt).load(path), alias, order_col, split, num_samples)
     res = resolve_alias(alias)
     names = spark.createDataFrame([(res["alias_key"], res["path"])], "alias_key string, path string")
-    return curated_for(names, num_samples).select(
+    return curated_for(names, len(CURATED_ROWS) if num_samples is None else num_samples).select(
         F.col("pos").cast("long").alias("question_key"), "id", "dataset", "category", "question", "ground_truth")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = (
@@ -12,27 +10,20 @@ TABLES = (
 )
 
 
-def balance(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Spread an input stored in fewer files than the cluster has task slots.
+#: Session setting: spread every table read over so many partitions (unset: as the scan splits it).
+SPREAD_SETTING = "spark.tracetrim.inputPartitions"
+
+
+def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Deal the rows out over ``partitions`` when the caller (or the session setting) gives a number.
 
-    The per-row work here (segmentation, auditing, rollouts) is CPU-heavy, and a
-    table written as one file with one row group is read by one task.  When the input
-    has fewer files than ``min_partitions`` (default: the session's default
-    parallelism) the rows are redistributed round-robin; Spark sorts before a
-    round-robin exchange, so a retried task sees the same rows.  Large inputs (many
-    files, many row groups) are left as they are: no extra shuffle at scale.
+    The per-row work here (segmentation, auditing, rollouts) is CPU-heavy, and a table of one
+    row group is read by one task.  Nothing is spread by itself: the scan's own splits stand, so a
+    large table never pays for a shuffle that nobody asked for.
     """
-    spark = df.sparkSession
-    if min_partitions is None:
-        try:
-            min_partitions = spark.sparkContext.defaultParallelism
-        except Exception:  # noqa: BLE001 - remote sessions: keep the scan's own split
-            return df
-    if min_partitions <= 1 or len(df.inputFiles()) >= min_partitions:
-        return df
-    return df.repartition(min_partitions)
-
-
-def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
-    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-    return balance(df) if spread else df
+    n = partitions or int(df.sparkSession.conf.get(SPREAD_SETTING, "0"))
+    return df.repartition(n) if n > 0 else df
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str, partitions: int | None = None) -> DataFrame:
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"), partitions)

@@ -17,6 +17,16 @@ from tracetrim.sources.tables import read_table
 FENCE = "`" * 3
 
 
+def turn_key(conv="conv_id", turn="turn") -> F.Column:
+    """A key of a conversation's turn that never collides and sorts like (conversation, turn) for ids from 0 on."""
+    return F.concat(id_key(conv), F.lit("-"), id_key(turn))
+
+
+def id_key(c) -> F.Column:
+    """An id as text of fixed width, so that keys of different sources can stand in one column."""
+    return F.lpad(F.col(c).cast("string"), 19, "0")
+
+
 def v_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(user turn, following assistant turn) pairs as question -> trace text.
 
@@ -26,7 +36,7 @@ def v_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     conv = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     z = next_within(conv, "conv_id", "turn", ["role", "text"])
     return z.where((F.col("role") == "user") & (F.col("next_role") == "assistant")).select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("trace_id"),
+        turn_key().alias("trace_id"),
         F.col("text").alias("question"),
         F.col("next_text").alias("full_text"),
     )
@@ -105,7 +115,7 @@ def v_structured(spark: SparkSession, sf_dir: str) -> DataFrame:
 def v_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = read_table(spark, sf_dir, "part")
     return part.select(
-        F.col("p_partkey").alias("item_id"),
+        id_key("p_partkey").alias("item_id"),
         F.col("p_name").alias("question"),
         F.struct(
             F.array(F.lit("A"), F.lit("B"), F.lit("C")).alias("label"),
@@ -118,7 +128,7 @@ def v_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 def v_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return docs.select(
-        F.col("doc_id").alias("item_id"),
+        id_key("doc_id").alias("item_id"),
         F.col("text").alias("context"),
         F.lit("Which language is this?").alias("question"),
         F.col("lang").alias("answer"),
