@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from tracetrim.operators import rollout as RO
 from tracetrim.operators.evaluate import eval_samples, eval_summary, pair_responses
 from tracetrim.operators.frames import keep_where
-from tracetrim.operators.transitions import add_provenance
 from tracetrim.sources import pt_io
 
 
@@ -36,7 +35,10 @@ def build_pt_dataset(questions: DataFrame, *, completions: DataFrame | None = No
     if replies is not None:
         rep = RO.gather_replies(replies, "question_key", max_depth, "_replies")
         auditor = RO.recorded_auditor("_replies")
-    base = q.select("question_key", "question", *([trace_col] if (completions is None and trace_col) else []))
+    given = {"category": "category", "dataset": "source_dataset", "ground_truth": "ground_truth"}
+    provenance = [F.col(c).alias(to) for c, to in given.items() if c in q.columns]
+    keep = [to for c, to in given.items() if c in q.columns]
+    base = q.select("question_key", "question", *provenance, *([trace_col] if (completions is None and trace_col) else []))
     if completions is not None:
         comp = RO.gather_traces(completions, "question_key", max_depth, "_completions", mode)
         base = base.join(comp, "question_key", "left")
@@ -47,7 +49,7 @@ def build_pt_dataset(questions: DataFrame, *, completions: DataFrame | None = No
     ro = RO.rollout(base, key="question_key", max_depth=max_depth, auditor=auditor, mode=mode,
                     text_col=trace_col or "full_text", completions_col="_completions" if completions is not None else None,
                     generator_model=generator_model)
-    tr = add_provenance(RO.rollout_transitions(ro, key="question_key"), q, key="question_key")
+    tr = RO.rollout_transitions(ro, key="question_key", keep=keep)
     pt = pt_io.to_pt_rows(tr, split)
     if save_path:
         pt_io.save_pt(pt, save_path)
@@ -59,12 +61,14 @@ def evaluate_models(questions: DataFrame, base: DataFrame, pruned: DataFrame, be
     """Pair each question's base and pruned completion, score, and summarise.
 
     ``questions``: ``question_key, question, ground_truth`` (gold may be null);
-    ``base`` / ``pruned``: ``question_key, text, usage_tokens``.  Returns (samples, summary).
+    ``base`` / ``pruned``: ``question_key, text, usage_tokens`` and optionally ``error``.  Every
+    question is a sample: a missing reply is empty text, a failed one its error's text.
+    Returns (samples, summary).
     """
     q = questions
     if max_samples is not None:
         q = q.orderBy("question_key").limit(max_samples)
-    pairs = pair_responses(base, pruned).join(q.select("question_key", "question", "ground_truth"), "question_key")
+    pairs = pair_responses(base, pruned, questions=q.select("question_key", "question", "ground_truth"))
     samples = eval_samples(pairs.withColumn("benchmark", F.lit(benchmark_name)))
     return samples, eval_summary(samples)
 

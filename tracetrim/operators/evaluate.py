@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tracetrim.functions.answers import extract_answer
 from tracetrim.functions.text import clip_with_ellipsis, col_, py_strip, word_count
+from tracetrim.operators.completions import ERROR_PREFIX
 
 
 def gold_answer(gt) -> Column:
@@ -50,16 +51,25 @@ def eval_samples(df: DataFrame, base_tokens: str | None = "base_usage", pruned_t
     )
 
 
-def pair_responses(base: DataFrame, pruned: DataFrame, key: str = "question_key") -> DataFrame:
-    """H3: one response per model per question, paired by an equi-join on the key.
+def pair_responses(base: DataFrame, pruned: DataFrame, key: str = "question_key", questions: DataFrame | None = None) -> DataFrame:
+    """H3: one response per model per question, joined to the questions (or, without them, to
+    each other): a side that has no response gives empty text and no tokens.
 
     Each side is first reduced to one response per key (deterministic max, combined
     map-side), so duplicated responses for one question neither multiply rows in the
-    join nor gather in one task."""
-    def one(df, text, usage):
-        r = df.groupBy(key).agg(F.max(F.struct(F.col("text").alias("t"), F.col("usage_tokens").alias("u"))).alias("_r"))
-        return r.select(key, F.col("_r.t").alias(text), F.col("_r.u").alias(usage))
-    return one(base, "base_response", "base_usage").join(one(pruned, "pruned_response", "pruned_usage"), key, "inner")
+    join nor gather in one task; ``base_records`` / ``pruned_records`` say how many there were.
+    A response with an ``error`` counts as that error's text with no tokens."""
+    def one(df, side):
+        failed = F.col("error").isNotNull() if "error" in df.columns else F.lit(False)
+        error = F.concat(F.lit(ERROR_PREFIX), F.col("error")) if "error" in df.columns else F.lit(None).cast("string")
+        text = F.when(failed, error).otherwise(F.coalesce(F.col("text"), F.lit("")))
+        r = df.groupBy(key).agg(F.max(F.struct(text.alias("t"), F.when(~failed, F.col("usage_tokens")).alias("u"))).alias("_r"), F.count(F.lit(1)).alias("_n"))
+        return r.select(key, F.col("_r.t").alias(f"{side}_response"), F.col("_r.u").alias(f"{side}_usage"), F.col("_n").alias(f"{side}_records"))
+    b, p = one(base, "base"), one(pruned, "pruned")
+    pairs = b.join(p, key, "full") if questions is None else questions.join(b, key, "left").join(p, key, "left")
+    fill = {f"{s}_response": F.coalesce(F.col(f"{s}_response"), F.lit("")) for s in ("base", "pruned")}
+    fill |= {f"{s}_records": F.coalesce(F.col(f"{s}_records"), F.lit(0)) for s in ("base", "pruned")}
+    return pairs.withColumns(fill)
 
 
 def eval_summary(samples: DataFrame, benchmark: str = "benchmark") -> DataFrame:
@@ -100,17 +110,22 @@ def comparison_rows(samples: DataFrame) -> DataFrame:
     )
 
 
+def tenths(c: Column) -> Column:
+    """A number rounded half-even to one place, ready for ``%.1f``: the text never depends on how an engine prints a tie."""
+    return F.bround(c, 1)
+
+
 def eval_card(summary: DataFrame) -> DataFrame:
     """The printed numbers (%.1f, "N/A" for null accuracies, signed delta)."""
     def pct(c):
-        return F.when(c.isNull(), F.lit("N/A")).otherwise(F.format_string("%.1f%%", c * 100.0))
+        return F.when(c.isNull(), F.lit("N/A")).otherwise(F.format_string("%.1f%%", tenths(c * 100.0)))
     return summary.select(
         "benchmark", "num_samples",
         pct(F.col("base_accuracy")).alias("base_accuracy_text"),
         pct(F.col("pruned_accuracy")).alias("pruned_accuracy_text"),
         F.when(F.col("accuracy_delta").isNull(), F.lit("N/A"))
-         .otherwise(F.format_string("%+.1f%%", F.col("accuracy_delta") * 100.0)).alias("accuracy_delta_text"),
-        F.format_string("%.1f", F.col("base_avg_tokens")).alias("base_avg_tokens_text"),
-        F.format_string("%.1f", F.col("pruned_avg_tokens")).alias("pruned_avg_tokens_text"),
-        F.format_string("%.1f%%", F.col("avg_token_reduction_pct")).alias("token_reduction_text"),
+         .otherwise(F.format_string("%+.1f%%", tenths(F.col("accuracy_delta") * 100.0))).alias("accuracy_delta_text"),
+        F.format_string("%.1f", tenths(F.col("base_avg_tokens"))).alias("base_avg_tokens_text"),
+        F.format_string("%.1f", tenths(F.col("pruned_avg_tokens"))).alias("pruned_avg_tokens_text"),
+        F.format_string("%.1f%%", tenths(F.col("avg_token_reduction_pct"))).alias("token_reduction_text"),
     )

@@ -38,19 +38,17 @@ def role_counts(roles: DataFrame) -> DataFrame:
 
 
 def schema_check(df: DataFrame) -> DataFrame:
-    """(column, present, type_ok) for every required column (driver-side schema only)."""
-    fields = {f.name: f.dataType for f in df.schema.fields}
-    rows = []
-    for name, kind in REQUIRED_COLUMNS:
-        dt = fields.get(name)
-        if dt is None:
-            ok = False
-        elif kind == "struct":
-            ok = isinstance(dt, T.StructType)
-        else:
-            ok = dt.simpleString() == kind
-        rows.append((name, dt is not None, ok))
-    return df.sparkSession.createDataFrame(rows, "column string, present boolean, type_ok boolean")
+    """Per required column of a dataset: present, type as required, rows and nulls (one aggregate over the data)."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    ok = {name: name in types and (isinstance(types[name], T.StructType) if kind == "struct" else types[name].simpleString() == kind)
+          for name, kind in REQUIRED_COLUMNS}
+    counts = df.agg(F.count(F.lit(1)).alias("n_rows"), *[
+        (F.count_if(F.col(name).isNull()) if name in types else F.lit(None).cast("long")).alias(f"_{name}") for name, _ in REQUIRED_COLUMNS])
+    rows = F.array(*[F.struct(
+        F.lit(name).alias("column"), F.lit(name in types).alias("present"), F.lit(ok[name]).alias("type_ok"),
+        F.lit(types[name].typeName() if name in types else None).cast("string").alias("type"),
+        F.col("n_rows"), F.col(f"_{name}").alias("n_null")) for name, _ in REQUIRED_COLUMNS])
+    return counts.select(F.inline(rows))
 
 
 def content_check(df: DataFrame) -> DataFrame:
@@ -132,5 +130,5 @@ def rollout_report(summary: DataFrame) -> DataFrame:
     return summary.select(
         "*",
         F.format_string("Original Steps: %d | Final Steps: %d | Compression: %.1f%% | Extracted PT Pairs: %d",
-                        "original_step_count", "final_step_count", F.col("compression_ratio") * 100.0,
+                        "original_step_count", "final_step_count", F.bround(F.col("compression_ratio") * 100.0, 1),
                         "n_transitions").alias("report"))

@@ -101,11 +101,12 @@ def gather_replies(replies: DataFrame, key: str, max_depth: int, out: str, raw_c
 
 def rollout(traces: DataFrame, *, key: str = "trace_id", question: str = "question", max_depth: int = 3,
             auditor=None, mode: str = "auto", steps_col: str | None = None, text_col: str = "full_text",
-            completions_col: str | None = None, generator_model: str = "recorded") -> DataFrame:
+            completions_col: str | None = None, generator_model: str = "recorded", log_fields=None) -> DataFrame:
     """Run the rollout; returns one row per question with per-depth log structs and the final state.
 
     Replay mode: ``traces`` holds the depth-1 trace (``steps_col`` or ``text_col``).
     Recorded mode: ``completions_col`` names a MAP<INT, STRUCT<text, usage_tokens, error>>.
+    ``log_fields``: the per-depth fields to build (default all); a count needs no prefixes or texts.
     """
     if max_depth < 1:
         raise ValueError("max_depth must be >= 1")
@@ -153,24 +154,14 @@ def rollout(traces: DataFrame, *, key: str = "trace_id", question: str = "questi
         ends_here = (dec["skip_end_idx"] + 1) >= (n - 1)
         stop_now = (F.when(~ok, F.lit("no_skip")).when(ends_here, F.lit("end_of_trace"))
                     .when(F.lit(d) == max_depth, F.lit("max_depth")))
-        log = F.when(live, F.struct(
-            F.lit(d).alias("depth"),
-            n.alias("n_steps"),
-            steps.alias("steps"),
-            F.col("_prefix").alias("prefix"),
-            F.col(f"_t{d}.full_text").alias("full_text"),
-            F.col(f"_t{d}.token_count").alias("token_count"),
-            F.col(f"_t{d}.is_error").alias("is_error"),
-            dec["can_skip"].alias("can_skip"),
-            dec["skip_start_idx"].alias("skip_start_idx"),
-            dec["skip_end_idx"].alias("skip_end_idx"),
-            dec["reason"].alias("reason"),
-            dec["outcome"].alias("outcome"),
-            ok.alias("usable"),
-            skipped_steps(dec, steps).alias("skipped_steps"),
-            nxt.alias("next_step"),
-            F.when(ok, input_x(q, F.col("_prefix"), steps, dec)).alias("input_x"),
-        ))
+        fields = {
+            "depth": F.lit(d), "n_steps": n, "steps": steps, "prefix": F.col("_prefix"),
+            "full_text": F.col(f"_t{d}.full_text"), "token_count": F.col(f"_t{d}.token_count"), "is_error": F.col(f"_t{d}.is_error"),
+            **{c: dec[c] for c in ("can_skip", "skip_start_idx", "skip_end_idx", "reason", "outcome")},
+            "usable": ok, "skipped_steps": skipped_steps(dec, steps), "next_step": nxt,
+            "input_x": F.when(ok, input_x(q, F.col("_prefix"), steps, dec)),
+        }
+        log = F.when(live, F.struct(*[c.alias(name) for name, c in fields.items() if log_fields is None or name in log_fields]))
         # one projection for everything that only needs this depth's decision
         df = df.withColumns({
             "_keptnow": F.when(nxt != "", F.concat(kept_pre, F.array(nxt))).otherwise(kept_pre),
@@ -216,6 +207,11 @@ def rollout_log(ro: DataFrame, key: str = "trace_id") -> DataFrame:
     return _inline_log(ro.select(key, "question", "log"))
 
 
+def usable_depths(ro: DataFrame, keep=()) -> DataFrame:
+    """One row for each usable decision with whatever fields the log holds and the ``keep`` columns."""
+    return _inline_log(ro.select(*keep, "log")).where(F.col("usable"))
+
+
 def rollout_transitions(ro: DataFrame, key: str = "trace_id", keep=()) -> DataFrame:
     """F1 over the rollout: one row per usable decision, the PT dataset shape."""
     lg = _inline_log(ro.select(key, "question", "generator_model", "decision_model", *keep, "log")).where(F.col("usable"))

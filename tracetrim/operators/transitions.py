@@ -63,9 +63,9 @@ def extract_transitions(df: DataFrame, dec_col: str = "decision", question="ques
 def add_provenance(transitions: DataFrame, questions: DataFrame, key: str = "question_key") -> DataFrame:
     """copy category, dataset (as source_dataset) and ground_truth from the question row.
 
-    The question table is one row per key; the join is an equi-join on the key
-    (broadcast only when the question side is known to be small; AQE converts it at
-    run time when its measured size is under the broadcast threshold).
+    For transitions whose questions live in another table; a rollout carries its questions'
+    columns itself (``rollout_transitions(keep=...)``).  The question side is reduced to one row
+    for each key first, so a repeated key multiplies no transition.
     """
     cols = set(questions.columns)
     q = questions.select(
@@ -74,4 +74,6 @@ def add_provenance(transitions: DataFrame, questions: DataFrame, key: str = "que
         (F.col("dataset") if "dataset" in cols else F.lit(None).cast("string")).alias("source_dataset"),
         (F.col("ground_truth") if "ground_truth" in cols else F.lit(None).cast("string")).alias("ground_truth"),
     )
-    return transitions.join(q, key, "left")
+    fields = ("category", "source_dataset", "ground_truth")
+    one = q.groupBy(key).agg(F.max(F.struct(*fields)).alias("_q")).select(key, *[F.col(f"_q.{c}").alias(c) for c in fields])
+    return transitions.join(one, key, "left")

@@ -51,7 +51,7 @@ ORACLE["short_trace_guard"] = V.with_views(V.V_REPLIES, _DOCS_REPLY, OA.parsed_l
                                            OA.validated_layer(guard=True)) + f"SELECT trace_id, {OA.DECISION_COLS} FROM v1"
 
 _DOC_STEPS = f"""doc_steps AS (
-  SELECT trace_id, question, category, source_dataset, {S.auto("full_text")} AS steps FROM v_doc_traces)"""
+  SELECT trace_id, question, category, source_dataset, ground_truth, {S.auto("full_text")} AS steps FROM v_doc_traces)"""
 
 ORACLE["recorded_audit"] = V.with_views(
     V.V_DOC_TRACES, V.V_REPLIES, _DOC_STEPS,
@@ -113,7 +113,7 @@ SELECT trace_id, CAST(orig AS INTEGER) AS original_step_count, CAST(len(final_st
 FROM fin"""
 
 ORACLE["provenance"] = _RO + """SELECT r.trace_id, """ + OA.example_id("r.question", "r.depth") + """ AS id,
-  CAST(r.depth AS INTEGER) AS depth, d.category, d.source_dataset, CAST(NULL AS VARCHAR) AS ground_truth
+  CAST(r.depth AS INTEGER) AS depth, d.category, d.source_dataset, d.ground_truth
 FROM r3 r JOIN doc_steps d ON d.trace_id = r.trace_id WHERE r.can_skip"""
 
 
@@ -125,13 +125,13 @@ from tracetrim.operators import format as FMT  # noqa: E402
 ORACLE.update(OM.ORACLE)
 
 _TR = _RO + ", tr AS (" + _transition_select("r3", steps="rem", prefix="prefix", depth="depth") + ")\n"
-_PT = _TR + ", pt AS (SELECT t.*, d.category, d.source_dataset FROM tr t JOIN doc_steps d ON d.trace_id = t.trace_id)\n"
+_PT = _TR + ", pt AS (SELECT t.*, d.question, d.category, d.source_dataset, d.ground_truth FROM tr t JOIN doc_steps d ON d.trace_id = t.trace_id)\n"
 
 ORACLE["pt_roundtrip"] = _TR + """SELECT id, depth, input_x, target_y, skipped_text, skip_start_idx, 'train' AS split FROM tr"""
 
 ORACLE["build_pt_dataset"] = _PT + """SELECT id, input_x, target_y, depth, skipped_text, skip_reason,
   'recorded' AS generator_model, 'rubric:repeat' AS decision_model, skip_start_idx, original_step_count,
-  category, source_dataset, 'train' AS split FROM pt"""
+  category, source_dataset, ground_truth, 'train' AS split FROM pt"""
 
 ORACLE["sft_text"] = _TR + "SELECT trace_id, depth, input_x || chr(10) || chr(10) || '[Next Step]:' || chr(10) || target_y AS text FROM tr"
 
@@ -167,9 +167,12 @@ ORACLE["audit_summary"] = _RUB + f"""SELECT trace_id, source_dataset AS dataset,
 ORACLE["audit_rates"] = _RUB + """SELECT category, count(*) AS n_traces, round(avg(CAST(can_skip AS DOUBLE)), 6) AS skip_rate,
   round(avg(CAST(len(steps) AS DOUBLE)), 6) AS mean_steps FROM r3 GROUP BY category"""
 
-ORACLE["schema_check"] = """SELECT * FROM (VALUES ('id', true, true), ('question', true, true), ('input_x', true, true),
-  ('target_y', true, true), ('depth', true, true), ('skipped_steps', true, true), ('skip_reason', true, true),
-  ('metadata', true, true)) t("column", present, type_ok)"""
+ORACLE["schema_check"] = _PT + "\nUNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", true AS present, true AS type_ok, '{kind}' AS type, count(*) AS n_rows, "
+    f"CAST(count_if({sql} IS NULL) AS BIGINT) AS n_null FROM pt"
+    for c, kind, sql in (("id", "string", "id"), ("question", "string", "question"), ("input_x", "string", "input_x"),
+                         ("target_y", "string", "target_y"), ("depth", "integer", "depth"), ("skipped_steps", "array", "skipped_text"),
+                         ("skip_reason", "string", "skip_reason"), ("metadata", "struct", "1")))
 
 ORACLE["content_check"] = _PT + """SELECT count(*) AS n_rows, CAST(count_if(coalesce(input_x, '') = '') AS BIGINT) AS empty_input_x,
   CAST(count_if(coalesce(target_y, '') = '') AS BIGINT) AS empty_target_y,
@@ -183,10 +186,9 @@ ORACLE["dataset_card"] = _PT + """SELECT CAST(sum(n) AS BIGINT) AS total, 'recor
   string_agg('| Depth ' || CAST(depth AS VARCHAR) || ' | ' || CAST(n AS VARCHAR) || ' |', chr(10) ORDER BY depth) AS depth_table
 FROM (SELECT depth, count(*) AS n FROM pt GROUP BY depth) x"""
 
-ORACLE["rollout_report"] = "SELECT trace_id, original_step_count, final_step_count, compression_pct, n_transitions FROM (" + \
-    ORACLE["rollout_summary"].replace(
-        "SELECT trace_id, CAST(orig AS INTEGER) AS original_step_count",
-        "SELECT trace_id, round(greatest(0.0, 1.0 - len(final_steps) / greatest(orig, 1)) * 100, 6) AS compression_pct, "
-        "CAST(orig AS INTEGER) AS original_step_count") + ") z"
+ORACLE["rollout_report"] = """SELECT trace_id, original_step_count, final_step_count, n_transitions,
+  printf('Original Steps: %d | Final Steps: %d | Compression: %.1f%% | Extracted PT Pairs: %d', original_step_count, final_step_count,
+         round_even(greatest(0.0, 1.0 - final_step_count / greatest(original_step_count, 1)) * 100.0, 1), n_transitions) AS report
+FROM (""" + ORACLE["rollout_summary"] + ") z"
 
 ORACLE["step_role_counts"] = "SELECT role, count(*) AS n FROM (" + ORACLE["step_roles"] + ") z GROUP BY role"

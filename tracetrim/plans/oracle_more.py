@@ -212,18 +212,34 @@ def tokens(t: str, text: str) -> str:
     return f"CAST(CASE WHEN {t} IS NULL OR {t} = 0 THEN {S.word_count(text)} ELSE {t} END AS INTEGER)"
 
 
-ORACLE["extract_answer"] = V.with_views(V.V_RESPONSES) + f"""SELECT question_key, {extract('ground_truth')} AS gold_extracted,
+# the replay rollout to its final steps; oracle.py builds its rollout queries on the same text
+FINAL = """last AS (
+  SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY depth DESC) AS rk,
+         count(*) OVER (PARTITION BY trace_id) AS depths_run,
+         sum(CASE WHEN can_skip THEN 1 ELSE 0 END) OVER (PARTITION BY trace_id) AS n_tr,
+         first_value(len(rem)) OVER (PARTITION BY trace_id ORDER BY depth) AS orig
+  FROM r3),
+fin AS (
+  SELECT *, kept || CASE WHEN can_skip THEN rem[1 : skip_start_idx] ||
+                 CASE WHEN coalesce(rem[skip_end_idx + 2], '') <> '' THEN [rem[skip_end_idx + 2]] ELSE [] END
+               ELSE rem END AS final_steps
+  FROM last WHERE rk = 1)"""
+RESPONSES = "WITH RECURSIVE " + ",\n".join([
+    V.V_DOC_TRACES, f"doc_steps AS (SELECT trace_id, question, {S.auto('full_text')} AS steps FROM v_doc_traces)",
+    OA.replay_rollout("doc_steps", 3), OA.rubric_layers("ro", ("repeat",), steps="rem", prior="kept"), FINAL, V.V_RESPONSES])
+
+ORACLE["extract_answer"] = RESPONSES + f""" SELECT question_key, {extract('ground_truth')} AS gold_extracted,
   {extract('base_response')} AS base_answer, {extract('pruned_response')} AS pruned_answer FROM v_responses"""
 
-ORACLE["answer_correct"] = V.with_views(V.V_RESPONSES) + f"""SELECT question_key, {gold('ground_truth')} AS gold,
+ORACLE["answer_correct"] = RESPONSES + f""" SELECT question_key, {gold('ground_truth')} AS gold,
   {correct('base_response', 'ground_truth')} AS base_correct, {correct('pruned_response', 'ground_truth')} AS pruned_correct
 FROM v_responses"""
 
-SAMPLES = V.with_views(V.V_RESPONSES, f"""smp AS (
-  SELECT r.*, d.source AS benchmark, {tokens('base_usage', 'base_response')} AS base_tokens,
+SAMPLES = RESPONSES + f""", smp AS (
+  SELECT r.*, {tokens('base_usage', 'base_response')} AS base_tokens,
          {tokens('pruned_usage', 'pruned_response')} AS pruned_tokens,
          {correct('base_response', 'ground_truth')} AS base_correct, {correct('pruned_response', 'ground_truth')} AS pruned_correct
-  FROM v_responses r JOIN documents d ON d.doc_id = r.question_key),
+  FROM v_responses r),
 summ AS (
   SELECT benchmark, count(*) AS num_samples, sum(base_tokens) / greatest(count(*), 1) AS base_avg_tokens,
          sum(pruned_tokens) / greatest(count(*), 1) AS pruned_avg_tokens,
@@ -232,7 +248,8 @@ summ AS (
   FROM smp GROUP BY benchmark),
 summ2 AS (
   SELECT *, (base_avg_tokens - pruned_avg_tokens) / greatest(base_avg_tokens, 1) * 100.0 AS avg_token_reduction_pct,
-         pruned_accuracy - base_accuracy AS accuracy_delta FROM summ)""")
+         pruned_accuracy - base_accuracy AS accuracy_delta FROM summ)
+"""
 
 ORACLE["pair_savings"] = SAMPLES + """SELECT question_key, base_tokens, pruned_tokens,
   round((base_tokens - pruned_tokens) / greatest(base_tokens, 1) * 100.0, 6) AS token_savings_pct FROM smp"""
@@ -242,13 +259,28 @@ ORACLE["eval_summary"] = SAMPLES + """SELECT benchmark, num_samples, round(base_
   round(pruned_accuracy, 6) AS pruned_accuracy, round(avg_token_reduction_pct, 6) AS avg_token_reduction_pct,
   round(accuracy_delta, 6) AS accuracy_delta FROM summ2"""
 
-ORACLE["eval_card"] = SAMPLES + """SELECT benchmark, num_samples, round(base_accuracy * 100, 6) AS base_accuracy_pct,
-  round(pruned_accuracy * 100, 6) AS pruned_accuracy_pct, round(accuracy_delta * 100, 6) AS accuracy_delta_pct,
-  CASE WHEN base_accuracy IS NULL THEN 'N/A' ELSE 'pct' END AS base_accuracy_kind,
-  round(avg_token_reduction_pct, 6) AS token_reduction_pct FROM summ2"""
+ORACLE["eval_card"] = SAMPLES + """SELECT benchmark, num_samples,
+  CASE WHEN base_accuracy IS NULL THEN 'N/A' ELSE printf('%.1f%%', round_even(base_accuracy * 100.0, 1)) END AS base_accuracy_text,
+  CASE WHEN pruned_accuracy IS NULL THEN 'N/A' ELSE printf('%.1f%%', round_even(pruned_accuracy * 100.0, 1)) END AS pruned_accuracy_text,
+  CASE WHEN accuracy_delta IS NULL THEN 'N/A' ELSE printf('%+.1f%%', round_even(accuracy_delta * 100.0, 1)) END AS accuracy_delta_text,
+  printf('%.1f', round_even(base_avg_tokens, 1)) AS base_avg_tokens_text,
+  printf('%.1f', round_even(pruned_avg_tokens, 1)) AS pruned_avg_tokens_text,
+  printf('%.1f%%', round_even(avg_token_reduction_pct, 1)) AS token_reduction_text FROM summ2"""
 
-ORACLE["comparison_rows"] = V.with_views(V.V_RESPONSES) + f"""SELECT question_key,
-  'Question: ' || left('Summarise document ' || CAST(question_key AS VARCHAR), 60) || '...' AS title,
+ORACLE["pair_responses"] = V.with_views(V.V_COMPLETIONS, """firstq AS (
+  SELECT conv_id AS question_key, arg_min(text, turn) AS question FROM conversations WHERE role = 'user' GROUP BY conv_id),
+said AS (SELECT question_key, depth, CASE WHEN error IS NOT NULL THEN 'Error during generation: ' || error ELSE coalesce(text, '') END AS t,
+                CASE WHEN error IS NULL THEN usage_tokens END AS u FROM v_completions),
+pairs AS (SELECT f.question_key, coalesce(b.t, '') AS base_response, coalesce(p.t, '') AS pruned_response, b.u AS bu, p.u AS pu,
+                 (b.t IS NOT NULL)::BIGINT AS base_records, (p.t IS NOT NULL)::BIGINT AS pruned_records
+          FROM firstq f LEFT JOIN said b ON b.question_key = f.question_key AND b.depth = 1
+               LEFT JOIN said p ON p.question_key = f.question_key AND p.depth = 2)""") + f"""SELECT question_key, base_response, pruned_response,
+  base_tokens, pruned_tokens, base_records, pruned_records,
+  round((base_tokens - pruned_tokens) / greatest(base_tokens, 1) * 100.0, 6) AS token_savings_pct
+FROM (SELECT *, {tokens('bu', 'base_response')} AS base_tokens, {tokens('pu', 'pruned_response')} AS pruned_tokens FROM pairs) x"""
+
+ORACLE["comparison_rows"] = RESPONSES + f""" SELECT question_key,
+  'Question: ' || left(question, 60) || '...' AS title,
   {clip('base_response', 300)} AS base_preview, {clip('pruned_response', 300)} AS pruned_preview,
   CAST({S.word_count('base_response')} AS INTEGER) AS base_tokens, CAST({S.word_count('pruned_response')} AS INTEGER) AS pruned_tokens,
   round((1.0 - {S.word_count('pruned_response')} / greatest({S.word_count('base_response')}, 1)) * 100.0, 6) AS token_savings_pct

@@ -11,7 +11,8 @@ V_TRACES = """v_traces AS (
 V_DOC_TRACES = """v_doc_traces AS (
   SELECT doc_id AS trace_id,
          'Summarise document ' || CAST(doc_id AS VARCHAR) || ' from ' || source AS question,
-         text AS full_text, lang AS category, source AS source_dataset
+         text AS full_text, lang AS category, source AS source_dataset,
+         CASE WHEN doc_id % 10 = 9 THEN NULL WHEN doc_id % 10 = 8 THEN 'B' ELSE '#### ' || CAST(doc_id * 7 AS VARCHAR) END AS ground_truth
   FROM documents)"""
 
 V_REPLIES = """v_replies AS (
@@ -55,20 +56,22 @@ V_CONTEXT = """v_context AS (
   SELECT lpad(CAST(doc_id AS VARCHAR), 19, '0') AS item_id, text AS context, 'Which language is this?' AS question, lang AS answer
   FROM documents)"""
 
+# over ``fin``: the final steps of each document's rollout
 V_RESPONSES = """v_responses AS (
-  SELECT doc_id AS question_key,
+  SELECT doc_id AS question_key, source AS benchmark,
+    'Summarise document ' || CAST(doc_id AS VARCHAR) || ' from ' || source AS question,
     CASE WHEN doc_id % 10 = 9 THEN NULL WHEN doc_id % 10 = 8 THEN 'B' ELSE '#### ' || CAST(doc_id * 7 AS VARCHAR) END AS ground_truth,
     CASE doc_id % 5 WHEN 0 THEN text || ' #### ' || CAST(doc_id * 7 AS VARCHAR)
                     WHEN 1 THEN text || ' so \\boxed{' || CAST(doc_id * 7 AS VARCHAR) || '}'
                     WHEN 2 THEN text || ' The answer is ' || CAST(doc_id * 7 AS VARCHAR) || '.'
                     WHEN 3 THEN text || ' giving 12 then ' || CAST(doc_id * 7 AS VARCHAR)
                     ELSE text END AS base_response,
-    CASE doc_id % 3 WHEN 0 THEN 'Final answer: ' || CAST(doc_id * 7 AS VARCHAR)
-                    WHEN 1 THEN left(text, 80) || ' #### 1,' || CAST(100 + doc_id % 900 AS VARCHAR)
-                    ELSE '' END AS pruned_response,
+    CASE doc_id % 3 WHEN 0 THEN array_to_string(fin.final_steps, ' ') || ' Final answer: ' || CAST(doc_id * 7 AS VARCHAR)
+                    WHEN 1 THEN array_to_string(fin.final_steps, ' ') || ' #### 1,' || CAST(100 + doc_id % 900 AS VARCHAR)
+                    ELSE array_to_string(fin.final_steps, ' ') END AS pruned_response,
     CASE WHEN doc_id % 6 = 0 THEN 0 ELSE CAST(floor(n_chars / 4.0) AS INTEGER) END AS base_usage,
     CASE WHEN doc_id % 4 = 0 THEN 0 ELSE CAST(floor(n_chars / 9.0) AS INTEGER) END AS pruned_usage
-  FROM documents)"""
+  FROM documents JOIN fin ON fin.trace_id = doc_id)"""
 
 
 def with_views(*views: str) -> str:

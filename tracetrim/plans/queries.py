@@ -71,7 +71,7 @@ from tracetrim.functions.segment import segment  # noqa: E402
 from tracetrim.operators import audit as A  # noqa: E402
 from tracetrim.operators.rubric import with_rubric_decision  # noqa: E402
 from tracetrim.operators import rollout as RO  # noqa: E402
-from tracetrim.operators.transitions import add_provenance, example_id, example_key, extract_transitions  # noqa: E402
+from tracetrim.operators.transitions import example_id, example_key, extract_transitions  # noqa: E402
 
 NL = "\n"
 
@@ -188,9 +188,13 @@ def q_example_id(spark, sf_dir):
                     example_key(F.col("question"), F.lit(1)).alias("example_key"))
 
 
-def doc_rollout(spark, sf_dir, max_depth=3, rules=("repeat",)):
+def doc_rollout(spark, sf_dir, max_depth=3, rules=("repeat",), log_fields=None):
     traces = views.v_doc_traces(spark, sf_dir)
-    return RO.rollout(traces, key="trace_id", max_depth=max_depth, auditor=RO.rubric_auditor(rules))
+    return RO.rollout(traces, key="trace_id", max_depth=max_depth, auditor=RO.rubric_auditor(rules), log_fields=log_fields)
+
+
+#: What a question brings to its transitions, carried through the rollout.
+PROVENANCE = ("category", "source_dataset", "ground_truth")
 
 
 @register("rollout_replay")
@@ -215,11 +219,8 @@ def q_rollout_summary(spark, sf_dir):
 
 @register("provenance")
 def q_provenance(spark, sf_dir):
-    tr = RO.rollout_transitions(doc_rollout(spark, sf_dir))
-    qs = views.v_doc_traces(spark, sf_dir).select(
-        F.col("trace_id"), F.col("category"), F.col("source_dataset").alias("dataset"))
-    out = add_provenance(tr, qs, key="trace_id")
-    return out.select("trace_id", "id", "depth", "category", "source_dataset", "ground_truth")
+    tr = RO.rollout_transitions(doc_rollout(spark, sf_dir), keep=PROVENANCE)
+    return tr.select("trace_id", "id", "depth", *PROVENANCE)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -446,14 +447,14 @@ def q_failure_isolation(spark, sf_dir):
 def q_build_pt_dataset(spark, sf_dir):
     from tracetrim.operators.build import build_pt_dataset
     docs = views.v_doc_traces(spark, sf_dir).select(F.col("trace_id").alias("question_key"), "question", "full_text",
-                                                     "category", F.col("source_dataset").alias("dataset"))
+                                                     "category", F.col("source_dataset").alias("dataset"), "ground_truth")
     pt = build_pt_dataset(docs, trace_col="full_text", max_depth=3, rules=("repeat",))
     return pt.select("id", "input_x", "target_y", "depth", F.array_join("skipped_steps", NL).alias("skipped_text"),
                      "skip_reason", "generator_model", "decision_model",
                      F.col("metadata.skip_start_idx").alias("skip_start_idx"),
                      F.col("metadata.original_step_count").alias("original_step_count"),
                      F.col("metadata.category").alias("category"), F.col("metadata.source_dataset").alias("source_dataset"),
-                     "split")
+                     F.col("metadata.ground_truth").alias("ground_truth"), "split")
 
 
 # ---------------------------------------------------------------- roles, evaluation, reports (G, H, I)
@@ -470,13 +471,13 @@ def q_step_role_counts(spark, sf_dir):
 
 
 def _doc_responses(spark, sf_dir):
-    """Responses with the document source as the benchmark, from one scan."""
-    return views.v_responses(spark, sf_dir, extra=("source",)).withColumnRenamed("source", "benchmark")
+    """Base and pruned replies of every document, with its source as the benchmark, from one scan."""
+    return views.v_responses(doc_rollout(spark, sf_dir, log_fields=("depth", "usable")))
 
 
 @register("extract_answer")
 def q_extract_answer(spark, sf_dir):
-    r = views.v_responses(spark, sf_dir)
+    r = _doc_responses(spark, sf_dir)
     return r.select("question_key", extract_answer(F.col("ground_truth")).alias("gold_extracted"),
                     extract_answer(F.col("base_response")).alias("base_answer"),
                     extract_answer(F.col("pruned_response")).alias("pruned_answer"))
@@ -484,7 +485,7 @@ def q_extract_answer(spark, sf_dir):
 
 @register("answer_correct")
 def q_answer_correct(spark, sf_dir):
-    r = views.v_responses(spark, sf_dir)
+    r = _doc_responses(spark, sf_dir)
     return r.select("question_key", EV.gold_answer(F.col("ground_truth")).alias("gold"),
                     EV.is_correct(F.col("base_response"), F.col("ground_truth")).alias("base_correct"),
                     EV.is_correct(F.col("pruned_response"), F.col("ground_truth")).alias("pruned_correct"))
@@ -492,7 +493,7 @@ def q_answer_correct(spark, sf_dir):
 
 @register("pair_savings")
 def q_pair_savings(spark, sf_dir):
-    s = EV.eval_samples(views.v_responses(spark, sf_dir))
+    s = EV.eval_samples(_doc_responses(spark, sf_dir))
     return s.select("question_key", "base_tokens", "pruned_tokens", F.round("token_savings_pct", 6).alias("token_savings_pct"))
 
 
@@ -508,40 +509,45 @@ def q_eval_summary(spark, sf_dir):
         "accuracy_delta")])
 
 
+@register("pair_responses")
+def q_pair_responses(spark, sf_dir):
+    """Conversations as questions, their first recorded completion as the base reply and the second as the
+    pruned one: several have only one of them, or none, or a failed one."""
+    c = views.v_completions(spark, sf_dir)
+    qs = _first_questions(spark, sf_dir)
+    p = EV.eval_samples(EV.pair_responses(c.where("depth = 1"), c.where("depth = 2"), questions=qs.withColumn("ground_truth", F.lit(None).cast("string"))))
+    return p.select("question_key", "base_response", "pruned_response", "base_tokens", "pruned_tokens", "base_records", "pruned_records",
+                    F.round("token_savings_pct", 6).alias("token_savings_pct"))
+
+
 @register("eval_card")
 def q_eval_card(spark, sf_dir):
-    s = _summary(spark, sf_dir)
-    return s.select("benchmark", "num_samples",
-                    F.round(F.col("base_accuracy") * 100, 6).alias("base_accuracy_pct"),
-                    F.round(F.col("pruned_accuracy") * 100, 6).alias("pruned_accuracy_pct"),
-                    F.round(F.col("accuracy_delta") * 100, 6).alias("accuracy_delta_pct"),
-                    F.when(F.col("base_accuracy").isNull(), F.lit("N/A")).otherwise(F.lit("pct")).alias("base_accuracy_kind"),
-                    F.round("avg_token_reduction_pct", 6).alias("token_reduction_pct"))
+    return EV.eval_card(_summary(spark, sf_dir))
 
 
 @register("comparison_rows")
 def q_comparison_rows(spark, sf_dir):
-    r = views.v_responses(spark, sf_dir).withColumn(
-        "question", F.concat(F.lit("Summarise document "), F.col("question_key").cast("string")))
-    c = EV.comparison_rows(r)
+    c = EV.comparison_rows(_doc_responses(spark, sf_dir))
     return c.select("question_key", "title", "base_preview", "pruned_preview", "base_tokens", "pruned_tokens",
                     F.round("token_savings_pct", 6).alias("token_savings_pct"))
 
 
-def _pt(spark, sf_dir):
-    tr = RO.rollout_transitions(doc_rollout(spark, sf_dir))
-    qs = views.v_doc_traces(spark, sf_dir).select("trace_id", "category", F.col("source_dataset").alias("dataset"))
-    return add_provenance(tr, qs, key="trace_id")
+def _pt(spark, sf_dir, *fields):
+    """The log's ``fields`` of every transition, with its provenance: the rollout carries both."""
+    ro = doc_rollout(spark, sf_dir, log_fields=("depth", "usable", *fields))
+    return RO.usable_depths(ro, PROVENANCE)
 
 
 @register("schema_check")
 def q_schema_check(spark, sf_dir):
-    return RP.schema_check(pt_io.to_pt_rows(_pt(spark, sf_dir)))
+    path = pt_io.shared_path(spark, "pt_schema")
+    pt_io.save_pt(pt_io.to_pt_rows(RO.rollout_transitions(doc_rollout(spark, sf_dir), keep=PROVENANCE)), path)
+    return RP.schema_check(spark.read.parquet(path))
 
 
 @register("content_check")
 def q_content_check(spark, sf_dir):
-    return RP.content_check(_pt(spark, sf_dir))
+    return RP.content_check(_pt(spark, sf_dir, "input_x", "next_step").withColumnRenamed("next_step", "target_y"))
 
 
 @register("category_counts")
@@ -583,9 +589,8 @@ def q_spectrum_categories(spark, sf_dir):
 
 @register("rollout_report")
 def q_rollout_report(spark, sf_dir):
-    s = RO.rollout_summary(doc_rollout(spark, sf_dir))
-    return s.select("trace_id", "original_step_count", "final_step_count",
-                    F.round(F.col("compression_ratio") * 100, 6).alias("compression_pct"), "n_transitions")
+    s = RO.rollout_summary(doc_rollout(spark, sf_dir, log_fields=("depth", "n_steps", "usable", "is_error")))
+    return RP.rollout_report(s).select("trace_id", "original_step_count", "final_step_count", "n_transitions", "report")
 
 
 # ---------------------------------------------------------------- incremental build

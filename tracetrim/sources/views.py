@@ -50,9 +50,17 @@ def v_doc_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("text").alias("full_text"),
         F.col("lang").alias("category"),
         F.col("source").alias("source_dataset"),
+        gold_case(F.col("doc_id")).alias("ground_truth"),
+        F.col("n_chars"),
     )
 
 
+def gold_case(d) -> F.Column:
+    """A gold answer for a document: a number, for some a letter or nothing."""
+    return (F.when(d % 10 == 9, F.lit(None).cast("string")).when(d % 10 == 8, F.lit("B"))
+            .otherwise(F.concat(F.lit("#### "), (d * 7).cast("string"))))
+
+
 # The twelve recorded auditor replies, chosen by doc_id % 12.
 REPLY_CASES = [
     FENCE + "json\n" + '{"can_skip": true, "skip_start_idx": 1, "skip_end_idx": 2, "reason": "restates"}' + "\n" + FENCE,
@@ -135,33 +143,33 @@ def v_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def v_responses(spark: SparkSession, sf_dir: str, extra=()) -> DataFrame:
-    """Gold and two models' replies per document; ``extra`` document columns ride along
-    from the same scan (no self-join)."""
-    docs = read_table(spark, sf_dir, "documents")
-    d = F.col("doc_id")
+def v_responses(rolled: DataFrame) -> DataFrame:
+    """Gold and two models' replies per document of a rollout over ``v_doc_traces``: the base reply is the
+    whole text, the pruned one what the rollout left of it; each ends in one of several answer forms."""
+    d, text = F.col("trace_id"), F.col("full_text")
+    left = F.array_join("final_steps", " ")
     ans = (d * 7).cast("string")
-    gt = F.when(d % 10 == 9, F.lit(None).cast("string")).when(d % 10 == 8, F.lit("B")).otherwise(F.concat(F.lit("#### "), ans))
     base = (
-        F.when(d % 5 == 0, F.concat(F.col("text"), F.lit(" #### "), ans))
-        .when(d % 5 == 1, F.concat(F.col("text"), F.lit(" so \\boxed{"), ans, F.lit("}")))
-        .when(d % 5 == 2, F.concat(F.col("text"), F.lit(" The answer is "), ans, F.lit(".")))
-        .when(d % 5 == 3, F.concat(F.col("text"), F.lit(" giving 12 then "), ans))
-        .otherwise(F.col("text"))
+        F.when(d % 5 == 0, F.concat(text, F.lit(" #### "), ans))
+        .when(d % 5 == 1, F.concat(text, F.lit(" so \\boxed{"), ans, F.lit("}")))
+        .when(d % 5 == 2, F.concat(text, F.lit(" The answer is "), ans, F.lit(".")))
+        .when(d % 5 == 3, F.concat(text, F.lit(" giving 12 then "), ans))
+        .otherwise(text)
     )
     pruned = (
-        F.when(d % 3 == 0, F.concat(F.lit("Final answer: "), ans))
-        .when(d % 3 == 1, F.concat(F.substring(F.col("text"), 1, 80), F.lit(" #### 1,"), (F.lit(100) + d % 900).cast("string")))
-        .otherwise(F.lit(""))
+        F.when(d % 3 == 0, F.concat(left, F.lit(" Final answer: "), ans))
+        .when(d % 3 == 1, F.concat(left, F.lit(" #### 1,"), (F.lit(100) + d % 900).cast("string")))
+        .otherwise(left)
     )
-    return docs.select(
+    return rolled.select(
         d.alias("question_key"),
-        gt.alias("ground_truth"),
+        F.col("source_dataset").alias("benchmark"),
+        "question",
+        "ground_truth",
         base.alias("base_response"),
         pruned.alias("pruned_response"),
         F.when(d % 6 == 0, F.lit(0)).otherwise(F.floor(F.col("n_chars") / 4.0).cast("int")).alias("base_usage"),
         F.when(d % 4 == 0, F.lit(0)).otherwise(F.floor(F.col("n_chars") / 9.0).cast("int")).alias("pruned_usage"),
-        *[F.col(c) for c in extra],
     )
 
 
