@@ -157,10 +157,11 @@ def reliabilities(patterns: list[tuple], rounds: int = 40) -> dict[tuple, float]
             yes = sum(p[v] * n for v, n in rows)
             no = sum((1 - p[v]) * n for v, n in rows)
             prior = (yes + 1) / (yes + no + 2)
-            rate = [[{x: ((sum((p[v] if c else 1 - p[v]) * n for v, n in rows if v[j] == x) + (2 if (x > 0) == bool(c) and x else 1))
-                          / ((yes if c else no) + 4)) for x in (-1, 0, 1)} for j in range(m)] for c in (0, 1)]
+            # no vote is no evidence; a labeler is taken to be right more often than not until its votes say otherwise
+            rate = [[{x: (sum((p[v] if c else 1 - p[v]) * n for v, n in rows if v[j] == x) + (3 if (x > 0) == bool(c) else 1))
+                      / (sum((p[v] if c else 1 - p[v]) * n for v, n in rows if v[j]) + 4) for x in (-1, 1)} for j in range(m)] for c in (0, 1)]
             for v, _ in rows:
-                odds = math.log(prior / (1 - prior)) + sum(math.log(rate[1][j][v[j]] / rate[0][j][v[j]]) for j in range(m))
+                odds = math.log(prior / (1 - prior)) + sum(math.log(rate[1][j][v[j]] / rate[0][j][v[j]]) for j in range(m) if v[j])
                 p[v] = 1 / (1 + math.exp(-max(-40.0, min(40.0, odds))))
         out |= {(kind, v): q for v, q in p.items()}
     return out
@@ -172,12 +173,12 @@ def _features() -> Column:
     edge = lambda c, p: F.when(F.length(c) == 0, "none").when(F.regexp_like(c, F.lit(p % r"\p{L}")), "letter").when(
         F.regexp_like(c, F.lit(p % r"\p{N}")), "digit").when(F.regexp_like(c, F.lit(p % r"\s")), "blank").otherwise("mark")
     pairs = {"length": F.least(F.length("hit"), F.lit(40)), "digits": F.least(F.length("digits"), F.lit(24)), "shape": F.pmod(F.xxhash64(shape), F.lit(64)),
-             "left": edge(F.col("left"), r"%s$"), "right": edge(F.col("right"), r"^%s"), "votes": F.array_join(F.col("votes").cast("array<string>"), ",")}
+             "left": edge(F.col("left"), r"%s$"), "right": edge(F.col("right"), r"^%s")}
     return F.array(*[F.concat(F.col("kind"), F.lit(f"|{k}|"), v.cast("string")) for k, v in pairs.items()])
 
 
 def train(voted: DataFrame) -> dict[str, float]:
-    """Naive Bayes log odds of each feature value, from soft labels; "kind" alone gives the prior's."""
+    """Log odds of each vote pattern (by reliabilities) and, by naive Bayes from those soft labels, of each feature value."""
     patterns = voted.groupBy("kind", "votes").agg(F.count("*").alias("n")).collect()  # at most 4 * 3^5 rows
     p = reliabilities([(r["kind"], r["votes"], r["n"]) for r in patterns])
     if not p:
@@ -185,15 +186,14 @@ def train(voted: DataFrame) -> dict[str, float]:
     key = F.concat("kind", F.lit("|"), F.array_join(F.col("votes").cast("array<string>"), ","))
     soft = F.create_map(*[F.lit(x) for (k, v), q in p.items() for x in (f"{k}|{','.join(map(str, v))}", q)])
     each = voted.select("kind", F.element_at(soft, key).alias("p"), F.explode(F.concat(_features(), F.array("kind"))).alias("f"))
-    sums = each.groupBy("kind", "f").agg(F.sum("p").alias("yes"), F.sum(1 - F.col("p")).alias("no")).collect()  # at most 4 * (40 + 25 + 64 + 10 + 243 + 1)
+    sums = each.groupBy("kind", "f").agg(F.sum("p").alias("yes"), F.sum(1 - F.col("p")).alias("no")).collect()  # at most 4 * (40 + 25 + 64 + 10 + 1)
     total = {r["kind"]: (r["yes"], r["no"]) for r in sums if r["f"] == r["kind"]}
-    odds = {}
+    odds = {f"{k}|votes|{','.join(map(str, v))}": math.log((q + 1e-9) / (1 - q + 1e-9)) for (k, v), q in p.items()}
     for r in sums:
         yes, no = total[r["kind"]]
-        if r["f"] == r["kind"]:
-            odds[r["f"]] = math.log((yes + 1) / (no + 1))
-        else:
-            odds[r["f"]] = math.log((r["yes"] + 1) / (yes + 2)) - math.log((r["no"] + 1) / (no + 2))
+        if r["f"] != r["kind"]:  # shrunk towards the feature's share among all, so that a rare one says little
+            share = (r["yes"] + r["no"]) / (yes + no)
+            odds[r["f"]] = math.log((r["yes"] + 2 * share) / (yes + 2)) - math.log((r["no"] + 2 * share) / (no + 2))
     return odds
 
 
@@ -202,7 +202,8 @@ def decide(voted: DataFrame, odds: dict[str, float]) -> DataFrame:
     if not odds:
         return voted.withColumn("probability", F.lit(0.0)).withColumn("taken", F.col("base"))
     table = F.create_map(*[F.lit(x) for k, v in sorted(odds.items()) for x in (k, float(v))])
-    score = F.aggregate(F.concat(_features(), F.array("kind")), F.lit(0.0), lambda s, f: s + F.coalesce(F.element_at(table, f), F.lit(0.0)))
+    votes = F.concat(F.col("kind"), F.lit("|votes|"), F.array_join(F.col("votes").cast("array<string>"), ","))
+    score = F.aggregate(F.concat(_features(), F.array(votes)), F.lit(0.0), lambda s, f: s + F.coalesce(F.element_at(table, f), F.lit(0.0)))
     voted = voted.withColumn("probability", 1 / (1 + F.exp(-score)))
     return voted.withColumn("taken", F.col("base") | (F.col("loose") & (F.col("probability") >= 0.5)))
 
