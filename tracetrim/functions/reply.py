@@ -9,6 +9,11 @@ Contract reproduced:
 * object: can_skip by Python truthiness; indices by ``int()`` (2.7 -> 2, "2" -> 2,
   true -> 1, "2.7"/null/list -> error); a missing start is -1, a missing end is the start.
 
+Python's JSON is a little wider than Spark's: of repeated keys the last counts (the parser's
+setting for that is turned on here), and NaN and the infinities are numbers (a reply that does not
+parse is tried again with them as objects, which are truthy and no index, as they are).  An index of
+any size is read whole, so one beyond 64 bits is out of range like any other.
+
 Spark's JSON parser accepts trailing text ("12 34" parses as 12), so a reply with no
 braces counts as JSON only when the whole trimmed text is one scalar or array.
 """
@@ -35,6 +40,9 @@ JSON_SCALAR_RE = (
     '^[ \\t\\n\\r]*(?:-?(?:0|[1-9][0-9]*)(?:\\.[0-9]+)?(?:[eE][-+]?[0-9]+)?|"(?:[^"\\\\]|\\\\.)*"'
     "|true|false|null|NaN|-?Infinity)[ \\t\\n\\r]*\\z"
 )
+# NaN or an infinity as a value of an object or list.
+NOT_FINITE_RE = "([:\\[,][ \\t\\n\\r]*)(NaN|-?Infinity)(?=[ \\t\\n\\r]*[,}\\]])"
+INDEX = "decimal(38,0)"
 JSON_ARRAY_RE = "(?s)^[ \\t\\n\\r]*\\[.*\\][ \\t\\n\\r]*\\z"
 
 
@@ -103,6 +111,13 @@ def _text_of(field: Column) -> Column:
             .otherwise(F.to_json(field)))
 
 
+def _index(v: Column, path: str) -> Column:
+    """An index as a whole number of any size; null where ``int()`` would fail."""
+    field = F.try_variant_get(v, path, "variant")
+    large = F.schema_of_variant(field).startswith("DECIMAL") | F.schema_of_variant(field).startswith("DOUBLE")
+    return F.coalesce(F.try_variant_get(v, path, "bigint").cast(INDEX), F.when(large, F.try_variant_get(v, path, INDEX)))
+
+
 def with_parsed_reply(df: DataFrame, raw_col: str, out: str = "parsed") -> DataFrame:
     """Adds ``out`` = STRUCT<parse_status, can_skip, skip_start_idx, skip_end_idx, reason>.
 
@@ -112,10 +127,14 @@ def with_parsed_reply(df: DataFrame, raw_col: str, out: str = "parsed") -> DataF
     once per row.
     """
     t = f"_{out}_"
+    df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     r = F.coalesce(F.col(raw_col), F.lit(""))
     df = df.withColumn(t + "r", r)
     r = F.col(t + "r")
-    df = df.withColumns({t + "shape": r.rlike(FENCED_RE) | r.rlike(BRACE_RE), t + "v": F.try_parse_json(payload(r))})
+    df = df.withColumns({t + "shape": r.rlike(FENCED_RE) | r.rlike(BRACE_RE), t + "p": payload(r)})
+    whole = F.col(t + "p")
+    numbers = F.when(whole.rlike(NOT_FINITE_RE), F.try_parse_json(F.regexp_replace(whole, NOT_FINITE_RE, '$1{"number":"$2"}')))
+    df = df.withColumn(t + "v", F.coalesce(F.try_parse_json(whole), numbers))
     v = F.col(t + "v")
     # everything that only needs the parsed variant, in one projection
     df = df.withColumns({
@@ -124,8 +143,8 @@ def with_parsed_reply(df: DataFrame, raw_col: str, out: str = "parsed") -> DataF
         t + "start_f": F.try_variant_get(v, "$.skip_start_idx", "variant"),
         t + "end_f": F.try_variant_get(v, "$.skip_end_idx", "variant"),
         t + "reason_f": F.try_variant_get(v, "$.reason", "variant"),
-        t + "start_i": F.try_variant_get(v, "$.skip_start_idx", "int"),
-        t + "end_i": F.try_variant_get(v, "$.skip_end_idx", "int"),
+        t + "start_i": _index(v, "$.skip_start_idx"),
+        t + "end_i": _index(v, "$.skip_end_idx"),
     })
     vt = F.col(t + "vt")
     # With braces: unparsable -> fallback, non-object -> error.  Without braces the
@@ -152,8 +171,8 @@ def with_parsed_reply(df: DataFrame, raw_col: str, out: str = "parsed") -> DataF
     minus1 = F.lit(-1)
 
     def st(status, can_skip, s, e, reason):
-        return F.struct(F.lit(status).alias("parse_status"), can_skip.alias("can_skip"), s.cast("int").alias("skip_start_idx"),
-                        e.cast("int").alias("skip_end_idx"), reason.cast("string").alias("reason"))
+        return F.struct(F.lit(status).alias("parse_status"), can_skip.alias("can_skip"), s.cast(INDEX).alias("skip_start_idx"),
+                        e.cast(INDEX).alias("skip_end_idx"), reason.cast("string").alias("reason"))
 
     parsed = (
         F.when(kind == "fallback", st("fallback", fallback_can_skip(r), minus1, minus1, F.lit(FALLBACK_REASON)))

@@ -17,6 +17,11 @@ from tracetrim.functions.reply import (
     ALL_STEPS_REASON, MISSING_REPLY_REASON, SHORT_TRACE_REASON, with_parsed_reply,
 )
 from tracetrim.functions.text import col_
+from tracetrim.operators.frames import row_safe
+from tracetrim.session import ship_package
+
+# Fixed value: the reason of a decision whose call failed begins so.
+CALL_ERROR = "Decision call error: "
 
 DECISION_FIELDS = ("can_skip", "skip_start_idx", "skip_end_idx", "reason", "outcome")
 
@@ -42,7 +47,7 @@ def validate(parsed: Column, steps) -> Column:
     n = F.size(col_(steps))
     start, end = parsed["skip_start_idx"], parsed["skip_end_idx"]
     end_fixed = F.when((end < start) | (end >= n), start).otherwise(end)
-    invalid_reason = F.format_string("Invalid skip index: %d outside [0, %d].", start, n - 1)
+    invalid_reason = F.concat(F.lit("Invalid skip index: "), start.cast("string"), F.lit(" outside [0, "), (n - 1).cast("string"), F.lit("]."))
     status = parsed["parse_status"]
     return (
         F.when(status == "fallback", decision(parsed["can_skip"], -1, -1, parsed["reason"], "fallback"))
@@ -90,36 +95,47 @@ def recorded_audit(traces: DataFrame, replies: DataFrame, keys=("trace_id",), st
     """Left-join recorded auditor replies on the trace key, then decide.
 
     Replies are first reduced to one per key (deterministic max); both sides are then
-    hash-partitioned on the key by the join.
+    hash-partitioned on the key by the join.  A reply with an ``error`` is an error decision.
     """
     # one reply per key: duplicates reduce map-side (max is partial), so a key with many
     # replies neither multiplies trace rows nor lands in one task
-    one = replies.groupBy(*keys).agg(F.max(raw_col).alias(raw_col))
-    j = traces.join(one, list(keys), "left")
-    return with_reply_decision(j, raw_col, steps_col, out)
+    failed = F.col("error") if "error" in replies.columns else F.lit(None).cast("string")
+    one = replies.groupBy(*keys).agg(F.max(raw_col).alias(raw_col), F.max(failed).alias("_failed"))
+    j = with_reply_decision(traces.join(one, list(keys), "left"), raw_col, steps_col, out)
+    dec = F.when(F.col("_failed").isNotNull() & F.col(raw_col).isNull(), guard(call_error(F.col("_failed")), F.col(steps_col))).otherwise(F.col(out))
+    return j.withColumn(out, dec).drop("_failed")
+
+
+def call_error(message: Column) -> Column:
+    return no_skip(F.concat(F.lit(CALL_ERROR), message), "error")
 
 
-def user_audit(traces: DataFrame, fn, out_schema: str = "trace_id long, raw_response string",
-               template: str | None = None, parallelism: int | None = None) -> DataFrame:
-    """E8 with a user callable: ``fn(pandas.DataFrame) -> pandas.DataFrame`` per Arrow batch.
+def user_replies(traces: DataFrame, fn, template: str | None = None, parallelism: int | None = None, key: str = "trace_id") -> DataFrame:
+    """The replies of a user callable: ``fn(pandas.DataFrame) -> pandas.DataFrame`` per Arrow batch.
 
-    The callable sees (trace_id, question, prefix, steps, prompt) batches inside the
+    The callable sees (key, question, prefix, steps, prompt) batches inside the
     executors (one client per task, no driver loop); ``prompt`` is the audit prompt built
-    with ``template`` (default template when None).  It must return ``trace_id`` and
-    ``raw_response``; the reply then goes through the same parse/validate path.  Short
-    traces are filtered out before the Python step (the guard never calls it), and
-    ``parallelism`` bounds the number of concurrent clients.
+    with ``template`` (default template when None).  It returns the key and
+    ``raw_response``.  If it raises, the batch's rows are given to it one at a time, and those that
+    fail again get their ``error``.  Short traces are filtered out before the Python step (the
+    guard never calls it), and ``parallelism`` bounds the number of concurrent clients.
     """
     from tracetrim.operators.format import audit_prompt
 
+    ship_package(traces.sparkSession)
+
     def run(batches):
         for pdf in batches:
-            yield fn(pdf)
+            yield from row_safe(fn, pdf, lambda rows, message: rows[[key]].assign(raw_response=None, error=message), [key, "raw_response", "error"])
 
     needs = traces.where(F.size("steps") > 1).select(
-        "trace_id", "question", "prefix", "steps",
+        key, "question", "prefix", "steps",
         audit_prompt(F.col("question"), F.col("prefix"), F.col("steps"), template).alias("prompt"))
     if parallelism:
         needs = needs.repartition(parallelism)
-    replies = needs.mapInPandas(run, out_schema)
-    return recorded_audit(traces, replies)
+    return needs.mapInPandas(run, f"{key} long, raw_response string, error string")
+
+
+def user_audit(traces: DataFrame, fn, template: str | None = None, parallelism: int | None = None) -> DataFrame:
+    """E8 with a user callable: its replies go through the same parse and validate path."""
+    return recorded_audit(traces, user_replies(traces, fn, template, parallelism))

@@ -9,20 +9,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracetrim.operators import rollout as RO
+from tracetrim.operators.audit import user_replies
+from tracetrim.operators.completions import batch_completion, build_traces, completion_requests
 from tracetrim.operators.evaluate import eval_samples, eval_summary, pair_responses
 from tracetrim.operators.frames import keep_where
+from tracetrim.session import write_shared
 from tracetrim.sources import pt_io
 
 
 def build_pt_dataset(questions: DataFrame, *, completions: DataFrame | None = None, replies: DataFrame | None = None,
                      trace_col: str | None = None, max_depth: int = 3, rules=("repeat",), mode: str = "auto",
                      max_samples: int | None = None, split: str = "train", save_path: str | None = None,
-                     generator_model: str = "recorded") -> DataFrame:
+                     generator_model: str = "recorded", generate=None, audit=None) -> DataFrame:
     """Questions -> rollout -> transitions with provenance -> PT rows (optionally saved).
 
     ``questions``: ``question_key, question`` plus optional ``category, dataset, ground_truth``.
     Trace source: ``completions(question_key, depth, text, usage_tokens, error)`` (recorded
-    mode), else ``trace_col`` of ``questions`` holding the depth-1 trace text (replay mode).
+    mode), or the callables ``generate`` and ``audit`` (see ``rollout_live``), else ``trace_col`` of
+    ``questions`` holding the depth-1 trace text (replay mode).
     Auditor: recorded ``replies(question_key, depth, raw_response)`` when given, else the
     rubric with ``rules``.  Questions that are empty give no rows; a failing record gives
     error rows, never an exception.
@@ -31,24 +35,22 @@ def build_pt_dataset(questions: DataFrame, *, completions: DataFrame | None = No
     if max_samples is not None:
         q = q.orderBy("question_key").limit(max_samples)
     q = keep_where(q, F.coalesce(F.col("question"), F.lit("")) != "")
-    auditor = RO.rubric_auditor(rules)
-    if replies is not None:
-        rep = RO.gather_replies(replies, "question_key", max_depth, "_replies")
-        auditor = RO.recorded_auditor("_replies")
     given = {"category": "category", "dataset": "source_dataset", "ground_truth": "ground_truth"}
-    provenance = [F.col(c).alias(to) for c, to in given.items() if c in q.columns]
     keep = [to for c, to in given.items() if c in q.columns]
-    base = q.select("question_key", "question", *provenance, *([trace_col] if (completions is None and trace_col) else []))
+    base = q.select("question_key", "question", *[F.col(c).alias(to) for c, to in given.items() if c in q.columns],
+                    *([trace_col] if completions is None and trace_col else []))
     if completions is not None:
-        comp = RO.gather_traces(completions, "question_key", max_depth, "_completions", mode)
-        base = base.join(comp, "question_key", "left")
-    if replies is not None:
-        base = base.join(rep, "question_key", "left")
-    if completions is None and trace_col is None:
-        raise ValueError("give completions (recorded mode) or trace_col (replay mode)")
-    ro = RO.rollout(base, key="question_key", max_depth=max_depth, auditor=auditor, mode=mode,
-                    text_col=trace_col or "full_text", completions_col="_completions" if completions is not None else None,
-                    generator_model=generator_model)
+        ro = recorded_rollout(base, completions, replies, max_depth=max_depth, rules=rules, mode=mode, generator_model=generator_model)
+    elif generate is not None:
+        ro = rollout_live(base, generate, audit, max_depth=max_depth, mode=mode)
+    elif trace_col is not None:
+        auditor = RO.rubric_auditor(rules)
+        if replies is not None:
+            base = base.join(RO.gather_replies(replies, "question_key", max_depth, "_replies"), "question_key", "left")
+            auditor = RO.recorded_auditor("_replies")
+        ro = RO.rollout(base, key="question_key", max_depth=max_depth, auditor=auditor, mode=mode, text_col=trace_col, generator_model=generator_model)
+    else:
+        raise ValueError("give completions (recorded), generate and audit (live) or trace_col (replay)")
     tr = RO.rollout_transitions(ro, key="question_key", keep=keep)
     pt = pt_io.to_pt_rows(tr, split)
     if save_path:
@@ -56,6 +58,44 @@ def build_pt_dataset(questions: DataFrame, *, completions: DataFrame | None = No
     return pt
 
 
+def recorded_rollout(questions: DataFrame, completions: DataFrame, replies: DataFrame | None = None, *, max_depth: int = 3, rules=("repeat",),
+                     mode: str = "auto", generator_model: str = "recorded") -> DataFrame:
+    """F4 over recorded tables: every question is a row, one without a completion stops as ``missing_completion``."""
+    base = questions.join(RO.gather_traces(completions, "question_key", max_depth, "_completions", mode), "question_key", "left")
+    auditor = RO.rubric_auditor(rules)
+    if replies is not None:
+        base = base.join(RO.gather_replies(replies, "question_key", max_depth, "_replies"), "question_key", "left")
+        auditor = RO.recorded_auditor("_replies")
+    return RO.rollout(base, key="question_key", max_depth=max_depth, auditor=auditor, mode=mode, completions_col="_completions",
+                      generator_model=generator_model)
+
+
+def rollout_live(questions: DataFrame, generate, audit, *, max_depth: int = 3, mode: str = "auto", template: str | None = None,
+                 system_prompt: str | None = None, parallelism: int | None = None, generator_model: str = "live") -> DataFrame:
+    """F4 with user callables, called once a depth for the questions still running: ``generate`` as in
+    ``batch_completion``, ``audit`` as in ``user_replies``.
+
+    Each depth's completions and replies are written to the shared folder before anything reads
+    them, so no retry or later depth calls again; a call that fails is a row with its error.
+    The state of the questions is always the recorded rollout of what is written.
+    """
+    completions = replies = None
+    active = questions.select("question_key", "question", F.lit("").alias("prefix"))
+    for depth in range(1, max_depth + 1):
+        said = batch_completion(completion_requests(active, "prefix", system_prompt), generate, depth, parallelism)
+        said = write_shared(said, f"completions-{depth}")
+        traces = build_traces(said, mode).select("question_key", "steps").join(active, "question_key")
+        judged = user_replies(traces, audit, template, parallelism, key="question_key").withColumn("depth", F.lit(depth))
+        judged = write_shared(judged, f"replies-{depth}")
+        completions = said if completions is None else completions.unionByName(said)
+        replies = judged if replies is None else replies.unionByName(judged)
+        if depth < max_depth:
+            state = recorded_rollout(questions, completions, replies, max_depth=depth + 1, mode=mode)
+            going = state.where(F.col("stopped_by") == "missing_completion")
+            active = write_shared(going.select("question_key", "question", F.col("next_prefix").alias("prefix")), f"active-{depth}")
+    return recorded_rollout(questions, completions, replies, max_depth=max_depth, mode=mode, generator_model=generator_model)
+
+
 def evaluate_models(questions: DataFrame, base: DataFrame, pruned: DataFrame, benchmark_name: str = "custom",
                     max_samples: int | None = None):
     """Pair each question's base and pruned completion, score, and summarise.

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from tracetrim.functions.segment import segment
 from tracetrim.functions.text import word_count
 from tracetrim.operators.format import DEFAULT_SYSTEM_PROMPT, continuation_prompt
+from tracetrim.operators.frames import row_safe
+from tracetrim.session import ship_package
 
 ERROR_PREFIX = "Error during generation: "
 COMPLETION_SCHEMA = "question_key long, depth int, text string, usage_tokens int, error string"
@@ -50,28 +52,21 @@ def completion_requests(questions: DataFrame, prefix_col: str | None = None, sys
 def batch_completion(requests: DataFrame, complete_fn, depth: int = 1, parallelism: int | None = None) -> DataFrame:
     """D3: run ``complete_fn(pandas.DataFrame) -> pandas.DataFrame[text, usage_tokens, error]``
     over Arrow batches.  ``parallelism`` bounds concurrent clients (the thread-pool knob)
-    by repartitioning before the Python stage.  Failures belong in ``error``, not raised.
+    by repartitioning before the Python stage.  If the callable raises, the batch's rows are
+    given to it one at a time, and those that fail again become rows with their ``error``.
     """
+    ship_package(requests.sparkSession)
     req = requests.repartition(parallelism) if parallelism else requests
 
     def run(batches):
-        import pandas as pd
-        for pdf in batches:
-            res = complete_fn(pdf)
-            yield pd.DataFrame({
-                "question_key": pdf["question_key"].astype("int64").values,
-                "depth": depth,
-                "text": res["text"].values,
-                "usage_tokens": res["usage_tokens"].values,
-                "error": res["error"].values,
-            })
+        def one(pdf):
+            return complete_fn(pdf).reset_index(drop=True).assign(question_key=pdf["question_key"].values, depth=depth)
 
-    return req.mapInPandas(run, COMPLETION_SCHEMA)
+        def failed(row, message):
+            return row[["question_key"]].assign(depth=depth, text=None, usage_tokens=None, error=message)
 
+        for pdf in batches:
+            for out in row_safe(one, pdf, failed, ["question_key", "depth", "text", "usage_tokens", "error"]):
+                yield out.astype({"question_key": "int64", "depth": "int32", "usage_tokens": "Int32"})
 
-def echo_completion(pdf):
-    """A deterministic stand-in generator for tests: echoes the prompt's first line."""
-    import pandas as pd
-    text = pdf["prompt"].str.split("\n").str[0]
-    return pd.DataFrame({"text": text, "usage_tokens": pd.array([None] * len(pdf), dtype="Int32"),
-                         "error": [None] * len(pdf)})
+    return req.mapInPandas(run, COMPLETION_SCHEMA)

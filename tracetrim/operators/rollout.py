@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from tracetrim.functions.segment import segment
 from tracetrim.functions.text import py_strip, word_count
 from tracetrim.functions.reply import MISSING_REPLY_REASON, with_parsed_reply
-from tracetrim.operators.audit import guard, next_step, no_skip, skipped_steps, usable, validate, with_reply_decision
+from tracetrim.operators.audit import CALL_ERROR, guard, next_step, no_skip, skipped_steps, usable, validate, with_reply_decision
 from tracetrim.operators.completions import ERROR_PREFIX
 from tracetrim.operators.rubric import with_rubric_decision
 from tracetrim.operators.transitions import example_id, input_x
@@ -95,7 +95,12 @@ def gather_replies(replies: DataFrame, key: str, max_depth: int, out: str, raw_c
     """E1-E3 once per reply record (long form), then one row per key with
     MAP<depth, STRUCT<raw_null, parsed>>; only span validation is left per depth."""
     rows = with_parsed_reply(replies.where(F.col("depth").between(1, max_depth)), raw_col, "parsed")
-    rows = rows.select(key, "depth", F.col(raw_col).isNull().alias("raw_null"), "parsed")
+    failed = F.col("error") if "error" in replies.columns else F.lit(None).cast("string")
+    p = F.col("parsed")
+    call = F.struct(F.lit("error").alias("parse_status"), F.lit(False).alias("can_skip"), p["skip_start_idx"].alias("skip_start_idx"),
+                    p["skip_end_idx"].alias("skip_end_idx"), F.concat(F.lit(CALL_ERROR), failed).alias("reason"))
+    rows = rows.withColumn("parsed", F.when(failed.isNotNull(), call).otherwise(p))
+    rows = rows.select(key, "depth", (F.col(raw_col).isNull() & failed.isNull()).alias("raw_null"), "parsed")
     return gather_by_depth(rows, key, max_depth, ["raw_null", "parsed"], out)
 
 
@@ -186,9 +191,9 @@ def rollout(traces: DataFrame, *, key: str = "trace_id", question: str = "questi
         )
 
     logs = F.filter(F.array(*[F.col(f"_log{d}") for d in range(1, max_depth + 1)]), lambda x: x.isNotNull())
-    drop = [c for c in df.columns if c.startswith("_") and c not in ("_kept", "_stop")]
+    drop = [c for c in df.columns if c.startswith("_") and c not in ("_kept", "_stop", "_prefix")]
     return (df.withColumn("_logs", logs).drop(*drop)
-              .withColumnRenamed("_kept", "final_steps").withColumnRenamed("_stop", "stopped_by")
+              .withColumnRenamed("_kept", "final_steps").withColumnRenamed("_stop", "stopped_by").withColumnRenamed("_prefix", "next_prefix")
               .withColumnRenamed("_logs", "log")
               .withColumn("decision_model", F.lit(getattr(auditor, "model", "custom")))
               .withColumn("generator_model", F.lit(generator_model)))

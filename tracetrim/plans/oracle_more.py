@@ -6,7 +6,6 @@ from tracetrim.plans import oracle_audit as OA
 from tracetrim.plans import oracle_views as V
 from tracetrim.plans import sqlfrag as S
 from tracetrim.sources import benchmarks as BM
-from tracetrim.sources.views import REPLY_CASES
 
 q = OA._q
 
@@ -141,14 +140,13 @@ ORACLE["completion_errors"] = TRACES + """SELECT question_key, depth, full_text,
 FROM trs WHERE is_error"""
 
 # ---------------------------------------------------------------- recorded rollout (F4 recorded, F8)
-_REPLY_LIST = "list_value(" + ", ".join(q(s) for s in REPLY_CASES) + ")"
 RECORDED = V.with_views(V.V_COMPLETIONS, f"""firstq AS (
   SELECT conv_id AS question_key, arg_min(text, turn) AS question FROM conversations WHERE role = 'user' GROUP BY conv_id),
 tr AS (
   SELECT c.question_key, CAST(c.depth AS INTEGER) AS depth, f.question,
          CASE WHEN c.error IS NOT NULL THEN 'Error during generation: ' || c.error ELSE coalesce(c.text, '') END AS full_text,
          c.error IS NOT NULL AS is_error,
-         ({_REPLY_LIST})[(c.question_key + c.depth) % 12 + 1] AS raw_response
+         {V.reply_sql('c.question_key + c.depth', 'c.text')} AS raw_response
   FROM v_completions c JOIN firstq f ON f.question_key = c.question_key WHERE c.depth BETWEEN 1 AND 3),
 trs AS (SELECT *, {S.auto('full_text')} AS steps FROM tr)""", OA.parsed_layers("trs"), OA.validated_layer(guard=True), """d1 AS (
   SELECT *, (can_skip AND skip_start_idx >= 0) AS usable,
@@ -291,8 +289,60 @@ ORACLE["stream_transitions"] = RECORDED + f"""SELECT question_key, {OA.example_i
   array_to_string(steps[skip_start_idx + 1 : skip_end_idx + 1], chr(10)) AS skipped_text, reason AS skip_reason
 FROM ran WHERE usable"""
 
-# The deterministic stand-in generator echoes the first line of each prompt (the
-# question itself, since there is no prefix at depth 1).
-ORACLE["batch_completion"] = """SELECT conv_id AS question_key, CAST(1 AS INTEGER) AS depth,
-  split_part(arg_min(text, turn), chr(10), 1) AS text, CAST(NULL AS INTEGER) AS usage_tokens, CAST(NULL AS VARCHAR) AS error
-FROM conversations WHERE role = 'user' GROUP BY conv_id"""
+# The stand-in client answers with the first line of each prompt (the question itself, since there is no prefix at
+# depth 1) and fails on prompts of a length divisible by 11.
+ORACLE["batch_completion"] = """SELECT question_key, CAST(1 AS INTEGER) AS depth, CASE WHEN n % 11 <> 0 THEN split_part(q, chr(10), 1) END AS text,
+  CAST(NULL AS INTEGER) AS usage_tokens, CASE WHEN n % 11 = 0 THEN 'no answer' END AS error
+FROM (SELECT conv_id AS question_key, arg_min(text, turn) AS q, length(arg_min(text, turn)) AS n
+      FROM conversations WHERE role = 'user' GROUP BY conv_id) z"""
+
+# The live rollout's stand-ins, written out depth by depth: five steps that name the prompt's length n, the second and
+# third left out; no answer when n % 7 = 0, no verdict when the question's length is divisible by 5.
+_LIVE_STEPS = "CASE WHEN n % 7 = 0 THEN 1 ELSE 5 END"
+
+
+def _live_depth(depth: int, source: str) -> str:
+    error = "'Error during generation: no answer'"
+    skips = "(n % 7 <> 0 AND length(question) % 5 <> 0)"
+    return f"""d{depth} AS (
+  SELECT question_key, question, prefix, n, CAST({depth} AS INTEGER) AS depth, CAST({_LIVE_STEPS} AS INTEGER) AS n_steps, n % 7 = 0 AS is_error,
+         {skips} AS can_skip,
+         CASE WHEN n % 7 = 0 THEN {q(OA.R.SHORT_TRACE_REASON)} WHEN length(question) % 5 = 0 THEN 'Decision call error: no verdict' ELSE 'twice' END AS reason,
+         CASE WHEN n % 7 = 0 THEN 'short_trace' WHEN length(question) % 5 = 0 THEN 'error' ELSE 'skip' END AS outcome,
+         CASE WHEN {skips} THEN question || chr(10) || CASE WHEN prefix <> '' THEN prefix || ' ' ELSE '' END || 'Alpha ' || n || '.' END AS input_x,
+         CASE WHEN {skips} THEN 'Gamma ' || n || '.' ELSE '' END AS next_step
+  FROM {source})"""
+
+
+_LIVE_NEXT = """s2 AS (
+  SELECT question_key, question, prefix, length(question || chr(10) || chr(10) || '[Previous Steps]:' || chr(10) || prefix || chr(10) || chr(10)
+                                               || '[Continue reasoning from here]:') AS n
+  FROM (SELECT question_key, question, 'Alpha ' || n || '. Gamma ' || n || '.' AS prefix FROM d1 WHERE can_skip) z)"""
+ORACLE["rollout_live"] = V.with_views("""s1 AS (
+  SELECT question_key, question, '' AS prefix, length(question) AS n
+  FROM (SELECT conv_id AS question_key, arg_min(text, turn) AS question FROM conversations WHERE role = 'user' GROUP BY conv_id) z)""",
+    _live_depth(1, "s1"), _LIVE_NEXT, _live_depth(2, "s2")) + """SELECT question_key, depth, n_steps, is_error, prefix, can_skip, reason, outcome, input_x, next_step
+FROM (SELECT * FROM d1 UNION ALL SELECT * FROM d2) z"""
+
+ORACLE["user_audit"] = V.with_views(f"st AS (SELECT doc_id AS trace_id, {S.auto('text')} AS steps FROM documents)",
+    "c AS (SELECT trace_id, CAST(len(steps) AS INTEGER) AS n_steps FROM st)") + f"""SELECT trace_id, n_steps,
+  CASE WHEN n_steps <= 1 THEN 'short_trace' WHEN n_steps % 3 = 0 THEN 'error' WHEN n_steps >= 4 THEN 'skip' ELSE 'no_skip' END AS outcome,
+  n_steps >= 4 AND n_steps % 3 <> 0 AS can_skip,
+  CAST(CASE WHEN n_steps >= 4 AND n_steps % 3 <> 0 THEN 0 ELSE -1 END AS INTEGER) AS skip_start_idx,
+  CAST(CASE WHEN n_steps >= 4 AND n_steps % 3 <> 0 THEN 0 ELSE -1 END AS INTEGER) AS skip_end_idx,
+  CASE WHEN n_steps <= 1 THEN {q(OA.R.SHORT_TRACE_REASON)} WHEN n_steps % 3 = 0 THEN 'Decision call error: no verdict'
+       WHEN n_steps >= 4 THEN '' ELSE {q(OA.R.NO_SKIP_DEFAULT_REASON)} END AS reason
+FROM c"""
+
+# By the contract: of repeated keys the last counts, a huge index is out of range, NaN is truthy, an infinity no index.
+ORACLE["reply_edges"] = V.with_views(f"st AS (SELECT doc_id AS trace_id, coalesce(text, '') AS reason_text, {S.auto('text')} AS steps FROM documents)",
+    "c AS (SELECT *, trace_id % 4 AS k, len(steps) AS n FROM st)") + f"""SELECT trace_id, CASE WHEN k = 3 THEN 'error' ELSE 'json' END AS parse_status,
+  CASE k WHEN 1 THEN '123456789012345678901' WHEN 3 THEN '-1' ELSE '1' END AS start_text, CAST(n AS INTEGER) AS n_steps,
+  CASE WHEN k = 3 THEN 'error' WHEN k = 1 OR n < 2 THEN 'invalid_index' ELSE 'skip' END AS outcome,
+  (k IN (0, 2) AND n >= 2) AS can_skip,
+  CAST(CASE WHEN k IN (0, 2) AND n >= 2 THEN 1 ELSE -1 END AS INTEGER) AS skip_start_idx,
+  CAST(CASE WHEN k IN (0, 2) AND n >= 2 THEN 1 ELSE -1 END AS INTEGER) AS skip_end_idx,
+  CASE WHEN k = 3 THEN {q(OA.R.ERROR_REASON)}
+       WHEN k = 1 THEN 'Invalid skip index: 123456789012345678901 outside [0, ' || CAST(n - 1 AS VARCHAR) || '].'
+       WHEN n < 2 THEN 'Invalid skip index: 1 outside [0, ' || CAST(n - 1 AS VARCHAR) || '].' ELSE reason_text END AS reason
+FROM c"""

@@ -1,5 +1,19 @@
 """DuckDB SQL for the derived views (same rows as ``tracetrim.sources.views``)."""
 
+from tracetrim.sources.views import REPLY_CASES
+
+
+def _q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def reply_sql(number: str, text: str, cases=REPLY_CASES) -> str:
+    """The reply form ``number % len(cases)`` around ``text``."""
+    body = f"coalesce({text}, '')"
+    forms = {"inside": "{h} || CAST(to_json({b}) AS VARCHAR) || {t}", "before": "{b} || {t}", "after": "{h} || {b} || {t}"}
+    return f"CASE ({number}) % {len(cases)} " + " ".join(
+        f"WHEN {k} THEN " + forms[how].format(h=_q(head), t=_q(tail), b=body) for k, (how, head, tail) in enumerate(cases)) + " END"
+
 V_TRACES = """v_traces AS (
   SELECT lpad(CAST(conv_id AS VARCHAR), 19, '0') || '-' || lpad(CAST(turn AS VARCHAR), 19, '0') AS trace_id, text AS question, next_text AS full_text
   FROM (SELECT conv_id, turn, role, text,
@@ -15,20 +29,8 @@ V_DOC_TRACES = """v_doc_traces AS (
          CASE WHEN doc_id % 10 = 9 THEN NULL WHEN doc_id % 10 = 8 THEN 'B' ELSE '#### ' || CAST(doc_id * 7 AS VARCHAR) END AS ground_truth
   FROM documents)"""
 
-V_REPLIES = """v_replies AS (
-  SELECT doc_id AS trace_id, CASE doc_id % 12
-    WHEN 0 THEN repeat(chr(96), 3) || 'json' || chr(10) || '{"can_skip": true, "skip_start_idx": 1, "skip_end_idx": 2, "reason": "restates"}' || chr(10) || repeat(chr(96), 3)
-    WHEN 1 THEN 'Verdict: {"can_skip": true, "skip_start_idx": 0, "skip_end_idx": 0, "reason": "preamble"}'
-    WHEN 2 THEN '{"can_skip": false, "reason": "all essential"}'
-    WHEN 3 THEN '{"can_skip": false}'
-    WHEN 4 THEN '{"can_skip": true, "skip_start_idx": 9999, "reason": "beyond the end"}'
-    WHEN 5 THEN '{"can_skip": true, "skip_start_idx": 3, "skip_end_idx": 1, "reason": "end before start"}'
-    WHEN 6 THEN '{"can_skip": true, "skip_start_idx": "2", "reason": "index as text"}'
-    WHEN 7 THEN '{"can_skip": "false", "skip_start_idx": 2.7, "reason": "truthy text"}'
-    WHEN 8 THEN '{"can_skip": true, "skip_start_idx": 1, "skip_end_idx": null}'
-    WHEN 9 THEN 'I believe it is true that step 1 can go'
-    WHEN 10 THEN 'false, although one might say true'
-    ELSE '{"can_skip": true, "meta": {"a": 1}, "skip_start_idx": 1}' END AS raw_response
+V_REPLIES = f"""v_replies AS (
+  SELECT doc_id AS trace_id, {reply_sql('doc_id', 'text')} AS raw_response
   FROM documents)"""
 
 V_COMPLETIONS = """v_completions AS (

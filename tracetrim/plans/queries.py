@@ -82,7 +82,7 @@ def _docs_with_reply(spark, sf_dir):
     return docs.select(
         F.col("doc_id").alias("trace_id"),
         segment("text", "auto").alias("steps"),
-        views.reply_case(F.col("doc_id")).alias("raw_response"),
+        views.reply_case(F.col("doc_id"), F.col("text")).alias("raw_response"),
     )
 
 
@@ -113,7 +113,18 @@ def q_extract_json_payload(spark, sf_dir):
 @register("parse_decision")
 def q_parse_decision(spark, sf_dir):
     r = R.with_parsed_reply(views.v_replies(spark, sf_dir), "raw_response", "p")
-    return r.select("trace_id", "p.parse_status", "p.can_skip", "p.skip_start_idx", "p.skip_end_idx", "p.reason")
+    return r.select("trace_id", "p.parse_status", "p.can_skip", F.col("p.skip_start_idx").cast("int").alias("skip_start_idx"),
+                    F.col("p.skip_end_idx").cast("int").alias("skip_end_idx"), "p.reason")
+
+
+@register("reply_edges")
+def q_reply_edges(spark, sf_dir):
+    """E2 at the edges of JSON, around each document's text: repeated keys, a huge index, NaN and -Infinity."""
+    docs = read_table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("trace_id"), segment("text", "auto").alias("steps"),
+        views.reply_case(F.col("doc_id"), F.col("text"), views.EDGE_CASES).alias("raw_response"))
+    t = R.with_parsed_reply(docs, "raw_response", "p").withColumn("decision", A.validate(F.col("p"), F.col("steps")))
+    return t.select("trace_id", "p.parse_status", F.col("p.skip_start_idx").cast("string").alias("start_text"), *_decision_cols())
 
 
 @register("parse_fallback")
@@ -413,7 +424,62 @@ def _first_questions(spark, sf_dir):
 @register("batch_completion")
 def q_batch_completion(spark, sf_dir):
     req = CP.completion_requests(_first_questions(spark, sf_dir))
-    return CP.batch_completion(req, CP.echo_completion, depth=1)
+    return CP.batch_completion(req, _first_line, depth=1)
+
+
+def _first_line(pdf):
+    """A stand-in client: answers with the prompt's first line, and fails on prompts of a length divisible by 11."""
+    import pandas as pd
+
+    if (pdf["prompt"].str.len() % 11 == 0).any():
+        raise ValueError("no answer")
+    return pd.DataFrame({"text": pdf["prompt"].str.split("\n").str[0], "usage_tokens": None, "error": None})
+
+
+def _numbered_plan(pdf):
+    """A stand-in generator: five steps that name the prompt's length; fails when that is divisible by 7."""
+    import pandas as pd
+
+    n = pdf["prompt"].str.len()
+    if (n % 7 == 0).any():
+        raise ValueError("no answer")
+    text = "Alpha " + n.astype(str) + ". Beta. Beta. Gamma " + n.astype(str) + ". Omega."
+    return pd.DataFrame({"text": text, "usage_tokens": None, "error": None})
+
+
+def _skip_second(pdf):
+    """A stand-in auditor: leaves out the second and third step; fails on questions of a length divisible by 5."""
+    import pandas as pd
+
+    if (pdf["question"].str.len() % 5 == 0).any():
+        raise ValueError("no verdict")
+    return pd.DataFrame({"question_key": pdf["question_key"], "raw_response": '{"can_skip": true, "skip_start_idx": 1, "skip_end_idx": 2, "reason": "twice"}'})
+
+
+@register("rollout_live")
+def q_rollout_live(spark, sf_dir):
+    from tracetrim.operators.build import rollout_live
+
+    ro = rollout_live(_first_questions(spark, sf_dir), _numbered_plan, _skip_second, max_depth=2)
+    return RO.rollout_log(ro, "question_key").select("question_key", "depth", "n_steps", "is_error", "prefix", "can_skip", "reason", "outcome", "input_x", "next_step")
+
+
+@register("user_audit")
+def q_user_audit(spark, sf_dir):
+    """Every document's steps judged by a callable that fails on some: those get an error decision."""
+    t = views.v_doc_traces(spark, sf_dir).select("trace_id", "question", F.lit("").alias("prefix"), segment("full_text", "auto").alias("steps"))
+    return A.user_audit(t, _long_prompts).select("trace_id", *_decision_cols())
+
+
+def _long_prompts(pdf):
+    """A stand-in auditor: leaves out the first step of traces with four steps or more; fails when there are 3, 6, 9 ... steps."""
+    import pandas as pd
+
+    n = pdf["steps"].str.len()
+    if (n % 3 == 0).any():
+        raise ValueError("no verdict")
+    raw = n.map(lambda k: '{"can_skip": true, "skip_start_idx": 0}' if k >= 4 else '{"can_skip": false}')
+    return pd.DataFrame({"trace_id": pdf["trace_id"], "raw_response": raw})
 
 
 # ---------------------------------------------------------------- recorded rollout, PT build, failures
@@ -608,7 +674,7 @@ def completion_records(spark, sf_dir):
     rec = log.join(completions, ["question_key", "depth"])
     return rec.select(
         "question_key", "depth", "question", "prefix", "text", "usage_tokens", "error",
-        views.reply_case(F.col("question_key") + F.col("depth")).alias("raw_response"))
+        views.reply_case(F.col("question_key") + F.col("depth"), F.col("text")).alias("raw_response"))
 
 
 @register("stream_transitions")

@@ -61,31 +61,49 @@ def gold_case(d) -> F.Column:
             .otherwise(F.concat(F.lit("#### "), (d * 7).cast("string"))))
 
 
-# The twelve recorded auditor replies, chosen by doc_id % 12.
+# The twelve forms of a recorded auditor reply, chosen by id % 12.  Each holds the audited text:
+# "inside" as an escaped JSON string between the two parts, "before" or "after" them as it is.
 REPLY_CASES = [
-    FENCE + "json\n" + '{"can_skip": true, "skip_start_idx": 1, "skip_end_idx": 2, "reason": "restates"}' + "\n" + FENCE,
-    'Verdict: {"can_skip": true, "skip_start_idx": 0, "skip_end_idx": 0, "reason": "preamble"}',
-    '{"can_skip": false, "reason": "all essential"}',
-    '{"can_skip": false}',
-    '{"can_skip": true, "skip_start_idx": 9999, "reason": "beyond the end"}',
-    '{"can_skip": true, "skip_start_idx": 3, "skip_end_idx": 1, "reason": "end before start"}',
-    '{"can_skip": true, "skip_start_idx": "2", "reason": "index as text"}',
-    '{"can_skip": "false", "skip_start_idx": 2.7, "reason": "truthy text"}',
-    '{"can_skip": true, "skip_start_idx": 1, "skip_end_idx": null}',
-    "I believe it is true that step 1 can go",
-    "false, although one might say true",
-    '{"can_skip": true, "meta": {"a": 1}, "skip_start_idx": 1}',
+    ("inside", FENCE + "json\n" + '{"can_skip": true, "skip_start_idx": 1, "skip_end_idx": 2, "reason": ', "}\n" + FENCE),
+    ("after", 'Verdict: {"can_skip": true, "skip_start_idx": 0, "skip_end_idx": 0, "reason": "preamble"} ', ""),
+    ("inside", '{"can_skip": false, "reason": ', "}"),
+    ("before", "", '\n{"can_skip": false}'),
+    ("inside", '{"can_skip": true, "skip_start_idx": 9999, "reason": ', "}"),
+    ("before", "", '\n{"can_skip": true, "skip_start_idx": 3, "skip_end_idx": 1, "reason": "end before start"}'),
+    ("inside", '{"can_skip": true, "skip_start_idx": "2", "reason": ', "}"),
+    ("inside", '{"can_skip": "false", "skip_start_idx": 2.7, "reason": ', "}"),
+    ("before", "", '\n{"can_skip": true, "skip_start_idx": 1, "skip_end_idx": null}'),
+    ("after", "I believe it is true that step 1 can go\n", ""),
+    ("after", "false, although one might say true: ", ""),
+    ("after", '{"can_skip": true, "meta": {"a": 1}, "skip_start_idx": 1}\n', ""),
 ]
+# Replies at the edges of JSON, chosen by id % 4: repeated keys, an index beyond 64 bits, not-a-number twice.
+EDGE_CASES = [
+    ("inside", '{"can_skip": false, "can_skip": true, "skip_start_idx": 7, "skip_start_idx": 1, "reason": ', "}"),
+    ("inside", '{"can_skip": true, "skip_start_idx": 123456789012345678901, "reason": ', "}"),
+    ("inside", '{"can_skip": NaN, "skip_start_idx": 1, "reason": ', "}"),
+    ("inside", '{"can_skip": true, "skip_start_idx": -Infinity, "reason": ', "}"),
+]
+
+
+def reply_case(number, text, cases=REPLY_CASES) -> F.Column:
+    """The reply form ``number % len(cases)`` around ``text``."""
+    body = F.coalesce(text, F.lit(""))
+    quoted = F.to_json(F.array(body))
+    forms = {"inside": F.substring(quoted, F.lit(2), F.length(quoted) - 2), "before": body, "after": body}
 
+    def one(how, head, tail):
+        return F.concat(*([forms[how], F.lit(tail)] if how == "before" else [F.lit(head), forms[how], F.lit(tail)]))
 
-def reply_case(doc_id) -> F.Column:
-    cases = F.array(*[F.lit(s) for s in REPLY_CASES])
-    return F.element_at(cases, (doc_id % 12 + 1).cast("int"))
+    out = F.lit(None).cast("string")
+    for k, case in enumerate(cases):
+        out = F.when(number % len(cases) == k, one(*case)).otherwise(out)
+    return out
 
 
 def v_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    return docs.select(F.col("doc_id").alias("trace_id"), reply_case(F.col("doc_id")).alias("raw_response"))
+    return docs.select(F.col("doc_id").alias("trace_id"), reply_case(F.col("doc_id"), F.col("text")).alias("raw_response"))
 
 
 def v_completions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,4 +194,4 @@ def v_responses(rolled: DataFrame) -> DataFrame:
 def v_rollout_replies(completions: DataFrame) -> DataFrame:
     """Recorded auditor replies for every recorded completion, keyed (question_key, depth)."""
     return completions.select("question_key", "depth",
-                              reply_case(F.col("question_key") + F.col("depth")).alias("raw_response"))
+                              reply_case(F.col("question_key") + F.col("depth"), F.col("text")).alias("raw_response"))
