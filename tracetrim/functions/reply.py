@@ -114,7 +114,7 @@ def _text_of(field: Column) -> Column:
 def _index(v: Column, path: str) -> Column:
     """An index as a whole number of any size; null where ``int()`` would fail."""
     field = F.try_variant_get(v, path, "variant")
-    large = F.schema_of_variant(field).startswith("DECIMAL") | F.schema_of_variant(field).startswith("DOUBLE")
+    large = F.schema_of_variant(field).rlike("^(DECIMAL|DOUBLE)")
     return F.coalesce(F.try_variant_get(v, path, "bigint").cast(INDEX), F.when(large, F.try_variant_get(v, path, INDEX)))
 
 

@@ -90,15 +90,10 @@ def reply_case(number, text, cases=REPLY_CASES) -> F.Column:
     """The reply form ``number % len(cases)`` around ``text``."""
     body = F.coalesce(text, F.lit(""))
     quoted = F.to_json(F.array(body))
-    forms = {"inside": F.substring(quoted, F.lit(2), F.length(quoted) - 2), "before": body, "after": body}
-
-    def one(how, head, tail):
-        return F.concat(*([forms[how], F.lit(tail)] if how == "before" else [F.lit(head), forms[how], F.lit(tail)]))
-
-    out = F.lit(None).cast("string")
-    for k, case in enumerate(cases):
-        out = F.when(number % len(cases) == k, one(*case)).otherwise(out)
-    return out
+    k = (F.pmod(number, F.lit(len(cases))) + 1).cast("int")
+    inside = k.isin(*[i + 1 for i, (how, _, _) in enumerate(cases) if how == "inside"])
+    part = lambda at: F.element_at(F.array(*[F.lit(case[at]) for case in cases]), k)
+    return F.concat(part(1), F.when(inside, F.substring(quoted, F.lit(2), F.length(quoted) - 2)).otherwise(body), part(2))
 
 
 def v_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
