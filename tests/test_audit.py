@@ -1,32 +1,41 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tests import pyref
 from tracetrim.functions import reply as R
 from tracetrim.operators import audit as A
 from tracetrim.operators.transitions import extract_transitions, example_id
 
 FENCE = "`" * 3
-REPLIES = [
-    FENCE + 'json\n{\n  "can_skip": true,\n  "skip_start_idx": 1,\n  "skip_end_idx": 1,\n  "reason": "Step 1 is redundant filler."\n}\n' + FENCE,
-    '{"can_skip": false, "reason": "All steps essential."}',
-    "[1]", '{"can_skip": tru', "{'can_skip': true}", "", "no json here but true", "false, although true",
-    '{"can_skip": true, "skip_start_idx": "2"}', '{"can_skip": true, "skip_start_idx": "2.7"}',
-    '{"can_skip": true, "skip_start_idx": 2.7}', '{"can_skip": true, "skip_start_idx": true}',
-    '{"can_skip": true, "skip_start_idx": null}', '{"can_skip": true, "skip_start_idx": 1, "skip_end_idx": null}',
-    '{"can_skip": "false", "skip_start_idx": 1}', '{"can_skip": 0, "skip_start_idx": 1}', '{"can_skip": [], "skip_start_idx": 1}',
-    '{"can_skip": {"a": 1}, "skip_start_idx": 1}', "12 34", '"just text"', "x {\"can_skip\": true, \"skip_start_idx\": 0} y",
-    '{"can_skip": true, "meta": {"a": 1}, "skip_start_idx": 1}',
+JSON_START = '{"can_skip": true, "skip_start_idx": '
+# (reply, status, can_skip, start, end), worked out by hand from the contract.
+EXPECTED = [
+    (FENCE + 'json\n{"skip_end_idx": 4,\n "skip_start_idx": 2, "can_skip": true, "reason": "said before"}\n' + FENCE, "json", True, 2, 4),
+    ('Sure. {"can_skip": false, "reason": "nothing to drop"} Bye.', "json", False, -1, -1),
+    ("{}", "json", False, -1, -1), ("[1, 2]", "error", False, -1, -1), ("17", "error", False, -1, -1), ('"true"', "error", False, -1, -1),
+    ("null", "error", False, -1, -1), ("NaN", "error", False, -1, -1), ("3 4", "fallback", False, -1, -1), ("[1][2]", "fallback", False, -1, -1),
+    ('{"can_skip": yes}', "fallback", False, -1, -1), ("{can_skip: true}", "fallback", True, -1, -1), ("", "fallback", False, -1, -1),
+    ("TRUE, drop it", "fallback", True, -1, -1), ("not false but true in the end", "fallback", False, -1, -1),
+    ("x" * 30 + " false and true", "fallback", True, -1, -1),
+    (JSON_START + "5}", "json", True, 5, 5), (JSON_START + '"6"}', "json", True, 6, 6), (JSON_START + '" 6 "}', "json", True, 6, 6),
+    (JSON_START + '"6.5"}', "error", False, -1, -1), (JSON_START + "6.9}", "json", True, 6, 6), (JSON_START + "-1.5}", "json", True, -1, -1),
+    (JSON_START + "true}", "json", True, 1, 1), (JSON_START + "null}", "error", False, -1, -1), (JSON_START + "[1]}", "error", False, -1, -1),
+    (JSON_START + '1, "skip_end_idx": null}', "error", False, -1, -1), (JSON_START + '1, "skip_end_idx": "x"}', "error", False, -1, -1),
+    ('{"can_skip": "no", "skip_start_idx": 1}', "json", True, 1, 1), ('{"can_skip": "", "skip_start_idx": 1}', "json", False, -1, -1),
+    ('{"can_skip": 0.0, "skip_start_idx": 1}', "json", False, -1, -1), ('{"can_skip": [0], "skip_start_idx": 1}', "json", True, 1, 1),
+    ('{"can_skip": true}', "json", True, -1, -1), ('{"can_skip": 1, "note": {"deep": 1}, "skip_start_idx": 1}', "fallback", False, -1, -1),
+    # repeated keys, numbers beyond 32 and 64 bits, numbers that JSON has not
+    ('{"can_skip": false, "skip_start_idx": 9, "can_skip": true, "skip_start_idx": 3}', "json", True, 3, 3),
+    (JSON_START + "3000000000}", "json", True, 3000000000, 3000000000), (JSON_START + "99999999999999999999}", "json", True, 99999999999999999999, 99999999999999999999),
+    ('{"can_skip": NaN, "skip_start_idx": 2}', "json", True, 2, 2), (JSON_START + "Infinity}", "error", False, -1, -1),
 ]
 
 
-def test_parse_matches_python_model(spark):
-    df = spark.createDataFrame([(i, r) for i, r in enumerate(REPLIES)], "i int, raw string")
-    out = {r.i: r for r in R.with_parsed_reply(df, "raw", "p").select("i", "p.*").collect()}
-    for i, raw in enumerate(REPLIES):
-        st, can, s, e = pyref.parse(raw)
-        got = out[i]
-        assert (got.parse_status, got.can_skip, got.skip_start_idx, got.skip_end_idx) == (st, can, s, e), raw
+def test_parsed_replies(spark):
+    df = spark.createDataFrame([(i, r[0]) for i, r in enumerate(EXPECTED)], "i int, raw string")
+    got = {r.i: r for r in R.with_parsed_reply(df, "raw", "p").select("i", "p.*").collect()}
+    for i, (raw, *want) in enumerate(EXPECTED):
+        r = got[i]
+        assert [r.parse_status, r.can_skip, r.skip_start_idx, r.skip_end_idx] == want, raw
 
 
 def test_reason_text(spark):
@@ -39,16 +48,18 @@ def test_reason_text(spark):
     assert got == ["True", "5", "None", "", None]
 
 
-def test_pinned_parse_and_span(spark):
-    steps = ["Step 0: Start.", "Step 1: Unneeded fluff.", "Step 2: Final answer."]
-    df = spark.createDataFrame([(REPLIES[0], steps), (REPLIES[1], ["Step 0", "Step 1"])], "raw string, steps array<string>")
+def test_parse_and_span(spark):
+    steps = ["The bus has 9 seats.", "Buses are often red.", "So 9 people sit."]
+    raw = FENCE + '\n' + JSON_START + '1, "reason": "colour is beside the point"}\n' + FENCE
+    df = spark.createDataFrame([(0, raw, steps), (1, '{"can_skip": false, "reason": "all needed"}', steps[:2]),
+                                (2, JSON_START + "4000000000}", steps)], "i int, raw string, steps array<string>")
     d = A.with_reply_decision(df, "raw", "steps").select(
-        "decision.*", A.skipped_steps(F.col("decision"), F.col("steps")).alias("sk"),
-        A.next_step(F.col("decision"), F.col("steps")).alias("nx")).collect()
-    assert d[0].can_skip and d[0].skip_start_idx == 1 and d[0].skip_end_idx == 1
-    assert d[0].sk == ["Step 1: Unneeded fluff."] and d[0].nx == "Step 2: Final answer."
-    assert "redundant filler" in d[0].reason
-    assert d[1].can_skip is False and d[1].reason == "All steps essential."
+        "i", "decision.*", A.skipped_steps(F.col("decision"), F.col("steps")).alias("sk"),
+        A.next_step(F.col("decision"), F.col("steps")).alias("nx")).orderBy("i").collect()
+    assert (d[0].can_skip, d[0].skip_start_idx, d[0].skip_end_idx, d[0].reason) == (True, 1, 1, "colour is beside the point")
+    assert d[0].sk == [steps[1]] and d[0].nx == steps[2]
+    assert (d[1].can_skip, d[1].reason, d[1].sk) == (False, "all needed", [])
+    assert (d[2].outcome, d[2].reason) == ("invalid_index", "Invalid skip index: 4000000000 outside [0, 2].")
 
 
 @pytest.mark.parametrize("n,start,end,outcome,exp_end,next_empty", [
@@ -72,16 +83,13 @@ def test_validate_edges(spark, n, start, end, outcome, exp_end, next_empty):
     assert (r.nx == "") == next_empty
 
 
-def test_extract_transition_pinned(spark):
-    steps = ["Step 0: First term is 5.", "Step 1: 5 is prime.", "Step 2: 5 + 5 = 10."]
-    df = spark.createDataFrame([("What is 5+5?", "", steps)], "question string, prefix string, steps array<string>")
-    df = df.withColumn("decision", A.decision(True, 1, 1, "Irrelevant property of 5.", "skip"))
+def test_extract_transition(spark):
+    steps = ["A week has 7 days.", "Monday is a day.", "Two weeks have 14."]
+    df = spark.createDataFrame([("How many days?", "", steps)], "question string, prefix string, steps array<string>")
+    df = df.withColumn("decision", A.decision(True, 1, 1, "no use", "skip"))
     t = extract_transitions(df).first()
-    assert t.depth == 1
-    assert "Step 0: First term is 5." in t.input_x
-    assert t.target_y == "Step 2: 5 + 5 = 10."
-    assert t.skipped_steps == ["Step 1: 5 is prime."]
-    assert t.id == "trans_What_is_5+5?_d1"
+    assert (t.depth, t.input_x, t.target_y, t.skipped_steps, t.id) == (
+        1, "How many days?\nA week has 7 days.", "Two weeks have 14.", ["Monday is a day."], "trans_How_many_day_d1")
 
 
 def test_transition_prefix_rules(spark):
@@ -115,35 +123,39 @@ def test_user_audit_callable(spark):
     assert out[3].outcome == "short_trace"
 
 
-def _has_duplicate_keys(text):
-    import json
+def test_failing_callables_are_rows(spark):
+    import pandas as pd
+    from tracetrim.operators.completions import batch_completion, completion_requests
+
+    def judge(pdf):
+        if (pdf["trace_id"] == 2).any():
+            raise RuntimeError("down")
+        return pd.DataFrame({"trace_id": pdf["trace_id"], "raw_response": JSON_START + "0}"})
+
+    traces = spark.createDataFrame([(i, f"Q{i}", "", ["a", "b", "c"]) for i in range(4)], "trace_id long, question string, prefix string, steps array<string>").coalesce(1)
+    out = {r.trace_id: r for r in A.user_audit(traces, judge).select("trace_id", "decision.*").collect()}
+    assert [out[i].outcome for i in range(4)] == ["skip", "skip", "error", "skip"] and out[2].reason == "Decision call error: down"
+
+    def answer(pdf):
+        if pdf["prompt"].str.contains("Q1").any():
+            raise RuntimeError("down")
+        return pd.DataFrame({"text": "ok", "usage_tokens": 3}, index=pdf.index)
 
-    def hook(pairs):
-        if len({k for k, _ in pairs}) < len(pairs):
-            raise KeyError("dup")
-        return dict(pairs)
-    try:
-        json.loads(text, object_pairs_hook=hook)
-    except KeyError:
-        return True
-    except Exception:  # noqa: BLE001 - not JSON at all
-        return False
-    return False
+    q = spark.createDataFrame([(i, f"Q{i}") for i in range(4)], "question_key long, question string").coalesce(1)
+    got = {r.question_key: (r.text, r.usage_tokens, r.error) for r in batch_completion(completion_requests(q), answer, depth=2).collect()}
+    assert got == {0: ("ok", 3, None), 1: (None, None, "down"), 2: ("ok", 3, None), 3: ("ok", 3, None)}
 
 
-def test_fuzz_reply_parity(spark):
-    """Random JSON-ish replies; duplicate-key objects are the documented divergence and are left out."""
+def test_unreadable_replies_never_skip(spark):
+    """Random JSON-like text: every reply gets a status, and a span only from an object that allows it."""
     import random
-    rnd = random.Random(11)
-    atoms = ['{', '}', '"can_skip"', ': ', 'true', 'false', '"2"', '2.7', 'null', ', ', '"skip_start_idx"',
-             '"skip_end_idx"', '[1]', '```json', '```', 'text ', '\n', '"reason"', '"ok"', '0', '1', '-1', '"false"', '[]', ' ']
-    texts = []
-    while len(texts) < 3000:
-        t = "".join(rnd.choice(atoms) for _ in range(rnd.randint(0, 14)))
-        if not _has_duplicate_keys(t):
-            texts.append(t)
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, raw string")
-    got = {r.i: (r.parse_status, r.can_skip, r.skip_start_idx, r.skip_end_idx)
-           for r in R.with_parsed_reply(df, "raw", "p").select("i", "p.*").collect()}
-    bad = [(t, got[i], pyref.parse(t)) for i, t in enumerate(texts) if got[i] != pyref.parse(t)]
-    assert not bad, bad[:5]
+    rnd = random.Random(12)
+    atoms = ["{", "}", '"can_skip"', ": ", "true", "false", '"8"', "8.5", "null", ", ", '"skip_start_idx"', '"skip_end_idx"', "[8]", FENCE, "words ", "\n", "0", "-8", " "]
+    texts = ["".join(rnd.choice(atoms) for _ in range(rnd.randint(0, 14))) for _ in range(1500)]
+    df = spark.createDataFrame([(t,) for t in texts], "raw string")
+    for r in R.with_parsed_reply(df, "raw", "p").select("raw", "p.*").collect():
+        assert r.parse_status in ("json", "fallback", "error")
+        if r.parse_status != "json" or not r.can_skip:
+            assert (r.skip_start_idx, r.skip_end_idx) == (-1, -1), r.raw
+        else:
+            assert "{" in r.raw and '"can_skip"' in r.raw, r.raw

@@ -4,8 +4,8 @@ import re
 
 from pyspark.sql import functions as F
 
-from tests import pyref
 from tests.conftest import SMOKE
+from tracetrim.functions.segment import segment
 from tracetrim.operators import rollout as RO
 from tracetrim.operators.reports import step_roles
 from tracetrim.operators.rubric import with_rubric_decision
@@ -47,10 +47,10 @@ def _brute_rollout(question, steps, max_depth=3):
 
 def test_replay_matches_brute_force(spark):
     traces = views.v_doc_traces(spark, SMOKE)
-    rows = traces.select("trace_id", "question", "full_text").collect()
+    rows = traces.select("trace_id", "question", segment("full_text", "auto").alias("steps")).collect()
     expected = set()
     for r in rows:
-        for depth, s, e, nxt in _brute_rollout(r.question, pyref.segment(r.full_text, "auto")):
+        for depth, s, e, nxt in _brute_rollout(r.question, r.steps):
             expected.add((r.trace_id, depth, s, e, nxt))
     got = {(r.trace_id, r.depth, r.skip_start_idx, r.skip_end_idx, r.target_y)
            for r in RO.rollout_transitions(Q.doc_rollout(spark, SMOKE)).collect()}

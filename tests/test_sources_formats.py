@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import SMOKE
@@ -6,20 +7,24 @@ from tracetrim.sources import benchmarks as BM
 from tracetrim.sources import pt_io
 
 
-def test_format_pinned_examples(spark):
-    mc = spark.createDataFrame([("Which material is conductive?", (["A", "B", "C"], ["Wood", "Copper", "Plastic"]), "B")],
+def test_format_layouts(spark):
+    mc = spark.createDataFrame([("Which floats?", (["A", "B", "C"], ["Iron", "Cork", "Lead"]), "B")],
                                "question string, choices struct<label:array<string>,text:array<string>>, answerKey string")
     r = FM.format_rows(mc).first()
-    assert "(A) Wood (B) Copper (C) Plastic" in r.question_text and r.answer_text == "B"
-    sv = spark.createDataFrame([("Dan has 5 apples.", "He eats 2 apples. How many apples are left?", "3")],
-                               "Body string, Question string, Answer string")
-    r = FM.format_rows(sv).first()
-    assert r.question_text == "Dan has 5 apples. He eats 2 apples. How many apples are left?" and r.answer_text == "3"
-    sq = spark.createDataFrame([("The Eiffel Tower in Paris was completed in 1889.", "In what year was the Eiffel Tower completed?",
-                                 (["1889"],))], "context string, question string, answers struct<text:array<string>>")
-    r = FM.format_rows(sq).first()
-    assert "Context: The Eiffel Tower in Paris" in r.question_text and "Question: In what year" in r.question_text
-    assert r.answer_text == "1889"
+    assert (r.question_text, r.answer_text) == ("Which floats? (A) Iron (B) Cork (C) Lead", "B")
+    body = spark.createDataFrame([("A shelf holds 8 books.", "Three go. How many stay?", "5")], "Body string, Question string, Answer string")
+    r = FM.format_rows(body).first()
+    assert (r.question_text, r.answer_text) == ("A shelf holds 8 books. Three go. How many stay?", "5")
+    ctx = spark.createDataFrame([("The bridge opened in 1932.", "When did it open?", (["1932"],))], "context string, question string, answers struct<text:array<string>>")
+    r = FM.format_rows(ctx).first()
+    assert (r.question_text, r.answer_text) == ("Context: The bridge opened in 1932.\n\nQuestion: When did it open?", "1932")
+
+
+def test_zero_and_false_count_as_absent(spark):
+    df = spark.createDataFrame([("q", 0, "next"), ("q", 7, "next"), ("q", None, None)], "question string, answer int, correct_answer string")
+    assert [r.answer_text for r in FM.format_rows(df).collect()] == ["next", "7", ""]
+    df = spark.createDataFrame([(False, "p", "a"), (True, "p", "a")], "question boolean, problem string, answer string")
+    assert [r.question_text for r in FM.format_rows(df).collect()] == ["p", "True"]
 
 
 def test_context_cut_and_zip(spark):
@@ -73,8 +78,12 @@ def test_load_questions_cap_and_lists(spark):
     from tracetrim.sources import views
     q = BM.load_questions(views.v_choice(spark, SMOKE), "arc_challenge", "item_id", num_samples=5).collect()
     assert [r.metadata["index"] for r in q] == [0, 1, 2, 3, 4] and q[0].id == "arc_challenge_train_0"
-    lst = BM.questions_from(["What is 2+2?", "", {"question": "Solve 5x = 25.", "dataset": "d"}], spark).collect()
-    assert [r.question for r in lst] == ["What is 2+2?", "Solve 5x = 25."]
+    lst = BM.questions_from(["Name a prime.", "", {"question": "Is 91 prime?", "dataset": "d"}, {"question": None}, {"dataset": "d"}], spark).collect()
+    assert [r.question for r in lst] == ["Name a prime.", "Is 91 prime?"]
+    with pytest.raises(ValueError):
+        BM.questions_from(spark.createDataFrame([("q",)], "question string"))
+    names = spark.createDataFrame([(" GSM8K ", ""), ("gsm8k", "mine"), ("x/y", "")], "name string, cfg string")
+    assert [r.config for r in BM.resolve_benchmarks(names, "name", "cfg").collect()] == ["main", "mine", ""]
     assert lst[0].dataset == "custom"
     pairs = BM.pair_lists(spark, ["a", "b", "c"], ["1", "2"]).collect()
     assert len(pairs) == 2
@@ -116,16 +125,28 @@ def test_build_and_evaluate_entry_points(spark):
     assert s.num_samples == samples.count() and s.base_accuracy is None
     cur = BM.questions_from("/nonexistent/gsm8k.parquet", spark, max_samples=2).collect()
     assert len(cur) == 2 and cur[0].category == "Arithmetic & Word Math"
+    assert BM.load_questions(views.v_choice(spark, SMOKE), "arc_challenge", "item_id").count() == views.v_choice(spark, SMOKE).count()
+
+
+def test_live_build(spark):
+    from tracetrim.operators.build import build_pt_dataset
+    from tracetrim.plans import queries as Q
+    qs = spark.createDataFrame([(1, "Why?", "c"), (2, "1234567", "c"), (3, "Who?", "d"), (4, "Q" * 10, "d")], "question_key long, question string, category string")
+    pt = build_pt_dataset(qs, generate=Q._numbered_plan, audit=Q._skip_second, max_depth=2).collect()
+    assert {(r.question, r.depth) for r in pt} == {("Why?", 1), ("Who?", 1), ("Why?", 2), ("Who?", 2)}
+    assert all(r.metadata.category in "cd" and r.skipped_steps == ["Beta.", "Beta."] for r in pt)
 
 
-def test_spectrum_from_paths_skips_and_falls_back(spark, tmp_path):
+def test_spectrum_from_paths_reads_or_falls_back_each(spark, tmp_path):
     from tracetrim.sources import views
     good = str(tmp_path / "arc")
     views.v_choice(spark, SMOKE).write.parquet(good)
     part = BM.spectrum_from_paths(spark, {"arc_challenge": good, "gsm8k": "/nonexistent/x"}, "item_id", 2).collect()
-    assert len(part) == 2 and {r.benchmark for r in part} == {"arc_challenge"}
-    allc = BM.spectrum_from_paths(spark, {"gsm8k": "/nonexistent/x"}, "item_id", 2).collect()
-    assert len(allc) == len(BM.CURATED_ROWS) and len({r.category for r in allc}) >= 4
+    assert sorted(r.benchmark for r in part) == ["arc_challenge"] * 2 + ["gsm8k"] * 2
+    assert {r.id for r in part if r.benchmark == "gsm8k"} == {"gsm8k_001", "gsm8k_002"}
+    none = BM.spectrum_from_paths(spark, {"gsm8k": "/nonexistent/x", "svamp": "/nonexistent/y", "zzz": "/nonexistent/z"}, "item_id", 1).collect()
+    assert sorted((r.benchmark, r.id) for r in none) == [("gsm8k", "gsm8k_001"), ("svamp", "svamp_001"), ("zzz", "gsm8k_001")]
+    assert len(BM.spectrum_from_paths(spark, None, "item_id", 1).collect()) == 6
 
 
 def test_context_answers_edges(spark):

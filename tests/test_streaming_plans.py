@@ -6,8 +6,8 @@ from tracetrim.sources import pt_io
 from tracetrim.streaming import incremental as INC
 
 PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas", "PythonUDF")
-PYTHON_QUERIES = {"batch_completion"}
-SIDE_EFFECT = {"pt_roundtrip", "stream_transitions"}
+PYTHON_QUERIES = {"batch_completion", "rollout_live", "user_audit"}
+SIDE_EFFECT = {"pt_roundtrip", "stream_transitions", "schema_check"}
 
 
 def test_stream_equals_batch(spark):
@@ -39,23 +39,36 @@ def test_entry_smoke(spark):
     assert set(E.oracle_sql()) <= set(E.queries())
 
 
-def test_row_local_queries_do_not_shuffle_by_key(spark):
-    # the only exchange allowed is the round-robin spread of a one-file input
-    for name in ("rollout_replay", "rubric_audit", "segment_auto", "validate_span"):
-        plan = Q.QUERIES[name](spark, SMOKE)._jdf.queryExecution().executedPlan().toString()
-        for line in plan.split("\n"):
-            if "Exchange" in line:
-                assert "RoundRobinPartitioning" in line, (name, line)
-
-
-def test_balance_spreads_only_small_inputs(spark, tmp_path):
-    from tracetrim.sources.tables import balance
-    one = str(tmp_path / "one")
-    spark.range(1000).coalesce(1).write.parquet(one)
-    df = spark.read.parquet(one)
-    assert balance(df, 4).rdd.getNumPartitions() == 4
-    many = str(tmp_path / "many")
-    spark.range(1000).repartition(6).write.parquet(many)
-    df6 = spark.read.parquet(many)
-    assert balance(df6, 4) is df6
-    assert sorted(r.id for r in balance(df, 4).collect()) == list(range(1000))
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_row_local_queries_do_not_shuffle(spark):
+    for name in ("rollout_replay", "rubric_audit", "segment_auto", "validate_span", "provenance", "build_pt_dataset"):
+        assert "Exchange" not in _plan(Q.QUERIES[name](spark, SMOKE)), name
+
+
+def test_reports_join_nothing(spark):
+    for name in ("depth_counts", "category_counts", "content_check", "dataset_card", "build_pt_dataset", "provenance", "eval_summary"):
+        assert "Join" not in _plan(Q.QUERIES[name](spark, SMOKE)), name
+
+
+def test_tables_are_spread_only_when_asked(spark):
+    from tracetrim.sources.tables import SPREAD_SETTING, read_table, spread
+    df = read_table(spark, SMOKE, "part")
+    assert "Exchange" not in _plan(df)
+    assert spread(df, 5).rdd.getNumPartitions() == 5
+    spark.conf.set(SPREAD_SETTING, "3")
+    try:
+        assert read_table(spark, SMOKE, "part").rdd.getNumPartitions() == 3
+    finally:
+        spark.conf.unset(SPREAD_SETTING)
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    import pytest
+    from types import SimpleNamespace
+    from tracetrim.session import checkpoint_dir
+    sc = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(RuntimeError):
+        checkpoint_dir(SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda k, d: None)))
