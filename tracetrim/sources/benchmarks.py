@@ -126,7 +126,8 @@ def load_questions(source: DataFrame, alias: str, order_col: str, split: str = "
         top = fmt.orderBy(order_col).limit(num_samples)
         positioned = top.withColumn("idx", (F.row_number().over(Window.orderBy(order_col)) - 1).cast("long"))
     else:
-        positioned = dense_position(fmt, [order_col])
+        # only the keys are sorted and written; the rows join their positions
+        positioned = fmt.join(dense_position(fmt.select(order_col), [order_col]), order_col)
     out = keep_where(positioned, F.col("question_text") != "")
     return out.select(
         F.col(order_col).alias("question_key"),
