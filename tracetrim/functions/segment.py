@@ -18,13 +18,6 @@ from tracetrim.functions.text import WS_CLASS, col_, strip_ref
 #                 apostrophe, ( or [ ; or . ! ? then one or more newlines
 #   numbered marker at a line start: "Step N:" / "Step N." / "N." / "N)" then whitespace
 #   paragraph: a blank line ("\n\n"); line: any str.splitlines() boundary
-SENTENCE_BOUNDARY = (
-    "(?U)(?<=[.!?])" + WS_CLASS + "+(?=[A-Z0-9\"'(\\[])|(?<=[.!?])\\n+"
-)
-NUMBERED_BOUNDARY = (
-    "(?mdU)(?:^|\\n)(?=(?:Step" + WS_CLASS + "*\\d+[:.]|\\d+[.)])" + WS_CLASS + "+)"
-)
-PARAGRAPH_BOUNDARY = "\\n\\n"
 # str.splitlines() boundaries: CR LF, LF, CR, VT, FF, FS, GS, RS, NEL, LINE SEP, PARAGRAPH SEP
 LINE_BOUNDARY = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"
 

@@ -49,11 +49,6 @@ def py_strip(c) -> Column:
     return let(c, strip_ref)
 
 
-def is_blank(c) -> Column:
-    """True when the text is null or only whitespace."""
-    return F.coalesce(py_strip(c) == F.lit(""), F.lit(True))
-
-
 def word_count(c) -> Column:
     """``len(s.split())``: number of whitespace-separated words (0 for null)."""
     words = F.split(py_strip(F.coalesce(col_(c), F.lit(""))), _WORD_SPLIT_RE, -1)

@@ -133,7 +133,7 @@ def user_replies(traces: DataFrame, fn, template: str | None = None, parallelism
         audit_prompt(F.col("question"), F.col("prefix"), F.col("steps"), template).alias("prompt"))
     if parallelism:
         needs = needs.repartition(parallelism)
-    return needs.mapInPandas(run, f"{key} long, raw_response string, error string")
+    return needs.mapInPandas(run, f"{key} {traces.schema[key].dataType.simpleString()}, raw_response string, error string")
 
 
 def user_audit(traces: DataFrame, fn, template: str | None = None, parallelism: int | None = None) -> DataFrame:

@@ -17,7 +17,7 @@ from tracetrim.operators.frames import row_safe
 from tracetrim.session import ship_package
 
 ERROR_PREFIX = "Error during generation: "
-COMPLETION_SCHEMA = "question_key long, depth int, text string, usage_tokens int, error string"
+COMPLETION_FIELDS = "depth int, text string, usage_tokens int, error string"
 
 
 def build_traces(completions: DataFrame, mode: str = "auto", generator_model: str = "recorded",
@@ -67,6 +67,7 @@ def batch_completion(requests: DataFrame, complete_fn, depth: int = 1, paralleli
 
         for pdf in batches:
             for out in row_safe(one, pdf, failed, ["question_key", "depth", "text", "usage_tokens", "error"]):
-                yield out.astype({"question_key": "int64", "depth": "int32", "usage_tokens": "Int32"})
+                yield out.astype({"depth": "int32", "usage_tokens": "Int32"})
 
-    return req.mapInPandas(run, COMPLETION_SCHEMA)
+    key_type = requests.schema["question_key"].dataType.simpleString()
+    return req.mapInPandas(run, f"question_key {key_type}, {COMPLETION_FIELDS}")

@@ -121,10 +121,10 @@ ORACLE["spectrum_preview"] = SPECTRUM + \
 ORACLE["spectrum_categories"] = SPECTRUM + \
     "SELECT count(*) AS n_questions, count(DISTINCT category) AS n_categories FROM spec"
 
-ORACLE["normalize_questions"] = f"""SELECT lpad(CAST(conv_id AS VARCHAR), 19, '0') || '-' || lpad(CAST(turn AS VARCHAR), 19, '0') AS question_key, {plain_question('text')} AS question,
+ORACLE["normalize_questions"] = f"""SELECT {V.TURN_KEY} AS question_key, {plain_question('text')} AS question,
   '' AS ground_truth, 'hf_dataset' AS dataset FROM conversations WHERE role = 'user' AND {plain_question('text')} <> ''"""
 
-ORACLE["eval_inputs"] = """SELECT lpad(CAST(conv_id AS VARCHAR), 19, '0') || '-' || lpad(CAST(turn AS VARCHAR), 19, '0') AS question_key, coalesce(text, 'None') AS question,
+ORACLE["eval_inputs"] = f"""SELECT {V.TURN_KEY} AS question_key, coalesce(text, 'None') AS question,
   CAST(NULL AS VARCHAR) AS ground_truth FROM conversations WHERE role = 'user'"""
 
 # ---------------------------------------------------------------- completions
@@ -293,8 +293,7 @@ FROM ran WHERE usable"""
 # depth 1) and fails on prompts of a length divisible by 11.
 ORACLE["batch_completion"] = """SELECT question_key, CAST(1 AS INTEGER) AS depth, CASE WHEN n % 11 <> 0 THEN split_part(q, chr(10), 1) END AS text,
   CAST(NULL AS INTEGER) AS usage_tokens, CASE WHEN n % 11 = 0 THEN 'no answer' END AS error
-FROM (SELECT conv_id AS question_key, arg_min(text, turn) AS q, length(arg_min(text, turn)) AS n
-      FROM conversations WHERE role = 'user' GROUP BY conv_id) z"""
+FROM (SELECT """ + V.TURN_KEY + """ AS question_key, text AS q, length(text) AS n FROM conversations WHERE role = 'user') z"""
 
 # The live rollout's stand-ins, written out depth by depth: five steps that name the prompt's length n, the second and
 # third left out; no answer when n % 7 = 0, no verdict when the question's length is divisible by 5.

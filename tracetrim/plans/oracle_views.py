@@ -7,6 +7,9 @@ def _q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+TURN_KEY = "lpad(CAST(conv_id AS VARCHAR), 19, '0') || '-' || lpad(CAST(turn AS VARCHAR), 19, '0')"
+
+
 def reply_sql(number: str, text: str, cases=REPLY_CASES) -> str:
     """The reply form ``number % len(cases)`` around ``text``."""
     body = f"coalesce({text}, '')"

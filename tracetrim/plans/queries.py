@@ -423,7 +423,8 @@ def _first_questions(spark, sf_dir):
 
 @register("batch_completion")
 def q_batch_completion(spark, sf_dir):
-    req = CP.completion_requests(_first_questions(spark, sf_dir))
+    turns = read_table(spark, sf_dir, "conversations").where(F.col("role") == "user")
+    req = CP.completion_requests(turns.select(views.turn_key().alias("question_key"), F.col("text").alias("question")))
     return CP.batch_completion(req, _first_line, depth=1)
 
 
