@@ -37,4 +37,50 @@ k AS (SELECT *, greatest(0, least(size, floor(target)::BIGINT - before)) AS a, g
 SELECT doc_id, size, source_size, target, (a + b2 + c)::BIGINT AS taken, ((a > 0)::INT + (b2 > 0)::INT + (c > 0)::INT)::BIGINT AS n_copies FROM k
 """
 
-ORACLE: dict[str, str] = {"op1_chat_format": _CHAT, "op2_mix_sources": _MIX}
+_WORD = r"[^\x20\x09-\x0D]+"
+
+#: The rules line by line; words in windows of eight are counted by position.
+_QUALITY = rf"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, t, regexp_extract_all(t, '{_WORD}') AS ws FROM d),
+win AS (SELECT r, unnest(range(len(ws) - 7)) AS i, unnest(list_transform(range(len(ws) - 7), lambda i: array_to_string(ws[i + 1 : i + 8], ' '))) AS k
+        FROM w WHERE len(ws) >= 8),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, k) AS n FROM win) z WHERE n > 1),
+covered AS (SELECT r, count(DISTINCT i + j) AS n_repeat FROM twice, (SELECT unnest(range(8)) AS j) GROUP BY r),
+l AS (SELECT r, unnest(string_split(t, chr(10))) AS line, unnest(range(len(string_split(t, chr(10))))) AS i FROM d),
+l2 AS (SELECT *, row_number() OVER (PARTITION BY r, line ORDER BY i) > 1 AS again, regexp_extract_all(line, '{_WORD}') AS ws FROM l),
+l3 AS (SELECT *, len(ws) AS n, len(regexp_extract_all(line, '\||»|›|•|·|::| > | / ')) AS seps,
+              length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')) AS chars FROM l2 WHERE len(ws) > 0),
+l4 AS (SELECT *, again OR length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) > 0.3 * n OR NOT regexp_matches(line, '[.!?…。！？:;]')
+                 OR ((contains(line, '!!') OR contains(line, '??')) AND 2 * len(list_filter(ws, lambda x: regexp_matches(x, '[!?]{{2,}}$'))) >= n)
+                 OR (seps >= 2 AND 8 * seps >= n)
+                 OR regexp_matches(line, '(?i)all rights reserved|\blicen[sc]ed under\b|\breleased under the\b|\bcopyright\b|©|\bcookie(?:s| policy)\b|\bprivacy policy\b|\bterms of (?:use|service)\b|\bclick here\b|\bsign (?:in|up)\b|\blog ?in\b|\bsubscribe\b|\bnewsletter\b|\benable javascript\b|\blorem ipsum\b|\bread more\b|\bshare (?:this|on)\b|\bpowered by\b|\bskip to content\b') AS bad
+       FROM l3),
+ls AS (SELECT r, count(*) AS n_lines, count_if(bad) AS n_bad_lines, count_if(again) AS n_dup_lines, coalesce(sum(chars) FILTER (WHERE NOT bad), 0) AS left_chars
+       FROM l4 GROUP BY r),
+c AS (SELECT d.doc_id, len(w.ws)::BIGINT AS n_words, length(regexp_replace(d.t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+             length(regexp_replace(d.t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines,
+             coalesce(n_repeat, 0)::BIGINT AS n_repeat_words, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_bad_lines, 0)::BIGINT AS n_bad_lines,
+             coalesce(left_chars, 0)::BIGINT AS left_chars
+      FROM d JOIN w ON w.r = d.r LEFT JOIN covered ON covered.r = d.r LEFT JOIN ls ON ls.r = d.r)
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND left_chars >= 0.5 * word_chars AS kept FROM c
+"""
+
+#: All pairs that share a shingle, counted; components by reachability.
+_NEAR = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS ws FROM documents),
+k AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) >= 5 THEN list_transform(range(len(ws) - 4), lambda i: array_to_string(ws[i + 1 : i + 5], ' '))
+                                        WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS ks FROM w),
+s AS (SELECT doc_id, unnest(ks) AS shingle FROM k),
+n AS (SELECT doc_id, len(ks)::BIGINT AS n FROM k),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+e AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 75 * (nx.n + ny.n - c)),
+both_ways AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+reach AS (SELECT DISTINCT x AS a, x AS b FROM both_ways UNION SELECT a, y FROM reach JOIN both_ways ON x = b),
+c AS (SELECT a, min(b) AS m FROM reach GROUP BY a)
+SELECT n.doc_id, n.n AS n_shingles, coalesce(c.m, n.doc_id) AS component_id, n.doc_id = coalesce(c.m, n.doc_id) AS kept FROM n LEFT JOIN c ON c.a = n.doc_id
+"""
+
+ORACLE: dict[str, str] = {"op1_chat_format": _CHAT, "op2_mix_sources": _MIX, "op9_line_quality": _QUALITY, "op10_minhash": _NEAR}
