@@ -141,7 +141,7 @@ def _far_filter(k: int, percent: int):
     least = int(k * agree - 5.5 * (k * agree * (1 - agree)) ** 0.5)
     apart = sum(F.bit_count(F.element_at("a.sketch", i + 1).bitwiseXOR(F.element_at("b.sketch", i + 1))) for i in range(k // 64))
     sizes = F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * percent
-    return sizes & (apart <= k // 64 * 64 - least), k // 64 * 64 - least
+    return sizes & (apart <= k // 64 * 64 - least)
 
 
 def _pairs(buckets: DataFrame, close) -> DataFrame:
@@ -152,19 +152,18 @@ def _pairs(buckets: DataFrame, close) -> DataFrame:
     return buckets.select(F.explode(every).alias("p")).select("p.a", "p.b").where(close)
 
 
-def _confirm(docs: DataFrame, pairs: DataFrame, percent: int, max_bits: int = 1 << 24) -> DataFrame:
-    """``pairs`` (a, b: classes by id, name and first document) whose full sets are similar enough.
+def _sets(docs: DataFrame, firsts: DataFrame, max_bits: int = 1 << 24) -> DataFrame:
+    """(class, set) of the classes whose first document is in ``firsts`` (first).
 
     Sets are made again from the texts, for documents in a bit map of the wanted ids: at most
-    ``max_bits`` bits, whatever the input; ids that only seem to be in it fall out in the join.
+    ``max_bits`` bits, whatever the input; ids that only seem to be in it fall out in a later join.
     """
-    n = pairs.count()
+    n = firsts.count()
     bits = 64
-    while bits < 32 * n and bits < max_bits:
+    while bits < 16 * n and bits < max_bits:
         bits *= 2
     spot = F.pmod(F.xxhash64(F.coalesce("first", F.lit(-1).cast("long"))), F.lit(bits))
-    ends = pairs.select(F.col("a.first").alias("first")).union(pairs.select(F.col("b.first").alias("first")))
-    words = (ends.select(spot.alias("s")).groupBy(F.shiftright("s", 6).alias("w"))
+    words = (firsts.select(spot.alias("s")).groupBy(F.shiftright("s", 6).alias("w"))
              .agg(F.bit_or(F.expr("shiftleft(1L, CAST(s & 63 AS INT))")).alias("v")))
     table = np.zeros(bits // 64, dtype=np.int64)
     for w, v in words.collect():
@@ -184,7 +183,12 @@ def _confirm(docs: DataFrame, pairs: DataFrame, percent: int, max_bits: int = 1
 
     first = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long"))
     d = pick(docs, "doc_id", "text").select("doc_id", "text", F.pmod(F.xxhash64(first), F.lit(bits)).alias("spot"))
-    sets = d.mapInArrow(run, "class binary, set array<long>").groupBy("class").agg(F.first("set").alias("set"))
+    return d.mapInArrow(run, "class binary, set array<long>").groupBy("class").agg(F.first("set").alias("set"))
+
+
+def _confirm(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """``pairs`` (a, b: classes by id, name and first document) whose full sets are similar enough."""
+    sets = _sets(docs, pairs.select(F.col("a.first").alias("first")).union(pairs.select(F.col("b.first").alias("first"))).distinct())
     pa_ = pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.class").alias("ca"), F.col("b.class").alias("cb"))
     with_a = pa_.join(sets.select(F.col("class").alias("ca"), F.col("set").alias("sa")), "ca")
     both = with_a.join(sets.select(F.col("class").alias("cb"), F.col("set").alias("sb")), "cb")
@@ -224,44 +228,57 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def _residue(big: DataFrame, labels: DataFrame, far: int, percent: int, block: int = 2048) -> DataFrame:
-    """Pairs of one large bucket in different components, from blocks of at most ``block`` classes or so each."""
+def joining_links(sets: list[np.ndarray], label: np.ndarray, side: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
+    """Pairs of similar sets that join different labels, enough to join all of them; with ``side``, only pairs
+    of different sides.  A set's common members with all others are counted through an index of the members."""
+    sizes = np.array([len(s) for s in sets])
+    member, inverse, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)[np.argsort(inverse, kind="stable")]
+    begin = np.concatenate([[0], np.cumsum(held)])
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    label, links = label.copy(), []
+    for r in range(len(sets)):
+        other = (label != label[r]) & (np.minimum(sizes, sizes[r]) * 100 >= np.maximum(sizes, sizes[r]) * percent)
+        if side is not None:
+            other &= side != side[r]
+        if not other.any():
+            continue
+        own = inverse[at[r]: at[r + 1]]
+        own = own[held[own] > 1]
+        if not len(own):
+            continue
+        common = np.bincount(np.concatenate([owner[begin[m]: begin[m + 1]] for m in own]), minlength=len(sets))
+        for o in np.flatnonzero(other & (common * 100 >= (sizes + sizes[r] - common) * percent)):
+            if label[o] != label[r]:
+                links.append((r, int(o)))
+                label[label == label[o]] = label[r]
+    return links
+
+
+def _residue(docs: DataFrame, big: DataFrame, labels: DataFrame, percent: int, block_members: int = 1_000_000) -> DataFrame:
+    """Links between different components within the large buckets: each bucket's full sets meet in memory, in
+    blocks of about ``block_members`` set members, and only links that join components come out."""
     m = big.join(labels, big["id"] == labels["node"], "left").withColumn("comp", F.coalesce("component", "id")).drop("node", "component")
-    open_ = m.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("key", "m")
-    m = m.join(open_, "key").withColumn("blocks", F.ceil(F.col("m") / block).cast("int"))
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    m = m.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    open_ = (m.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum("n").alias("members"))
+             .where("lo < hi").select("key", F.ceil(F.col("members") / block_members).cast("int").alias("blocks")))
+    m, path = shared_table(m.join(open_, "key"), "open-buckets")
+    sets = _sets(docs, m.select("first").distinct())
+    m = m.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     m = m.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    from pyspark.sql import types as T
-
-    out = T.StructType([T.StructField(s, T.StructType([T.StructField("id", T.LongType()), T.StructField("class", T.BinaryType()),
-                                                       T.StructField("first", T.LongType())])) for s in "ab"])
 
     def run(table):
-        n = table.column("n").to_numpy()
-        comp = table.column("comp").to_numpy()
-        own = table.column("own").to_numpy()
-        sketch = np.stack([np.frombuffer(np.array(s, dtype=np.int64).tobytes(), np.uint8) for s in table.column("sketch").to_pylist()])
+        sets = [np.array(s, dtype=np.int64) for s in table.column("set").to_pylist()]
         cross = table.column("i")[0].as_py() != table.column("j")[0].as_py()
-        ones = np.array([bin(x).count("1") for x in range(256)], dtype=np.uint8)
-        left, right = [], []
-        for r in range(len(n) - 1):
-            s = slice(r + 1, None)
-            ok = (comp[s] != comp[r]) & (np.minimum(n[s], n[r]) * 100 >= np.maximum(n[s], n[r]) * percent)
-            if cross:
-                ok &= own[s] != own[r]
-            hit = np.flatnonzero(ok) + r + 1
-            hit = hit[ones[sketch[hit] ^ sketch[r]].sum(axis=1, dtype=np.int64) <= far]
-            left.append(np.full(len(hit), r))
-            right.append(hit)
-        ids = np.array(table.column("id").to_pylist())
-        lo, hi = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right))
-        swap = ids[lo] > ids[hi] if len(lo) else np.empty(0, bool)
-        lo, hi = np.where(swap, hi, lo), np.where(swap, lo, hi)
-        side = lambda at: pa.StructArray.from_arrays([table.column(c).combine_chunks().take(pa.array(at)) for c in ("id", "class", "first")], ["id", "class", "first"])
-        return pa.table({"a": side(lo), "b": side(hi)})
-
-    return m.groupBy("key", "i", "j").applyInArrow(run, out).distinct()
+        links = joining_links(sets, table.column("comp").to_numpy().copy(), table.column("own").to_numpy() if cross else None, percent)
+        ids = table.column("id").to_numpy()
+        return pa.table({"a": pa.array([ids[x] for x, _ in links], pa.int64()), "b": pa.array([ids[y] for _, y in links], pa.int64())})
+
+    found = (m.select("key", "i", "j", "own", "id", "class", "comp").join(sets, "class")
+             .select("key", "i", "j", "own", "id", "comp", "set").groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct())
+    found, _ = shared_table(found, "residue")
+    remove_shared(docs.sparkSession, path)
+    return found
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, bands: int = 32, rows: int = 4, small: int = 8) -> DataFrame:
@@ -278,7 +295,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, bands: int = 32, rows: i
     counts = (classes.select("id", F.posexplode("bands").alias("band", "key"))
               .groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("band", "id").alias("h"), "id")).alias("c"))
               .where("size > 1").select("key", "size", F.col("c.id").alias("centre")))
-    close, far = _far_filter(k, percent)
+    close = _far_filter(k, percent)
     buckets, buckets_path = shared_table(keyed.join(counts, "key").select("key", "size", "centre", "m"), "buckets")
     few = buckets.where(F.col("size") <= small).groupBy("key").agg(F.sort_array(F.collect_list("m")).alias("members"))
     many = buckets.where(F.col("size") > small)
@@ -289,16 +306,15 @@ def near_duplicates(docs: DataFrame, percent: int = 75, bands: int = 32, rows: i
     pairs, pairs_path = shared_table(_pairs(few, close).union(stars).select(*ends).distinct(), "pairs")
     links, links_path = shared_table(_confirm(docs, pairs, percent), "links")
     found = components(links)
-    big = many.select("key", F.col("m.id").alias("id"), F.col("m.class").alias("class"), F.col("m.first").alias("first"),
-                      F.col("m.n").alias("n"), F.col("m.sketch").alias("sketch"))
-    rest, rest_path = shared_table(_residue(big, found, far, percent), "residue")
+    big = many.select("key", F.col("m.id").alias("id"), F.col("m.class").alias("class"), F.col("m.first").alias("first"), F.col("m.n").alias("n"))
+    rest = _residue(docs, big, found, percent)
     if not rest.isEmpty():
-        found = components(links.union(_confirm(docs, rest, percent)))
+        found = components(links.union(rest))
     named = classes.select("id", "class", "first").join(found, F.col("id") == F.col("node"))
     smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
     linked = named.join(smallest, "component").select(F.col("class").alias("of"), "component_id")
     linked, _ = shared_table(linked, "linked")
-    for path in (buckets_path, pairs_path, links_path, rest_path):
+    for path in (buckets_path, pairs_path, links_path):
         remove_shared(spark, path)
     own = classes.select(F.col("class").alias("of_class"), "first")
     d = signed.select("doc_id", "text_hash", "class", "n_shingles")
