@@ -485,15 +485,13 @@ def _long_prompts(pdf):
 
 # ---------------------------------------------------------------- recorded rollout, PT build, failures
 
-def recorded_rollout(spark, sf_dir, max_depth=3):
+def recorded_rollout(spark, sf_dir, max_depth=3, completions=None):
     """Recorded completions per (question, depth) and recorded auditor replies per
     (question, depth); each is gathered once per question, then joined on the key."""
-    completions = views.v_completions(spark, sf_dir)
-    comp = RO.gather_traces(completions, "question_key", max_depth, "_completions")
-    rep = RO.gather_replies(views.v_rollout_replies(completions), "question_key", max_depth, "_replies")
-    qs = _first_questions(spark, sf_dir).join(comp, "question_key", "left").join(rep, "question_key", "left")
-    return RO.rollout(qs, key="question_key", max_depth=max_depth, auditor=RO.recorded_auditor("_replies"),
-                      completions_col="_completions")
+    from tracetrim.operators import build
+
+    completions = views.v_completions(spark, sf_dir) if completions is None else completions
+    return build.recorded_rollout(_first_questions(spark, sf_dir), completions, views.v_rollout_replies(completions), max_depth=max_depth)
 
 
 @register("rollout_recorded")
@@ -670,7 +668,7 @@ def completion_records(spark, sf_dir):
     generator service would emit: question, the prefix it was prompted with (from the
     rollout's per-depth log), the completion and the auditor's reply."""
     completions = views.v_completions(spark, sf_dir)
-    log = RO.rollout_log(recorded_rollout(spark, sf_dir), key="question_key").select(
+    log = RO.rollout_log(recorded_rollout(spark, sf_dir, completions=completions), key="question_key").select(
         "question_key", "depth", "question", "prefix")
     rec = log.join(completions, ["question_key", "depth"])
     return rec.select(
