@@ -88,7 +88,7 @@ def shared_table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write ``df`` once as a parquet table under the shared checkpoint folder; the table
     read back (lineage is cut, every later use sees the same rows) and its path."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
