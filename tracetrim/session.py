@@ -7,6 +7,7 @@ from the session and only set one ourselves when it is unset (local runs, tests)
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -58,6 +59,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 _WRITTEN: list[tuple[SparkSession, str]] = []
+_AT_EXIT: list = []
 
 
 def remove_shared(spark: SparkSession, path: str) -> None:
@@ -78,8 +80,8 @@ def _remove_all() -> None:
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint folder, removed when this process ends."""
     path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    if not _WRITTEN:
-        atexit.register(_remove_all)
+    if not _AT_EXIT:
+        _AT_EXIT.append(atexit.register(_remove_all))
     _WRITTEN.append((spark, path))
     return path
 
@@ -92,6 +94,15 @@ def shared_table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+@contextlib.contextmanager
+def tables_of():
+    """The paths of the shared tables written inside the block, for a caller that knows when nothing reads them any more."""
+    paths: list[str] = []
+    before = len(_WRITTEN)
+    yield paths
+    paths.extend(path for _, path in _WRITTEN[before:])
+
+
 def write_shared(df: DataFrame, name: str) -> DataFrame:
     """``shared_table`` for callers that keep the table to the end of the process."""
     return shared_table(df, name)[0]
