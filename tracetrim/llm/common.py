@@ -45,6 +45,10 @@ class Carried:
         plain = df.toDF(*inner)
         self.frame = plain.select(*[F.col(f"_c{at[n]}").alias(n) for n in names], F.struct(*inner).alias("_row"))
 
+    def field(self, name: str) -> Column:
+        """A column of the carried row: no second copy of it need travel along."""
+        return F.col(f"_row._c{self.columns.index(name)}")
+
     def restore(self, df: DataFrame, **replaced: Column) -> DataFrame:
         """Unknown names in ``replaced`` are left out, so that an input without the column stays as it is."""
         cols = [replaced[n] if n in replaced else F.col(f"_row._c{i}") for i, n in enumerate(self.columns)]

@@ -113,10 +113,9 @@ def mix_rows(docs: DataFrame, weights=WEIGHTS, max_epochs: int = 3, budget_share
     """The mix itself: the input's rows, each as often as the mix takes it, in order of virtual finish
     time.  A copy served in part keeps its first ``taken`` words; ``n_chars`` counts anew."""
     carried = Carried(docs, "doc_id", "source", "text")
-    whole = write_shared(sized(carried.frame.withColumn("words_of", F.col("text"))), "mix-rows")
+    whole = write_shared(sized(carried.frame), "mix-rows")
+    whole_text = carried.field("text")
     out = mix(schedule(whole, weights, max_epochs), max_epochs, budget_share).where("taken > 0")
-    pieces = F.regexp_extract_all("words_of", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
-    text = F.when(F.col("taken") == F.col("size"), F.col("words_of")).otherwise(
-        F.array_join(F.slice(pieces, 1, F.col("taken").cast("int")), ""))
-    out = out.withColumn("words_of", text)
-    return carried.restore(out, text=F.col("words_of"), n_chars=F.length("words_of").cast("long"))
+    pieces = F.regexp_extract_all(whole_text, F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
+    text = F.when(F.col("taken") == F.col("size"), whole_text).otherwise(F.array_join(F.slice(pieces, 1, F.col("taken").cast("int")), ""))
+    return carried.restore(out, text=text, n_chars=F.length(text).cast("long"))

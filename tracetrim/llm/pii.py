@@ -241,22 +241,23 @@ def redact(docs: DataFrame) -> DataFrame:
     """The input's rows with every span replaced by its kind's mark (overlapping spans by the first one's); ``n_chars``
     counts anew.  Rows without a candidate pass by the join."""
     carried = Carried(docs, "text")
-    table, _ = candidates_in(carried.frame, "text", ["_row", "text"])
+    table, _ = candidates_in(carried.frame, "text", ["_row"])
+    whole = carried.field("text")
     voted, _ = shared_table(with_votes(spans(table)), "pii-votes")
     rows = _of_row(decide(voted, train(voted)))
     marks = F.array(*[F.lit(MARKS[k]) for k in KINDS])
     # spans that overlap make one stretch, under the mark of the first; done piece by piece, as rows
-    each = rows.select("row", F.inline("all")).join(table.where(F.size("found") > 0).select("row", F.length("text").alias("chars")), "row")
+    each = rows.select("row", F.inline("all"))
     w = Window.partitionBy("row").orderBy("start", "at", "end")
     before = F.coalesce(F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
     each = each.withColumn("reach", before).withColumn("head", F.col("start") >= F.col("reach"))
     cuts = each.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "at", "end", "reach", "head"))).alias("cuts"))
     joined = table.where(F.size("found") > 0).join(cuts, "row", "left")
     parts = F.transform("cuts", lambda c: F.when(c["head"], F.concat(
-        F.substring(F.col("text"), (c["reach"] + 1).cast("int"), (c["start"] - c["reach"]).cast("int")), F.element_at(marks, c["at"] + 1))).otherwise(""))
+        F.substring(whole, (c["reach"] + 1).cast("int"), (c["start"] - c["reach"]).cast("int")), F.element_at(marks, c["at"] + 1))).otherwise(""))
     ends = F.array_max(F.transform("cuts", lambda c: c["end"]))
-    tail = F.substring(F.col("text"), (ends + 1).cast("int"), F.length("text"))
-    text = F.when(F.col("cuts").isNotNull(), F.concat(F.array_join(parts, ""), tail)).otherwise(F.col("text"))
+    tail = F.substring(whole, (ends + 1).cast("int"), F.length(whole))
+    text = F.when(F.col("cuts").isNotNull(), F.concat(F.array_join(parts, ""), tail)).otherwise(whole)
     changed = joined.withColumn("new", text).select("_row", "new")
-    same = table.where(F.size("found") == 0).select("_row", F.col("text").alias("new"))
+    same = table.where(F.size("found") == 0).select("_row", whole.alias("new"))
     return carried.restore(same.union(changed), text=F.col("new"), n_chars=F.length("new").cast("long"))
