@@ -73,10 +73,10 @@ def _strides(nodes: DataFrame, most_rounds: int = 62) -> tuple[list[DataFrame],
             break
         tables.append(state.select("node", "up").where("up IS NOT NULL"))
         above = state.select(F.col("node").alias("a"), F.col("up").alias("a_up"), F.col("total").alias("a_total"), F.col("depth").alias("a_depth"))
-        state = (state.join(above, F.col("up") == F.col("a"), "left")
-                 .select("node", F.col("a_up").alias("up"), (F.col("total") + F.coalesce("a_total", F.lit(0.0))).alias("total"),
-                         (F.col("depth") + F.coalesce("a_depth", F.lit(0))).alias("depth")))
-        state, _ = shared_table(state, "stride")
+        # messages that have reached their root stay as they are: a few long threads don't make all go on
+        climbed = (state.where("up IS NOT NULL").join(above, F.col("up") == F.col("a"))
+                   .select("node", F.col("a_up").alias("up"), (F.col("total") + F.col("a_total")).alias("total"), (F.col("depth") + F.col("a_depth")).alias("depth")))
+        state, _ = shared_table(state.where("up IS NULL").union(climbed), "stride")
     return tables, state.where("up IS NULL").select("node", "total", "depth")
 
 
