@@ -61,3 +61,22 @@ def test_rows_that_take_no_part(spark):
     got = ann.nearest_of(spark.createDataFrame([(a, b) for a, b in bad], "vec_id long, embedding array<float>")).collect()
     assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in got] == [(0, 1, 1, 0.5)]
     assert ann.nearest_of(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_two_vectors_far_longer_than_the_rest(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[7] *= 1e4
+    x[8] *= 1e20
+    got = ann.nearest_of(spark.createDataFrame(rows_of(x), SCHEMA)).toPandas()
+    want = truth(x, range(3000), range(0, 3000, 20))
+    assert np.mean([len(set(got[got.query_id == q].vec_id) & set(w)) / 20 for q, w in want.items()]) >= 0.95
+
+
+def test_all_points_found_are_compared_in_double(spark):
+    """Forty scores that float32 cannot tell apart."""
+    x = np.array([[1.0, 0.0]] + [[1.0, 1e-9 * i] for i in range(1, 41)])
+    q = np.array([[1.0, 1.0]])
+    r, at, _, full = ann.best_found(x, np.arange(41), q, np.arange(41)[None, :], 5)
+    assert sorted(at) == list(range(35, 41)) and full.all() and not r.any()

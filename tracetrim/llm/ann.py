@@ -1,13 +1,17 @@
 """Approximate nearest neighbours by largest inner product: one small-world graph per shard.
 
 Equal vectors are one point: the graphs hold distinct vectors only, dealt over shards of about
-``shard_rows`` by a hash, so a vector that many rows share takes one place.  For each shard a
-hierarchical navigable small-world graph is built over vectors lengthened by one component
-(sqrt(M^2 - |x|^2), M the largest length), in which the largest inner product is the least
-distance.  A shard's graph is one row of flat arrays in a table in the shared folder: vectors, and for
+``shard_rows`` by a hash, so a vector that many rows share takes one place.  A shard holds
+vectors of one band of lengths (the longest under 16 times the shortest).  For each shard a
+hierarchical navigable small-world graph is built over its vectors divided by the longest length
+and lengthened by one component (sqrt(1 - |x|^2)), in which the largest inner product is the
+least distance: the scale of one band takes no precision from another.  A shard's graph is one
+row of flat arrays in a table in the shared folder: vectors, and for
 each layer its points and their neighbours (-1: none).  Every query is searched in every
-shard, ``query_block`` queries and one graph at a time; results are scored in double precision
-on the original vectors, given to all rows that share them, and merged.
+shard, ``query_block`` queries and one graph at a time; all points found are scored in double
+precision on the original vectors, the best with ``k`` + 1 different ids leave the shard (a search
+that finds less ids is repeated, wider, up to the whole shard), and are given to all rows that
+share them and merged.
 
 Points go in by batches (each batch searches the graph as it stands, and itself); neighbours
 are chosen by the rule that one is kept only if it is nearer to the point than to those kept.
@@ -198,24 +202,59 @@ def search_graph(x: np.ndarray, layers: list[np.ndarray], entry: int, q: np.ndar
     return np.concatenate(out) if out else np.empty((0, k), dtype=np.int64)
 
 
-GRAPH = "dim int, shard long, points long, entry long, vectors binary, keys array<long>, widths array<int>, neighbours array<binary>"
-
-
-def build(points: DataFrame, longest: DataFrame, m: int, ef: int) -> DataFrame:
-    """One row of flat arrays for each shard of (dim, shard, key, vec)."""
+def lengthened(x: np.ndarray) -> np.ndarray:
+    """The vectors over the longest one's length, and one component more that gives each length 1."""
+    x = x / np.abs(x).max()  # no square overflows
+    x = x / math.sqrt(np.einsum("nd,nd->n", x, x).max())
+    more = np.sqrt(np.maximum(0, 1 - np.einsum("nd,nd->n", x, x)))
+    return np.concatenate([x, more[:, None]], axis=1).astype(np.float32)
+
+
+def directions(q: np.ndarray) -> np.ndarray:
+    """The queries at length 1, which leaves the order of their inner products, beside a zero."""
+    q = q / np.abs(q).max(axis=1, keepdims=True)
+    q = q / np.sqrt(np.einsum("qd,qd->q", q, q))[:, None]
+    return np.concatenate([q, np.zeros((len(q), 1))], axis=1).astype(np.float32)
+
+
+def best_found(x: np.ndarray, least: np.ndarray, q: np.ndarray, found: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(query, point, score) of the points found (-1: none) down to the one with which a query has ``k`` + 1
+    different ``least`` ids, and those of equal score; and which queries have so many ids."""
+    safe = np.maximum(found, 0)
+    score = np.concatenate([(q[i: i + 32, None, :] * x[safe[i: i + 32]]).sum(axis=2) for i in range(0, len(q), 32)])
+    score = np.where(found >= 0, score, -np.inf)
+    order = np.argsort(-score, axis=1, kind="stable")
+    found, score = np.take_along_axis(found, order, 1), np.take_along_axis(score, order, 1)
+    _, code = np.unique(least, return_inverse=True)
+    pair = np.arange(len(q))[:, None] * len(least) + code[np.maximum(found, 0)]
+    r, c = np.nonzero(found >= 0)
+    _, first = np.unique(pair[r, c], return_index=True)
+    new = np.zeros(found.shape, dtype=np.int64)
+    new[r[first], c[first]] = 1
+    ids = new.cumsum(axis=1)
+    full = ids[:, -1] > k
+    last = np.where(full, (ids > k).argmax(axis=1), found.shape[1] - 1)
+    r, c = np.nonzero((found >= 0) & (score >= score[np.arange(len(q)), last][:, None]))
+    return r, found[r, c], score[r, c], full
+
+
+GRAPH = ("dim int, band int, shard long, points long, entry long, vectors binary, keys array<long>, least array<long>, widths array<int>, "
+         "neighbours array<binary>")
+
+
+def build(points: DataFrame, m: int, ef: int) -> DataFrame:
+    """One row of flat arrays for each shard of (dim, band, shard, key, least, vec)."""
     def run(key, table):
         x = np.array(table.column("vec").to_pylist(), dtype=np.float64)
-        top = table.column("longest")[0].as_py()
-        more = np.sqrt(np.maximum(0, top - np.einsum("nd,nd->n", x, x)))
-        g = Graph(np.concatenate([x, more[:, None]], axis=1), m, ef)
+        g = Graph(lengthened(x), m, ef)
         return pa.table({
-            "dim": table.column("dim").slice(0, 1), "shard": table.column("shard").slice(0, 1), "points": pa.array([len(x)], pa.int64()),
+            **{c: table.column(c).slice(0, 1) for c in ("dim", "band", "shard")}, "points": pa.array([len(x)], pa.int64()),
             "entry": pa.array([g.entry], pa.int64()), "vectors": pa.array([x.astype("<f8").tobytes()], pa.binary()),
-            "keys": pa.array([table.column("key").to_pylist()], pa.list_(pa.int64())),
+            **{c + "s" * (c == "key"): pa.array([table.column(c).to_pylist()], pa.list_(pa.int64())) for c in ("key", "least")},
             "widths": pa.array([[a.shape[1] for a in g.layers]], pa.list_(pa.int32())),
             "neighbours": pa.array([[a.astype("<i4").tobytes() for a in g.layers]], pa.list_(pa.binary()))})
 
-    return points.join(longest, "dim").groupBy("dim", "shard").applyInArrow(run, GRAPH)
+    return points.groupBy("dim", "band", "shard").applyInArrow(run, GRAPH)
 
 
 def nearest(vectors: DataFrame, queries, k: int = 20, shard_rows: int = 8192, m: int = 16, ef_build: int = 80,
@@ -232,19 +271,20 @@ def nearest(vectors: DataFrame, queries, k: int = 20, shard_rows: int = 8192, m:
     order = Window.partitionBy("vec").orderBy("vec_id")
     least = v.withColumn("at", F.row_number().over(order)).where(F.col("at") <= k + 1)
     points = least.groupBy("vec").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).withColumn("key", F.monotonically_increasing_id())
-    points, _ = shared_table(points.withColumn("dim", F.size("vec")), "vectors")
-    n = points.groupBy("dim").agg(F.count("*").alias("n"), F.max(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)).alias("longest"))
-    shards = n.select("dim", "longest", F.ceil(F.col("n") / shard_rows).cast("long").alias("shards"))
-    dealt = points.join(shards.select("dim", "shards"), "dim").withColumn("shard", F.pmod(F.xxhash64("vec"), F.col("shards")))
-    graphs, _ = shared_table(build(dealt.select("dim", "shard", "key", "vec"), shards.select("dim", "longest"), m, ef_build), "graphs")
+    top = F.array_max(F.transform("vec", F.abs))
+    length = F.log2(top) + F.log2(F.aggregate(F.transform("vec", lambda x: x / top), F.lit(0.0), lambda a, x: a + x * x)) / 2
+    points, _ = shared_table(points.withColumn("dim", F.size("vec")).withColumn("band", F.floor(length / 4 + 0.5).cast("int")), "vectors")
+    shards = points.groupBy("dim", "band").agg(F.ceil(F.count("*") / shard_rows).cast("long").alias("shards"))
+    dealt = points.join(shards, ["dim", "band"]).withColumn("shard", F.pmod(F.xxhash64("vec"), F.col("shards"))).withColumn("least", F.col("key"))
+    graphs, _ = shared_table(build(dealt.select("dim", "band", "shard", "key", "least", "vec"), m, ef_build), "graphs")
 
     asked = v.where(queries).select("vec", "vec_id")
     ask = asked.groupBy("vec").agg(F.lit(1).alias("one")).select("vec", F.size("vec").alias("dim"), F.xxhash64("vec").alias("h"))
     ask = ask.join(points.select(F.col("vec").alias("of"), F.col("key").alias("query")), F.col("vec") == F.col("of")).drop("of")
     ask, _ = shared_table(ask, "queries")
     blocks = ask.groupBy("dim").agg(F.ceil(F.count("*") / query_block).cast("long").alias("blocks"))
-    ask = ask.join(blocks, "dim").join(shards.select("dim", "shards"), "dim").withColumn("block", F.pmod(F.col("h"), F.col("blocks")))
-    ask = ask.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1))).select("dim", "shard", "block", "query", "vec")
+    ask = ask.join(blocks, "dim").join(shards, "dim").withColumn("block", F.pmod(F.col("h"), F.col("blocks")))
+    ask = ask.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1))).select("dim", "band", "shard", "block", "query", "vec")
     fanned = graphs.join(blocks, "dim").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
 
     def run(key, left, right):
@@ -252,19 +292,25 @@ def nearest(vectors: DataFrame, queries, k: int = 20, shard_rows: int = 8192, m:
             return pa.table({c: pa.array([], t) for c, t in (("query", pa.int64()), ("key", pa.int64()), ("score", pa.float64()))})
         dim, points_, entry = (left.column(c)[0].as_py() for c in ("dim", "points", "entry"))
         x = np.frombuffer(left.column("vectors")[0].as_py(), "<f8").reshape(points_, dim)
-        keys = np.array(left.column("keys")[0].as_py())
+        keys, least = (np.array(left.column(c)[0].as_py()) for c in ("keys", "least"))
         layers = [np.frombuffer(a, "<i4").reshape(points_, w) for a, w in zip(left.column("neighbours")[0].as_py(), left.column("widths")[0].as_py())]
-        top = left.column("longest")[0].as_py()
-        long_x = np.concatenate([x, np.sqrt(np.maximum(0, top - np.einsum("nd,nd->n", x, x)))[:, None]], axis=1).astype(np.float32)
         q = np.array(right.column("vec").to_pylist(), dtype=np.float64)
-        found = search_graph(long_x, layers, entry, np.concatenate([q, np.zeros((len(q), 1))], axis=1).astype(np.float32), k + 1, ef_search)
-        r, c = np.nonzero(found >= 0)
-        at = found[r, c]
-        return pa.table({"query": pa.array(right.column("query").to_numpy()[r], pa.int64()), "key": pa.array(keys[at], pa.int64()),
-                         "score": pa.array((q[r] * x[at]).sum(axis=1), pa.float64())})
-
-    hits = (fanned.join(shards.select("dim", "longest"), "dim").groupBy("dim", "shard", "block")
-            .cogroup(ask.groupBy("dim", "shard", "block")).applyInArrow(run, "query long, key long, score double"))
+        long_x, long_q, query = lengthened(x), directions(q), right.column("query").to_numpy()
+        todo, ef, out = np.arange(len(q)), ef_search, []
+        while len(todo):
+            again, step = [], max(1, (1 << 22) // max(ef, 1024))
+            for part in np.split(todo, range(step, len(todo), step)):
+                found = (search_graph(long_x, layers, entry, long_q[part], ef, ef) if ef < points_
+                         else np.broadcast_to(np.arange(points_), (len(part), points_)))
+                r, at, score, full = best_found(x, least, q[part], found, k)
+                full |= ef >= points_
+                out.append(tuple(a[full[r]] for a in (query[part][r], keys[at], score)))
+                again.append(part[~full])
+            todo, ef = np.concatenate(again), 4 * ef
+        return pa.table({c: pa.array(np.concatenate(a), t) for (c, t), a in zip((("query", pa.int64()), ("key", pa.int64()), ("score", pa.float64())), zip(*out))})
+
+    hits = (fanned.groupBy("dim", "band", "shard", "block")
+            .cogroup(ask.groupBy("dim", "band", "shard", "block")).applyInArrow(run, "query long, key long, score double"))
     best = Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id")
     ids = hits.join(points.select("key", "ids"), "key").select("query", "score", F.explode("ids").alias("vec_id"))
     # k + 1 for each distinct query vector: every row that asks it leaves out its own id
