@@ -80,3 +80,23 @@ def test_all_points_found_are_compared_in_double(spark):
     q = np.array([[1.0, 1.0]])
     r, at, _, full = ann.best_found(x, np.arange(41), q, np.arange(41)[None, :], 5)
     assert sorted(at) == list(range(35, 41)) and full.all() and not r.any()
+
+
+@pytest.mark.parametrize("repeats", [2, 25, 700])
+def test_rows_that_repeat_the_query_s_id(spark, repeats):
+    """The query's id stands at many near vectors, and at equal ones; it still gets its 20 others."""
+    rng = np.random.default_rng(5)
+    other = rng.normal(size=(300, 8)) * 0.1
+    own = np.array([5.0] + [0.0] * 7) + rng.normal(size=(repeats, 8)) * 0.01
+    x, ids = np.concatenate([own, own[:1].repeat(30, 0), other]), [0] * (repeats + 30) + [20 * i + 1 for i in range(300)]
+    rows = [(i, [float(v) for v in a]) for i, a in zip(ids, x.astype(np.float32))]
+    got = ann.nearest_of(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).toPandas()
+    assert not (got.vec_id == 0).any()
+    counts = got.groupby("rank").size()
+    assert list(counts.index) == list(range(1, 21)) and (counts == repeats + 30).all()
+
+
+def test_a_neighbour_s_repeated_rows_each_count(spark):
+    rows = [(0, [1.0, 0.0]), *[(1, [3.0, 0.0])] * 4, (2, [2.0, 0.0]), (3, [-1.0, 0.0])]
+    got = ann.nearest_of(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=5).collect()
+    assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == 0] == [1, 1, 1, 1, 2]

@@ -267,15 +267,15 @@ def nearest(vectors: DataFrame, queries, k: int = 20, shard_rows: int = 8192, m:
     v = (vectors.select(F.col("vec_id").cast("long"), F.col("vec").cast("array<double>"))
          .where(F.col("vec_id").isNotNull() & F.col("vec").isNotNull() & ~bad & F.exists("vec", lambda v: v != 0)))
     v = v.withColumn("vec", F.transform("vec", lambda x: x + F.lit(0.0)))  # -0.0 is 0.0
-    # of equal vectors at most k + 1 ids can be in one query's answer: the smallest, its own left out
+    # of equal vectors at most k + 1 different ids can be in one query's answer: the smallest, its own left out
     order = Window.partitionBy("vec").orderBy("vec_id")
-    least = v.withColumn("at", F.row_number().over(order)).where(F.col("at") <= k + 1)
-    points = least.groupBy("vec").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).withColumn("key", F.monotonically_increasing_id())
+    least = v.groupBy("vec", "vec_id").agg(F.count("*").alias("n")).withColumn("at", F.row_number().over(order)).where(F.col("at") <= k + 1)
+    points = least.groupBy("vec").agg(F.sort_array(F.collect_list(F.struct("vec_id", "n"))).alias("ids")).withColumn("key", F.monotonically_increasing_id())
     top = F.array_max(F.transform("vec", F.abs))
     length = F.log2(top) + F.log2(F.aggregate(F.transform("vec", lambda x: x / top), F.lit(0.0), lambda a, x: a + x * x)) / 2
     points, _ = shared_table(points.withColumn("dim", F.size("vec")).withColumn("band", F.floor(length / 4 + 0.5).cast("int")), "vectors")
     shards = points.groupBy("dim", "band").agg(F.ceil(F.count("*") / shard_rows).cast("long").alias("shards"))
-    dealt = points.join(shards, ["dim", "band"]).withColumn("shard", F.pmod(F.xxhash64("vec"), F.col("shards"))).withColumn("least", F.col("key"))
+    dealt = points.join(shards, ["dim", "band"]).withColumn("shard", F.pmod(F.xxhash64("vec"), F.col("shards"))).withColumn("least", F.col("ids")[0]["vec_id"])
     graphs, _ = shared_table(build(dealt.select("dim", "band", "shard", "key", "least", "vec"), m, ef_build), "graphs")
 
     asked = v.where(queries).select("vec", "vec_id")
@@ -311,15 +311,18 @@ def nearest(vectors: DataFrame, queries, k: int = 20, shard_rows: int = 8192, m:
 
     hits = (fanned.groupBy("dim", "band", "shard", "block")
             .cogroup(ask.groupBy("dim", "band", "shard", "block")).applyInArrow(run, "query long, key long, score double"))
-    best = Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id")
-    ids = hits.join(points.select("key", "ids"), "key").select("query", "score", F.explode("ids").alias("vec_id"))
-    # k + 1 for each distinct query vector: every row that asks it leaves out its own id
-    ids = ids.withColumn("at", F.row_number().over(best)).where(F.col("at") <= k + 1)
+    ids = hits.join(points.select("key", "ids"), "key").select("query", "score", F.inline("ids")).repartition("query")
+    # k + 1 different ids for each distinct query vector, each as often as k times: every row that asks it leaves out its own id
+    of_id = Window.partitionBy("query", "vec_id").orderBy(F.col("score").desc())
+    best = Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ids = ids.withColumn("nth", F.row_number().over(of_id)).where(F.col("nth") <= k)
+    ids = ids.withColumn("seen", F.count(F.when(F.col("nth") == 1, 1)).over(best)).withColumn("at", F.row_number().over(best)).where(F.col("seen") <= k + 1)
     of = points.select(F.col("key").alias("query"), F.col("vec").alias("of"))
     rows = asked.join(of, F.col("vec") == F.col("of")).select(F.col("vec_id").alias("query_id"), "query")
-    lists = ids.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("at", "vec_id", "score"))).alias("found"))
+    lists = ids.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("at", "vec_id", "score", "n"))).alias("found"))
     others = rows.join(lists, "query").withColumn("found", F.filter("found", lambda s: s["vec_id"] != F.col("query_id")))
-    return others.select("query_id", F.posexplode(F.slice("found", 1, k)).alias("p", "s")).select(
+    repeated = F.flatten(F.transform(F.slice("found", 1, k), lambda s: F.array_repeat(s, F.least(s["n"], F.lit(k)).cast("int"))))
+    return others.select("query_id", F.posexplode(F.slice(repeated, 1, k)).alias("p", "s")).select(
         "query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("s.vec_id").alias("vec_id"), F.col("s.score").alias("score"))
 
 
