@@ -48,3 +48,29 @@ def test_stage_removes_lines_and_keeps_columns(spark):
     assert row.doc_id == 0 and row.text == good and row.n_chars == len(good)
     assert Q.quality_stage(documents(spark, [])).count() == 0
     assert Q.clean_lines(documents(spark, ["x"])).columns == ["_row", "_text", "_quality"]
+
+
+def test_a_long_clean_line_may_mention_copyright(spark):
+    clean = prose(21, 900) + " The copyright lies with the author, and you may subscribe to the newsletter. " + prose(22, 900)
+    paragraphs = "\n\n".join(prose(i, 80) + " Read more in the login manual, powered by reason." for i in range(5))
+    furniture = "Copyright 2020. All rights reserved. Terms of use and privacy policy.\nPlease log in or sign up. " * 2
+    texts = [clean, paragraphs, clean + "\n" + furniture, furniture * 3]
+    got = {r.doc_id: r.text for r in Q.quality_stage(documents(spark, texts)).collect()}
+    assert got == {0: clean, 1: paragraphs, 2: clean}
+
+
+def test_hard_wrapped_prose_keeps_its_lines(spark):
+    import textwrap
+
+    long_sentence = " ".join(w.strip(".").lower() for w in prose(31, 70).split()) + " holds the copyright to this " + prose(32, 30)
+    nouns = " ".join(w.strip(".").capitalize() for w in prose(33, 90).split()) + "."  # no line begins with a small letter
+    for text in (textwrap.fill(long_sentence, 60), textwrap.fill(nouns, 60)):
+        (_, left), fails = Q.judge(text), [not Q.SENTENCE_MARK.search(line) for line in text.split("\n")]
+        assert any(fails) and "\n".join(left) == text
+    menu = "Home\nShop now\nSport and more\n\nsome words without an end"
+    assert Q.judge(menu)[1] == [""]
+
+
+def test_sentence_marks_of_other_scripts():
+    for line in ("यह एक वाक्य है।", "هل هذه جملة؟", "これは文です｡"):
+        assert Q.judge(line)[1] == [line]

@@ -1,11 +1,15 @@
 """Line-first cleaning: bad lines go, then documents that lost too much text.
 
-Each line that has a word is judged by itself:
+Each line that has a word is judged by itself, but for sentence marks and phrases, which are
+looked for in its passage: the line with those that it carries on or that carry it on, where
+prose was wrapped (no sentence mark at the upper line's end, and the lower one begins with a
+small letter, or all of the paragraph's lines are as full as its width allows).
 
-* punctuation: no sentence mark at its end nor inside it, or doubled marks (``!!``) after
+* punctuation: no sentence mark in its passage, or doubled marks (``!!``) after
   a large share of its words, or more symbol characters ``#*$%&|<>`` than ``max_symbols`` a word;
 * navigation: at least two menu separators, one for every eight words or more;
-* boilerplate: a phrase of licence, copyright or site furniture, or a line seen before in the text.
+* boilerplate: a phrase of licence, copyright or site furniture, in a passage of at most 20 words or
+  one that has such a phrase for every twelve words or more; or a line seen before in the text.
 
 Failing lines are removed.  A document is kept if it passes the base rules and its
 remaining lines hold at least ``min_left`` of its word characters.  Text is handled row by
@@ -18,6 +22,8 @@ like any other; repeated rows are judged each; other columns are carried along u
 from __future__ import annotations
 
 import re
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,7 +39,10 @@ BOILERPLATE = re.compile(
     r"all rights reserved|\blicen[sc]ed under\b|\breleased under the\b|\bcopyright\b|©|\bcookie(?:s| policy)\b|\bprivacy policy\b"
     r"|\bterms of (?:use|service)\b|\bclick here\b|\bsign (?:in|up)\b|\blog ?in\b|\bsubscribe\b|\bnewsletter\b"
     r"|\benable javascript\b|\blorem ipsum\b|\bread more\b|\bshare (?:this|on)\b|\bpowered by\b|\bskip to content\b", re.I)
-SENTENCE_MARK = re.compile(r"[.!?…。！？:;]")
+MARKS = ".!?…。！？:;：；．｡؟؛۔।॥։።፧፨။។៕།܀"
+SENTENCE_MARK = re.compile(f"[{MARKS}]")
+#: A sentence's or a heading's end: its mark, and quotes or brackets behind it.
+ENDED = re.compile(rf"[{MARKS}][\"'”’»」』)\]]*$")
 DOUBLED = re.compile(r"[!?]{2,}(?=[\x20\x09-\x0D]|$)")
 
 DECISION = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
@@ -61,17 +70,43 @@ def repeated_words(words: list, n: int = 8) -> int:
 
 
 def line_fails(line: str, words: list, max_symbols: float = 0.3) -> bool:
+    """By what the line itself shows."""
     n = len(words)
     if count_chars(line, SYMBOLS) > max_symbols * n:
         return True
-    if not SENTENCE_MARK.search(line):
-        return True
     if ("!!" in line or "??" in line) and 2 * len(DOUBLED.findall(line)) >= n:
         return True
     found = len(SEPARATORS.findall(line))
-    if found >= 2 and 8 * found >= n:
-        return True
-    return bool(BOILERPLATE.search(line))
+    return found >= 2 and 8 * found >= n
+
+
+def made_of_phrases(passage: str, short: int = 20, words_a_phrase: int = 12) -> bool:
+    """Whether a passage that holds phrases is furniture; ten characters are a word where no blanks stand between words."""
+    n = max(len(passage.encode("utf-8", "surrogatepass").split()), len(passage) // 10)
+    return n <= short or words_a_phrase * len(BOILERPLATE.findall(passage)) >= n
+
+
+def _full(line: str, after: str, width: int) -> bool:
+    """The first word of ``after`` had no room behind ``line``."""
+    return len(line) + 1 + len(after.split(None, 1)[0]) > width
+
+
+def passages(lines: list[str], widest: int = 200) -> list[int]:
+    """For each line the number of its passage.  A paragraph (lines without an empty one between) counts as
+    wrapped if it has three lines or more, none above ``widest`` characters, and each but the last is full or ends a sentence."""
+    bare, at, lo = [line.strip(BLANKS) for line in lines], list(range(len(lines))), 0
+    for hi in range(len(lines) + 1):
+        if hi < len(lines) and bare[hi]:
+            continue
+        open_ = [i for i in range(lo, hi - 1) if not ENDED.search(bare[i])]
+        if open_:
+            width = max(map(len, bare[lo:hi]))
+            wrapped = hi - lo > 2 and width <= widest and all(_full(bare[i], bare[i + 1], width) for i in open_)
+            for i in open_:
+                if wrapped or bare[i + 1][0].islower():
+                    at[i + 1] = at[i]
+        lo = hi + 1
+    return at
 
 
 def judge(text: str, min_words: int = 20, max_repeat: float = 0.3, min_left: float = 0.5):
@@ -82,7 +117,11 @@ def judge(text: str, min_words: int = 20, max_repeat: float = 0.3, min_left: flo
     n_repeat = repeated_words(words)
     failed = n_words < min_words or 100 * n_repeat > round(100 * max_repeat) * n_words
     seen, left, left_chars, lines, dup, bad = set(), [], 0, 0, 0, 0
-    for line in text.split("\n"):
+    all_lines = text.split("\n")
+    of = passages(all_lines)
+    joined = [" ".join(map(itemgetter(1), group)) for _, group in groupby(zip(of, all_lines), itemgetter(0))]
+    passage = dict(zip(dict.fromkeys(of), joined))
+    for at, line in zip(of, all_lines):
         own = line.encode("utf-8", "surrogatepass").split()
         if not own:
             left.append(line)
@@ -91,7 +130,8 @@ def judge(text: str, min_words: int = 20, max_repeat: float = 0.3, min_left: flo
         again = line in seen
         dup += again
         seen.add(line)
-        if again or line_fails(line, own):
+        if (again or line_fails(line, own) or not (SENTENCE_MARK.search(line) or SENTENCE_MARK.search(passage[at]))
+                or BOILERPLATE.search(line) and made_of_phrases(passage[at])):
             bad += 1
         else:
             left.append(line)
