@@ -27,3 +27,15 @@ def test_nothing_to_learn_from(spark):
 def test_bounded_dictionary(spark):
     df = documents(spark, ["abc " * 5000] * 30, langs=["x"] * 30)
     assert len(L.learn(df, sample_docs=5, sample_chars=100)["x"]) <= 5 * 101
+
+
+def test_samples_come_from_anywhere_in_the_text(spark):
+    """All texts open with the same English menu; what follows tells the languages apart."""
+    menu = "Home, News, Sport, Shop, About us, Contact, Search, Help! 2024. " * 20
+    bodies = {"es": "la señora compró pan y queso en el mercado de la ciudad ", "de": "die frau kaufte brot und käse auf dem markt der stadt "}
+    texts, langs = zip(*((menu + body * 200, lang) for lang, body in bodies.items() for _ in range(10)))
+    model = L.learn(documents(spark, list(texts), langs=list(langs)))
+    assert "queso".encode() in model["es"] and "käse".encode() in model["de"]
+    assert not any(c in content for content in model.values() for c in b"!.,0123456789")
+    got = {r.doc_id: r.lang_pred for r in L.identify(documents(spark, list(bodies.values())), model).collect()}
+    assert [got[0], got[1]] == ["es", "de"]

@@ -1,12 +1,13 @@
 """Language identification by compression.
 
-Each language of the training rows gets a zstandard raw-content dictionary: lower-cased
-text of a sample of its documents.  A text is compressed with every dictionary and the
+Each language of the training rows gets a zstandard raw-content dictionary: the letters, as in
+the texts to be named, of a sample of its documents.  A text is compressed with every dictionary and the
 smallest result names its language; a narrow margin rejects the answer.  Whole texts are
 compressed, so a long one weighs all it holds.
 
 The sample is bounded by documented parameters: for each language at most ``sample_docs``
-documents (those with the least hash of their id) and ``sample_chars`` characters of each,
+documents (those with the least hash of their id) and ``sample_chars`` characters of each (a slice
+that begins where a hash of the id says, anywhere in the text),
 so a dictionary is at most their product; its size does not grow with the input.  The
 dictionaries go to the workers as one broadcast of at most ``max_mb`` (more languages than
 that allows raise an error; nothing is dropped).
@@ -41,9 +42,12 @@ def learn(labelled: DataFrame, sample_docs: int = 160, sample_chars: int = 800,
     """language -> dictionary content, from rows (doc_id, text, lang)."""
     order = Window.partitionBy("lang").orderBy("h", "text")
     # \p{L}: a text without a letter teaches nothing
+    letters = F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}]+", " "))
+    start = F.pmod(F.xxhash64("doc_id", F.lit("slice")), F.greatest(F.lit(1), F.length("text") - sample_chars + 1)) + 1
     rows = (labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-            .select("lang", F.xxhash64("doc_id").alias("h"), F.lower(F.substring("text", 1, sample_chars)).alias("text"))
-            .withColumn("at", F.row_number().over(order)).where(F.col("at") <= sample_docs))
+            .select("lang", "doc_id", F.xxhash64("doc_id").alias("h"), "text")
+            .withColumn("at", F.row_number().over(order)).where(F.col("at") <= sample_docs)
+            .withColumn("text", letters).withColumn("text", F.col("text").substr(start.cast("int"), F.lit(sample_chars))))
     content = rows.groupBy("lang").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "text"))), lambda r: r["text"]), "\n").alias("c"))
     size = content.agg(F.sum(F.octet_length("c"))).first()[0] or 0
     if size > max_mb << 20:
