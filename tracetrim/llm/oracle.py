@@ -83,4 +83,29 @@ c AS (SELECT a, min(b) AS m FROM reach GROUP BY a)
 SELECT n.doc_id, n.n AS n_shingles, coalesce(c.m, n.doc_id) AS component_id, n.doc_id = coalesce(c.m, n.doc_id) AS kept FROM n LEFT JOIN c ON c.a = n.doc_id
 """
 
-ORACLE: dict[str, str] = {"op1_chat_format": _CHAT, "op2_mix_sources": _MIX, "op9_line_quality": _QUALITY, "op10_minhash": _NEAR}
+#: Masks of failures counted by part and label, then every order of the five letters.
+_AUDIT = rf"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws FROM documents),
+f AS (SELECT doc_id, part,
+             [len(ws) < 200, 100 * len(list_distinct(ws)) < 50 * len(ws), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t),
+              regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)] AS fails FROM d),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, fails, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, count(*) AS n
+      FROM f LEFT JOIN l ON l.doc_id = f.doc_id GROUP BY ALL),
+x AS (SELECT unnest(range(1, 6)) AS i),
+o AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS way FROM x a, x b, x c, x d, x e
+      WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+s AS (SELECT way, unnest(range(1, 6)) AS step FROM o),
+r AS (SELECT part, way, step, n, good, toxic, fails[way[step]] AS own,
+             len(list_filter(way[1:step - 1], lambda j: fails[j])) > 0 AS gone, len(list_filter(fails, lambda v: v)) = 1 AS alone FROM s, m),
+g AS (SELECT part, way, step,
+             coalesce(sum(n) FILTER (WHERE NOT gone AND NOT own), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (WHERE NOT gone AND own), 0)::BIGINT AS removed,
+             coalesce(sum(n) FILTER (WHERE gone AND own), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (WHERE own AND alone), 0)::BIGINT AS unique_fails,
+             coalesce(sum(n) FILTER (WHERE NOT gone AND own AND good), 0)::BIGINT AS good_lost,
+             coalesce(sum(n) FILTER (WHERE NOT gone AND own AND toxic), 0)::BIGINT AS toxic_lost
+      FROM r GROUP BY part, way, step)
+SELECT part, array_to_string(list_transform(way, lambda j: 'ABCDE'[j]), '') AS filter_order, step::INTEGER AS step,
+       kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, way[step]))::BIGINT AS shapley FROM g
+"""
+
+ORACLE: dict[str, str] = {"op1_chat_format": _CHAT, "op2_mix_sources": _MIX, "op9_line_quality": _QUALITY, "op10_minhash": _NEAR, "op12_filter_audit": _AUDIT}

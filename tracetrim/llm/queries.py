@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracetrim.llm import ann, bitpack, chat_format, langid, line_quality, mixing, neardup, packing, pii, suffix_lm
+from tracetrim.llm import (
+    ann, bitpack, chat_format, filter_audit, langid, line_quality, mixing, neardup, packing, pii, suffix_lm, toxicity, whitening)
 from tracetrim.llm.common import read
 from tracetrim.session import shared_path
 
@@ -63,6 +64,18 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.train_and_score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_chat_format, op2_mix_sources, op3_small_world, op4_language, op5_suffix_tree, op6_packing, op7_personal_data,
-    op8_bit_packed_ids, op9_line_quality, op10_minhash)}
+    op8_bit_packed_ids, op9_line_quality, op10_minhash, op11_toxicity, op12_filter_audit, op13_whitening)}
