@@ -89,6 +89,26 @@ def test_load_questions_cap_and_lists(spark):
     assert len(pairs) == 2
 
 
+def test_load_questions_keeps_rows_with_repeated_and_null_keys(spark):
+    rows = spark.createDataFrame([(2, "b", "x"), (None, "n", "x"), (2, "a", "x"), (2, "a", "x"), (1, "", "x"), (None, "m", "x")], "k int, question string, answer string")
+    want = [(None, "t_train_0", "m"), (None, "t_train_1", "n"), (2, "t_train_3", "a"), (2, "t_train_4", "a"), (2, "t_train_5", "b")]
+    for cap in (None, 6):
+        got = BM.load_questions(rows.repartition(3), "t", "k", num_samples=cap).orderBy("id").collect()
+        assert [(r.question_key, r.id, r.question) for r in got] == want
+    assert BM.load_questions(rows.limit(0), "t", "k").collect() == []
+
+
+def test_repeated_turns_neither_multiply_nor_vanish(spark, tmp_path):
+    from tracetrim.sources import views
+    turns = [(1, 0, "user", "q"), (1, 0, "user", "q"), (1, 1, "assistant", "a"), (1, 1, "assistant", "b"), (1, 2, "user", "r"), (1, 3, "assistant", "c"),
+             (None, 0, "user", "n"), (None, 1, "assistant", "o"), (2, 0, "assistant", "z")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    traces = sorted((r.question, r.full_text) for r in views.v_traces(spark, str(tmp_path)).collect())
+    assert traces == [("n", "o"), ("q", "a"), ("r", "c")]
+    said = sorted((r.question_key or 0, r.depth, r.text) for r in views.v_completions(spark, str(tmp_path)).collect())
+    assert said == [(0, 1, "o"), (1, 1, "a"), (1, 2, "b"), (1, 3, "c"), (2, 1, "z")]
+
+
 def test_pt_roundtrip_keeps_schema_when_empty(spark):
     from tracetrim.plans import queries as Q
     from tracetrim.operators import rollout as RO

@@ -26,7 +26,8 @@ def dense_position(df: DataFrame, order_cols, out: str = "idx") -> DataFrame:
     shared checkpoint folder, so the per-partition counts and the rows they number come
     from the same materialisation (two independent sorts could
     sample different range bounds).  The counts have one row per partition, a proven
-    small bound, and are broadcast back as offsets.  ``order_cols`` should be unique.
+    small bound, and are broadcast back as offsets.  Rows equal in ``order_cols`` get positions of
+    their own, in any order; nulls come first.
     """
     ordered = df.orderBy(*order_cols).withColumn("_mid", F.monotonically_increasing_id())
     ordered = write_shared(ordered, "positions")
@@ -39,20 +40,29 @@ def dense_position(df: DataFrame, order_cols, out: str = "idx") -> DataFrame:
                    .drop("_mid", "_part", "_row", "_off"))
 
 
-def rank_within(df: DataFrame, group_col: str, order_col: str, out: str = "rank") -> DataFrame:
-    """1-based ``row_number() OVER (PARTITION BY group ORDER BY order)`` for unique
-    (group, order) pairs, without a per-group window."""
-    g = dense_position(df, [group_col, order_col], "_gpos")
-    starts = g.groupBy(group_col).agg(F.min("_gpos").alias("_gstart"))
-    return g.join(starts, group_col).withColumn(out, (F.col("_gpos") - F.col("_gstart") + 1).cast("long")) \
-            .drop("_gpos", "_gstart")
+def rank_within(df: DataFrame, group_col: str, order_cols, out: str = "rank") -> DataFrame:
+    """1-based ``row_number() OVER (PARTITION BY group ORDER BY order)`` without a per-group window.
+
+    Each row is numbered once, whatever repeats: equal (group, order) rows get ranks of their own, and
+    a null group is a group.
+    """
+    g = dense_position(df, [group_col, *order_cols], "_gpos")
+    starts = g.groupBy(F.col(group_col).alias("_sgroup")).agg(F.min("_gpos").alias("_gstart"))
+    return g.join(starts, F.col(group_col).eqNullSafe(F.col("_sgroup"))) \
+            .withColumn(out, (F.col("_gpos") - F.col("_gstart") + 1).cast("long")).drop("_gpos", "_gstart", "_sgroup")
 
 
-def next_within(df: DataFrame, group_col: str, order_col: str, value_cols, prefix: str = "next_") -> DataFrame:
-    """``lead(c) OVER (PARTITION BY group ORDER BY order)`` for each value column, as a
-    left join on the following global position (null at the end of a group)."""
-    g = dense_position(df, [group_col, order_col], "_gpos")
-    nxt = g.select((F.col("_gpos") - 1).alias("_gpos"), F.col(group_col).alias("_ngroup"),
-                   *[F.col(c).alias(prefix + c) for c in value_cols])
-    j = g.join(nxt, (g["_gpos"] == nxt["_gpos"]) & (g[group_col] == nxt["_ngroup"]), "left")
-    return j.drop(nxt["_gpos"]).drop("_ngroup").drop(g["_gpos"])
+def next_within(df: DataFrame, group_col: str, order_cols, value_cols, prefix: str = "next_", this=None, following=None) -> DataFrame:
+    """``lead(c) OVER (PARTITION BY group ORDER BY order)`` for each value column, as a join on the
+    following global position, which is unique: repeated (group, order) rows multiply nothing.
+
+    By default a left join (null at the end of a group).  With conditions on ``this`` row and on
+    the ``following`` one, only rows that meet them are joined, so no other row's values are shuffled.
+    """
+    g = dense_position(df, [group_col, *order_cols], "_gpos")
+    left = g if this is None else g.where(this)
+    right = g if following is None else g.where(following)
+    nxt = right.select((F.col("_gpos") - 1).alias("_npos"), F.col(group_col).alias("_ngroup"), *[F.col(c).alias(prefix + c) for c in value_cols])
+    j = left.join(nxt, (F.col("_gpos") == F.col("_npos")) & F.col(group_col).eqNullSafe(F.col("_ngroup")),
+                  "left" if following is None else "inner")
+    return j.drop("_gpos", "_npos", "_ngroup")

@@ -129,6 +129,9 @@ _PT = _TR + ", pt AS (SELECT t.*, d.question, d.category, d.source_dataset, d.gr
 
 ORACLE["pt_roundtrip"] = _TR + """SELECT id, depth, input_x, target_y, skipped_text, skip_start_idx, 'train' AS split FROM tr"""
 
+ORACLE["arrow_roundtrip"] = _TR + """SELECT id, depth, input_x, target_y, skipped_text, skip_start_idx,
+  CASE WHEN depth > 1 THEN 'deep' ELSE 'train' END AS split FROM tr"""
+
 ORACLE["build_pt_dataset"] = _PT + """SELECT id, input_x, target_y, depth, skipped_text, skip_reason,
   'recorded' AS generator_model, 'rubric:repeat' AS decision_model, skip_start_idx, original_step_count,
   category, source_dataset, ground_truth, 'train' AS split FROM pt"""

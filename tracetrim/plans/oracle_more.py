@@ -90,6 +90,12 @@ RESOLVED = f"""resolved AS (
 ORACLE["resolve_benchmark"] = V.with_views(REG, NAMES, RESOLVED) + \
     "SELECT doc_id, name, alias_key, registry_hit, path, config, category FROM resolved"
 
+# rows equal in every column share what their places differ in, so any order among them compares equal
+ORACLE["load_repeated_keys"] = """WITH q AS (
+  SELECT CASE WHEN conv_id % 7 <> 0 THEN conv_id END AS question_key, text AS question, role AS ground_truth FROM conversations WHERE role = 'user'),
+n AS (SELECT *, row_number() OVER (ORDER BY question_key NULLS FIRST, question NULLS FIRST, ground_truth) - 1 AS index FROM q)
+SELECT question_key, 'gsm8k_train_' || CAST(index AS VARCHAR) AS id, question, ground_truth, index FROM n WHERE coalesce(question, '') <> ''"""
+
 ORACLE["load_questions"] = V.with_views(V.V_CHOICE, CHOICE_FMT) + """SELECT item_id AS question_key,
   'arc_challenge_train_' || CAST(idx AS VARCHAR) AS id, 'allenai/ai2_arc' AS dataset, 'Scientific Reasoning' AS category,
   question, ground_truth, 'ARC-Challenge' AS config, 'train' AS split, CAST(idx AS BIGINT) AS "index"

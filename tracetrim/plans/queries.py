@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracetrim.session import write_shared
 from tracetrim.operators.steps import explode_steps, with_steps
 from tracetrim.sources import views
 from tracetrim.sources.tables import read_table
@@ -273,6 +274,15 @@ def q_load_questions(spark, sf_dir):
                     F.col("metadata.index").alias("index"))
 
 
+@register("load_repeated_keys")
+def q_load_repeated_keys(spark, sf_dir):
+    """A2 over rows whose order column repeats and is null for some: every row keeps a place of its own."""
+    conv = read_table(spark, sf_dir, "conversations").where(F.col("role") == "user")
+    rows = conv.select(F.when(F.col("conv_id") % 7 != 0, F.col("conv_id")).alias("item_id"), F.col("text").alias("question"), F.col("role").alias("answer"))
+    q = BM.load_questions(rows, "gsm8k", "item_id", "train")
+    return q.select("question_key", "id", "question", "ground_truth", F.col("metadata.index").alias("index"))
+
+
 @register("curated_fallback")
 def q_curated_fallback(spark, sf_dir):
     names = BM.resolve_benchmarks(_doc_names(spark, sf_dir), "name").select("alias_key", "path").distinct()
@@ -333,6 +343,18 @@ def q_pt_roundtrip(spark, sf_dir):
                        F.col("metadata.skip_start_idx").alias("skip_start_idx"), "split")
 
 
+@register("arrow_roundtrip")
+def q_arrow_roundtrip(spark, sf_dir):
+    """A6 through a folder of Arrow datasets: every transition written to its split and read back, splits apart."""
+    tr = RO.rollout_transitions(doc_rollout(spark, sf_dir))
+    pt = pt_io.to_pt_rows(tr).withColumn("split", F.when(F.col("depth") > 1, "deep").otherwise("train"))
+    path = pt_io.shared_path(spark, "arrow_roundtrip")
+    pt_io.save_pt_arrow(pt, path)
+    back = pt_io.load_pt(spark, path).unionByName(pt_io.load_pt(spark, path, "deep"))
+    return back.select("id", "depth", "input_x", "target_y", F.array_join("skipped_steps", NL).alias("skipped_text"),
+                       F.col("metadata.skip_start_idx").alias("skip_start_idx"), "split")
+
+
 @register("eval_inputs")
 def q_eval_inputs(spark, sf_dir):
     return BM.eval_inputs(_user_turns(spark, sf_dir), "item_id")
@@ -490,7 +512,8 @@ def recorded_rollout(spark, sf_dir, max_depth=3, completions=None):
     (question, depth); each is gathered once per question, then joined on the key."""
     from tracetrim.operators import build
 
-    completions = views.v_completions(spark, sf_dir) if completions is None else completions
+    # read for the traces and for the replies: numbered and written once
+    completions = write_shared(views.v_completions(spark, sf_dir), "completions") if completions is None else completions
     return build.recorded_rollout(_first_questions(spark, sf_dir), completions, views.v_rollout_replies(completions), max_depth=max_depth)
 
 
@@ -667,7 +690,7 @@ def completion_records(spark, sf_dir):
     """Every recorded completion that a rollout reaches, as the self-contained record a
     generator service would emit: question, the prefix it was prompted with (from the
     rollout's per-depth log), the completion and the auditor's reply."""
-    completions = views.v_completions(spark, sf_dir)
+    completions = write_shared(views.v_completions(spark, sf_dir), "completions")
     log = RO.rollout_log(recorded_rollout(spark, sf_dir, completions=completions), key="question_key").select(
         "question_key", "depth", "question", "prefix")
     rec = log.join(completions, ["question_key", "depth"])

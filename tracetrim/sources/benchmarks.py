@@ -118,16 +118,19 @@ def load_questions(source: DataFrame, alias: str, order_col: str, split: str = "
     (numbering and the cap come *before* empty questions are dropped), id = alias_split_idx.
 
     With a cap the first rows come from a top-k (TakeOrderedAndProject); without one,
-    positions come from ``dense_position``.
+    positions come from ``dense_position``.  Every row has a number: a null ``order_col`` comes first,
+    equal ones follow each other by question and answer.
     """
     res = resolve_alias(alias, config)
     fmt = format_rows(source)
     if num_samples is not None:
-        top = fmt.orderBy(order_col).limit(num_samples)
-        positioned = top.withColumn("idx", (F.row_number().over(Window.orderBy(order_col)) - 1).cast("long"))
+        order = [order_col, "question_text", "answer_text"]
+        top = fmt.orderBy(*order).limit(num_samples)
+        positioned = top.withColumn("idx", (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
     else:
-        # only the keys are sorted and written; the rows join their positions
-        positioned = fmt.join(dense_position(fmt.select(order_col), [order_col]), order_col)
+        # the rows themselves are numbered: repeated and null keys keep a row and a position each
+        rows = fmt.select(order_col, "question_text", "answer_text")
+        positioned = dense_position(rows, [order_col, "question_text", "answer_text"])
     out = keep_where(positioned, F.col("question_text") != "")
     return out.select(
         F.col(order_col).alias("question_key"),

@@ -31,16 +31,12 @@ def v_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(user turn, following assistant turn) pairs as question -> trace text.
 
     The "next turn" is a join on global position + 1 (``next_within``), not a
-    per-conversation window, so one huge conversation is not sorted in one task.  Only ids and
-    roles are numbered; the texts of the pairs found are fetched by (conversation, turn).
+    per-conversation window, so one huge conversation is not sorted in one task.  Rows are numbered
+    themselves, not by (conversation, turn), so a repeated turn neither multiplies nor vanishes.
     """
     conv = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    z = next_within(conv.select("conv_id", "turn", "role"), "conv_id", "turn", ["turn", "role"])
-    pairs = z.where((F.col("role") == "user") & (F.col("next_role") == "assistant")).select("conv_id", "turn", "next_turn")
-    asked = conv.select("conv_id", "turn", F.col("text").alias("question"))
-    said = conv.select("conv_id", F.col("turn").alias("next_turn"), F.col("text").alias("full_text"))
-    found = pairs.join(asked, ["conv_id", "turn"]).join(said, ["conv_id", "next_turn"])
-    return found.select(turn_key().alias("trace_id"), "question", "full_text")
+    z = next_within(conv, "conv_id", ["turn", "role", "text"], ["text"], this=F.col("role") == "user", following=F.col("role") == "assistant")
+    return z.select(turn_key().alias("trace_id"), F.col("text").alias("question"), F.col("next_text").alias("full_text"))
 
 
 def v_doc_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,9 +100,9 @@ def v_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def v_completions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Assistant turns numbered per conversation (depth), with derived usage and errors.
-    The numbering is ``rank_within`` (global positions of the ids alone), not a per-conversation window."""
+    The numbering is ``rank_within`` (global positions), not a per-conversation window; a repeated turn has a depth of its own."""
     conv = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").where(F.col("role") == "assistant")
-    a = conv.join(rank_within(conv.select("conv_id", "turn"), "conv_id", "turn", "_rank"), ["conv_id", "turn"])
+    a = rank_within(conv, "conv_id", ["turn", "text"], "_rank")
     return a.select(
         F.col("conv_id").alias("question_key"),
         F.col("_rank").cast("int").alias("depth"),
