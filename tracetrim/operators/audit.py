@@ -17,7 +17,7 @@ from tracetrim.functions.reply import (
     ALL_STEPS_REASON, MISSING_REPLY_REASON, SHORT_TRACE_REASON, with_parsed_reply,
 )
 from tracetrim.functions.text import col_
-from tracetrim.operators.frames import row_safe
+from tracetrim.operators.ledger import answers
 from tracetrim.session import ship_package
 
 # Fixed value: the reason of a decision whose call failed begins so.
@@ -110,14 +110,15 @@ def call_error(message: Column) -> Column:
     return no_skip(F.concat(F.lit(CALL_ERROR), message), "error")
 
 
-def user_replies(traces: DataFrame, fn, template: str | None = None, parallelism: int | None = None, key: str = "trace_id") -> DataFrame:
+def user_replies(traces: DataFrame, fn, template: str | None = None, parallelism: int | None = None, key: str = "trace_id",
+                 ledger: str | None = None, call_rows: int | None = None) -> DataFrame:
     """The replies of a user callable: ``fn(pandas.DataFrame) -> pandas.DataFrame`` per Arrow batch.
 
     The callable sees (key, question, prefix, steps, prompt) batches inside the
     executors (one client per task, no driver loop); ``prompt`` is the audit prompt built
     with ``template`` (default template when None).  It returns the key and
-    ``raw_response``.  If it raises, the batch's rows are given to it one at a time, and those that
-    fail again get their ``error``.  Short traces are filtered out before the Python step (the
+    ``raw_response``.  If it raises, the rows are halved until those that fail stand alone; they
+    get their ``error``.  ``ledger`` and ``call_rows`` are those of ``batch_completion``.  Short traces are filtered out before the Python step (the
     guard never calls it), and ``parallelism`` bounds the number of concurrent clients.
     """
     from tracetrim.operators.format import audit_prompt
@@ -125,8 +126,8 @@ def user_replies(traces: DataFrame, fn, template: str | None = None, parallelism
     ship_package(traces.sparkSession)
 
     def run(batches):
-        for pdf in batches:
-            yield from row_safe(fn, pdf, lambda rows, message: rows[[key]].assign(raw_response=None, error=message), [key, "raw_response", "error"])
+        yield from answers(fn, batches, lambda rows, message: rows[[key]].assign(raw_response=None, error=message),
+                           [key, "raw_response", "error"], key, ledger, call_rows)
 
     needs = traces.where(F.size("steps") > 1).select(
         key, "question", "prefix", "steps",

@@ -8,12 +8,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracetrim.operators import frontier
 from tracetrim.operators import rollout as RO
-from tracetrim.operators.audit import user_replies
-from tracetrim.operators.completions import batch_completion, build_traces, completion_requests
 from tracetrim.operators.evaluate import eval_samples, eval_summary, pair_responses
 from tracetrim.operators.frames import keep_where
-from tracetrim.session import write_shared
 from tracetrim.sources import pt_io
 
 
@@ -59,8 +57,16 @@ def build_pt_dataset(questions: DataFrame, *, completions: DataFrame | None = No
 
 
 def recorded_rollout(questions: DataFrame, completions: DataFrame, replies: DataFrame | None = None, *, max_depth: int = 3, rules=("repeat",),
-                     mode: str = "auto", generator_model: str = "recorded") -> DataFrame:
-    """F4 over recorded tables: every question is a row, one without a completion stops as ``missing_completion``."""
+                     mode: str = "auto", generator_model: str = "recorded", by_depth: bool = False) -> DataFrame:
+    """F4 over recorded tables: every question is a row, one without a completion stops as ``missing_completion``.
+
+    ``by_depth`` runs a job a depth over a written state (``frontier.py``) in place of one unrolled plan: the form for many
+    depths.
+    """
+    if by_depth:
+        judge = frontier.rubric_verdicts(rules) if replies is None else frontier.recorded_verdicts(replies, max_depth)
+        return frontier.rollout_by_depth(questions, frontier.recorded_answers(completions, max_depth, mode), judge, max_depth=max_depth,
+                                         generator_model=generator_model, decision_model="recorded" if replies is not None else "rubric:" + "+".join(rules))
     base = questions.join(RO.gather_traces(completions, "question_key", max_depth, "_completions", mode), "question_key", "left")
     auditor = RO.rubric_auditor(rules)
     if replies is not None:
@@ -71,29 +77,17 @@ def recorded_rollout(questions: DataFrame, completions: DataFrame, replies: Data
 
 
 def rollout_live(questions: DataFrame, generate, audit, *, max_depth: int = 3, mode: str = "auto", template: str | None = None,
-                 system_prompt: str | None = None, parallelism: int | None = None, generator_model: str = "live") -> DataFrame:
+                 system_prompt: str | None = None, parallelism: int | None = None, generator_model: str = "live",
+                 call_rows: int | None = 256) -> DataFrame:
     """F4 with user callables, called once a depth for the questions still running: ``generate`` as in
-    ``batch_completion``, ``audit`` as in ``user_replies``.
+    ``batch_completion``, ``audit`` as in ``user_replies``, each with at most ``call_rows`` rows.
 
-    Each depth's completions and replies are written to the shared folder before anything reads
-    them, so no retry or later depth calls again; a call that fails is a row with its error.
-    The state of the questions is always the recorded rollout of what is written.
+    Answers are kept in a ledger as they come (``ledger.py``) and each depth's are written to the shared folder before
+    anything reads them, so no retry or later depth calls again; a call that fails is a row with its error.
     """
-    completions = replies = None
-    active = questions.select("question_key", "question", F.lit("").alias("prefix"))
-    for depth in range(1, max_depth + 1):
-        said = batch_completion(completion_requests(active, "prefix", system_prompt), generate, depth, parallelism)
-        said = write_shared(said, f"completions-{depth}")
-        traces = build_traces(said, mode).select("question_key", "steps").join(active, "question_key")
-        judged = user_replies(traces, audit, template, parallelism, key="question_key").withColumn("depth", F.lit(depth))
-        judged = write_shared(judged, f"replies-{depth}")
-        completions = said if completions is None else completions.unionByName(said)
-        replies = judged if replies is None else replies.unionByName(judged)
-        if depth < max_depth:
-            state = recorded_rollout(questions, completions, replies, max_depth=depth + 1, mode=mode)
-            going = state.where(F.col("stopped_by") == "missing_completion")
-            active = write_shared(going.select("question_key", "question", F.col("next_prefix").alias("prefix")), f"active-{depth}")
-    return recorded_rollout(questions, completions, replies, max_depth=max_depth, mode=mode, generator_model=generator_model)
+    ask, judge = frontier.live_calls(questions.sparkSession, generate, audit, template=template, system_prompt=system_prompt,
+                                     parallelism=parallelism, call_rows=call_rows, mode=mode)
+    return frontier.rollout_by_depth(questions, ask, judge, max_depth=max_depth, generator_model=generator_model)
 
 
 def evaluate_models(questions: DataFrame, base: DataFrame, pruned: DataFrame, benchmark_name: str = "custom",

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tracetrim.functions.segment import segment
 from tracetrim.functions.text import word_count
 from tracetrim.operators.format import DEFAULT_SYSTEM_PROMPT, continuation_prompt
-from tracetrim.operators.frames import row_safe
+from tracetrim.operators.ledger import answers
 from tracetrim.session import ship_package
 
 ERROR_PREFIX = "Error during generation: "
@@ -49,14 +49,17 @@ def completion_requests(questions: DataFrame, prefix_col: str | None = None, sys
     )
 
 
-def batch_completion(requests: DataFrame, complete_fn, depth: int = 1, parallelism: int | None = None) -> DataFrame:
+def batch_completion(requests: DataFrame, complete_fn, depth: int = 1, parallelism: int | None = None, ledger: str | None = None,
+                     call_rows: int | None = None) -> DataFrame:
     """D3: run ``complete_fn(pandas.DataFrame) -> pandas.DataFrame[text, usage_tokens, error]``
-    over Arrow batches.  ``parallelism`` bounds concurrent clients (the thread-pool knob)
-    by repartitioning before the Python stage.  If the callable raises, the batch's rows are
-    given to it one at a time, and those that fail again become rows with their ``error``.
+    over Arrow batches, at most ``call_rows`` rows a call.  ``parallelism`` bounds concurrent clients (the
+    thread-pool knob) by repartitioning before the Python stage.  If the callable raises, the rows are halved until
+    those that fail stand alone; these become rows with their ``error``.  With ``ledger``, a folder that all
+    executors reach, answers are kept there as they come and a task that is run again does not ask for them (``ledger.py``).
     """
     ship_package(requests.sparkSession)
     req = requests.repartition(parallelism) if parallelism else requests
+    columns = ["question_key", "depth", "text", "usage_tokens", "error"]
 
     def run(batches):
         def one(pdf):
@@ -65,9 +68,8 @@ def batch_completion(requests: DataFrame, complete_fn, depth: int = 1, paralleli
         def failed(row, message):
             return row[["question_key"]].assign(depth=depth, text=None, usage_tokens=None, error=message)
 
-        for pdf in batches:
-            for out in row_safe(one, pdf, failed, ["question_key", "depth", "text", "usage_tokens", "error"]):
-                yield out.astype({"depth": "int32", "usage_tokens": "Int32"})
+        for out in answers(one, batches, failed, columns, "question_key", ledger, call_rows):
+            yield out.astype({"depth": "int32", "usage_tokens": "Int32"})
 
     key_type = requests.schema["question_key"].dataType.simpleString()
     return req.mapInPandas(run, f"question_key {key_type}, {COMPLETION_FIELDS}")

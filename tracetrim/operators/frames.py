@@ -16,25 +16,3 @@ def keep_where(df: DataFrame, cond: Column) -> DataFrame:
     Generate, which predicates on its output cannot cross; it costs one row copy.
     """
     return df.withColumn("_keep_", F.explode_outer(F.array(cond))).where(F.col("_keep_")).drop("_keep_")
-
-
-def row_safe(fn, pdf, failed, columns):
-    """Results of ``fn`` over a pandas batch; if it raises, of its rows one at a time, with
-    ``failed(row, message)`` for those that raise again: one bad record never ends the job."""
-    def shaped(out):
-        for c in columns:
-            if c not in out.columns:
-                out = out.assign(**{c: None})
-        return out[columns]
-
-    try:
-        yield shaped(fn(pdf))
-        return
-    except Exception:  # noqa: BLE001 - whatever a user's client raises
-        pass
-    for i in range(len(pdf)):
-        row = pdf.iloc[i:i + 1]
-        try:
-            yield shaped(fn(row))
-        except Exception as e:  # noqa: BLE001
-            yield shaped(failed(row, str(e)))

@@ -323,6 +323,8 @@ _LIVE_NEXT = """s2 AS (
   SELECT question_key, question, prefix, length(question || chr(10) || chr(10) || '[Previous Steps]:' || chr(10) || prefix || chr(10) || chr(10)
                                                || '[Continue reasoning from here]:') AS n
   FROM (SELECT question_key, question, 'Alpha ' || n || '. Gamma ' || n || '.' AS prefix FROM d1 WHERE can_skip) z)"""
+ORACLE["stream_rollout"] = ORACLE["stream_transitions"]
+
 ORACLE["rollout_live"] = V.with_views("""s1 AS (
   SELECT question_key, question, '' AS prefix, length(question) AS n
   FROM (SELECT conv_id AS question_key, arg_min(text, turn) AS question FROM conversations WHERE role = 'user' GROUP BY conv_id) z)""",

@@ -708,3 +708,26 @@ def q_stream_transitions(spark, sf_dir):
     res = spark.read.parquet(out)
     return res.select("question_key", "id", "input_x", "target_y", "depth",
                       F.array_join("skipped_steps", NL).alias("skipped_text"), "skip_reason")
+
+
+from tracetrim.streaming import rollout_stream as RS  # noqa: E402
+
+
+def raw_records(spark, sf_dir):
+    """Every recorded completion with its reply and question, as a generator service emits it: without a prefix."""
+    completions = write_shared(views.v_completions(spark, sf_dir), "completions")
+    rec = completions.join(_first_questions(spark, sf_dir), "question_key")
+    return rec.select("question_key", "depth", "question", "text", "usage_tokens", "error",
+                      views.reply_case(F.col("question_key") + F.col("depth"), F.col("text")).alias("raw_response"),
+                      F.timestamp_seconds(F.lit(1_700_000_000) + F.col("depth")).alias("event_time"))
+
+
+@register("stream_rollout")
+def q_stream_rollout(spark, sf_dir):
+    """F9 with state: raw completions dealt over files without regard to depth, drained two files at a time."""
+    src = pt_io.shared_path(spark, "rollout_src")
+    out = pt_io.shared_path(spark, "rollout_out")
+    raw_records(spark, sf_dir).repartition(4, F.xxhash64("question_key", "depth")).write.parquet(src)
+    RS.run_rollout_stream(spark, src, out, out + "_checkpoint", max_files_per_trigger=2)
+    return spark.read.parquet(out).select("question_key", "id", "input_x", "target_y", "depth",
+                                          F.array_join("skipped_steps", NL).alias("skipped_text"), "skip_reason")

@@ -24,16 +24,21 @@ RECORD_SCHEMA = ("question_key long, depth int, question string, prefix string,
                  "error string, raw_response string")
 
 
-def transitions_from_records(records: DataFrame, mode: str = "auto", generator_model: str = "recorded",
-                             decision_model: str = "recorded") -> DataFrame:
+def decided(records: DataFrame, mode: str = "auto", keep=()) -> DataFrame:
+    """D1/D2 and E1-E6 row by row: each record's steps and decision."""
     is_err = F.col("error").isNotNull()
     t = records.select(
-        "question_key", "depth", "question", F.coalesce(F.col("prefix"), F.lit("")).alias("prefix"), "raw_response",
+        "question_key", "depth", "question", "raw_response", *keep,
         F.when(is_err, F.concat(F.lit(ERROR_PREFIX), F.col("error"))).otherwise(F.coalesce(F.col("text"), F.lit(""))).alias("full_text"),
         F.when(is_err, F.lit(0)).otherwise(F.coalesce(F.col("usage_tokens"), word_count(F.col("text")))).cast("int").alias("token_count"),
     )
     t = t.withColumn("steps", segment(F.col("full_text"), mode))
-    t = with_reply_decision(t, "raw_response", "steps", "decision")
+    return with_reply_decision(t, "raw_response", "steps", "decision")
+
+
+def transitions_from_records(records: DataFrame, mode: str = "auto", generator_model: str = "recorded",
+                             decision_model: str = "recorded") -> DataFrame:
+    t = decided(records.withColumn("prefix", F.coalesce(F.col("prefix"), F.lit(""))), mode, ("prefix",))
     dec = F.col("decision")
     return keep_where(t, usable(dec)).select(
         "question_key",
@@ -47,7 +52,11 @@ def run_stream(spark: SparkSession, source_dir: str, out_dir: str, checkpoint: s
     reader = spark.readStream.schema(RECORD_SCHEMA)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    stream = transitions_from_records(reader.parquet(source_dir), mode)
+    drain(transitions_from_records(reader.parquet(source_dir), mode), out_dir, checkpoint)
+
+
+def drain(stream: DataFrame, out_dir: str, checkpoint: str) -> None:
+    """Write what the stream's sources hold now, and stop."""
     q = (stream.writeStream.format("parquet").option("checkpointLocation", checkpoint)
          .outputMode("append").trigger(availableNow=True).start(out_dir))
     q.awaitTermination()
