@@ -64,3 +64,63 @@ def test_expectation_maximisation_finds_the_reliable_labelers():
 
 def test_empty(spark):
     assert pii.find(documents(spark, [])).count() == 0 and pii.redact(documents(spark, [])).count() == 0
+
+
+def plain_choice(spans):
+    """Base spans and the looser ones that meet none, nor a looser one (itself clear of base spans) before them."""
+    def meet(a, b):
+        return a[0] < b[2] and b[0] < a[2]
+
+    base, loose = ([s for s in spans if s[3] == b] for b in (True, False))
+    clear = [m for m in loose if not any(meet(m, b) for b in base)]
+    return set(base) | {m for m in clear if not any(meet(m, o) and (o[0], o[1]) < (m[0], m[1]) for o in clear)}
+
+
+def test_choice_of_spans_against_all_pairs(spark):
+    import random
+
+    r, rows, want = random.Random(3), [], {}
+    for row in range(40):
+        spans, taken = set(), set()
+        for _ in range(r.randrange(60)):
+            start, at, base = r.randrange(150), r.randrange(4), r.random() < 0.4
+            if (start, at, base) not in taken:
+                taken.add((start, at, base))
+                spans.add((start, at, start + r.randrange(1, 20), base))
+        want[row] = plain_choice(spans)
+        rows += [(row, pii.KINDS[a], s, e, b, True) for s, a, e, b in spans] + [(row, "email", 0, 999, False, False)]
+    df = spark.createDataFrame(rows, "row long, kind string, start long, end long, base boolean, taken boolean")
+    got = {k: set() for k in want}
+    for c in pii.chosen(df).collect():
+        got[c["row"]].add((c["start"], c["at"], c["end"], c["base"]))
+    assert got == want
+
+
+def test_many_spans_in_one_text(spark):
+    import time
+
+    def contacts(n):
+        return " ".join(f"call 555-{i % 900 + 100}-{i % 9000 + 1000} or mail u{i}@h{i % 7}.org" if i % 2 else f"fax +1 (212) 555-{i % 9000 + 1000} or u{i} (at) h (dot) org" for i in range(n))
+
+    big = contacts(10_000)
+    df = documents(spark, [big, contacts(40), "x " * 200_000])
+    began = time.time()
+    found = {r.doc_id: r for r in pii.find(df).collect()}
+    text = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    assert time.time() - began < 60
+    plain, counts = brute(big)
+    assert [found[0].n_email, found[0].n_ip, found[0].n_card, found[0].n_phone] == counts
+    spans = [s.split(":") for s in found[0].spans.split(",")]
+    assert len(spans) >= 19_000 and found[2].spans == ""
+    cut, at = [], 0
+    for kind, start, end in sorted(((k, int(s), int(e)) for k, s, e in spans), key=lambda x: x[1:]):
+        if start >= at:
+            cut += [big[at:start], pii.MARKS[kind]]
+        at = max(at, end)
+    assert text[0] == "".join(cut) + big[at:] and text[2] == "x " * 200_000
+
+
+def test_repeated_rows_and_clashing_columns(spark):
+    df = clashing(documents(spark, ["a@b.co x", "a@b.co x", None], ids=[1, 1, 1]))
+    assert sorted(r.spans for r in pii.find(df).collect()) == ["", "email:0:6", "email:0:6"]
+    assert sorted(r.text or "" for r in pii.redact(df).collect()) == ["", "[EMAIL] x", "[EMAIL] x"]

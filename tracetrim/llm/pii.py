@@ -208,15 +208,26 @@ def decide(voted: DataFrame, odds: dict[str, float]) -> DataFrame:
     return voted.withColumn("taken", F.col("base") | (F.col("loose") & (F.col("probability") >= 0.5)))
 
 
+def chosen(decided: DataFrame) -> DataFrame:
+    """(row, start, at, end, base): all base spans, and looser ones that touch no base span and begin behind all
+    looser ones before them (of two that begin together, the kind listed first).  Sorts and running extremes, so a
+    text's spans cost what sorting them costs."""
+    at = F.coalesce(*[F.when(F.col("kind") == k, F.lit(i)) for i, k in enumerate(KINDS)])
+    s = decided.where("taken").select("row", "start", at.alias("at"), "end", "base")
+    each, upto = Window.partitionBy("row"), (Window.unboundedPreceding, -1)
+    reached = F.max(F.when(F.col("base"), F.col("end"))).over(each.orderBy("start", F.col("base").desc(), "at").rowsBetween(*upto))
+    ahead = F.min(F.when(F.col("base"), F.col("start"))).over(each.orderBy(F.col("start").desc(), F.col("base").desc(), "at").rowsBetween(*upto))
+    s = s.withColumns({"reached": reached, "ahead": ahead})
+    s = s.where(F.col("base") | (F.coalesce(F.col("reached") <= F.col("start"), F.lit(True)) & F.coalesce(F.col("ahead") >= F.col("end"), F.lit(True))))
+    before = F.max(F.when(~F.col("base"), F.col("end"))).over(each.orderBy("start", "at", "end").rowsBetween(*upto))
+    s = s.withColumn("before", before).where(F.col("base") | F.coalesce(F.col("before") <= F.col("start"), F.lit(True)))
+    return s.select("row", "start", "at", "end", "base")
+
+
 def _of_row(decided: DataFrame) -> DataFrame:
     """row, base and all: sorted (start, at, end) with ``at`` the kind's place in the list."""
-    at = F.coalesce(*[F.when(F.col("kind") == k, F.lit(i)) for i, k in enumerate(KINDS)])
-    span = F.struct("start", at.alias("at"), "end")
-    rows = decided.where("taken").groupBy("row").agg(F.sort_array(F.collect_list(F.when(F.col("base"), span))).alias("base"),
-                                                     F.sort_array(F.collect_list(F.when(~F.col("base"), span))).alias("more"))
-    apart = F.filter("more", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    first = F.filter(apart, lambda m: ~F.exists(apart, lambda o: (o["start"] < m["end"]) & (m["start"] < o["end"]) & ((o["start"] < m["start"]) | ((o["start"] == m["start"]) & (o["at"] < m["at"])))))
-    return rows.select("row", "base", F.sort_array(F.concat("base", first)).alias("all"))
+    span = F.struct("start", "at", "end")
+    return chosen(decided).groupBy("row").agg(F.sort_array(F.collect_list(F.when(F.col("base"), span))).alias("base"), F.sort_array(F.collect_list(span)).alias("all"))
 
 
 def _listed(c: str) -> Column:
@@ -237,6 +248,20 @@ def find(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", *counts, F.sha2(_listed("base"), 256).alias("base_sha256"), _listed("all").alias("spans"))
 
 
+#: Code points in a block of a text that is cut.
+BLOCK = 1024
+
+
+def _piece(start: Column, end: Column) -> Column:
+    """Code points ``start`` to ``end`` (exclusive) of the text held in ``blocks``: the work is that of its length."""
+    first, last = F.floor(start / BLOCK).cast("int"), F.floor((end - 1) / BLOCK).cast("int")
+    block = lambda i: F.element_at("blocks", i + 1)
+    inside = F.substring(block(first), (start - first * BLOCK + 1).cast("int"), (end - start).cast("int"))
+    across = F.concat(F.substring(block(first), (start - first * BLOCK + 1).cast("int"), F.lit(BLOCK)),
+                      F.array_join(F.slice("blocks", first + 2, last - first - 1), ""), F.substring(block(last), F.lit(1), (end - last * BLOCK).cast("int")))
+    return F.when(end <= start, "").when(first == last, inside).otherwise(across)
+
+
 def redact(docs: DataFrame) -> DataFrame:
     """The input's rows with every span replaced by its kind's mark (overlapping spans by the first one's); ``n_chars``
     counts anew.  Rows without a candidate pass by the join."""
@@ -252,12 +277,12 @@ def redact(docs: DataFrame) -> DataFrame:
     before = F.coalesce(F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
     each = each.withColumn("reach", before).withColumn("head", F.col("start") >= F.col("reach"))
     cuts = each.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "at", "end", "reach", "head"))).alias("cuts"))
-    joined = table.where(F.size("found") > 0).join(cuts, "row", "left")
-    parts = F.transform("cuts", lambda c: F.when(c["head"], F.concat(
-        F.substring(whole, (c["reach"] + 1).cast("int"), (c["start"] - c["reach"]).cast("int")), F.element_at(marks, c["at"] + 1))).otherwise(""))
+    # in blocks, because a substring is looked for from the text's beginning
+    joined = table.where(F.size("found") > 0).join(cuts, "row", "left").withColumn(
+        "blocks", F.when(F.col("cuts").isNotNull(), F.regexp_extract_all(whole, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))))
+    parts = F.transform("cuts", lambda c: F.when(c["head"], F.concat(_piece(c["reach"], c["start"]), F.element_at(marks, c["at"] + 1))).otherwise(""))
     ends = F.array_max(F.transform("cuts", lambda c: c["end"]))
-    tail = F.substring(whole, (ends + 1).cast("int"), F.length(whole))
-    text = F.when(F.col("cuts").isNotNull(), F.concat(F.array_join(parts, ""), tail)).otherwise(whole)
+    text = F.when(F.col("cuts").isNotNull(), F.concat(F.array_join(parts, ""), _piece(ends, F.length(whole)))).otherwise(whole)
     changed = joined.withColumn("new", text).select("_row", "new")
     same = table.where(F.size("found") == 0).select("_row", whole.alias("new"))
     return carried.restore(same.union(changed), text=F.col("new"), n_chars=F.length("new").cast("long"))
