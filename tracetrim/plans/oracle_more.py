@@ -78,6 +78,18 @@ ORACLE["fmt_dispatch"] = V.with_views(V.V_CHOICE, V.V_CONTEXT, V.V_TRACES, PLAIN
        ELSE {plain_question('answer')} END AS ground_truth
 FROM u"""
 
+# a language is never null here, so both answer forms of a context row read alike
+ORACLE["fmt_mixed_json"] = V.with_views(V.V_CHOICE, CHOICE_FMT, SVAMP, V.V_CONTEXT, V.V_TRACES, PLAIN) + f"""
+SELECT 'choice' AS layout, item_id, question, ground_truth FROM fmt
+UNION ALL SELECT 'body', item_id, {body_question()}, '' FROM svamp
+UNION ALL SELECT CASE WHEN context IS NULL THEN 'plain' ELSE 'context' END, item_id,
+  CASE WHEN context IS NULL THEN {plain_question('question')} ELSE {context_question()} END, {sstr('answer')} FROM v_context
+UNION ALL SELECT 'plain', item_id, {plain_question('question')}, {plain_question('answer')} FROM plain_qa"""
+
+ORACLE["eval_zip"] = f"""WITH q AS (SELECT coalesce(text, 'None') AS question, row_number() OVER (ORDER BY {V.TURN_KEY}) - 1 AS question_key FROM conversations WHERE role = 'user'),
+g AS (SELECT coalesce(text, 'None') AS ground_truth, row_number() OVER (ORDER BY doc_id) - 1 AS question_key FROM documents)
+SELECT question_key, question, ground_truth FROM q JOIN g USING (question_key)"""
+
 # ---------------------------------------------------------------- sources
 NAMES = "names AS (SELECT doc_id, (list_value(" + ", ".join(
     q(v) for v in ["gsm8k", " ARC_Challenge ", "SQuAD_v2", "openbookqa", "commonsense_qa", "Hotpot_QA", "svamp",

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tracetrim.session import write_shared
 from tracetrim.operators.steps import explode_steps, with_steps
+from tracetrim.sources import json_rows as JR
 from tracetrim.sources import views
 from tracetrim.sources.tables import read_table
 
@@ -360,6 +361,31 @@ def q_eval_inputs(spark, sf_dir):
     return BM.eval_inputs(_user_turns(spark, sf_dir), "item_id")
 
 
+@register("eval_zip")
+def q_eval_zip(spark, sf_dir):
+    """User turns and documents paired by place, questions in the order of their turns and golds in that of their texts."""
+    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("k"), "text")
+    return BM.zip_inputs(_user_turns(spark, sf_dir), docs, "problem", "text", "item_id", "k")
+
+
+@register("fmt_mixed_json")
+def q_fmt_mixed_json(spark, sf_dir):
+    """B5 row by row: one file of JSON lines with four layouts, keys missing, null or of other types, written and read back."""
+    fmt = lambda df: df.select(F.to_json(F.struct(*df.columns)).alias("value"))
+    svamp = _svamp_like(spark, sf_dir)
+    context = views.v_context(spark, sf_dir)
+    lines = [views.v_choice(spark, sf_dir), svamp.drop("Answer"), context.where("hash(item_id) % 2 = 0"),
+             context.where("hash(item_id) % 2 <> 0").select("item_id", "context", "question", F.struct(F.array("answer").alias("text")).alias("answers")),
+             _plain_qa(spark, sf_dir)]
+    rows = fmt(lines[0])
+    for df in lines[1:]:
+        rows = rows.unionByName(fmt(df))
+    path = pt_io.shared_path(spark, "mixed_json")
+    rows.write.text(path)
+    f = JR.format_json_rows(JR.read_json_rows(spark, path))
+    return f.select("layout", JR.Value(JR.ROW, "item_id").text.alias("item_id"), F.col("question_text").alias("question"), F.col("answer_text").alias("ground_truth"))
+
+
 # ---------------------------------------------------------------- formatting
 
 def _fmt_out(df, key="item_id"):

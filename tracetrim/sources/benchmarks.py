@@ -274,6 +274,32 @@ def pair_lists(spark: SparkSession, questions: list, golds: list | None) -> Data
     return spark.createDataFrame(rows, "question_key long, question string, ground_truth string")
 
 
+def in_file_order(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet source with ``file_order``: the file and the row's place in it, whatever splits read it."""
+    df = spark.read.parquet(path)
+    return df.select("*", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("file_order"))
+
+
+def zip_inputs(questions: DataFrame, golds: DataFrame | None, question: str = "question", gold: str = "answer",
+               question_order="file_order", gold_order="file_order", max_samples: int | None = None) -> DataFrame:
+    """A7 over two tables: the i-th question with the i-th gold, the shorter table ends the pairs; without a gold table
+    every gold is null.
+
+    Places are dense positions in each table's own order (equal rows in any order, nulls first), so the tables need no common key
+    and may be split anyhow.  Null values are the text "None".
+    """
+    def placed(df, value, order, name):
+        rows = df.select(F.col(order).alias("_order"), F.coalesce(F.col(value).cast("string"), F.lit("None")).alias(name))
+        if max_samples is not None:
+            rows = rows.orderBy("_order", name).limit(max_samples)
+        return dense_position(rows, ["_order", name], "question_key").drop("_order")
+
+    asked = placed(questions, question, question_order, "question")
+    if golds is None:
+        return asked.select("question_key", "question", F.lit(None).cast("string").alias("ground_truth"))
+    return asked.join(placed(golds, gold, gold_order, "ground_truth"), "question_key").select("question_key", "question", "ground_truth")
+
+
 def resolve_alias(name: str, config: str | None = None) -> dict:
     """A1 for a single parameter value (no Spark job): same rule as ``resolve_benchmarks``."""
     key = name.strip().lower()
