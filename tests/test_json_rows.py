@@ -1,5 +1,8 @@
+import glob
 import json
 
+import pyarrow.parquet as pq
+
 from tracetrim.sources import benchmarks as BM
 from tracetrim.sources import json_rows as JR
 
@@ -53,7 +56,7 @@ def test_pairs_by_place(spark, tmp_path):
     spark.range(0, 1000, 1, 4).selectExpr("cast(1000 - id as string) as question").write.parquet(path)
     asked = BM.in_file_order(spark, path)
     golds = spark.createDataFrame([(k, f"g{k}") for k in range(400)] + [(None, None), (5, "g5")], "k int, answer string")
-    plain = [r.question for r in spark.read.parquet(path).collect()]
+    plain = [v for f in sorted(glob.glob(path + "/*.parquet")) for v in pq.read_table(f)["question"].to_pylist()]
     order = [None, *range(6), 5, *range(6, 400)]
     want = [(i, plain[i], "None" if k is None else f"g{k}") for i, k in enumerate(order)]
     for q, g in ((asked, golds), (asked.repartition(7), golds.repartition(3))):

@@ -24,7 +24,8 @@ ROW = "row"
 
 
 def read_json_rows(spark: SparkSession, path: str) -> DataFrame:
-    """The lines of text files as (row VARIANT), null where a line is no JSON."""
+    """The lines of text files as (row VARIANT), null where a line is no JSON.  Sets the session to read repeated keys."""
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     lines = spark.read.text(path).where(F.trim("value") != "")
     return lines.select(F.try_parse_json("value").alias(ROW))
 
