@@ -26,6 +26,8 @@ def get_session(master: str | None = None, app: str = "tracetrim", shuffle_parti
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # call sites noted for every expression double the time that a long plan takes to define
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     }
