@@ -15,7 +15,7 @@ steps; the reason names the rule that flagged the first step.  The last step is
 flagged, so the target step always exists.
 
 Everything is row-local: exact repeats use one ``array_sort`` over (norm, index) pairs
-(O(n log n) per trace); the pairwise rule walks the steps once with ``aggregate``.
+(O(n log n) per trace); overlaps are looked up by each step's rarest words and verified.
 Lambdas only touch their own arguments so no array is re-evaluated per element.
 """
 
@@ -73,20 +73,60 @@ def repeat_indices(steps, prior=None) -> Column:
     return let(F.array_sort(norms), hits)
 
 
-def _pair_flags(steps, question, overlap_pct, restate_pct, use_overlap, use_restate) -> Column:
-    """Per step: 'overlap', 'restate' or null.  Pairwise with earlier steps (O(n^2) pairs,
-    most rejected by the size test), computed inside the row."""
-    toks = F.transform(col_(steps), lambda s: _tokens(normalise_step(s)))
-    qtok = _tokens(normalise_step(F.coalesce(col_(question), F.lit("")))) if question is not None else F.array().cast("array<string>")
+def _runs(rows: Column, key: str) -> Column:
+    """A sorted array of structs cut into arrays of equal ``key``.  ``rows`` is a lambda's own argument."""
+    at = F.filter(F.transform(rows, lambda e, k: F.when(
+        (k == 0) | (e[key] != F.get(rows, k - 1)[key]), k)), lambda k: k.isNotNull())
+    return let(at, lambda S: F.transform(S, lambda s, r: F.slice(rows, s + 1, F.coalesce(F.get(S, r + 1), F.size(rows)) - s)))
+
+
+def overlap_indices(steps, pct: int = 80) -> Column:
+    """Indices of steps whose words overlap an earlier step's by ``pct`` percent or more (Jaccard), ascending.
+
+    Exact prefix filter inside the row: two such steps share one of their rarest words, namely one of the
+    first ``size - ceil(size * pct / 100) + 1`` in the order (count in the trace, word).  Those words lead to the
+    steps that have them, and only these are compared; a step stops at its first partner.
+    """
+    if not 1 <= pct <= 100:
+        raise ValueError(f"overlap_pct must lie in 1 to 100: {pct}")
+    toks = F.transform(col_(steps), lambda s: F.coalesce(_tokens(normalise_step(s)), F.array().cast("array<string>")))
+
+    def prefix(g):
+        return F.slice(g, 1, F.size(g) - F.floor((F.size(g) * pct + 99) / 100).cast("int") + 1)
+
+    def by_step(by_word):
+        """(step, count, word number) of every word, rarest first within a step."""
+        return F.array_sort(F.flatten(F.transform(by_word, lambda g, w: F.transform(
+            g, lambda e: F.struct(e["i"].alias("i"), F.size(g).alias("n"), w.alias("w"))))))
 
-    def per_step(T, Q):
-        def one(t, i):
-            ov = F.exists(F.slice(T, 1, i), lambda p: _similar(p, t, overlap_pct)) if use_overlap else F.lit(False)
-            rs = _similar(Q, t, restate_pct) if use_restate else F.lit(False)
-            return F.when(ov, F.lit("overlap")).when(rs, F.lit("restate"))
-        return F.transform(T, one)
+    def rare(groups):
+        """(word number, step) of every step's prefix."""
+        return F.array_sort(F.flatten(F.transform(groups, lambda g: F.transform(
+            prefix(g), lambda e: F.struct(e["w"].alias("w"), e["i"].alias("i"))))))
 
-    return let(toks, lambda T: let(qtok, lambda Q: per_step(T, Q)))
+    def lists_of(postings):
+        """(step, place of the word's list) of every prefix word."""
+        return F.array_sort(F.flatten(F.transform(postings, lambda g, q: F.transform(
+            g, lambda e: F.struct(e["i"].alias("i"), q.alias("q"))))))
+
+    def hits(T, postings, own):
+        return F.filter(F.transform(own, lambda g: F.when(F.exists(g, lambda e: F.exists(
+            F.get(postings, e["q"]), lambda c: (c["i"] < e["i"]) & _similar(F.get(T, c["i"]), F.get(T, e["i"]), pct))),
+            F.get(g, F.lit(0))["i"])), lambda i: i.isNotNull())
+
+    def found(T):
+        words = F.array_sort(F.flatten(F.transform(T, lambda t, i: F.transform(t, lambda w: F.struct(w.alias("w"), i.alias("i"))))))
+        return let(words, lambda W: let(by_step(_runs(W, "w")), lambda B: let(rare(_runs(B, "i")), lambda R: let(
+            _runs(R, "w"), lambda P: let(lists_of(P), lambda L: hits(T, P, _runs(L, "i")))))))
+
+    return let(toks, found)
+
+
+def _restate_indices(steps, question, pct: int) -> Column:
+    """Indices of steps whose words overlap the question's by ``pct`` percent or more."""
+    qtok = _tokens(normalise_step(F.coalesce(col_(question), F.lit("")))) if question is not None else F.array().cast("array<string>")
+    return let(qtok, lambda Q: F.filter(F.transform(col_(steps), lambda s, i: F.when(
+        let(_tokens(normalise_step(s)), lambda t: _similar(Q, t, pct)), i)), lambda i: i.isNotNull()))
 
 
 def with_rubric_decision(df: DataFrame, steps_col: str = "steps", question_col: str | None = "question",
@@ -104,10 +144,12 @@ def with_rubric_decision(df: DataFrame, steps_col: str = "steps", question_col:
     if "repeat" in rules:
         per_rule[t + "rep"] = repeat_indices(s, F.col(prior_col) if prior_col else None)
         parts.append(F.col(t + "rep"))
-    if "overlap" in rules or "restate" in rules:
-        q = F.col(question_col) if question_col else None
-        per_rule[t + "why"] = _pair_flags(s, q, overlap_pct, restate_pct, "overlap" in rules, "restate" in rules)
-        parts.append(F.filter(F.transform(F.col(t + "why"), lambda w, i: F.when(w.isNotNull(), i)), lambda x: x.isNotNull()))
+    if "overlap" in rules:
+        per_rule[t + "over"] = overlap_indices(s, overlap_pct)
+        parts.append(F.col(t + "over"))
+    if "restate" in rules:
+        per_rule[t + "rest"] = _restate_indices(s, F.col(question_col) if question_col else None, restate_pct)
+        parts.append(F.col(t + "rest"))
     if "filler" in rules:
         per_rule[t + "fill"] = F.transform(s, lambda x: F.lower(x).rlike(FILLER_RE))
         parts.append(F.filter(F.transform(F.col(t + "fill"), lambda b, i: F.when(b, i)), lambda x: x.isNotNull()))
@@ -127,10 +169,10 @@ def with_rubric_decision(df: DataFrame, steps_col: str = "steps", question_col:
     ordered = []
     if "repeat" in rules:
         ordered.append((F.array_contains(F.col(t + "rep"), start), REASONS["repeat"]))
-    if "overlap" in rules or "restate" in rules:
-        w = F.element_at(F.col(t + "why"), start + 1)
-        ordered.append((w == "overlap", REASONS["overlap"]))
-        ordered.append((w == "restate", REASONS["restate"]))
+    if "overlap" in rules:
+        ordered.append((F.array_contains(F.col(t + "over"), start), REASONS["overlap"]))
+    if "restate" in rules:
+        ordered.append((F.array_contains(F.col(t + "rest"), start), REASONS["restate"]))
     if "filler" in rules:
         ordered.append((F.element_at(F.col(t + "fill"), start + 1), REASONS["filler"]))
     reason = None
