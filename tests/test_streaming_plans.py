@@ -7,7 +7,7 @@ from tracetrim.streaming import incremental as INC
 
 PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas", "PythonUDF")
 PYTHON_QUERIES = {"batch_completion", "rollout_live", "user_audit"}
-SIDE_EFFECT = {"pt_roundtrip", "stream_transitions", "schema_check", "arrow_roundtrip", "stream_rollout", "fmt_mixed_json"}
+SIDE_EFFECT = {"pt_roundtrip", "stream_transitions", "schema_check", "arrow_roundtrip", "stream_rollout", "fmt_mixed_json", "stream_reports"}
 
 
 def test_stream_equals_batch(spark):

@@ -83,20 +83,26 @@ def depth_counts(df: DataFrame) -> DataFrame:
 def dataset_card(df: DataFrame, generator_model: str | None = None, decision_model: str | None = None) -> DataFrame:
     """Total, model names ("N/A" when blank) and the markdown depth table; the table
     is built from the per-depth counts (one row per depth)."""
-    gm = generator_model or "N/A"
-    dm = decision_model or "N/A"
     if "depth" in df.columns:
-        per = df.groupBy("depth").agg(F.count(F.lit(1)).alias("n"))
-        card = per.agg(
-            F.sum("n").alias("total"),
-            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("depth", "n"))),
-                                     lambda r: F.format_string("| Depth %d | %d |", r["depth"], r["n"])), "\n").alias("depth_table"))
-        card = card.select(F.coalesce(F.col("total"), F.lit(0)).cast("long").alias("total"),
-                           F.when(F.col("depth_table") == "", F.lit("| All | 0 |")).otherwise(F.col("depth_table")).alias("depth_table"))
-    else:
-        card = df.agg(F.count(F.lit(1)).alias("total")).select(
-            "total", F.format_string("| All | %d |", F.col("total")).alias("depth_table"))
-    return card.select("total", F.lit(gm).alias("generator_model"), F.lit(dm).alias("decision_model"), "depth_table")
+        return card_of(df.groupBy("depth").agg(F.count(F.lit(1)).alias("n")), generator_model, decision_model)
+    card = df.agg(F.count(F.lit(1)).alias("total")).select("total", F.format_string("| All | %d |", F.col("total")).alias("depth_table"))
+    return _with_models(card, generator_model, decision_model)
+
+
+def card_of(per: DataFrame, generator_model: str | None = None, decision_model: str | None = None) -> DataFrame:
+    """I5 from the counts per depth (``depth``, ``n``)."""
+    card = per.agg(
+        F.sum("n").alias("total"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("depth", "n"))),
+                                 lambda r: F.format_string("| Depth %d | %d |", r["depth"], r["n"])), "\n").alias("depth_table"))
+    card = card.select(F.coalesce(F.col("total"), F.lit(0)).cast("long").alias("total"),
+                       F.when(F.col("depth_table") == "", F.lit("| All | 0 |")).otherwise(F.col("depth_table")).alias("depth_table"))
+    return _with_models(card, generator_model, decision_model)
+
+
+def _with_models(card: DataFrame, generator_model: str | None, decision_model: str | None) -> DataFrame:
+    return card.select("total", F.lit(generator_model or "N/A").alias("generator_model"),
+                       F.lit(decision_model or "N/A").alias("decision_model"), "depth_table")
 
 
 def audit_summary(df: DataFrame, dataset: str = "source_dataset", category: str = "category",

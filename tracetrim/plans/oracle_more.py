@@ -307,6 +307,13 @@ ORACLE["stream_transitions"] = RECORDED + f"""SELECT question_key, {OA.example_i
   array_to_string(steps[skip_start_idx + 1 : skip_end_idx + 1], chr(10)) AS skipped_text, reason AS skip_reason
 FROM ran WHERE usable"""
 
+ORACLE["stream_reports"] = RECORDED + f""", made AS (
+  SELECT *, CASE WHEN question_key % 5 <> 0 THEN CASE WHEN length(question) < 80 THEN 'short' ELSE 'long' END END AS category,
+         coalesce({OA.input_x("question", "prefix", "steps", "skip_start_idx")}, '') = '' AS no_x, coalesce(nxt, '') = '' AS no_y FROM ran)
+SELECT category, depth, count(*) AS n_records, CAST(count_if(can_skip) AS BIGINT) AS n_skip, CAST(sum(len(steps)) AS BIGINT) AS n_steps,
+  CAST(count_if(usable) AS BIGINT) AS n_transitions, CAST(count_if(usable AND no_x) AS BIGINT) AS empty_input_x, CAST(count_if(usable AND no_y) AS BIGINT) AS empty_target_y,
+  CAST(count_if(usable AND NOT no_x AND NOT no_y) AS BIGINT) AS valid_rows FROM made GROUP BY category, depth"""
+
 # The stand-in client answers with the first line of each prompt (the question itself, since there is no prefix at
 # depth 1) and fails on prompts of a length divisible by 11.
 ORACLE["batch_completion"] = """SELECT question_key, CAST(1 AS INTEGER) AS depth, CASE WHEN n % 11 <> 0 THEN split_part(q, chr(10), 1) END AS text,

@@ -757,3 +757,22 @@ def q_stream_rollout(spark, sf_dir):
     RS.run_rollout_stream(spark, src, out, out + "_checkpoint", max_files_per_trigger=2)
     return spark.read.parquet(out).select("question_key", "id", "input_x", "target_y", "depth",
                                           F.array_join("skipped_steps", NL).alias("skipped_text"), "skip_reason")
+
+
+from tracetrim.streaming import live_reports as LR  # noqa: E402
+
+
+def categorised_records(spark, sf_dir):
+    """``completion_records`` with a category by the length of the question; some have none."""
+    return completion_records(spark, sf_dir).withColumn("category", F.when(
+        F.col("question_key") % 5 != 0, F.when(F.length("question") < 80, F.lit("short")).otherwise(F.lit("long"))))
+
+
+@register("stream_reports")
+def q_stream_reports(spark, sf_dir):
+    """The counts that the stream's batches add up to."""
+    src = pt_io.shared_path(spark, "report_src")
+    out = pt_io.shared_path(spark, "report_out")
+    categorised_records(spark, sf_dir).repartition(2, "question_key").write.parquet(src)
+    LR.run_report_stream(spark, src, out, max_files_per_trigger=1)
+    return LR.read_counts(spark, out)

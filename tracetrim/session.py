@@ -71,6 +71,12 @@ def remove_shared(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def is_written(spark: SparkSession, path: str) -> bool:
+    """Whether a table's write into ``path`` has been committed."""
+    mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
+    return mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark)
+
+
 def _remove_all() -> None:
     for spark, path in _WRITTEN:
         try:
