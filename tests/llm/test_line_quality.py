@@ -74,3 +74,50 @@ def test_hard_wrapped_prose_keeps_its_lines(spark):
 def test_sentence_marks_of_other_scripts():
     for line in ("यह एक वाक्य है।", "هل هذه جملة؟", "これは文です｡"):
         assert Q.judge(line)[1] == [line]
+
+
+def by_sql(texts):
+    """The query's SQL over ``texts``."""
+    import duckdb
+    import pandas as pd
+
+    from tracetrim.llm.oracle import ORACLE
+
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame({"doc_id": range(len(texts)), "text": pd.Series(texts, dtype=object)}))
+    cur = con.execute(ORACLE["op9_line_quality"])
+    names = [c[0] for c in cur.description]
+    return {row["doc_id"]: row for row in (dict(zip(names, r)) for r in cur.fetchall())}
+
+
+def mixed_text(r):
+    """Paragraphs, wrapped or in one line, with furniture, headings, blank lines and odd spaces between."""
+    import textwrap
+
+    blocks = []
+    for _ in range(r.randint(1, 5)):
+        block = prose(r.randrange(10**6), r.choice([3, 12, 40, 120, 300]))
+        if r.random() < 0.4:
+            block = block.replace(".", "")
+        if r.random() < 0.5:
+            words = block.split()
+            words.insert(r.randrange(len(words) + 1), r.choice(["copyright", "Log in", "all rights reserved.", "newsletter", "© 2020"]))
+            block = " ".join(words)
+        if r.random() < 0.3:
+            block = block.lower()
+        if r.random() < 0.6:
+            block = textwrap.fill(block, r.choice([30, 60, 250]))
+        blocks.append(block)
+        if r.random() < 0.4:
+            blocks.append(r.choice(["Home | News | Shop", "Share this", "\u00a0", "\u3000", " \t", "Heading", "why??", "No!! No!!", "a ### b"]))
+    return r.choice(["\n", "\n\n"]).join(blocks)
+
+
+def test_verdict_equals_sql(spark):
+    r = random.Random(4)
+    clean = prose(21, 300) + " The copyright lies with the author. " + prose(22, 300)
+    texts = [None, "", "\u00a0", "Some words here\n\u00a0\nand some more\n\u3000", clean, clean.replace(". ", ".\n"), *(mixed_text(r) for _ in range(300))]
+    want = by_sql(texts)
+    got = {row.doc_id: row.asDict() for row in Q.line_quality(documents(spark, texts)).collect()}
+    assert got == want
+    assert 30 < sum(row["kept"] for row in got.values()) < len(texts) - 30

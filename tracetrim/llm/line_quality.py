@@ -43,6 +43,7 @@ MARKS = ".!?…。！？:;：；．｡؟؛۔।॥։።፧፨။។៕།܀"
 SENTENCE_MARK = re.compile(f"[{MARKS}]")
 #: A sentence's or a heading's end: its mark, and quotes or brackets behind it.
 ENDED = re.compile(rf"[{MARKS}][\"'”’»」』)\]]*$")
+FIRST_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOUBLED = re.compile(r"[!?]{2,}(?=[\x20\x09-\x0D]|$)")
 
 DECISION = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
@@ -88,7 +89,7 @@ def made_of_phrases(passage: str, short: int = 20, words_a_phrase: int = 12) ->
 
 def _full(line: str, after: str, width: int) -> bool:
     """The first word of ``after`` had no room behind ``line``."""
-    return len(line) + 1 + len(after.split(None, 1)[0]) > width
+    return len(line) + 1 + len(FIRST_WORD.match(after)[0]) > width
 
 
 def passages(lines: list[str], widest: int = 200) -> list[int]:

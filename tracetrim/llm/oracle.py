@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+from tracetrim.llm.line_quality import BOILERPLATE, MARKS
+
 _CHAT = r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -39,7 +41,7 @@ SELECT doc_id, size, source_size, target, (a + b2 + c)::BIGINT AS taken, ((a > 0
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
-#: The rules line by line; words in windows of eight are counted by position.
+#: The rules line by line and passage by passage; words in windows of eight are counted by position.
 _QUALITY = rf"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t FROM documents),
 w AS (SELECT r, t, regexp_extract_all(t, '{_WORD}') AS ws FROM d),
@@ -50,12 +52,24 @@ covered AS (SELECT r, count(DISTINCT i + j) AS n_repeat FROM twice, (SELECT unne
 l AS (SELECT r, unnest(string_split(t, chr(10))) AS line, unnest(range(len(string_split(t, chr(10))))) AS i FROM d),
 l2 AS (SELECT *, row_number() OVER (PARTITION BY r, line ORDER BY i) > 1 AS again, regexp_extract_all(line, '{_WORD}') AS ws FROM l),
 l3 AS (SELECT *, len(ws) AS n, len(regexp_extract_all(line, '\||»|›|•|·|::| > | / ')) AS seps,
-              length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')) AS chars FROM l2 WHERE len(ws) > 0),
-l4 AS (SELECT *, again OR length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) > 0.3 * n OR NOT regexp_matches(line, '[.!?…。！？:;]')
+              length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')) AS chars,
+              regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS bare FROM l2 WHERE len(ws) > 0),
+p1 AS (SELECT *, i - row_number() OVER (PARTITION BY r ORDER BY i) AS para FROM l3),
+p2 AS (SELECT *, lead(bare) OVER (PARTITION BY r, para ORDER BY i) AS below, max(length(bare)) OVER (PARTITION BY r, para) AS width,
+              count(*) OVER (PARTITION BY r, para) AS tall FROM p1),
+p3 AS (SELECT *, below IS NOT NULL AND NOT regexp_matches(bare, '[{MARKS}]["''”’»」』)\]]*$') AS goes_on,
+              length(bare) + 1 + length(regexp_extract(below, '{_WORD}')) > width AS is_full FROM p2),
+p4 AS (SELECT *, tall > 2 AND width <= 200 AND bool_and(NOT goes_on OR is_full) OVER (PARTITION BY r, para) AS wrapped FROM p3),
+p5 AS (SELECT *, coalesce(lag(goes_on AND (wrapped OR regexp_matches(below, '^\p{{Ll}}'))) OVER (PARTITION BY r, para ORDER BY i), false) AS carried FROM p4),
+p6 AS (SELECT *, sum(CASE WHEN carried THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i) AS passage FROM p5),
+p7 AS (SELECT r, passage, string_agg(line, ' ' ORDER BY i) AS said, sum(n) AS said_words FROM p6 GROUP BY r, passage),
+p8 AS (SELECT r, passage, regexp_matches(said, '[{MARKS}]') AS marked, greatest(said_words, length(said) // 10) AS size,
+              len(regexp_extract_all(said, '(?i){BOILERPLATE.pattern}')) AS phrases FROM p7),
+l4 AS (SELECT p6.*, again OR length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) > 0.3 * n OR NOT marked
                  OR ((contains(line, '!!') OR contains(line, '??')) AND 2 * len(list_filter(ws, lambda x: regexp_matches(x, '[!?]{{2,}}$'))) >= n)
                  OR (seps >= 2 AND 8 * seps >= n)
-                 OR regexp_matches(line, '(?i)all rights reserved|\blicen[sc]ed under\b|\breleased under the\b|\bcopyright\b|©|\bcookie(?:s| policy)\b|\bprivacy policy\b|\bterms of (?:use|service)\b|\bclick here\b|\bsign (?:in|up)\b|\blog ?in\b|\bsubscribe\b|\bnewsletter\b|\benable javascript\b|\blorem ipsum\b|\bread more\b|\bshare (?:this|on)\b|\bpowered by\b|\bskip to content\b') AS bad
-       FROM l3),
+                 OR (regexp_matches(line, '(?i){BOILERPLATE.pattern}') AND (size <= 20 OR 12 * phrases >= size)) AS bad
+       FROM p6 JOIN p8 ON p8.r = p6.r AND p8.passage = p6.passage),
 ls AS (SELECT r, count(*) AS n_lines, count_if(bad) AS n_bad_lines, count_if(again) AS n_dup_lines, coalesce(sum(chars) FILTER (WHERE NOT bad), 0) AS left_chars
        FROM l4 GROUP BY r),
 c AS (SELECT d.doc_id, len(w.ws)::BIGINT AS n_words, length(regexp_replace(d.t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
