@@ -25,11 +25,19 @@ def test_nothing_to_learn_from(spark):
 
 
 def test_bounded_dictionary(spark):
-    df = documents(spark, ["abc " * 5000] * 30, langs=["x"] * 30)
-    assert len(L.learn(df, sample_docs=5, sample_chars=100)["x"]) <= 5 * 101
+    df = documents(spark, ["abc " * 50] * 30, langs=["x"] * 30)
+    assert len(L.learn(df, sample_docs=5)["x"]) == 5 * 200 - 1
+    assert 1000 <= len(L.learn(df, dict_bytes=1000)["x"]) + 1 < 1000 + 201
 
 
-def test_samples_come_from_anywhere_in_the_text(spark):
+def test_texts_are_learnt_whole_the_long_ones_last(spark):
+    short, long_ = "abc " * 5 + "ende", "lang " * 5000 + "schluss"
+    model = L.learn(documents(spark, [long_, short, short, long_], langs=["x", "x", "x", "y"]), dict_bytes=1000)
+    assert model["y"].decode() == long_ and model["x"].decode() == f"{short}\n{short}\n{long_}"
+    assert L.learn(documents(spark, [long_] + [short] * 50, langs=["x"] * 51), dict_bytes=1000)["x"].count(b"lang") == 0
+
+
+def test_what_follows_a_shared_opening_is_learnt(spark):
     """All texts open with the same English menu; what follows tells the languages apart."""
     menu = "Home, News, Sport, Shop, About us, Contact, Search, Help! 2024. " * 20
     bodies = {"es": "la señora compró pan y queso en el mercado de la ciudad ", "de": "die frau kaufte brot und käse auf dem markt der stadt "}

@@ -5,10 +5,11 @@ the texts to be named, of a sample of its documents.  A text is compressed with
 smallest result names its language; a narrow margin rejects the answer.  Whole texts are
 compressed, so a long one weighs all it holds.
 
-The sample is bounded by documented parameters: for each language at most ``sample_docs``
-documents (those with the least hash of their id) and ``sample_chars`` characters of each (a slice
-that begins where a hash of the id says, anywhere in the text),
-so a dictionary is at most their product; its size does not grow with the input.  The
+The sample is bounded by documented parameters, in documents and in bytes of dictionary: for each
+language the documents with the least hash of their id, at most ``sample_docs``, each whole, until
+they fill ``dict_bytes``.  Texts over an eighth of ``dict_bytes`` come behind all shorter ones, so that one text
+does not make up a dictionary; a language without enough shorter ones takes them, whole too.  A dictionary
+therefore holds at most ``dict_bytes`` and the text that fills it; its size does not grow with the input.  The
 dictionaries go to the workers as one broadcast of at most ``max_mb`` (more languages than
 that allows raise an error; nothing is dropped).
 
@@ -38,20 +39,21 @@ def letters_only(text: str) -> bytes:
     return NO_LETTERS.sub(" ", text.lower()).encode("utf-8", "surrogatepass")
 
 
-def learn(labelled: DataFrame, sample_docs: int = 160, sample_chars: int = 800, max_mb: int = 256) -> dict[str, bytes]:
+def learn(labelled: DataFrame, sample_docs: int = 512, dict_bytes: int = 1 << 18, max_mb: int = 256) -> dict[str, bytes]:
     """language -> dictionary content, from rows (doc_id, text, lang)."""
-    order = Window.partitionBy("lang").orderBy("h", "text")
+    order = Window.partitionBy("lang").orderBy("long", "h", "text")
     # \p{L}: a text without a letter teaches nothing
     letters = F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}]+", " "))
-    start = F.pmod(F.xxhash64("doc_id", F.lit("slice")), F.greatest(F.lit(1), F.length("text") - sample_chars + 1)) + 1
     rows = (labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-            .select("lang", "doc_id", F.xxhash64("doc_id").alias("h"), "text")
+            .select("lang", F.xxhash64("doc_id").alias("h"), (F.octet_length("text") > dict_bytes // 8).alias("long"), "text")
             .withColumn("at", F.row_number().over(order)).where(F.col("at") <= sample_docs)
-            .withColumn("text", letters).withColumn("text", F.col("text").substr(start.cast("int"), F.lit(sample_chars))))
+            .select("lang", "at", letters.alias("text")))
+    before = F.sum(F.octet_length("text") + 1).over(Window.partitionBy("lang").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < dict_bytes)
     content = rows.groupBy("lang").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "text"))), lambda r: r["text"]), "\n").alias("c"))
     size = content.agg(F.sum(F.octet_length("c"))).first()[0] or 0
     if size > max_mb << 20:
-        raise ValueError(f"the dictionaries take {size >> 20} MB; take smaller samples than {sample_docs} x {sample_chars}")
+        raise ValueError(f"the dictionaries take {size >> 20} MB; take smaller dictionaries than {dict_bytes} bytes")
     return {lang: c.encode("utf-8") for lang, c in sorted(content.collect())}
 
 
