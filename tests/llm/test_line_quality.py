@@ -121,3 +121,16 @@ def test_verdict_equals_sql(spark):
     got = {row.doc_id: row.asDict() for row in Q.line_quality(documents(spark, texts)).collect()}
     assert got == want
     assert 30 < sum(row["kept"] for row in got.values()) < len(texts) - 30
+
+
+def test_no_phrase_escapes_the_plain_texts():
+    phrases = ["All rights reserved", "licensed under", "licenced under", "released under the", "copyright", "©", "cookies", "cookie policy",
+               "privacy policy", "terms of use", "terms of service", "click here", "sign in", "sign up", "login", "log in", "subscribe",
+               "newsletter", "enable javascript", "lorem ipsum", "read more", "share this", "share on", "powered by", "skip to content"]
+    other = {"s": "sSſ", "i": "iIİı", "k": "kKK"}
+    r = random.Random(7)
+    for phrase in phrases:
+        for _ in range(40):
+            said = "".join(r.choice(other.get(c, c + c.upper())) for c in phrase.lower())
+            assert Q.BOILERPLATE.search(f"xé {said} y") and Q.may_hold_phrase(f"xé {said} y")
+    assert not Q.may_hold_phrase("a plain text, shared once; ünder") and not Q.may_hold_phrase("")
