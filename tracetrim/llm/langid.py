@@ -7,11 +7,12 @@ compressed, so a long one weighs all it holds.
 
 The sample is bounded by documented parameters, in documents and in bytes of dictionary: for each
 language the documents with the least hash of their id, at most ``sample_docs``, each whole, until
-they fill ``dict_bytes``.  Texts over an eighth of ``dict_bytes`` come behind all shorter ones, so that one text
+they fill ``dict_bytes`` (of text).  Texts over an eighth of ``dict_bytes`` come behind all shorter ones, so that one text
 does not make up a dictionary; a language without enough shorter ones takes them, whole too.  A dictionary
 therefore holds at most ``dict_bytes`` and the text that fills it; its size does not grow with the input.  The
-dictionaries go to the workers as one broadcast of at most ``max_mb`` (more languages than
-that allows raise an error; nothing is dropped).
+dictionaries go to the workers as one broadcast of at most ``max_mb``, the keys of their documents as one
+of at most 1,024 rows a megabyte of it (more languages than that allows raise an error; nothing is dropped).
+Equal rows among the chosen teach once.
 
 Defined results: a null text and one without a letter give ``und`` with score 0, not
 rejected; ties go to the language with less code points; a null id counts as empty text
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracetrim.llm.common import id_remainder, pick
-from tracetrim.session import ship_package
+from tracetrim.session import shared_table, ship_package
 
 UNDETERMINED = "und"
 NO_LETTERS = re.compile(r"[\W\d_]+")
@@ -41,19 +42,27 @@ def letters_only(text: str) -> bytes:
 
 def learn(labelled: DataFrame, sample_docs: int = 512, dict_bytes: int = 1 << 18, max_mb: int = 256) -> dict[str, bytes]:
     """language -> dictionary content, from rows (doc_id, text, lang)."""
-    order = Window.partitionBy("lang").orderBy("long", "h", "text")
-    # \p{L}: a text without a letter teaches nothing
+    # the rows are chosen by narrow keys; only the chosen ones' texts move.  \p{L}: a text without a letter teaches nothing
+    keyed = (labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+             .select("lang", F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("t"), "text"))
+    order = Window.partitionBy("lang").orderBy("long", "h", "t")
+    earlier = Window.partitionBy("lang").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    chosen = (keyed.select("lang", "h", "t", F.octet_length("text").cast("long").alias("bytes"))
+              .withColumn("long", F.col("bytes") > dict_bytes // 8)
+              .withColumn("at", F.row_number().over(order)).where(F.col("at") <= sample_docs)
+              .withColumn("before", F.coalesce(F.sum(F.col("bytes") + 1).over(earlier), F.lit(0))).where(F.col("before") < dict_bytes)
+              .groupBy("lang", "h", "t").agg(F.min("at").alias("at")))
+    chosen, _ = shared_table(chosen, "language-samples")
+    n = chosen.count()
+    if n > max_mb << 10:
+        raise ValueError(f"{n} texts to learn from; take fewer than {sample_docs} a language")
     letters = F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}]+", " "))
-    rows = (labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-            .select("lang", F.xxhash64("doc_id").alias("h"), (F.octet_length("text") > dict_bytes // 8).alias("long"), "text")
-            .withColumn("at", F.row_number().over(order)).where(F.col("at") <= sample_docs)
-            .select("lang", "at", letters.alias("text")))
-    before = F.sum(F.octet_length("text") + 1).over(Window.partitionBy("lang").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < dict_bytes)
+    rows = keyed.join(F.broadcast(chosen), ["lang", "h", "t"]).dropDuplicates(["lang", "at"]).select("lang", "at", letters.alias("text"))
     content = rows.groupBy("lang").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "text"))), lambda r: r["text"]), "\n").alias("c"))
+    content, _ = shared_table(content, "language-dictionaries")
     size = content.agg(F.sum(F.octet_length("c"))).first()[0] or 0
     if size > max_mb << 20:
-        raise ValueError(f"the dictionaries take {size >> 20} MB; take smaller dictionaries than {dict_bytes} bytes")
+        raise ValueError(f"the dictionaries take {size >> 20} MB; take smaller ones than {dict_bytes} bytes")
     return {lang: c.encode("utf-8") for lang, c in sorted(content.collect())}
 
 
