@@ -65,3 +65,12 @@ def test_pairs_by_place(spark, tmp_path):
     assert [tuple(r) for r in BM.zip_inputs(asked, golds, gold_order="k", max_samples=3).orderBy("question_key").collect()] == want[:3]
     assert BM.zip_inputs(asked, None, max_samples=5).where("ground_truth is null").count() == 5
     assert BM.zip_inputs(asked.limit(0), golds, gold_order="k").collect() == []
+
+
+def test_keys_are_read_once_per_row(spark, tmp_path):
+    """A key's value is one column that all rules read, not an expression that each of them runs again."""
+    rows = JR.read_json_rows(spark, write(tmp_path / "rows", [x for x, _ in LINES]))
+    out = JR.format_json_rows(rows)
+    assert out.columns == ["row", "layout", "question_text", "answer_text"]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("$.context,") == 1 and plan.count("$.question,") == 1

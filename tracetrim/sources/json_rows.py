@@ -78,10 +78,44 @@ class Value:
         return self.is_object & F.try_variant_get(self.v, f"$.{key}", "variant").isNotNull()
 
 
+class _Staged(Value):
+    """A key whose value, kind and text are columns already, each computed once per row."""
+
+    def __init__(self, name: str):
+        self.v, self._kind, self._text = (F.col(_staged(part, name)) for part in ("v", "kind", "text"))
+
+    @property
+    def kind(self) -> Column:
+        return self._kind
+
+    @property
+    def text(self) -> Column:
+        return self._text
+
+
+KEYS = ("choices", "context", "answers", "question", "question_stem", "Body", "Question", "problem", "prompt",
+        "answer", "answerKey", "Answer", "correct_answer", "ground_truth")
+
+
+def _staged(part: str, name: str) -> str:
+    # keys may differ in case alone, column names may not
+    return f"_json_{part}_{KEYS.index(name)}"
+
+
+def _with_keys(df: DataFrame, row: str) -> DataFrame:
+    """Adds every key's value, kind and text as columns: an expression that many others use would run for each of them."""
+    whole, there = F.col(row), F.col("_json_object")
+    df = df.withColumn("_json_object", F.schema_of_variant(whole).startswith("OBJECT"))
+    df = df.withColumns({_staged("v", k): F.when(there, F.try_variant_get(whole, f"$.{k}", "variant")) for k in KEYS})
+    df = df.withColumns({_staged("kind", k): F.schema_of_variant(F.col(_staged("v", k))) for k in KEYS})
+    return df.withColumns({_staged("text", k): Value.text.fget(_Staged(k)) for k in KEYS})
+
+
 def format_json_rows(df: DataFrame, row: str = ROW) -> DataFrame:
     """Adds ``layout``, ``question_text`` and ``answer_text`` (B5), decided row by row."""
-    def key(name: str) -> Value:
-        return Value(row, name)
+    columns = df.columns
+    df = _with_keys(df, row)
+    key = _Staged
 
     def first(*names: str) -> Column:
         return F.coalesce(*[key(n).counting for n in names], F.lit(""))
@@ -96,7 +130,8 @@ def format_json_rows(df: DataFrame, row: str = ROW) -> DataFrame:
     pairs = F.zip_with(F.slice(labels, 1, n), F.slice(texts, 1, n), lambda a, b: F.concat(F.lit("("), a, F.lit(") "), b))
     chosen = py_strip(F.concat(py_strip(first("question", "question_stem")), F.lit(" "), F.array_join(pairs, " ")))
 
-    around = py_strip(context.text)
+    df = df.withColumn("_json_around", py_strip(context.text))
+    around = F.col("_json_around")
     cut = F.concat(F.regexp_replace(F.substring(around, 1, 300), "(?s) [^ ]*\\z", ""), F.lit("..."))
     around = F.when(F.length(around) > 300, cut).otherwise(around)
     listed = answers.list_of("text")
@@ -113,7 +148,8 @@ def format_json_rows(df: DataFrame, row: str = ROW) -> DataFrame:
                 .otherwise(py_strip(first("question", "problem", "prompt"))))
     answer = (F.when(of == "choice", first("answerKey", "answer")).when(of == "body", F.coalesce(key("Answer").text, F.lit("")))
               .when(of == "context", in_context).otherwise(py_strip(first("answer", "correct_answer", "ground_truth"))))
-    return df.withColumn("layout", layout).withColumns({"question_text": question, "answer_text": answer})
+    df = df.withColumn("layout", layout).withColumns({"question_text": question, "answer_text": answer})
+    return df.drop(*[c for c in df.columns if c.startswith("_json_") and c not in columns])
 
 
 def load_json_questions(spark: SparkSession, path: str, key: str) -> DataFrame:
