@@ -110,9 +110,25 @@ def call_error(message: Column) -> Column:
     return no_skip(F.concat(F.lit(CALL_ERROR), message), "error")
 
 
+def pieces(batches, column: str, kinds: dict, size: int = 8_000_000):
+    """Arrow batches as pandas frames whose ``column`` holds ``size`` bytes at most, or of one row: a batch has thousands of rows of any
+    length, and their objects take several times its bytes.  ``kinds`` gets the columns' Arrow types."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        kinds.update((f.name, f.type) for f in batch.schema)
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        lo = 0
+        while lo < batch.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + size, side="right")))
+            yield batch.slice(lo, hi - lo).to_pandas(date_as_object=True, coerce_temporal_nanoseconds=True)
+            lo = hi
+
+
 def user_replies(traces: DataFrame, fn, template: str | None = None, parallelism: int | None = None, key: str = "trace_id",
                  ledger: str | None = None, call_rows: int | None = None) -> DataFrame:
-    """The replies of a user callable: ``fn(pandas.DataFrame) -> pandas.DataFrame`` per Arrow batch.
+    """The replies of a user callable: ``fn(pandas.DataFrame) -> pandas.DataFrame`` per piece of an Arrow batch (``pieces``).
 
     The callable sees (key, question, prefix, steps, prompt) batches inside the
     executors (one client per task, no driver loop); ``prompt`` is the audit prompt built
@@ -126,15 +142,19 @@ def user_replies(traces: DataFrame, fn, template: str | None = None, parallelism
     ship_package(traces.sparkSession)
 
     def run(batches):
-        yield from answers(fn, batches, lambda rows, message: rows[[key]].assign(raw_response=None, error=message),
-                           [key, "raw_response", "error"], key, ledger, call_rows)
+        import pyarrow as pa
+
+        kinds = {}
+        for out in answers(fn, pieces(batches, "prompt", kinds), lambda rows, message: rows[[key]].assign(raw_response=None, error=message),
+                           [key, "raw_response", "error"], key, ledger, call_rows):
+            yield pa.RecordBatch.from_arrays([pa.Array.from_pandas(out[c], type=kinds[key] if c == key else pa.string()) for c in out.columns], list(out.columns))
 
     needs = traces.where(F.size("steps") > 1).select(
         key, "question", "prefix", "steps",
         audit_prompt(F.col("question"), F.col("prefix"), F.col("steps"), template).alias("prompt"))
     if parallelism:
         needs = needs.repartition(parallelism)
-    return needs.mapInPandas(run, f"{key} {traces.schema[key].dataType.simpleString()}, raw_response string, error string")
+    return needs.mapInArrow(run, f"{key} {traces.schema[key].dataType.simpleString()}, raw_response string, error string")
 
 
 def user_audit(traces: DataFrame, fn, template: str | None = None, parallelism: int | None = None) -> DataFrame:
