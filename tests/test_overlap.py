@@ -41,3 +41,14 @@ def test_overlap_equals_all_pairs(spark):
         got = {r[0]: r[1] for r in df.select("id", overlap_indices("steps", pct).alias("at")).collect()}
         assert got.pop(903) is None
         assert got == {i: _by_pairs(s, pct) for i, s in traces if s is not None}, pct
+
+
+def test_only_steps_of_shared_words_are_compared(spark):
+    from pyspark.sql import functions as F
+
+    from tracetrim.operators.rubric import may_overlap
+
+    steps = [["a", "b", "c", "d", "e"], ["a", "b", "c", "d", "x"], ["a", "p", "q", "r", "s"], [], ["y"]]
+    df = spark.createDataFrame([(steps,)], "toks array<array<string>>")
+    assert df.select(may_overlap(F.col("toks"), 80)).first()[0] == [*steps[:2], [], [], []]
+    assert df.select(may_overlap(F.col("toks"), 20)).first()[0] == [*steps[:4], []]

@@ -56,12 +56,12 @@ def _similar(a: Column, b: Column, pct: int) -> Column:
     sa, sb = F.size(a), F.size(b)
     inter = F.size(F.array_intersect(a, b))
     return ((sa > 0) & (sb > 0) & (F.least(sa, sb) * 100 >= F.lit(pct) * F.greatest(sa, sb))
-            & (inter * 100 >= F.lit(pct) * (sa + sb - inter)))
+            & (inter * (100 + pct) >= F.lit(pct) * (sa + sb)))
 
 
-def repeat_indices(steps, prior=None) -> Column:
-    """Indices of steps whose normal form already occurred (earlier in the trace or in prior)."""
-    norms = F.transform(col_(steps), lambda s, i: F.struct(normalise_step(s).alias("k"), i.alias("i")))
+def repeat_indices(steps, prior=None, norms=None) -> Column:
+    """Indices of steps whose normal form already occurred (earlier in the trace or in prior); ``norms``: the normal forms, if there."""
+    norms = F.transform(F.transform(col_(steps), normalise_step) if norms is None else norms, lambda k, i: F.struct(k.alias("k"), i.alias("i")))
     if prior is not None:
         prior_tagged = F.transform(col_(prior), lambda s: F.struct(normalise_step(s).alias("k"), F.lit(-1).alias("i")))
         norms = F.concat(prior_tagged, norms)
@@ -70,7 +70,7 @@ def repeat_indices(steps, prior=None) -> Column:
         shifted = F.concat(F.array(F.struct(F.lit(None).cast("string").alias("k"), F.lit(-2).alias("i"))), srt)
         return F.filter(F.zip_with(srt, shifted, lambda cur, prev: F.when(
             (cur["i"] >= 0) & (cur["k"] != F.lit("")) & (cur["k"] == prev["k"]), cur["i"])), lambda x: x.isNotNull())
-    return let(F.array_sort(norms), hits)
+    return let(F.sort_array(norms), hits)
 
 
 def _runs(rows: Column, key: str) -> Column:
@@ -80,8 +80,23 @@ def _runs(rows: Column, key: str) -> Column:
     return let(at, lambda S: F.transform(S, lambda s, r: F.slice(rows, s + 1, F.coalesce(F.get(S, r + 1), F.size(rows)) - s)))
 
 
-def overlap_indices(steps, pct: int = 80) -> Column:
-    """Indices of steps whose words overlap an earlier step's by ``pct`` percent or more (Jaccard), ascending.
+def step_tokens(norms: Column) -> Column:
+    """The distinct words of each step's normal form; none of a null step."""
+    return F.transform(norms, lambda k: F.coalesce(_tokens(k), F.array().cast("array<string>")))
+
+
+def may_overlap(toks: Column, pct: int) -> Column:
+    """The steps' words, but none where fewer than ``pct`` percent of them stand in another step: all that two overlapping steps share does."""
+    def several(T):
+        return let(F.sort_array(F.flatten(T)), lambda A: F.array_distinct(F.filter(A, lambda w, k: w == F.get(A, k - 1))))
+
+    return let(toks, lambda T: let(several(T), lambda D: F.transform(T, lambda t: F.when(
+        F.size(F.array_intersect(t, D)) * 100 >= F.size(t) * pct, t).otherwise(F.array().cast("array<string>")))))
+
+
+def overlap_indices(steps, pct: int = 80, toks=None) -> Column:
+    """Indices of steps whose words overlap an earlier step's by ``pct`` percent or more (Jaccard), ascending;
+    ``toks``: the steps' words, if there.
 
     Exact prefix filter inside the row: two such steps share one of their rarest words, namely one of the
     first ``size - ceil(size * pct / 100) + 1`` in the order (count in the trace, word).  Those words lead to the
@@ -89,24 +104,24 @@ def overlap_indices(steps, pct: int = 80) -> Column:
     """
     if not 1 <= pct <= 100:
         raise ValueError(f"overlap_pct must lie in 1 to 100: {pct}")
-    toks = F.transform(col_(steps), lambda s: F.coalesce(_tokens(normalise_step(s)), F.array().cast("array<string>")))
+    toks = step_tokens(F.transform(col_(steps), normalise_step)) if toks is None else toks
 
     def prefix(g):
         return F.slice(g, 1, F.size(g) - F.floor((F.size(g) * pct + 99) / 100).cast("int") + 1)
 
     def by_step(by_word):
         """(step, count, word number) of every word, rarest first within a step."""
-        return F.array_sort(F.flatten(F.transform(by_word, lambda g, w: F.transform(
+        return F.sort_array(F.flatten(F.transform(by_word, lambda g, w: F.transform(
             g, lambda e: F.struct(e["i"].alias("i"), F.size(g).alias("n"), w.alias("w"))))))
 
     def rare(groups):
         """(word number, step) of every step's prefix."""
-        return F.array_sort(F.flatten(F.transform(groups, lambda g: F.transform(
+        return F.sort_array(F.flatten(F.transform(groups, lambda g: F.transform(
             prefix(g), lambda e: F.struct(e["w"].alias("w"), e["i"].alias("i"))))))
 
     def lists_of(postings):
         """(step, place of the word's list) of every prefix word."""
-        return F.array_sort(F.flatten(F.transform(postings, lambda g, q: F.transform(
+        return F.sort_array(F.flatten(F.transform(postings, lambda g, q: F.transform(
             g, lambda e: F.struct(e["i"].alias("i"), q.alias("q"))))))
 
     def hits(T, postings, own):
@@ -115,18 +130,18 @@ def overlap_indices(steps, pct: int = 80) -> Column:
             F.get(g, F.lit(0))["i"])), lambda i: i.isNotNull())
 
     def found(T):
-        words = F.array_sort(F.flatten(F.transform(T, lambda t, i: F.transform(t, lambda w: F.struct(w.alias("w"), i.alias("i"))))))
+        words = F.sort_array(F.flatten(F.transform(T, lambda t, i: F.transform(t, lambda w: F.struct(w.alias("w"), i.alias("i"))))))
         return let(words, lambda W: let(by_step(_runs(W, "w")), lambda B: let(rare(_runs(B, "i")), lambda R: let(
             _runs(R, "w"), lambda P: let(lists_of(P), lambda L: hits(T, P, _runs(L, "i")))))))
 
-    return let(toks, found)
+    return let(may_overlap(toks, pct), found)
 
 
-def _restate_indices(steps, question, pct: int) -> Column:
-    """Indices of steps whose words overlap the question's by ``pct`` percent or more."""
+def _restate_indices(toks, question, pct: int) -> Column:
+    """Indices of steps (their words) whose words overlap the question's by ``pct`` percent or more."""
     qtok = _tokens(normalise_step(F.coalesce(col_(question), F.lit("")))) if question is not None else F.array().cast("array<string>")
-    return let(qtok, lambda Q: F.filter(F.transform(col_(steps), lambda s, i: F.when(
-        let(_tokens(normalise_step(s)), lambda t: _similar(Q, t, pct)), i)), lambda i: i.isNotNull()))
+    return let(qtok, lambda Q: F.filter(F.transform(toks, lambda t, i: F.when(
+        _similar(Q, t, pct), i)), lambda i: i.isNotNull()))
 
 
 def with_rubric_decision(df: DataFrame, steps_col: str = "steps", question_col: str | None = "question",
@@ -141,21 +156,24 @@ def with_rubric_decision(df: DataFrame, steps_col: str = "steps", question_col:
     s = F.col(steps_col)
     n = F.size(s)
     parts, per_rule = [], {}
+    # several rules read the normal forms and words
+    norms, toks = F.col(t + "norm"), F.col(t + "toks")
+    df = df.withColumn(t + "norm", F.transform(s, normalise_step)).withColumn(t + "toks", step_tokens(norms))
     if "repeat" in rules:
-        per_rule[t + "rep"] = repeat_indices(s, F.col(prior_col) if prior_col else None)
+        per_rule[t + "rep"] = repeat_indices(s, F.col(prior_col) if prior_col else None, norms)
         parts.append(F.col(t + "rep"))
     if "overlap" in rules:
-        per_rule[t + "over"] = overlap_indices(s, overlap_pct)
+        per_rule[t + "over"] = overlap_indices(s, overlap_pct, toks)
         parts.append(F.col(t + "over"))
     if "restate" in rules:
-        per_rule[t + "rest"] = _restate_indices(s, F.col(question_col) if question_col else None, restate_pct)
+        per_rule[t + "rest"] = _restate_indices(toks, F.col(question_col) if question_col else None, restate_pct)
         parts.append(F.col(t + "rest"))
     if "filler" in rules:
         per_rule[t + "fill"] = F.transform(s, lambda x: F.lower(x).rlike(FILLER_RE))
         parts.append(F.filter(F.transform(F.col(t + "fill"), lambda b, i: F.when(b, i)), lambda x: x.isNotNull()))
     df = df.withColumns(per_rule)  # the rules are independent: one projection
     flagged = parts[0] if len(parts) == 1 else F.concat(*parts)
-    df = df.withColumn(t + "flag", F.array_sort(F.array_distinct(F.filter(flagged, lambda i: i < n - 1))))
+    df = df.withColumn(t + "flag", F.sort_array(F.array_distinct(F.filter(flagged, lambda i: i < n - 1))))
     run = F.aggregate(
         F.col(t + "flag"),
         F.struct(F.lit(-2).alias("s"), F.lit(-2).alias("e")),
